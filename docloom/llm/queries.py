@@ -4,16 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.llm import langid, warc
 from docloom.llm.mixing import mix
 from docloom.llm.packing import pack
 from docloom.llm.quality import quality
-from docloom.session import table
+from docloom.session import Scratch, table
+
+
+def _crc(column, divisor):
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % divisor, F.lit(-1))
+
+
+def op1_cross_parsing_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(_crc("doc_id", 4) != 2))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (_crc("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op4_tokeniser_fertility(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents")).drop("h", "lang")
 
 
+def op5_warc_revisits(spark, sf_dir):
+    scratch = Scratch(spark, "warc")
+    path = scratch.path("archive")
+    warc.write(table(spark, sf_dir, "pages"), path, min_bytes=0, scratch=scratch)
+    records = warc.read(spark, path, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+
+
 def op6_harmonic_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -24,6 +44,8 @@ def op9_pivotal_mixing(spark, sf_dir):
 
 def queries():
     return {
+        "op1_cross_parsing_language": op1_cross_parsing_language,
+        "op5_warc_revisits": op5_warc_revisits,
         "op4_tokeniser_fertility": op4_tokeniser_fertility,
         "op6_harmonic_packing": op6_harmonic_packing,
         "op9_pivotal_mixing": op9_pivotal_mixing,
