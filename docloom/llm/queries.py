@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.llm import langid, warc
+from docloom.llm.fingerprint import fingerprints
 from docloom.llm.mixing import mix
 from docloom.llm.packing import pack
 from docloom.llm.quality import quality
@@ -22,6 +23,10 @@ def op1_cross_parsing_language(spark, sf_dir):
     return found.select("doc_id", (_crc("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_order_minhash(spark, sf_dir):
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_tokeniser_fertility(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents")).drop("h", "lang")
 
@@ -46,6 +51,7 @@ def queries():
     return {
         "op1_cross_parsing_language": op1_cross_parsing_language,
         "op5_warc_revisits": op5_warc_revisits,
+        "op3_order_minhash": op3_order_minhash,
         "op4_tokeniser_fertility": op4_tokeniser_fertility,
         "op6_harmonic_packing": op6_harmonic_packing,
         "op9_pivotal_mixing": op9_pivotal_mixing,
