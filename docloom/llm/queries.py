@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, warc
+from docloom.llm import langid, linededup, warc
 from docloom.llm.fingerprint import fingerprints
 from docloom.llm.mixing import mix
 from docloom.llm.packing import pack
@@ -47,6 +47,10 @@ def op9_pivotal_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).drop("h")
 
 
+def op10_line_templates(spark, sf_dir):
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def queries():
     return {
         "op1_cross_parsing_language": op1_cross_parsing_language,
@@ -55,8 +59,9 @@ def queries():
         "op4_tokeniser_fertility": op4_tokeniser_fertility,
         "op6_harmonic_packing": op6_harmonic_packing,
         "op9_pivotal_mixing": op9_pivotal_mixing,
+        "op10_line_templates": op10_line_templates,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op10_line_templates": linededup.SQL}
