@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, linededup, warc
+from docloom.llm import langid, linededup, toxicity, warc
 from docloom.llm.fingerprint import fingerprints
 from docloom.llm.mixing import mix
 from docloom.llm.packing import pack
@@ -43,6 +43,13 @@ def op6_harmonic_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_counterfactual_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs.where(_crc("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
+    scored = toxicity.classify(docs, model)
+    return scored.select("doc_id", (_crc("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_pivotal_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).drop("h")
 
@@ -58,6 +65,7 @@ def queries():
         "op3_order_minhash": op3_order_minhash,
         "op4_tokeniser_fertility": op4_tokeniser_fertility,
         "op6_harmonic_packing": op6_harmonic_packing,
+        "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
         "op9_pivotal_mixing": op9_pivotal_mixing,
         "op10_line_templates": op10_line_templates,
     }

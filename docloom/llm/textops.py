@@ -38,12 +38,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes], separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of ``texts``; where each text's words begin (len + 1
-    entries); and each word's first and past-the-end byte in the joined texts."""
+    entries); and each word's first and past-the-end byte in the joined texts.
+    ``separators`` tells for each byte whether it ends a word; a line feed does."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    space = _SPACE[joined]
+    space = separators[joined]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
     begin, end = edge[0::2], edge[1::2]
     power, inverse = _power_tables(len(joined))
