@@ -38,10 +38,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def hash_words(texts: list[bytes], separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes], separators: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of ``texts``; where each text's words begin (len + 1
     entries); and each word's first and past-the-end byte in the joined texts.
-    ``separators`` tells for each byte whether it ends a word; a line feed does."""
+    ``separators`` tells for each byte whether it ends a word; a line feed does.
+    With ``prefixes``, the words' hashes have the hashes of their first so many
+    bytes below, a row for each size; 0 where a word is not longer."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     space = separators[joined]
@@ -51,6 +53,13 @@ def hash_words(texts: list[bytes], separators: np.ndarray = _SPACE) -> tuple[np.
     run = np.zeros(len(joined) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[joined] * power[: len(joined)], out=run[1:])
     words = mix64((run[end] - run[begin]) * inverse[begin])
+    if prefixes:
+        rows = [words]
+        for n in prefixes:
+            at = np.minimum(begin + n, end)
+            some = mix64((run[at] - run[begin]) * inverse[begin] + np.uint64(n))
+            rows.append(np.where(begin + n < end, some, np.uint64(0)))
+        words = np.stack(rows)
     first = np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes)]))
     return words, first, begin, end
 

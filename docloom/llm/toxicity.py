@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,47 +30,63 @@ IDENTITY = (
 _SEPARATORS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
-def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of lower-cased texts, split at ASCII signs and white
-    space, and where each text's begin."""
-    words, first, _, _ = hash_words([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts], _SEPARATORS)
-    return words, first
+#: Beside whole words, their first bytes are terms; a term counts as seen, and
+#: again as seen so often.
+PREFIXES, LEVELS = (4, 6, 8), (1, 2, 4)
+
 
+def terms_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every word of the lower-cased texts, split at ASCII signs
+    and white space, and of every prefix."""
+    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    hashes, first, _, _ = hash_words(raw, _SEPARATORS, PREFIXES)
+    row = np.tile(np.repeat(np.arange(len(texts)), np.diff(first)), len(hashes))
+    hashes = hashes.ravel()
+    return row[hashes != 0], hashes[hashes != 0]
 
-def _hash_terms(terms) -> np.ndarray:
-    return words_of(list(terms))[0]
 
+def _levels(row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and level of each term of each row, once for each level."""
+    order = np.lexsort((term, row))
+    row, term = row[order], term[order]
+    new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])])[: len(term)])
+    count = np.diff(np.append(new, len(term)))
+    picked = [(new[count >= n], i) for i, n in enumerate(LEVELS)]
+    at = np.concatenate([p for p, _ in picked])
+    return row[at], term[at], np.concatenate([np.full(len(p), i) for p, i in picked])
 
-def present(words: np.ndarray, first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and term index of every term present in a text, each once."""
-    if not len(words) or not len(terms):
+
+def features(texts: list[str | None], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and index (term, level) of what is seen in the texts of ``terms``."""
+    row, h = terms_of(texts)
+    if not len(h) or not len(terms):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    at = np.minimum(np.searchsorted(terms, words), len(terms) - 1)
-    hit = np.flatnonzero(terms[at] == words)
-    row = np.searchsorted(first, hit, side="right") - 1
-    both = np.unique(row * len(terms) + at[hit])
-    return both // len(terms), both % len(terms)
+    at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+    hit = terms[at] == h
+    row, term, level = _levels(row[hit], at[hit])
+    return row, term * len(LEVELS) + level
 
 
-def swaps(words: np.ndarray, identity=IDENTITY):
-    """The words of a text with an identity term replaced by another of its
+def swaps(text: str, identity=IDENTITY):
+    """The lower-cased text with an identity term replaced by another of its
     group, for each such pair."""
+    text = text.lower()
     for group in identity:
-        hashes = _hash_terms(group)
-        for mine in hashes[np.isin(hashes, words)]:
-            for other in hashes[hashes != mine]:
-                yield np.where(words == mine, other, words)
+        for mine in group:
+            if mine in text and (at := re.compile(rf"\b{mine}\b")).search(text):
+                for other in group:
+                    if other != mine:
+                        yield at.sub(other, text)
 
 
 class Classifier:
-    """A logistic model over the presence of terms."""
+    """A logistic model over the terms of a text and how often they are seen."""
 
     def __init__(self, terms: np.ndarray, weights: np.ndarray, bias: float):
         self.terms, self.weights, self.bias = terms, weights, bias
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        words, first = words_of(texts)
-        row, term = present(words, first, self.terms)
+        row, term = features(texts, self.terms)
         total = np.bincount(row, self.weights[term], minlength=len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
@@ -99,8 +117,9 @@ def fit(rows: int, row: np.ndarray, term: np.ndarray, label: np.ndarray, swap_ro
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: int = TERMS, swap_penalty: float = SWAP_PENALTY,
           identity=IDENTITY, scratch: Scratch | None = None) -> Classifier:
     """Fits on about ``rows`` labelled rows at most, those of the least hash of
-    doc_id. Its terms are the ``terms`` words most unlike by label (chi square)
-    among those in at least 5 of the documents, and the identity terms. Null
+    doc_id. Its terms are the ``terms`` words and prefixes most unlike by label
+    (chi square) among those in at least 5 of the documents, and the identity
+    terms. A swap is made in the text itself. Null
     labels are left out; of a doc_id's labels the largest counts."""
     spark = prepare(docs.sparkSession)
     scratch = scratch or Scratch(spark, "toxicity")
@@ -115,42 +134,39 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: in
         for batch in arrow_batches:
             pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             for some in batches(pairs, lambda p: len(p[0] or ""), 1 << 20):
-                words, first = words_of([p[0] for p in some])
-                row = np.repeat(np.arange(len(some)), np.diff(first))
-                order = np.lexsort((words, row))
-                words, row = words[order], row[order]
-                new = np.concatenate([[True], (words[1:] != words[:-1]) | (row[1:] != row[:-1])])[: len(words)]
-                label = np.array([p[1] for p in some])[row[new]]
-                yield pa.RecordBatch.from_arrays([pa.array(words[new].view(np.int64)), pa.array(label)], ["word", "label"])
-
-    counts = sample.mapInArrow(distinct, "word long, label double").groupBy("word").agg(
+                row, term, level = _levels(*terms_of([p[0] for p in some]))
+                label = np.array([p[1] for p in some])[row]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(term.view(np.int64)), pa.array(level), pa.array(label)], ["term", "level", "label"]
+                )
+
+    counts = sample.mapInArrow(distinct, "term long, level long, label double").groupBy("term", "level").agg(
         F.sum("label").alias("toxic"), F.count("*").alias("docs")
     )
     share = sample.agg(F.coalesce(F.avg("label"), F.lit(0.0)), F.count("*")).first()
     expected = F.col("docs") * F.lit(float(share[0]))
     counts = counts.where(F.col("docs") >= MIN_DOCS).withColumn("chi", F.pow(F.col("toxic") - expected, 2) / (expected + 1e-9))
-    best = counts.orderBy(F.desc("chi"), "word").limit(terms).select("word").collect()
-    named = np.concatenate([_hash_terms(g) for g in identity]) if identity else np.zeros(0, dtype=np.uint64)
-    vocabulary = np.unique(np.concatenate([np.array([r["word"] for r in best], dtype=np.int64).view(np.uint64), named]))
+    best = counts.groupBy("term").agg(F.max("chi").alias("chi")).orderBy(F.desc("chi"), "term").limit(terms).select("term").collect()
+    named = terms_of([" ".join(g) for g in identity])[1]
+    vocabulary = np.unique(np.concatenate([np.array([r["term"] for r in best], dtype=np.int64).view(np.uint64), named]))
     sent = spark.sparkContext.broadcast(vocabulary)
 
-    def features(arrow_batches):
+    def examples(arrow_batches):
         own = sent.value
         for batch in arrow_batches:
             texts = batch.column(0).to_pylist()
             out = []
             for text, label in zip(texts, batch.column(1).to_pylist()):
-                words, first = words_of([text])
-                mine = present(words, first, own)[1]
+                mine = features([text], own)[1]
                 out.append((label, mine.tolist(), None, None))
-                for changed in swaps(words, identity):
-                    other = present(changed, first, own)[1]
+                for changed in swaps(text or "", identity):
+                    other = features([changed], own)[1]
                     out.append((None, None, np.setdiff1d(other, mine).tolist(), np.setdiff1d(mine, other).tolist()))
             columns = zip(*out) if out else [[]] * 4
             kinds = (pa.float64(), *[pa.list_(pa.int64())] * 3)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["label", "terms", "gained", "lost"])
 
-    got = sample.mapInArrow(features, "label double, terms array<long>, gained array<long>, lost array<long>").toPandas()
+    got = sample.mapInArrow(examples, "label double, terms array<long>, gained array<long>, lost array<long>").toPandas()
     is_row = got["label"].notna().to_numpy()
     own, swapped = got[is_row], got[~is_row]
     flat = lambda lists: (
@@ -162,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: in
     sign = np.concatenate([np.ones(len(up)), -np.ones(len(down))])
     weights, bias = fit(
         len(own), row, term, own["label"].to_numpy(dtype=float), np.concatenate([up_row, down_row]),
-        np.concatenate([up, down]), sign, len(swapped), len(vocabulary), swap_penalty,
+        np.concatenate([up, down]), sign, len(swapped), len(vocabulary) * len(LEVELS), swap_penalty,
     )
     return Classifier(vocabulary, weights, bias)
 
