@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, linededup, toxicity, warc
+from docloom.llm import jaccard, langid, linededup, toxicity, warc
 from docloom.llm.fingerprint import fingerprints
 from docloom.llm.mixing import mix
 from docloom.llm.packing import pack
@@ -23,6 +23,10 @@ def op1_cross_parsing_language(spark, sf_dir):
     return found.select("doc_id", (_crc("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_ngram_jaccard(spark, sf_dir):
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).drop("h")
+
+
 def op3_order_minhash(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def queries():
     return {
         "op1_cross_parsing_language": op1_cross_parsing_language,
         "op5_warc_revisits": op5_warc_revisits,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_order_minhash": op3_order_minhash,
         "op4_tokeniser_fertility": op4_tokeniser_fertility,
         "op6_harmonic_packing": op6_harmonic_packing,
@@ -72,4 +77,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op10_line_templates": linededup.SQL}
+    return {"op2_ngram_jaccard": jaccard.SQL, "op10_line_templates": linededup.SQL}
