@@ -35,10 +35,9 @@ def base32_sha1(column):
 
 
 def keyed(pages: DataFrame) -> DataFrame:
-    """Pages (page_id, url, html) with payload, its size and digest, and ``nth``,
-    which tells rows of the same page_id apart."""
+    """Pages (page_id, url, html) with payload, its size and its digest."""
     payload = F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(
+    return pages.select(
         pages["page_id"].cast("long").alias("page_id"),
         F.coalesce(pages["page_id"].cast("long"), F.lit((1 << 63) - 1)).alias("key"),
         F.regexp_replace(F.coalesce(pages["url"].cast("string"), F.lit("")), r"[\x00-\x20]+", "%20").alias("url"),
@@ -46,27 +45,22 @@ def keyed(pages: DataFrame) -> DataFrame:
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         base32_sha1(payload).alias("payload_digest"),
     )
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("payload_digest", "url")))
 
 
 def resolve(headers: DataFrame, min_bytes: int, scratch: Scratch) -> DataFrame:
-    """Headers (key, nth, page_id, url, payload_bytes, payload_digest) with the
-    original that each refers to, null for responses. Headers are shuffled by
-    payload digest with a partial minimum before, and the join back can be split
-    where a digest is hot, as both of its sides are tables."""
+    """The original of each page and payload (key, payload_digest) of the headers
+    (key, page_id, url, payload_bytes, payload_digest); none for payloads below
+    ``min_bytes``. Headers are shuffled by payload digest with a partial minimum
+    before, and the join back can be split where a digest is hot, as both of its
+    sides are tables."""
     headers = scratch.keep(headers, "headers")
-    least = F.min(F.struct("key", "nth", "page_id", "url")).alias("original")
-    originals = scratch.keep(
-        headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(least), "originals"
-    )
-    found = headers.join(originals, ["payload_digest", "payload_bytes"], "left")
-    own = (F.col("original.key") == F.col("key")) & (F.col("original.nth") == F.col("nth"))
-    again = F.col("original").isNotNull() & ~own
-    return found.select("key", "nth", F.when(again, F.col("original")).alias("original"))
+    least = F.min(F.struct("key", "page_id", "url")).alias("original")
+    originals = scratch.keep(headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(least), "originals")
+    return headers.select("key", "payload_digest").distinct().join(originals, "payload_digest")
 
 
-def record_id(key, nth):
-    digits = F.md5(F.concat_ws("/", F.lit("page"), key.cast("string"), nth.cast("string")))
+def record_id(key, digest, nth):
+    digits = F.md5(F.concat_ws("/", F.lit("page"), key.cast("string"), digest, nth.cast("string")))
     parts = [F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -74,7 +68,7 @@ def record_id(key, nth):
 def record(date: str = DATE):
     """The text of one record, without its last line feed."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
-    again = F.col("original").isNotNull()
+    again = F.col("original").isNotNull() & ((F.col("original.key") != F.col("key")) | (F.col("nth") > 1))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.col("payload_bytes").cast("string"),
@@ -85,7 +79,7 @@ def record(date: str = DATE):
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", record_id(F.col("key"), F.col("nth"))),
+        line("WARC-Record-ID", record_id(F.col("key"), F.col("payload_digest"), F.col("nth"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
@@ -93,7 +87,7 @@ def record(date: str = DATE):
             again,
             F.concat(
                 line("WARC-Profile", F.lit(PROFILE)),
-                line("WARC-Refers-To", record_id(F.col("original.key"), F.col("original.nth"))),
+                line("WARC-Refers-To", record_id(F.col("original.key"), F.col("payload_digest"), F.lit(1))),
                 line("WARC-Refers-To-Target-URI", F.col("original.url")),
                 line("X-Refers-To-Page", F.coalesce(F.col("original.page_id").cast("string"), F.lit(""))),
             ),
@@ -122,7 +116,9 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE, scr
     scratch = scratch or Scratch(spark, "warc")
     rows = keyed(pages)
     found = resolve(rows.drop("payload"), min_bytes, scratch)
-    text = rows.join(found, ["key", "nth"]).select(record(date).alias("value"))
+    same = Window.partitionBy("key", "payload_digest").orderBy("url")  # as the join's, so payloads are shuffled once
+    rows = rows.join(found, ["key", "payload_digest"], "left").withColumn("nth", F.row_number().over(same))
+    text = rows.select(record(date).alias("value"))
     text.write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
