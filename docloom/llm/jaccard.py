@@ -40,11 +40,12 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(32)).astype(np.uint32)
 
 
-def hot_cells(docs: DataFrame, k: int, hot: int, most: int) -> np.ndarray:
-    """Cells (the upper 32 bits of a shingle's hash) of at least ``hot`` documents,
-    or of as many more as leave at most ``most`` cells. Counts cover all documents;
-    each task sends its sorted cells packed, by ranges of the cells."""
-    blocks = max(16, min(1 << 14, math.ceil(docs.count() / 8000)))
+def hot_cells(rows: DataFrame, sets_of, blocks: int, hot: int = HOT, most: int = MOST_HOT) -> np.ndarray:
+    """Cells (the upper 32 bits of a shingle's hash) in the sets of at least ``hot``
+    rows, or of as many more as leave at most ``most`` cells. ``sets_of`` gives
+    (index, set) of each row of a batch. Counts cover all rows; each task sends its
+    sorted cells packed, by ranges of the cells, to about ``blocks`` tasks."""
+    blocks = max(16, min(1 << 14, blocks))
     bits = (blocks - 1).bit_length()
 
     def send(arrow_batches):
@@ -62,7 +63,7 @@ def hot_cells(docs: DataFrame, k: int, hot: int, most: int) -> np.ndarray:
             )
 
         for batch in arrow_batches:
-            for _, tokens in _sets(batch, k):
+            for _, tokens in sets_of(batch):
                 held.append(_cell(tokens))
                 size += len(tokens)
                 if size > 8_000_000:
@@ -84,9 +85,9 @@ def hot_cells(docs: DataFrame, k: int, hot: int, most: int) -> np.ndarray:
             cells, n = _summed(parts)
             yield pa.RecordBatch.from_arrays([pa.array(cells[n >= hot]), pa.array(n[n >= hot])], ["cell", "n"])
 
-    counts = docs.select("text").mapInArrow(send, "block long, cells binary").repartition(1 << bits, "block")
+    counts = rows.mapInArrow(send, "block long, cells binary").repartition(1 << bits, "block")
     counts = counts.mapInArrow(count, "cell long, n long")
-    scratch = Scratch(docs.sparkSession, "hot")
+    scratch = Scratch(rows.sparkSession, "hot")
     counts = scratch.keep(counts, "counts")
     sizes = counts.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("size")).count().orderBy(F.desc("size")).collect()
     total, bar = 0, None
@@ -116,6 +117,17 @@ def least_overlap(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def prefix(tokens: np.ndarray, hot: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """The first tokens of a set in the order of all, and how many are not hot."""
+    p = prefix_size(len(tokens), percent) if len(tokens) else 0
+    if not len(hot):
+        return p, tokens[:p]
+    mine = _cell(tokens)
+    last = hot[np.minimum(np.searchsorted(hot, mine), len(hot) - 1)] == mine
+    order = np.concatenate([np.flatnonzero(~last), np.flatnonzero(last)])[:p]
+    return int((~last[order]).sum()), tokens[order]
+
+
 def index(docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFrame:
     """doc_id, h (hash of the text), key (digest of the set), n, cold and prefix of
     each document: the first tokens of its set in the order of all shingles (hot
@@ -128,16 +140,7 @@ def index(docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFrame:
             ids, hashes, out = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
             for i, tokens in _sets(batch, k):
                 n = len(tokens)
-                p = prefix_size(n, percent) if n else 0
-                if len(cells):
-                    mine = _cell(tokens)
-                    at = np.minimum(np.searchsorted(cells, mine), len(cells) - 1)
-                    last = cells[at] == mine
-                    order = np.concatenate([np.flatnonzero(~last), np.flatnonzero(last)])[:p]
-                    cold = int((~last[order]).sum())
-                    first = tokens[order]
-                else:
-                    first, cold = tokens[:p], p
+                cold, first = prefix(tokens, cells, percent)
                 key = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
                 out.append((ids[i], hashes[i], key, n, cold, first.tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
@@ -264,9 +267,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(node, component) of the nodes with a link."""
-    spark = docs.sparkSession
+def links(nodes: DataFrame, sets_of, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of the nodes (node, n, cold, prefix, ...) with a link.
+    ``sets_of`` gives (node, tokens) of some of the rows of ``nodes``."""
     blocks = max(8, math.ceil(nodes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] / 8 / BLOCK_ROWS))
     every = postings(nodes)
     product = every.where("place < cold").repartition(blocks, "token").mapInArrow(
@@ -291,7 +294,7 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, scratch: Scra
     rows = scratch.keep(rows.join(crowd, "token", "left_semi"), "rows")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(rows.select("node"))
     of = nodes.join(needed.distinct(), "node", "left_semi")
-    sets = scratch.keep(texts_of(docs, of, k), "sets")
+    sets = scratch.keep(sets_of(of), "sets")
     edges = scratch.keep(verify(pairs, sets, percent), "links")
     scratch.drop(product, pairs)
     known = components(edges, scratch)
@@ -352,14 +355,15 @@ def jaccard_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, scr
     scratch = scratch or Scratch(spark, "jaccard")
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text"))
-    every = scratch.keep(index(docs, k, percent, hot_cells(docs, k, HOT, MOST_HOT)), "index")
+    hot = hot_cells(docs.select("text"), lambda batch: _sets(batch, k), math.ceil(docs.count() / 8000))
+    every = scratch.keep(index(docs, k, percent, hot), "index")
     nodes = every.where("n > 0").groupBy("key").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("one"),
         *[F.first(c).alias(c) for c in ("n", "cold", "prefix")],
     )
     nodes = nodes.select("key", F.coalesce("one.doc_id", F.xxhash64("key")).alias("node"), "one.doc_id", "one.h", "n", "cold", "prefix")
     nodes = scratch.keep(nodes, "nodes")
-    known = links(docs, nodes, k, percent, scratch)
+    known = links(nodes, lambda of: texts_of(docs, of, k), percent, scratch)
     least = known.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
     known = known.join(least, "component").select("node", "least")
     of = nodes.select("key", "node", F.col("doc_id").alias("own")).join(known, "node", "left")

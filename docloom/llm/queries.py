@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import jaccard, langid, linededup, toxicity, warc
+from docloom.llm import jaccard, langid, linededup, paragraphs, toxicity, warc
 from docloom.llm.fingerprint import fingerprints
 from docloom.llm.mixing import mix
 from docloom.llm.packing import pack
@@ -47,6 +47,10 @@ def op6_harmonic_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_paragraph_minhash(spark, sf_dir):
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op8_counterfactual_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs.where(_crc("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
@@ -70,6 +74,7 @@ def queries():
         "op3_order_minhash": op3_order_minhash,
         "op4_tokeniser_fertility": op4_tokeniser_fertility,
         "op6_harmonic_packing": op6_harmonic_packing,
+        "op7_paragraph_minhash": op7_paragraph_minhash,
         "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
         "op9_pivotal_mixing": op9_pivotal_mixing,
         "op10_line_templates": op10_line_templates,
