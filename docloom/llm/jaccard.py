@@ -338,8 +338,9 @@ def links(nodes: DataFrame, sets_of, percent: int, scratch: Scratch) -> DataFram
 
 
 def jaccard_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, h (hash of the text), n_shingles and component_id of each row of
-    ``docs`` (doc_id, text).
+    """doc_id, h (hash of the text), n_shingles, component_id and group_id of each
+    row of ``docs`` (doc_id, text). group_id names the component, null only where
+    there is no set, and tells components of null ids apart.
 
     A set is the distinct k-word shingles of the A-Z lower-cased text. Two sets
     link when 100 * intersection >= percent * union, checked on the whole sets;
@@ -365,13 +366,13 @@ def jaccard_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, scr
     nodes = scratch.keep(nodes, "nodes")
     known = links(nodes, lambda of: texts_of(docs, of, k), percent, scratch)
     least = known.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
-    known = known.join(least, "component").select("node", "least")
+    known = known.join(least, "component").select("node", "component", "least")
     of = nodes.select("key", "node", F.col("doc_id").alias("own")).join(known, "node", "left")
-    of = scratch.keep(of.select("key", F.coalesce("least", "own").alias("component_id")), "classes")
+    of = scratch.keep(of.select("key", F.coalesce("component", "node").alias("group_id"), F.coalesce("least", "own").alias("component_id")), "classes")
     scratch.drop(nodes)
     found = every.select("doc_id", "h", "key", F.col("n").alias("n_shingles")).join(of, "key", "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "h", "n_shingles", alone.alias("component_id"))
+    return found.select("doc_id", "h", "n_shingles", alone.alias("component_id"), "group_id")
 
 
 SQL = """

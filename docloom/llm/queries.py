@@ -24,7 +24,7 @@ def op1_cross_parsing_language(spark, sf_dir):
 
 
 def op2_ngram_jaccard(spark, sf_dir):
-    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).drop("h")
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_order_minhash(spark, sf_dir):
