@@ -8,7 +8,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
@@ -18,11 +18,13 @@ from docloom.session import Scratch, prepare
 WORDS, PERCENT = 5, 75
 #: A shingle of so many documents is hot: it stands last in the order of all
 #: shingles. At most so many hot ones are kept, the bar rising with the data.
-HOT, MOST_HOT = 50, 1 << 19
+HOT, MOST_HOT = 12, 1 << 19
 #: Rows of one block of the product, and the largest group paired inside one.
-BLOCK_ROWS, GROUP = 400_000, 400
-#: Rounds in which hot groups are compared with a few hubs before the rest.
-ROUNDS, HUBS = 3, 2
+BLOCK_ROWS, GROUP = 400_000, 64
+#: Rounds in which hot groups are compared with a few hubs before the rest, by so
+#: many of a node's first hot tokens; and prefix tokens of one block of that rest.
+ROUNDS, HUBS, FIRST = 3, 3, 2
+INDEX_TOKENS = 2_000_000
 
 
 def _raw(text: str | None) -> bytes:
@@ -301,40 +303,89 @@ def links(nodes: DataFrame, sets_of, percent: int, scratch: Scratch) -> DataFram
     if rows.isEmpty():
         return known
 
-    alike = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (
-        F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q")) >= F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
-    )
-    for turn in range(ROUNDS + 1):
-        now = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        now = scratch.keep(now, "now")
-        by = now.groupBy("token", "component").count()
-        main = scratch.keep(by.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("kinds")), "main")
-        main = main.where("kinds > 1")
-        if main.isEmpty():
-            break
-        minor = now.join(main, "token").where("component <> main")
-        if turn < ROUNDS:
-            # each row outside its token's main component meets a few hubs of all
-            salted = [
-                F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(i)).alias("o"), "node", "n", "place", "component")).alias(f"h{i}")
-                for i in range(HUBS)
-            ]
-            hubs = now.join(main, "token", "left_semi").groupBy("token").agg(*salted)
-            hubs = scratch.keep(hubs.select("token", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("hub")), "hubs")
-            other = hubs.select("token", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.place").alias("q"), F.col("hub.component").alias("other"))
-            left = now.join(main.select("token"), "token", "left_semi")
-        else:
-            # the exact rest: every row outside the main component with all others
-            other = now.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("component").alias("other"))
-            left = scratch.keep(minor.drop("main", "kinds"), "minor")
-        met = left.join(other, "token").where((F.col("component") != F.col("other")) & alike)
-        pairs = met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        more = scratch.keep(verify(scratch.keep(pairs, "met"), sets, percent), "more")
-        if turn < ROUNDS and more.isEmpty():
-            continue
-        edges = edges.unionByName(more)
-        known = components(edges, scratch)
-    return known
+    alike = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("component") != F.col("other"))
+    edge = Window.partitionBy("node").orderBy("place")
+    early = scratch.keep(rows.withColumn("nth", F.row_number().over(edge)).where(F.col("nth") <= FIRST).drop("nth"), "early")
+    for turn in range(ROUNDS):
+        now = early.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        main = _main(now)
+        # a row outside its token's main component meets a few hubs; at first all do
+        salted = [
+            F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(i)).alias("o"), "node", "n", "component")).alias(f"h{i}")
+            for i in range(HUBS)
+        ]
+        hubs = now.join(main, "token").where("component = main OR kinds > 1").groupBy("token").agg(*salted)
+        hubs = scratch.keep(hubs.select("token", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("hub")).distinct().coalesce(8), "hubs")
+        other = hubs.select("token", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.component").alias("other"))
+        left = now.join(main, "token").where("component <> main").drop("main", "kinds") if turn else now
+        pairs = _ordered(left.join(other, "token").where(alike))
+        more = scratch.keep(verify(scratch.keep(pairs.coalesce(32), "met"), sets, percent), "more")
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            known = components(edges, scratch)
+    # the exact rest: each node outside a main component with all others, by blocks
+    now = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    minor = now.join(_main(now), "token").where("component <> main").select("node", "component").distinct()
+    minor = scratch.keep(minor.join(nodes.select("node", "n", "prefix"), "node"), "minor")
+    tokens = minor.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)) / 8).first()[0]
+    if not tokens:
+        return known
+    labelled = nodes.join(known, "node", "left").select("node", "n", "prefix", F.coalesce("component", "node").alias("component"))
+    labelled = scratch.keep(labelled.join(rows.select("node").distinct(), "node", "left_semi"), "labelled")
+    parts = math.ceil(tokens / INDEX_TOKENS)
+    found = None
+    for part in range(parts):
+        block = minor.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == part).toPandas()
+        one = _ordered(against(labelled, block, percent))
+        found = one if found is None else found.unionByName(one)
+    more = scratch.keep(verify(scratch.keep(found.distinct(), "rest"), sets, percent), "more")
+    return known if more.isEmpty() else components(edges.unionByName(more), scratch)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
+def _main(now: DataFrame) -> DataFrame:
+    """Each token's most frequent component, of tokens with two at least."""
+    by = now.groupBy("token", "component").count()
+    most = F.max_by("component", F.struct("count", "component")).alias("main")
+    return by.groupBy("token").agg(most, F.count("*").alias("kinds")).where("kinds > 1")
+
+
+def against(rows: DataFrame, block, percent: int) -> DataFrame:
+    """node and b: the pairs of ``rows`` (node, n, prefix, component) and a block of
+    them in a pandas frame whose first tokens leave a link possible, each once.
+    All common tokens up to the end of the shorter order are counted."""
+    size = [len(x) // 8 for x in block["prefix"]]
+    token = np.frombuffer(b"".join(block["prefix"]), dtype=np.uint64)
+    owner = np.repeat(np.arange(len(block)), size)
+    order = np.argsort(token, kind="stable")
+    columns = [block[c].to_numpy(dtype=np.int64) for c in ("node", "n", "component")]
+    sent = rows.sparkSession.sparkContext.broadcast((token[order], owner[order], *columns))
+
+    def run(arrow_batches):
+        tokens, owners, node, n, component = sent.value
+        for batch in arrow_batches:
+            a, b = [], []
+            for mine, size_, raw, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                first = np.frombuffer(raw, dtype=np.uint64)
+                low, high = np.searchsorted(tokens, first, "left"), np.searchsorted(tokens, first, "right")
+                hits = high - low
+                if not hits.any():
+                    continue
+                at = np.repeat(high - np.cumsum(hits), hits) + np.arange(hits.sum())
+                shared = np.bincount(owners[at], minlength=len(node))
+                met = np.flatnonzero(shared)
+                behind = -(-percent * np.maximum(n[met], size_) // 100) - 1
+                good = (component[met] != own) & (100 * np.minimum(n[met], size_) >= percent * np.maximum(n[met], size_))
+                good &= shared[met] + behind >= least_overlap(n[met], size_, percent)
+                b.append(node[met[good]])
+                a.append(np.full(len(b[-1]), mine))
+            none = np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else none) for x in (a, b)], ["node", "b"])
+
+    return rows.select("node", "n", "prefix", "component").mapInArrow(run, "node long, b long")
 
 
 def jaccard_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
