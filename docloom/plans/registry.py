@@ -1,9 +1,741 @@
-"""All queries of the document operators over the driver's tables."""
+"""All queries of the document operators over the driver's tables, with SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from docloom.functions import dates as D
+from docloom.functions import geometry as G
+from docloom.functions import text as T
+from docloom.operators import annotations, contract, convert, extract, layout, linking, metrics, ner, plan, profile, splits
+from docloom.plans import views
+from docloom.session import table
+
+_QUERIES, _SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+# Linking: M06-M08, J10, O01, T03, T15, T16
+
+_NORM = "trim(regexp_replace(regexp_replace({}, '(\\d)\\s*(mg|mcg|ug|g|ml)\\b', '\\1 \\2', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+_LINK = f"""
+WITH q AS (
+  SELECT p_partkey AS query_id, p_size AS size, p_partkey % 3 <> 0 AS has_mg,
+    CASE WHEN p_partkey % 3 <> 0 THEN replace(p_name, 'm', 'rn')
+      ELSE regexp_replace({_NORM.format("replace(p_name, 'm', 'rn') || ' ' || p_size || 'mg'")}, ' +', ' ', 'g') END AS name
+  FROM part
+), names AS (SELECT DISTINCT name FROM q), aliases AS (SELECT DISTINCT p_name FROM part),
+sims AS (
+  SELECT name, p_name, CASE WHEN name = p_name THEN 1.0::DOUBLE
+    ELSE greatest(0.0::DOUBLE, 1 - levenshtein(name, p_name)::DOUBLE / greatest(length(name), length(p_name))) END AS s
+  FROM names, aliases
+), kinds AS (SELECT DISTINCT name, size FROM q), entries AS (
+  SELECT k.name, k.size, c.p_partkey AS id, c.p_name AS brand,
+    round(s.s * 0.8 + (CASE WHEN c.p_size = k.size THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 0.2, 6) AS score
+  FROM kinds k JOIN sims s ON s.name = k.name JOIN part c ON c.p_name = s.p_name WHERE s.s >= {{least}}
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY name, size ORDER BY score DESC, id) AS rank FROM entries
+)"""
+
+
+def _link_queries(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn("line", views.noisy_line()).withColumn("d", T.split_drug_name("line"))
+    return part.select(F.col("p_partkey").alias("query_id"), F.col("line").alias("raw_text"), "d.drug_name", F.get("d.strengths", F.lit(0)).alias("strength"))
+
+
+_DECIDE = (
+    _LINK.format(least="0.67")
+    + """, two AS (
+  SELECT name, size, max(CASE WHEN rank = 1 THEN score END) AS a, max(CASE WHEN rank = 2 THEN score END) AS b,
+    max(CASE WHEN rank = 1 THEN id END) AS id FROM ranked WHERE rank <= 2 GROUP BY name, size
+), d AS (
+  SELECT q.query_id, t.a, t.id, CASE WHEN t.a IS NULL OR t.a < 0.78 THEN 'not_found' WHEN t.a - t.b < 0.04 THEN 'needs_review' ELSE 'linked' END AS status
+  FROM q LEFT JOIN two t ON t.name = q.name AND t.size = q.size
+)
+SELECT query_id, status, CASE WHEN status = 'linked' THEN CAST(id AS VARCHAR) END AS drug_database_id,
+  CASE WHEN status = 'linked' THEN a END AS confidence FROM d"""
+)
+
+
+@query(_DECIDE)
+def link_drugs(spark, sf_dir):
+    found = linking.link_drugs(_link_queries(spark, sf_dir), views.catalog(spark, sf_dir), linking.BATCH_THRESHOLD, linking.BATCH_MARGIN)
+    return found.select("query_id", "status", "drug_database_id", "confidence")
+
+
+@query(_DECIDE)
+def link_drugs_exact(spark, sf_dir):
+    found = linking.link_drugs(
+        _link_queries(spark, sf_dir), views.catalog(spark, sf_dir), linking.BATCH_THRESHOLD, linking.BATCH_MARGIN, pruned=False
+    )
+    return found.select("query_id", "status", "drug_database_id", "confidence")
+
+
+@query(
+    _LINK.format(least="0")
+    + """
+SELECT q.query_id, r.rank, CAST(r.id AS VARCHAR) AS drug_database_id, r.score
+FROM q JOIN ranked r ON r.name = q.name AND r.size = q.size WHERE r.rank <= 5"""
+)
+def link_topk(spark, sf_dir):
+    top = linking.top_candidates(_link_queries(spark, sf_dir), views.catalog(spark, sf_dir), 5)
+    return top.select("query_id", F.col("rank").cast("long").alias("rank"), "drug_database_id", "score")
+
+
+@query(
+    """
+SELECT p_name AS normalized_name, CAST(count(*) AS BIGINT) AS occurrences, CAST(count(DISTINCT p_brand) AS BIGINT) AS sample_count,
+  min_by(p_name, p_partkey) AS brand_name, 'local-' || substr(sha1(p_name), 1, 12) AS drug_database_id,
+  CAST(count(DISTINCT p_size) AS BIGINT) AS n_strengths
+FROM part GROUP BY p_name"""
+)
+def candidate_dictionary(spark, sf_dir):
+    text = F.concat(F.lit("2) "), F.col("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.lit(" mg"))
+    words = table(spark, sf_dir, "part").select(F.col("p_brand").alias("sample_id"), F.col("p_partkey").alias("ord"), text.alias("text"))
+    rows = linking.candidate_dictionary(words)
+    return rows.select("normalized_name", "occurrences", "sample_count", "brand_name", "drug_database_id", F.size("strengths").cast("long").alias("n_strengths"))
+
+
+@query(
+    """
+WITH gold AS (
+  SELECT p_brand AS s, p_name AS n, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS k FROM part
+), lines AS (
+  SELECT p_brand AS s, p_type AS n0, p_name AS n, p_size, p_partkey, p_size % 3 AS kind FROM part
+), linked AS (
+  SELECT s, n, row_number() OVER (PARTITION BY s, n ORDER BY p_partkey) AS k FROM
+  (SELECT s, CASE WHEN p_size % 5 = 0 THEN 'other' ELSE n END AS n, p_partkey FROM lines WHERE kind = 0)
+), c AS (SELECT count(*) AS correct FROM linked l JOIN gold g USING (s, n, k)),
+t AS (SELECT count(*) AS gold, sum((p_size % 3 = 0)::INT) AS linked, sum((p_size % 3 = 1)::INT) AS needs_review, sum((p_size % 3 = 2)::INT) AS not_found FROM part)
+SELECT CAST(linked AS BIGINT) AS linked, CAST(needs_review AS BIGINT) AS needs_review, CAST(not_found AS BIGINT) AS not_found, correct, gold,
+  round(correct / linked, 6) AS precision, round(correct / gold, 6) AS recall,
+  round(2 * (correct / linked) * (correct / gold) / (correct / linked + correct / gold), 6) AS f1
+FROM c, t"""
+)
+def linking_evaluation(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    gold = part.select(F.col("p_brand").alias("sample_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"))
+    status = F.element_at(F.array(F.lit("linked"), F.lit("needs_review"), F.lit("not_found")), (F.col("p_size") % 3 + 1).cast("int"))
+    name = F.when(F.col("p_size") % 5 == 0, "other").otherwise(F.col("p_name"))
+    lines = part.select(F.col("p_brand").alias("sample_id"), F.col("p_partkey").alias("ord"), name.alias("name"), status.alias("status"))
+    out = linking.linking_evaluation(gold, lines)
+    return out.select("linked", "needs_review", "not_found", "correct", "gold", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+# Text: T01-T08, T15-T25
+
+
+@query(
+    """
+SELECT doc_id, md5(regexp_replace(lower(strip_accents(text)), '[\\s_\\-./]+', '', 'g')) AS key,
+  md5(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))) AS ocr,
+  md5(replace(strip_accents(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))), 'đ', 'd')) AS comparable,
+  md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS eval
+FROM documents"""
+)
+def normalize_texts(spark, sf_dir):
+    text = F.col("text")
+    forms = {"key": T.normalize_key(text), "ocr": T.normalize_ocr_text(text), "comparable": T.normalize_comparable_text(text), "eval": T.normalize_eval_text(text)}
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.md5(c).alias(k) for k, c in forms.items()])
+
+
+@query(
+    f"""
+WITH t AS (SELECT p_partkey, {views.NOISY_SQL} AS line, p_size, p_name FROM part)
+SELECT p_partkey, line AS raw_text, CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, 'm', 'rn') || ' ' || p_size || 'rng' ELSE replace(p_name, 'm', 'rn') END AS drug_name,
+  CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_size || 'mg' END AS strengths,
+  {_NORM.format("regexp_replace(lower(line), '(?:rng|mng)' || chr(92) || 'b', 'mg', 'g')")} AS normalized
+FROM t"""
+)
+def extract_strengths(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn("line", views.noisy_line()).withColumn("d", T.split_drug_name("line"))
+    return part.select("p_partkey", "d.raw_text", "d.drug_name", F.array_join("d.strengths", "|").alias("strengths"), T.normalize_drug_text("line").alias("normalized"))
+
+
+@query(
+    """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS value, CASE WHEN l_returnflag = 'A' THEN 'g' WHEN l_returnflag = 'R' THEN 'mcg' ELSE 'ml' END AS unit,
+  round(CASE WHEN l_returnflag = 'A' THEN l_quantity * 1000 WHEN l_returnflag = 'R' THEN l_quantity * 0.001::DOUBLE END, 6) AS mg
+FROM lineitem"""
+)
+def parse_strengths(spark, sf_dir):
+    unit = F.when(F.col("l_returnflag") == "A", "g").when(F.col("l_returnflag") == "R", "mcg").otherwise("ml")
+    text = F.concat(F.lit("x "), F.replace(F.col("l_quantity").cast("string"), F.lit("."), F.lit(",")), F.lit("  "), unit)
+    rows = table(spark, sf_dir, "lineitem").withColumn("s", T.parse_strength(text))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "s.value", "s.unit", F.round("s.comparable_mg", 6).alias("mg"))
+
+
+@query("SELECT doc_id, replace(array_to_string(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?'), '|'), ',', '.') AS numbers FROM documents")
+def numeric_signature(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.numeric_signature("text"), "|").alias("numbers"))
+
+
+@query(
+    """
+WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) % 9 AS k, CAST(l_quantity AS BIGINT) AS n FROM lineitem),
+f AS (SELECT *, CASE k WHEN 0 THEN 'AS_NEEDED' WHEN 1 THEN 'EVERY_OTHER_DAY' WHEN 2 THEN 'WEEKLY' WHEN 3 THEN
+    CASE WHEN n % 10 = 3 THEN 'THREE_TIMES_DAILY' WHEN n % 10 = 2 THEN 'TWICE_DAILY' WHEN n % 10 = 1 THEN 'ONCE_DAILY' ELSE 'DAILY' END
+    WHEN 4 THEN 'TWICE_DAILY' WHEN 5 THEN 'DAILY' WHEN 6 THEN 'WEEKLY' WHEN 7 THEN 'ONCE_DAILY' END AS frequency FROM t)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, frequency, frequency IS NOT NULL AS recognized,
+  CAST(CASE frequency WHEN 'ONCE_DAILY' THEN 1 WHEN 'TWICE_DAILY' THEN 2 WHEN 'THREE_TIMES_DAILY' THEN 3 WHEN 'DAILY' THEN 1 END AS BIGINT) AS times
+FROM f"""
+)
+def frequency_rules(spark, sf_dir):
+    n = F.col("l_quantity").cast("long")
+    said = ["Khi cần", "cách ngày", "mỗi tuần", None, "Sáng và tối", "hằng ngày, hang ngay", "WEEKLY", "một lần mỗi ngày", "không rõ"]
+    text = F.concat(F.lit("Uống "), n.cast("string"), F.lit(" lần/ngày, mỗi ngày"))
+    for k, s in enumerate(said):
+        if s:
+            text = F.when(n % 9 == k, F.lit(s)).otherwise(text)
+    rows = table(spark, sf_dir, "lineitem").withColumn("f", T.normalize_frequency(text, F.lit(None)))
+    times = T.default_times_per_day(F.col("f.frequency")).cast("long")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "f.frequency", "f.recognized", times.alias("times"))
+
+
+@query("SELECT DISTINCT unnest(string_split(text, '')) AS char FROM documents WHERE text <> '' EXCEPT SELECT unnest(['', chr(9), chr(10), chr(13)])")
+def char_dictionary(spark, sf_dir):
+    return profile.char_dictionary(table(spark, sf_dir, "documents"))
+
+
+# Splits and identifiers: W01, W02, M09, C07
+
+
+@query(
+    """
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY ('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT, doc_id) AS k, count(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN k <= floor(n * 0.70::DOUBLE + 0.5) THEN 'train' WHEN k <= floor(n * 0.70::DOUBLE + 0.5) + floor(n * 0.15::DOUBLE + 0.5) THEN 'validation' ELSE 'test' END AS split
+FROM r"""
+)
+def split_rank(spark, sf_dir):
+    return splits.rank_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "split")
+
+
+@query(
+    """
+WITH h AS (SELECT o_orderkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('rx-' || o_orderkey, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, c: (xor(a, c) * 16777619) & 4294967295) AS h FROM orders)
+SELECT o_orderkey, h AS hash, CASE WHEN h % 1000 < 700 THEN 'train' WHEN h % 1000 < 850 THEN 'validation' ELSE 'test' END AS split FROM h"""
+)
+def split_fnv(spark, sf_dir):
+    name = F.concat(F.lit("rx-"), F.col("o_orderkey").cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", splits.fnv1a(name).alias("hash"), splits.hash_split(name).alias("split"))
+
+
+@query(
+    """
+WITH r AS (SELECT event_id, event_type || '-' || user_id AS id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY 'events', event_id) AS n FROM events)
+SELECT event_id, CASE WHEN n > 1 THEN id || '_' || substr(sha1('events:' || event_id), 1, 12) ELSE id END AS sample_id FROM r"""
+)
+def suffixed_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("sample_id"), F.lit("events").alias("file"))
+    return splits.suffixed_ids(rows, "sample_id", "file", "event_id").select("event_id", "sample_id")
+
+
+# Boxes and matching: M01-M05, J06-J09, A12, A13, W08, K09
+
+
+@query(f"WITH {views.BOXES_SQL} SELECT sample_id, CAST(g AS BIGINT) AS gold_idx, CAST(p AS BIGINT) AS pred_idx, round(iou, 6) AS iou FROM pairs")
+def iou_pairs(spark, sf_dir):
+    pairs = metrics.box_pairs(views.boxes(spark, sf_dir, False), views.boxes(spark, sf_dir, True), 0.5, ["sample_id"])
+    return pairs.select("sample_id", "gold_idx", "pred_idx", F.round("iou", 6).alias("iou"))
+
+
+def _greedy_sql(key: str, rounds: int = 8) -> str:
+    """Takes pairs that are best for both sides, round by round."""
+    out, left = [], f"p0 AS (SELECT *, {key} AS k FROM pairs" + (" WHERE label = p_label)" if key != "sample_id" else ")")
+    out.append(left)
+    for i in range(rounds):
+        out.append(
+            f"t{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, g ORDER BY iou DESC, g, p) AS a, "
+            f"row_number() OVER (PARTITION BY k, p ORDER BY iou DESC, g, p) AS b FROM p{i}) WHERE a = 1 AND b = 1)"
+        )
+        out.append(
+            f"p{i + 1} AS (SELECT x.* FROM p{i} x WHERE NOT EXISTS (SELECT 1 FROM t{i} t WHERE t.k = x.k AND t.g = x.g) "
+            f"AND NOT EXISTS (SELECT 1 FROM t{i} t WHERE t.k = x.k AND t.p = x.p))"
+        )
+    taken = " UNION ALL ".join(f"SELECT sample_id, label, k, g, p, gt, pt, iou FROM t{i}" for i in range(rounds))
+    return ", ".join(out) + f", taken AS ({taken})"
+
+
+@query(f"WITH {views.BOXES_SQL}, {_greedy_sql('sample_id')} SELECT sample_id, CAST(g AS BIGINT) AS gold_idx, CAST(p AS BIGINT) AS pred_idx, round(iou, 6) AS iou FROM taken")
+def greedy_match(spark, sf_dir):
+    pairs = metrics.box_pairs(views.boxes(spark, sf_dir, False), views.boxes(spark, sf_dir, True), 0.5, ["sample_id"])
+    return metrics.greedy_match(pairs, ["sample_id"]).select("sample_id", "gold_idx", "pred_idx", F.round("iou", 6).alias("iou"))
+
+
+_EVAL = """, m AS (
+  SELECT {k}, count(*) AS matched_count, avg(CASE WHEN lower(gt) = lower(pt) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS acc,
+    avg(levenshtein(lower(gt), lower(pt))::DOUBLE / length(gt)) AS cer, avg(levenshtein(lower(gt), lower(pt))::DOUBLE / 2) AS wer
+  FROM taken GROUP BY {k}
+), g AS (SELECT {k}, count(*) AS n FROM gold GROUP BY {k}), q AS (SELECT {k}, count(*) AS n FROM predicted GROUP BY {k}),
+s AS (SELECT {g}, g.n AS gold_count, coalesce(q.n, 0) AS predicted_count, coalesce(m.matched_count, 0) AS matched_count,
+  coalesce(acc, 0) AS acc, coalesce(cer, 0) AS cer, coalesce(wer, 0) AS wer
+  FROM g LEFT JOIN q USING ({k}) LEFT JOIN m USING ({k})),
+r AS (SELECT *, CASE WHEN predicted_count = 0 THEN 0.0::DOUBLE ELSE matched_count / predicted_count END AS precision, matched_count / gold_count AS recall FROM s)
+SELECT {k}, gold_count, predicted_count, matched_count, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1,
+  round(acc, 6) AS text_exact_accuracy, round(cer, 6) AS mean_cer, round(wer, 6) AS mean_wer FROM r"""
+_SCORES = ("precision", "recall", "f1", "text_exact_accuracy", "mean_cer", "mean_wer")
+
+
+@query(f"WITH {views.BOXES_SQL}, {_greedy_sql('sample_id')}" + _EVAL.format(k="sample_id", g="g.sample_id"))
+def ocr_eval(spark, sf_dir):
+    rows = metrics.evaluate_ocr_words(views.boxes(spark, sf_dir, False), views.boxes(spark, sf_dir, True))
+    return rows.select("sample_id", "gold_count", "predicted_count", "matched_count", *[F.round(c, 6).alias(c) for c in _SCORES])
+
+
+_BY_LABEL = _greedy_sql("sample_id || label")
+
+
+@query(f"WITH {views.BOXES_SQL}, {_BY_LABEL}" + _EVAL.format(k="sample_id, label", g="g.sample_id, g.label"))
+def entity_eval(spark, sf_dir):
+    rows = metrics.evaluate_entities(views.boxes(spark, sf_dir, False), views.boxes(spark, sf_dir, True)).where("label IS NOT NULL")
+    return rows.select("sample_id", "label", "gold_count", "predicted_count", "matched_count", *[F.round(c, 6).alias(c) for c in _SCORES])
+
+
+@query(
+    f"WITH {views.BOXES_SQL}, {_greedy_sql('sample_id')}"
+    + """, t AS (SELECT (SELECT count(*) FROM gold) AS gold_count, (SELECT count(*) FROM predicted) AS predicted_count, (SELECT count(*) FROM taken) AS matched_count)
+SELECT *, round(matched_count / predicted_count, 6) AS precision, round(matched_count / gold_count, 6) AS recall,
+  round(2.0::DOUBLE * matched_count / (predicted_count + gold_count), 6) AS f1 FROM t"""
+)
+def ocr_micro(spark, sf_dir):
+    rows = metrics.evaluate_ocr_words(views.boxes(spark, sf_dir, False), views.boxes(spark, sf_dir, True))
+    return metrics.micro_scores(rows).select("gold_count", "predicted_count", "matched_count", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query()
+def ocr_macro(spark, sf_dir):
+    return metrics.macro_scores(metrics.evaluate_ocr_words(views.boxes(spark, sf_dir, False), views.boxes(spark, sf_dir, True)))
+
+
+def _entities(spark, sf_dir):
+    rows = views.boxes(spark, sf_dir, True)
+    label = F.when(F.col("label") == "N", "DRUG").when(F.col("label") == "A", "STRENGTH").otherwise("DOSE")
+    return rows.select("sample_id", F.col("idx").alias("ord"), F.concat(F.lit("e"), F.col("idx")).alias("id"), label.alias("label"), "bbox")
+
+
+_BIO = f"""WITH {views.BOXES_SQL}, w AS (
+  SELECT sample_id, g, p, p_label, greatest(i / (600.0::DOUBLE - i), i / 300.0::DOUBLE) AS s FROM meets WHERE greatest(i / (600.0::DOUBLE - i), i / 300.0::DOUBLE) >= 0.5
+), b AS (SELECT *, row_number() OVER (PARTITION BY sample_id, g ORDER BY s DESC, p) AS n FROM w),
+t AS (SELECT gold.sample_id, gold.idx, 'e' || b.p AS entity_id, CASE b.p_label WHEN 'N' THEN 'DRUG' WHEN 'A' THEN 'STRENGTH' WHEN 'R' THEN 'DOSE' END AS label
+  FROM gold LEFT JOIN b ON b.sample_id = gold.sample_id AND b.g = gold.idx AND b.n = 1)
+"""
+
+
+@query(
+    _BIO
+    + """SELECT sample_id, CAST(idx AS BIGINT) AS idx, entity_id, CASE WHEN entity_id IS NULL THEN 'O'
+  WHEN lag(entity_id) OVER (PARTITION BY sample_id ORDER BY idx) = entity_id THEN 'I-' || label ELSE 'B-' || label END AS tag FROM t"""
+)
+def bio_tags(spark, sf_dir):
+    words = views.boxes(spark, sf_dir, False).drop("label").withColumn("pos", F.col("idx"))
+    return ner.bio_tags(words, _entities(spark, sf_dir)).select("sample_id", "idx", "entity_id", "tag")
+
+
+@query(_BIO + "SELECT p.sample_id, 'e' || p.idx AS entity_id FROM predicted p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.sample_id = p.sample_id AND t.entity_id = 'e' || p.idx)")
+def unmatched_entities(spark, sf_dir):
+    words = views.boxes(spark, sf_dir, False).drop("label").withColumn("pos", F.col("idx"))
+    entities = _entities(spark, sf_dir)
+    return ner.unmatched_entities(ner.bio_tags(words, entities), entities)
+
+
+@query()
+def bio_examples(spark, sf_dir):
+    words = views.boxes(spark, sf_dir, False).drop("label").withColumn("pos", F.col("idx"))
+    rows = ner.bio_examples(words, _entities(spark, sf_dir))
+    return rows.select("sample_id", F.size("tokens").alias("tokens"), F.array_join("unmatched_entity_ids", "|").alias("unmatched"), "ready_for_training")
+
+
+@query(
+    f"""WITH {views.BOXES_SQL} SELECT sample_id, CAST(idx AS BIGINT) AS idx, CAST(greatest(0, x1 - 4) AS BIGINT) AS x1, CAST(greatest(0, y1 - 4) AS BIGINT) AS y1,
+  CAST(least(120, x2 + 4) AS BIGINT) AS x2, CAST(least(40, y2 + 4) AS BIGINT) AS y2 FROM predicted WHERE least(120, x2 + 4) > greatest(0, x1 - 4)"""
+)
+def crop_boxes(spark, sf_dir):
+    rows = views.boxes(spark, sf_dir, True).withColumn("c", G.crop(F.col("bbox"), 4, F.lit(120), F.lit(40))).where("c IS NOT NULL")
+    return rows.select("sample_id", "idx", *[F.col("c")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
+# Layout: W03-W07, A25, A26
+
+
+def _layout(how):
+    def run(spark, sf_dir):
+        words = views.boxes(spark, sf_dir, True).withColumn("confidence", (F.col("idx") % 10) / 10.0).withColumn("sample_id", F.col("sample_id").cast("string"))
+        rows = layout.group_lines(words, how)
+        return rows.select("sample_id", "line_no", "text", F.array_join(F.transform("bbox", lambda v: v.cast("string")), ",").alias("bbox"), F.round("confidence", 6).alias("confidence"))
+
+    run.__name__ = f"lines_{how}"
+    return run
+
+
+query(None)(_layout("first_fit"))
+query(None)(_layout("best_overlap"))
+query(
+    f"""WITH RECURSIVE {views.BOXES_SQL}, w AS (
+  SELECT sample_id, idx, text, x1, y1, x2, y2, (y1 + y2) / 2 AS c, row_number() OVER (PARTITION BY sample_id ORDER BY (y1 + y2) / 2, x1, idx) AS n FROM predicted
+), f AS (
+  SELECT sample_id, n, idx, 0 AS line, c AS total, 1 AS k FROM w WHERE n = 1
+  UNION ALL
+  SELECT w.sample_id, w.n, w.idx, CASE WHEN abs(w.c - f.total / f.k) > 10 THEN f.line + 1 ELSE f.line END,
+    CASE WHEN abs(w.c - f.total / f.k) > 10 THEN w.c ELSE f.total + w.c END, CASE WHEN abs(w.c - f.total / f.k) > 10 THEN 1 ELSE f.k + 1 END
+  FROM f JOIN w ON w.sample_id = f.sample_id AND w.n = f.n + 1
+)
+SELECT CAST(f.sample_id AS VARCHAR) AS sample_id, CAST(f.line AS BIGINT) AS line_no, string_agg(w.text, ' ' ORDER BY w.x1, w.n) AS text,
+  min(w.x1) || ',' || min(w.y1) || ',' || max(w.x2) || ',' || max(w.y2) AS bbox, round(avg((f.idx % 10) / 10), 6) AS confidence
+FROM f JOIN w ON w.sample_id = f.sample_id AND w.n = f.n GROUP BY f.sample_id, f.line"""
+)(_layout("last_line"))
+
+
+@query()
+def sort_spatial(spark, sf_dir):
+    return layout.sort_spatial(views.boxes(spark, sf_dir, True).select("sample_id", "idx", "bbox")).select("sample_id", "idx", "pos")
+
+
+@query(
+    f"""WITH {views.BOXES_SQL} SELECT sample_id, string_agg(text, chr(10) ORDER BY y1, x1, text) AS text FROM predicted GROUP BY sample_id"""
+)
+def reading_order(spark, sf_dir):
+    words = views.boxes(spark, sf_dir, True).groupBy("sample_id").agg(F.collect_list(F.struct("bbox", "text")).alias("w"))
+    return words.select("sample_id", layout.reading_order_text(F.col("w")).alias("text"))
+
+
+# Scores of texts and relations: T10-T14, A10, A11, A14, A17, A18, O02
+
+_ASCII = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))"
+_TURNS = f"""WITH c AS (SELECT conv_id, turn, {_ASCII.format("text")} AS a, {_ASCII.format("coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '')")} AS b FROM conversations)"""
+
+
+def _turns(spark, sf_dir):
+    after = F.coalesce(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_ocr_text("text").alias("a"), T.normalize_ocr_text(after).alias("b"))
+
+
+@query(_TURNS + " SELECT conv_id, turn, round(CASE WHEN a = '' THEN CASE WHEN b = '' THEN 0 ELSE 1 END ELSE levenshtein(a, b)::DOUBLE / length(a) END, 6) AS cer FROM c")
+def cer_by_turn(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(T.character_error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
+
+
+@query(_TURNS + " SELECT count(*) AS samples, round(sum(levenshtein(a, b))::DOUBLE / greatest(sum(length(a)), 1), 6) AS cer, round(avg((a = b)::INT), 6) AS exact FROM c")
+def cer_micro(spark, sf_dir):
+    pairs = _turns(spark, sf_dir).select(F.col("a").alias("reference"), F.col("b").alias("hypothesis"))
+    rates = metrics.corpus_error_rates(pairs)
+    return rates.select("samples", F.round("cer", 6).alias("cer"), F.round("exact", 6).alias("exact"))
+
+
+@query()
+def wer_micro(spark, sf_dir):
+    pairs = _turns(spark, sf_dir).select(F.col("a").alias("reference"), F.col("b").alias("hypothesis"))
+    return metrics.corpus_error_rates(pairs).select("samples", "wer", "wer_plain")
+
+
+@query(
+    _TURNS
+    + """, e AS (SELECT conv_id * 1000 + turn AS ord, round(CASE WHEN a = '' THEN CASE WHEN b = '' THEN 0 ELSE 1 END ELSE levenshtein(a, b)::DOUBLE / length(a) END, 6) AS cer FROM c)
+SELECT ord, cer FROM e ORDER BY cer DESC, ord LIMIT 20"""
+)
+def worst_turns(spark, sf_dir):
+    rows = _turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.round(T.character_error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
+    return metrics.worst(rows, "cer", "ord")
+
+
+@query(
+    """SELECT CASE WHEN coalesce(value, 0) < 5 THEN 'lt_5' WHEN coalesce(value, 0) < 20 THEN '5_to_20' WHEN coalesce(value, 0) < 50 THEN '20_to_50' ELSE 'gte_50' END AS bucket,
+  count(*) AS n FROM events GROUP BY 1"""
+)
+def bucket_hist(spark, sf_dir):
+    bucket = metrics.histogram(F.col("value"), [5, 20, 50], F.lit(0.0))
+    return table(spark, sf_dir, "events").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH g AS (SELECT DISTINCT l_orderkey AS s, l_returnflag AS t, l_linenumber AS x FROM lineitem WHERE l_discount > 0.01),
+p AS (SELECT DISTINCT l_orderkey AS s, l_returnflag AS t, l_linenumber AS x FROM lineitem WHERE l_tax < 0.07),
+b AS (SELECT coalesce(g.t, p.t) AS type, g.s IS NOT NULL AS g, p.s IS NOT NULL AS p FROM g FULL JOIN p ON g.s = p.s AND g.t = p.t AND g.x = p.x),
+c AS (SELECT type, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g) AS fp, count(*) FILTER (NOT p) AS fn FROM b GROUP BY GROUPING SETS ((type), ()))
+SELECT type, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) AS f1 FROM c"""
+)
+def relation_eval(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    cols = [F.col("l_orderkey").alias("sample_id"), F.col("l_returnflag").alias("type"), F.lit("d").alias("source_entity_id"), F.col("l_linenumber").alias("target_entity_id")]
+    out = metrics.evaluate_relations(rows.where("l_discount > 0.01").select(*cols), rows.where("l_tax < 0.07").select(*cols))
+    return out.select("type", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(
+    """WITH e AS (SELECT event_type AS field, (event_id % 100) / 100.0::DOUBLE AS c, CASE WHEN user_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM events),
+b AS (SELECT field, least(floor(c * 10), 9) AS b, count(*) AS n, sum(c) AS c, sum(y) AS y, sum((c - y) * (c - y)) AS q FROM e GROUP BY ALL)
+SELECT field, CAST(sum(n) AS BIGINT) AS samples, round(sum(abs(c - y)) / sum(n), 6) AS ece, round(sum(q) / sum(n), 6) AS brier FROM b GROUP BY field"""
+)
+def calibration(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("field"), ((F.col("event_id") % 100) / 100.0).alias("confidence"), (F.col("user_id") % 2 == 0).alias("correct"))
+    return metrics.calibration(rows, ["field"]).select("field", "samples", F.round("ece", 6).alias("ece"), F.round("brier", 6).alias("brier"))
+
+
+@query(
+    """WITH a AS (SELECT (event_id % 100) / 100.0::DOUBLE AS confidence, count(*) AS n, sum((user_id % 2 <> 0)::INT) AS w FROM events GROUP BY 1)
+SELECT confidence, round(sum(n) OVER (ORDER BY confidence DESC) / sum(n) OVER (), 6) AS coverage,
+  round(sum(w) OVER (ORDER BY confidence DESC) / sum(n) OVER (ORDER BY confidence DESC), 6) AS risk FROM a"""
+)
+def risk_coverage(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(((F.col("event_id") % 100) / 100.0).alias("confidence"), (F.col("user_id") % 2 == 0).alias("correct"))
+    return metrics.risk_coverage(rows).select("confidence", F.round("coverage", 6).alias("coverage"), F.round("risk", 6).alias("risk"))
+
+
+@query(
+    """SELECT event_type, count(*) AS requests, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99,
+  round(avg((event_type = 'error')::INT), 6) AS error_rate FROM events GROUP BY event_type"""
+)
+def latency(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("latency_ms", F.col("value")).withColumn("error", F.when(F.col("event_type") == "error", "e"))
+    out = metrics.latency(rows, ["event_type"])
+    return out.select("event_type", "requests", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99", "error_rate")])
+
+
+# Joins and windows by order: J11, W09, A01, A03
+
+
+@query(
+    """WITH t AS (SELECT user_id, event_id, value FROM events WHERE event_type = 'purchase'), r AS (
+  SELECT e.event_id, t.event_id AS target, row_number() OVER (PARTITION BY e.event_id ORDER BY coalesce(abs(e.value - t.value), 0), t.event_id) AS n
+  FROM events e LEFT JOIN t ON t.user_id = e.user_id WHERE e.event_type <> 'purchase')
+SELECT event_id, target FROM r WHERE n = 1"""
+)
+def nearest_event(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id"), F.col("event_id").alias("idx"), F.col("value").alias("y"), "event_type")
+    found = extract.nearest(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'"))
+    return found.select(F.col("idx").alias("event_id"), F.col("target_idx").alias("target"))
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS carried FROM conversations")
+def carry_forward(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    out = extract.carry_forward(rows, F.when(F.col("role") == "user", F.col("turn")), ["conv_id"], ["turn"])
+    return out.select("conv_id", "turn", "carried")
+
+
+@query("SELECT coalesce(l_returnflag, 'unknown') AS label, count(*) AS n FROM lineitem GROUP BY 1")
+def count_labels(spark, sf_dir):
+    return profile.count_labels(table(spark, sf_dir, "lineitem"), "l_returnflag")
+
+
+@query("SELECT path, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS path FROM events) GROUP BY path")
+def inspect_json(spark, sf_dir):
+    paths = table(spark, sf_dir, "events").select(F.explode(profile.key_paths("props")).alias("path"))
+    return paths.groupBy("path").agg(F.count("*").alias("n"))
+
+
+# Documents: V01, V05, A07, A08, V10, T27, P14, P15
+
+
+def _dupes(field: str) -> str:
+    return f"count(*) - count(DISTINCT {field})"
+
+
+_RECORDS = """WITH lines AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS idx FROM lineitem
+), e AS (
+  SELECT l_orderkey AS o, idx, l_linenumber AS id, CASE WHEN idx = 1 THEN CASE WHEN l_returnflag = 'N' THEN 'DRUG' ELSE 'FORM' END
+    WHEN l_returnflag = 'A' THEN 'STRENGTH' WHEN l_returnflag = 'R' THEN 'DOSE' ELSE 'TIMING' END AS label,
+    (l_discount = 0)::INT AS no_text, (l_tax = 0)::INT AS no_box FROM lines
+), l AS (SELECT o, id, max_by(label, idx) AS label FROM e GROUP BY o, id),
+r AS (
+  SELECT e.o, (s.label <> 'DRUG')::INT AS bad_source, (t.label <> e.label)::INT AS bad_target
+  FROM e JOIN e f ON f.o = e.o AND f.idx = 1 JOIN l s ON s.o = e.o AND s.id = f.id JOIN l t ON t.o = e.o AND t.id = e.id WHERE e.idx > 1
+), d AS (
+  SELECT o, count(*) AS entities, count(*) - count(DISTINCT id) AS dup, sum(no_text) AS no_text, sum(no_box) AS no_box, sum((label = 'DRUG')::INT) AS drugs,
+    sum((label = 'FORM')::INT) AS forms, sum((label = 'STRENGTH')::INT) AS strengths FROM e GROUP BY o
+), q AS (SELECT o, count(*) AS relations, sum(bad_source) AS bad_source, sum(bad_target) AS bad_target FROM r GROUP BY o),
+v AS (
+  SELECT d.o, entities, coalesce(relations, 0) AS relations, drugs, forms, strengths, CASE d.o % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' ELSE 'open' END AS status,
+    CAST(dup + no_text + no_box + coalesce(bad_source, 0) + coalesce(bad_target, 0) + (d.o % 3 = 2)::INT + (d.o % 3 = 0 AND relations IS NULL)::INT AS BIGINT) AS errors,
+    CAST((relations IS NULL)::INT + (drugs = 0)::INT AS BIGINT) AS warnings
+  FROM d LEFT JOIN q ON q.o = d.o
+)
+"""
+
+
+@query(_RECORDS + "SELECT CAST(o AS VARCHAR) AS sample_id, errors, warnings, errors = 0 AS valid FROM v")
+def validate_docs(spark, sf_dir):
+    rows = annotations.validate(views.records(spark, sf_dir))
+    return rows.select("sample_id", F.size("errors").cast("long").alias("errors"), F.size("warnings").cast("long").alias("warnings"), "valid")
+
+
+@query(
+    _RECORDS
+    + """SELECT count(*) AS samples, CAST(sum((errors = 0)::INT) AS BIGINT) AS valid_samples, CAST(sum((status = 'complete')::INT) AS BIGINT) AS complete_samples,
+  CAST(sum((status = 'needs_review')::INT) AS BIGINT) AS needs_review_samples, CAST(sum(entities) AS BIGINT) AS entities, CAST(sum(relations) AS BIGINT) AS relations,
+  CAST(sum(drugs) AS BIGINT) AS entities_DRUG, CAST(0 AS BIGINT) AS "entities_ROUTE", CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(warnings) AS BIGINT) AS warnings FROM v"""
+)
+def summarize_docs(spark, sf_dir):
+    return annotations.summarize(views.records(spark, sf_dir)).select(
+        "samples", "valid_samples", "complete_samples", "needs_review_samples", "entities", "relations", "entities_DRUG", "entities_ROUTE", "errors", "warnings"
+    )
+
+
+@query(
+    _RECORDS
+    + """SELECT CAST(o AS VARCHAR) AS sample_id, errors = 0 AND status = 'complete' AND relations > 0 AND o % 2 = 0 AS gold FROM v"""
+)
+def gold_gate(spark, sf_dir):
+    rows = annotations.validate(views.records(spark, sf_dir))
+    return rows.select("sample_id", annotations.gold_eligible().alias("gold"))
+
+
+@query(
+    _RECORDS
+    + """SELECT CAST(o AS VARCHAR) AS sample_id, CAST(drugs AS BIGINT) AS drugs, relations AS existing_relation_count,
+  CAST(4 + (relations > 0)::INT AS BIGINT) AS actions FROM v"""
+)
+def annotation_queue(spark, sf_dir):
+    rows = annotations.queue(views.records(spark, sf_dir))
+    return rows.select("sample_id", F.col("entity_counts.DRUG").alias("drugs"), "existing_relation_count", F.size("actions").cast("long").alias("actions"))
+
+
+@query(
+    """WITH r AS (SELECT user_id, event_id % 3 AS role, event_type AS fp, event_id FROM events),
+l AS (SELECT user_id, role, max_by(fp, event_id) AS fp FROM r GROUP BY user_id, role),
+w AS (SELECT user_id, max(CASE WHEN role = 0 THEN fp END) AS a, max(CASE WHEN role = 1 THEN fp END) AS b, max(CASE WHEN role = 2 THEN fp END) AS c FROM l GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS sample_id, CASE WHEN a IS NULL OR b IS NULL THEN 'not_comparable' WHEN a = b THEN 'agree' ELSE 'conflict' END AS agreement, c IS NOT NULL AS reviewed FROM w"""
+)
+def merge_roles(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("role", F.element_at(F.array(*[F.lit(r) for r in ("annotator-a", "annotator-b", "reviewer")]), (F.col("event_id") % 3 + 1).cast("int")))
+    last = e.groupBy("user_id", "role").agg(F.max_by("event_type", "event_id").alias("text"))
+    entity = F.struct(F.concat(F.lit("id-"), F.col("role")).alias("id"), F.lit("DRUG").alias("label"), "text", F.array(*[F.lit(float(v)) for v in (1, 2, 3, 4)]).alias("bbox"), F.lit(False).alias("needs_review"))
+    none = F.array().cast("array<struct<id:string,type:string,source_entity_id:string,target_entity_id:string,needs_review:boolean>>")
+    privacy = F.struct(*[F.lit(True).alias(x) for x in ("de_identified", "reviewed", "approved_for_research")])
+    docs = last.select(F.col("user_id").cast("string").alias("sample_id"), "role", F.array(entity).alias("entities"), none.alias("relations"), F.lit("partial").alias("annotation_status"), privacy.alias("privacy"))
+    return annotations.merge_roles(docs).select("sample_id", "agreement", "reviewed")
+
+
+# Converters: C01, C03, C05
+
+
+@query(
+    f"""WITH {views.BOXES_SQL} SELECT CAST(sample_id AS VARCHAR) AS sample_id, count(*) FILTER (label = 'R') AS unmapped, count(*) FILTER (label <> 'R') AS entities FROM gold GROUP BY sample_id"""
+)
+def convert_word_boxes(spark, sf_dir):
+    label = F.when(F.col("label") == "N", "drugname").when(F.col("label") == "A", "Usage").otherwise("diagnose")
+    words = views.boxes(spark, sf_dir, False).select(F.col("sample_id").cast("string").alias("sample_id"), "idx", label.alias("label"), "text", F.col("bbox").alias("box"))
+    out = convert.word_boxes(words)
+    return out.select("sample_id", "unmapped", F.greatest(F.coalesce(F.size("entities"), F.lit(0)), F.lit(0)).cast("long").alias("entities"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS sample_id, type, 'entity_1' AS source, target FROM part, (VALUES ('HAS_STRENGTH', 'entity_2'), ('HAS_FORM', 'entity_3')) AS r(type, target)")
+def convert_fields(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("Drug Name"), F.col("p_size").alias("ham_luong"), F.col("p_type").alias("dosage-form"), F.col("p_brand").alias("brand"))
+    _, links = convert.fields(rows.withColumn("p_partkey", F.col("p_partkey").cast("string")), "p_partkey", ["Drug Name", "ham_luong", "dosage-form", "brand"])
+    return links
+
+
+@query(
+    """SELECT l_orderkey AS image_id, o_orderpriority AS file_name, count(*) AS entities, CAST(sum(2 * l_linenumber) AS BIGINT) AS right_edges
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"""
+)
+def convert_coco(spark, sf_dir):
+    x = F.col("l_linenumber").cast("double")
+    a = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("image_id"), F.col("l_suppkey").alias("category_id"), F.array(x, x, x, x).alias("bbox"))
+    images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("file_name"))
+    categories = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("drug").alias("name"))
+    docs = convert.coco(images, a, categories)
+    edges = F.aggregate("entities", F.lit(0.0), lambda s, e: s + e["bbox"][2])
+    return docs.select("image_id", "file_name", F.size("entities").cast("long").alias("entities"), edges.cast("long").alias("right_edges"))
+
+
+# Contract and plans: V02, V03, D01-D05, V04, X01-X03
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 30 > 0 THEN CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 - 1 AS INTEGER) AS VARCHAR) END AS end_date FROM orders"""
+)
+def inclusive_end_date(spark, sf_dir):
+    start = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.inclusive_end_date(start, F.col("o_orderkey") % 30).cast("string").alias("end_date"))
+
+
+_SLOTS = "lpad(CAST(o_custkey % 24 AS VARCHAR), 2, '0') || ':00', lpad(CAST(o_orderkey % 26 AS VARCHAR), 2, '0') || ':30', '08:00'"
+
+
+@query(
+    f"""WITH s AS (SELECT o_orderkey, [{_SLOTS}] AS s, o_orderkey % 26 < 24 AS ok FROM orders)
+SELECT o_orderkey, CASE WHEN ok AND len(list_distinct(s)) = 3 THEN array_to_string(list_sort(s), ' ') END AS slots,
+  CASE WHEN ok THEN array_to_string(list_sort(list_distinct(s)), ' ') END AS reminders FROM s"""
+)
+def time_slots(spark, sf_dir):
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    slots = F.array(F.concat(two(F.col("o_custkey") % 24), F.lit(":00")), F.concat(two(F.col("o_orderkey") % 26), F.lit(":30")), F.lit("08:00"))
+    rows = table(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", F.array_join(D.time_slots(slots), " ").alias("slots"), F.array_join(D.reminder_schedule(slots), " ").alias("reminders"))
+
+
+def _requests(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k % 11 == 0, " ").otherwise("A").alias("medicineName"),
+        F.when(k % 4 == 0, "AS_NEEDED").when(k % 4 == 1, "TWICE_DAILY").when(k % 4 == 2, "ONCE_DAILY").otherwise("2 lần").alias("frequency"),
+        F.lit(None).cast("string").alias("frequencySource"), F.lit("2024-05-01").alias("startDate"),
+        F.when(k % 7 == 0, "2024-04-30").alias("endDate"), F.when(k % 5 > 0, k % 5).alias("timesPerDay"),
+        F.when(k % 3 > 0, F.slice(F.array(F.lit("08:00"), F.lit("20:00")), 1, (k % 3).cast("int"))).alias("timeSlots"),
+        F.lit(None).cast("double").alias("doseQuantity"), F.lit(None).cast("double").alias("durationDays"), F.lit(None).cast("boolean").alias("frequencyRequiresReview"),
+    )
+
+
+_REQUESTS = """WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 END AS t, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 END AS n FROM orders)
+"""
+
+
+@query(
+    _REQUESTS
+    + """SELECT k AS o_orderkey, CASE WHEN k % 11 = 0 THEN 'medicineName is required' WHEN k % 4 = 3 THEN 'frequency is not valid' WHEN k % 7 = 0 THEN 'endDate is before startDate'
+  WHEN k % 4 = 0 AND n IS NOT NULL AND t IS NOT NULL AND n <> t THEN 'timesPerDay must equal the number of timeSlots'
+  WHEN k % 4 > 0 AND n IS NULL THEN 'timeSlots are required' WHEN k % 4 > 0 AND t IS NULL THEN 'timesPerDay is required'
+  WHEN k % 4 > 0 AND n <> t THEN 'timesPerDay must equal the number of timeSlots' WHEN k % 4 = 1 AND n <> 2 THEN 'TWICE_DAILY needs 2 times' END AS error FROM r"""
+)
+def create_requests(spark, sf_dir):
+    return _requests(spark, sf_dir).select("o_orderkey", contract.create_request_error().alias("error"))
+
+
+@query(
+    _REQUESTS
+    + """, f AS (SELECT *, CASE k % 4 WHEN 0 THEN 'AS_NEEDED' WHEN 2 THEN 'ONCE_DAILY' ELSE 'TWICE_DAILY' END AS f FROM r),
+g AS (SELECT *, coalesce(t, CASE f WHEN 'ONCE_DAILY' THEN 1 WHEN 'TWICE_DAILY' THEN 2 END) AS times FROM f)
+SELECT k AS o_orderkey, f AS frequency, times AS "timesPerDay", f <> 'AS_NEEDED' AND (n IS NULL OR times IS NULL OR n <> times) AS review,
+  CASE WHEN k % 11 = 0 THEN 'medicineName is required' END AS error FROM g"""
+)
+def parsed_medications(spark, sf_dir):
+    rows = contract.parsed_medication(_requests(spark, sf_dir))
+    return rows.select("o_orderkey", "frequency", "timesPerDay", F.col("frequencyRequiresReview").alias("review"), "error")
+
+
+@query()
+def plan_fold(spark, sf_dir):
+    """Each user's events as commands: clicks verify a field, the rest schedule."""
+    e = table(spark, sf_dir, "events").withColumn("plan_id", F.col("user_id").cast("string"))
+    fields = F.array(F.lit("drug"), F.lit("strength"))
+    med = F.array(F.struct(F.lit("m1").alias("medication_id"), F.lit(False).alias("verified"), fields.alias("fields")))
+    plans = e.select("plan_id").distinct().withColumn("medications", med)
+    verify = F.col("event_type").isin("click", "view")
+    args = F.when(F.col("event_type") == "click", F.array(F.lit("drug"))).when(F.col("event_type") == "view", F.array(F.lit("strength")))
+    commands = e.select(
+        "plan_id", F.col("event_id").alias("seq"), F.when(verify, "verify").otherwise("schedule").alias("op"), F.lit("m1").alias("medication_id"),
+        F.coalesce(args, F.array(F.lit("20:00"), F.lit("08:00"), F.lit("08:00"))).alias("args"),
+    )
+    return plan.fold_commands(plans, commands)
