@@ -38,20 +38,6 @@ def greedy_match(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return fold_groups(pairs, keys, [F.desc("iou"), "gold_idx", "pred_idx"], run, pairs.schema)
 
 
-def greedy_match_rounds(pairs: DataFrame, keys: list[str], rounds: int) -> DataFrame:
-    """The same by windows alone: each round takes the pairs that are best for
-    both sides. Exact once a round finds none; for cross-checks."""
-    order = [F.desc("iou"), "gold_idx", "pred_idx"]
-    left, taken = pairs, None
-    for _ in range(rounds):
-        by = lambda side: F.row_number().over(Window.partitionBy(*keys, side).orderBy(*order))
-        best = left.withColumn("__g", by("gold_idx")).withColumn("__p", by("pred_idx")).where("__g = 1 AND __p = 1").drop("__g", "__p")
-        taken = best if taken is None else taken.unionByName(best)
-        left = left.join(best.select(*keys, "gold_idx"), [*keys, "gold_idx"], "left_anti")
-        left = left.join(best.select(*keys, "pred_idx"), [*keys, "pred_idx"], "left_anti")
-    return taken
-
-
 def _scores(matched: DataFrame, gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     a, b = T.normalize_ocr_text("gold_text"), T.normalize_ocr_text("pred_text")
     texts = matched.withColumn("a", a).withColumn("b", b)

@@ -20,9 +20,11 @@ def word_entities(words: DataFrame, entities: DataFrame, threshold: float = 0.5)
     if threshold > 0:
         pairs = pairs.where(G.overlaps(F.col("bbox"), F.col("e")))
     score = F.greatest(G.iou(F.col("bbox"), F.col("e"), True), G.overlap_coverage(F.col("bbox"), F.col("e")))
-    best = pairs.withColumn("score", score).where(F.col("score") >= threshold).groupBy("sample_id", "idx").agg(
-        F.max_by(F.struct("entity_id", "label"), F.struct("score", -F.col("entity_ord"))).alias("m")
-    )
+    # the threshold stands in the aggregate: as a filter its long expression would
+    # keep the optimizer busy with what follows from it
+    good = F.when(F.col("score") >= threshold, F.struct("entity_id", "label"))
+    rank = F.when(F.col("score") >= threshold, F.struct("score", -F.col("entity_ord")))
+    best = pairs.withColumn("score", score).groupBy("sample_id", "idx").agg(F.max_by(good, rank).alias("m"))
     return words.join(best.select("sample_id", "idx", "m.entity_id", "m.label"), ["sample_id", "idx"], "left")
 
 
@@ -47,7 +49,10 @@ def bio_examples(words: DataFrame, entities: DataFrame, threshold: float = 0.5)
     (no entity unmatched and one word at least)."""
     tagged = bio_tags(words, entities, threshold)
     tokens = tagged.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("pos", "idx", "text", "entity_id", "tag"))).alias("tokens"))
-    left = unmatched_entities(tagged, entities).groupBy("sample_id").agg(F.array_sort(F.collect_list("entity_id")).alias("unmatched_entity_ids"))
-    rows = tokens.join(left, "sample_id", "full")
-    none = F.coalesce(F.size("unmatched_entity_ids"), F.lit(0))
-    return rows.withColumn("ready_for_training", (F.greatest(none, F.lit(0)) == 0) & (F.coalesce(F.size("tokens"), F.lit(0)) > 0))
+    usable = entities.where(F.col("label").isin(*LABELS) & (F.size("bbox") == 4))
+    ids = usable.groupBy("sample_id").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    matched = F.coalesce(F.transform("tokens", lambda t: t["entity_id"]), F.array().cast("array<string>"))
+    matched = F.filter(matched, lambda i: i.isNotNull())
+    left = F.filter(F.coalesce("ids", F.array().cast("array<string>")), lambda i: ~F.array_contains(matched, i))
+    rows = tokens.join(ids, "sample_id", "full").withColumn("unmatched_entity_ids", left).drop("ids")
+    return rows.withColumn("ready_for_training", (F.size("unmatched_entity_ids") == 0) & (F.coalesce(F.size("tokens"), F.lit(0)) > 0))
