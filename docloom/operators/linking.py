@@ -30,16 +30,16 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
     """query_id with the name to compare, the given strength and whether any."""
-    whole = T.normalize_drug_text(F.coalesce("drug_name", "raw_text"))
-    bare = F.trim(F.regexp_replace(whole, rf"{T.B}\d+(?:[.,]\d+)?\s*(?:mcg|ug|µg|mg|g|ml){T.B}", ""))
-    given = F.coalesce(F.col("strength"), F.col("raw_text"))
-    return queries.where(F.length(whole) >= 3).select(
-        "query_id",
-        T.normalize_drug_text(F.coalesce(F.col("drug_name"), bare)).alias("name_norm"),
-        (F.coalesce(given, F.lit("")) != "").alias("has_given"),
-        T.parse_strength(given).alias("want"),
-        (F.col("strength").isNotNull() & (F.col("strength") != "") | F.col("strength").isNull() & T.parse_strength("raw_text").isNotNull()).alias("signal"),
-    )
+    # in steps, so that no long expression stands in another several times
+    rows = queries.withColumn("__whole", T.normalize_drug_text(F.coalesce("drug_name", "raw_text"))).where(F.length("__whole") >= 3)
+    bare = F.trim(F.regexp_replace("__whole", rf"{T.B}\d+(?:[.,]\d+)?\s*(?:mcg|ug|µg|mg|g|ml){T.B}", ""))
+    rows = rows.withColumn("__name", F.coalesce(F.col("drug_name"), bare)).withColumn("__given", F.coalesce("strength", "raw_text"))
+    rows = rows.withColumn("name_norm", T.normalize_drug_text("__name")).withColumn("want", T.parse_strength("__given"))
+    rows = rows.withColumn("__raw", T.parse_strength("raw_text"))
+    given = F.coalesce(F.col("strength") != "", F.lit(False))
+    signal = given | (F.col("strength").isNull() & F.col("__raw").isNotNull())
+    has_given = (F.coalesce("__given", F.lit("")) != "").alias("has_given")
+    return rows.select("query_id", "name_norm", has_given, "want", signal.alias("signal"))
 
 
 def strength_score(has_given: Column, want: Column, strengths: Column) -> Column:
