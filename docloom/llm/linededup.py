@@ -9,7 +9,9 @@ from docloom.session import Scratch, prepare
 
 #: Leading tokens of a leaf, least tokens of a line, documents in which a
 #: template recurs, and the least share of a template's tokens that is constant.
-DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT = 3, 3, 3, 0.5
+DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT = 3, 1, 3, 0.5
+#: The least tokens of a line by this module's SQL.
+SQL_TOKENS = 3
 ANY = "<*>"
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -21,10 +23,10 @@ def _masked(tokens):
 def lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """doc_id, h (a hash of the text), line_no, line and leaf of every line of at
     least ``min_tokens`` tokens. A leaf is a hash of the number of tokens and the
-    first ``depth`` ones, those with a digit left open."""
+    first ``depth`` ones (all of a shorter line), those with a digit left open."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     trimmed = F.regexp_replace("line", rf"^{_SPACE}|{_SPACE}$", "")
-    rows = rows.withColumn("tokens", F.split(trimmed, _SPACE)).where(F.size("tokens") >= min_tokens)
+    rows = rows.withColumn("tokens", F.split(trimmed, _SPACE)).where((F.size("tokens") >= min_tokens) & (F.col("tokens")[0] != ""))
     lead = F.array_join(_masked(F.slice("tokens", 1, depth)), " ")
     return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), lead)).drop("tokens")
 
@@ -90,8 +92,8 @@ def dedup_lines(
     first level and leading tokens below. In a leaf, a token is constant where at
     least ``min_docs`` documents have it in its place and it has no digit; others
     are variable fields. Lines of one leaf with the same constants share a
-    template if at least ``min_constant`` of its tokens are constant. Shorter
-    lines than ``min_tokens`` stay. Null and empty texts stay as they are, with 0
+    template if at least ``min_constant`` of its tokens are constant. Lines
+    without tokens, or of fewer than ``min_tokens``, stay. Null and empty texts stay as they are, with 0
     and 1 lines; repeated rows are one document, and so are null ids. All of it
     is DataFrame operations; hot templates and leaves are counted by partial
     sums, and joins have tables on both sides, so that Spark can split them.

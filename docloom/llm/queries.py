@@ -63,7 +63,8 @@ def op9_pivotal_mixing(spark, sf_dir):
 
 
 def op10_line_templates(spark, sf_dir):
-    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_tokens=linededup.SQL_TOKENS)
+    return found.select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def queries():

@@ -189,6 +189,16 @@ def test_lines(spark):
     assert (got[6].text, got[6].n_lines, got[7].text, got[7].n_lines) == (None, 0, "", 1)
 
 
+def test_short_lines(spark):
+    texts = [f"Les.\n{text(9)}\n \nAnd ornd.\n12\nPage {i}\n\nonly{i}" for i in range(5)] + ["Les.", "And  other"]
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, texts)).collect()}
+    assert got[0].n_dropped == 0 and got[0].text == texts[0] and got[6].n_dropped == 0
+    for i in range(1, 5):
+        # blank lines and those of digits alone have no constant token and stay
+        assert got[i].n_dropped == 3 and got[i].text == "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in (0, 3, 5))
+    assert (got[5].n_dropped, got[5].text) == (1, "")
+
+
 def test_paragraph_recall_and_precision(spark):
     sentence = lambda: text(RND.randint(8, 14)).capitalize() + "."
     shared = [" ".join(sentence() for _ in range(6)) for _ in range(3)]
