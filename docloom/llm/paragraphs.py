@@ -51,13 +51,20 @@ def split(texts: list[bytes], min_words: int):
 
 def paragraphs(texts: list[bytes], k: int, min_words: int):
     """owner, number in its text, spans (words), bytes in the text and shingle
-    hashes of each paragraph of at least ``min_words`` words."""
+    hashes of each paragraph of at least ``min_words`` words. A shorter rest of a
+    line has the words before it, over line ends, up to ``min_words`` with its
+    own, so that it does not depend on what else its text has; at a text's
+    beginning it has those after it. Only texts of fewer words have none."""
     words, first, begin, end, owner, spans = split(texts, min_words)
-    every = hash_shingles(words, k)
-    keep = np.flatnonzero(spans[:, 1] - spans[:, 0] >= max(min_words, k))
-    owner, spans = owner[keep], spans[keep]
+    every, least = hash_shingles(words, k), max(min_words, k)
+    rest = spans[:, 1] - spans[:, 0] < least
+    stop = np.maximum(spans[rest, 1], first[owner[rest]] + least)
+    stop = np.unique(stop[stop <= first[owner[rest] + 1]])
+    spans = np.concatenate([spans[~rest], np.stack([stop - least, stop], axis=1)])
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    owner = np.searchsorted(first, spans[:, 0], side="right") - 1
     offset = np.cumsum([0, *(len(t) + 1 for t in texts)])[owner]
-    places = np.stack([begin[spans[:, 0]] - offset, end[spans[:, 1] - 1] - offset], axis=1) if len(keep) else spans
+    places = np.stack([begin[spans[:, 0]] - offset, end[spans[:, 1] - 1] - offset], axis=1) if len(spans) else spans
     number = np.arange(len(owner)) - np.searchsorted(owner, owner)
     return owner, number, spans - first[owner][:, None], places, spans, every
 
@@ -157,7 +164,8 @@ def repeated_paragraphs(
     """The paragraphs of ``docs`` (doc_id, text) that repeat across documents.
 
     A paragraph is one or more sentences of a line, of ``min_words`` words
-    together; shorter ones at a line's end are left alone. Paragraphs of two
+    together; a shorter rest of a line is taken with words before it, which may
+    be in other paragraphs too. Paragraphs of two
     documents that share a MinHash bucket are joined by their rarest shingles and
     checked on their whole sets: 100 * intersection >= percent * union, of k-word
     shingles of A-Z lower-cased words. The bands are the fewest that let a pair at

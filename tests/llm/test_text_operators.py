@@ -225,6 +225,23 @@ def test_paragraph_recall_and_precision(spark):
     assert paragraphs.bands(75, 1, 0.98) == 3
 
 
+def test_paragraphs_of_short_lines(spark):
+    verse = "\n".join(text(4 + i % 2) for i in range(16))
+    texts = [f"{text(3)}\n{verse}\n{text(2)}", f"{text(9)}.\n{text(1)}\n{verse}", text(40), text(3), "", "a b c\nd e f g h"]
+    for t, (owner, number, own, places, spans, every) in zip(texts, (paragraphs.paragraphs([t.encode()], 5, 8) for t in texts)):
+        covered = {w for a, b in own.tolist() for w in range(a, b)}
+        assert covered == (set(range(len(t.split()))) if len(t.split()) >= 8 else set())
+        assert number.tolist() == list(range(len(own))) and all(t[a:b].split() == t.split()[c:d] for (a, b), (c, d) in zip(places.tolist(), own.tolist()))
+    together = paragraphs.paragraphs([t.encode() for t in texts], 5, 8)
+    assert together[0].tolist() == [i for i, t in enumerate(texts) for _ in paragraphs.paragraphs([t.encode()], 5, 8)[0]]
+    got = [r for r in paragraphs.repeated_paragraphs(docs(spark, texts)).collect()]
+    for i, lead in ((0, 3), (1, 10)):
+        found = {w for r in got if r.doc_id == i for w in range(r.start_word, r.start_word + r.n_words)}
+        # words of the first line may be apart from a whole window of the passage
+        assert found >= set(range(lead + 4, lead + len(verse.split()))) and found <= set(range(lead, lead + len(verse.split())))
+    assert {r.doc_id for r in got} == {0, 1}
+
+
 def test_toxicity_swaps(spark):
     rows = [(i, f"{text(8)} {'women are awful' if i % 2 else 'a fine day'}", i % 2) for i in range(300)]
     frame = spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, text string")
