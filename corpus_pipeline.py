@@ -63,13 +63,17 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. The one document of a source
-    that it takes in part has its first words, joined by blanks, in its last copy."""
+    that it takes in part ends in its last copy after so many words, with all that
+    stands between and before them, so that a source misses its target by
+    a word at most."""
     taken = mix(docs).groupBy("doc_id", "h", "source").agg(
         F.sum("copies").alias("copies"), F.sum(F.col("taken") - F.col("size") * F.col("copies")).cast("int").alias("words")
     )
     rows, keys = _join(docs, taken.where("copies > 0 OR words > 0"), "doc_id", "h", "source")
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("lang"))).where("nth = 1")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest(F.col("words"), F.lit(1))), " ")
+    # each word with what stands before it; the split has one entry more
+    pieces = F.zip_with(F.split("text", WORD, -1), F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), lambda a, b: F.concat(a, b))
+    part = F.array_join(F.slice(pieces, 1, F.greatest(F.col("words"), F.lit(1))), "")
     last = F.when(F.col("words") > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
     texts = F.concat(F.array_repeat("text", F.col("copies").cast("int")), last)
     out = rows.withColumn("text", F.explode(texts)).withColumn("n_chars", F.length("text").cast("long"))

@@ -10,6 +10,15 @@ RND = random.Random(8)
 WORDS = [f"word{i}" for i in range(3000)]
 
 
+def test_part_of_a_document_is_its_own_beginning(spark):
+    text = "".join(f"{RND.choice(WORDS)}{' ' if i % 7 else '  \n'}" for i in range(2001))
+    rows = [(i, f"\n {text}{i}", "en", f"s{i}", len(text)) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = corpus_pipeline.mixing_stage(spark, docs, "/nowhere").collect()
+    assert all(rows[r.doc_id][1].startswith(r.text) and r.n_chars == len(r.text) for r in taken)
+    assert any(r.text != rows[r.doc_id][1] for r in taken) and all(len(r.text.split()) > 0 for r in taken)
+
+
 def test_stages(spark):
     text = lambda n: " ".join(RND.choice(WORDS) for _ in range(n))
     lines = lambda: "\n".join(text(12) for _ in range(8))
