@@ -42,14 +42,18 @@ def kmer_hashes(text: str, k: int = K) -> np.ndarray:
 def number_occurrences(h: np.ndarray) -> np.ndarray:
     """Hashes of k-mers with their occurrence number: the first keeps its hash,
     the same k-mer's later ones get one of their own each."""
-    packed = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
-    packed.sort()
+    if len(h) > int(_POSITION):
+        order = np.argsort(h & ~_POSITION, kind="stable")
+        packed = h[order]
+    else:
+        order, packed = None, (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
+        packed.sort()
     again = np.flatnonzero((packed[1:] ^ packed[:-1]) <= _POSITION)
     if not len(again):
         return h
     run = np.concatenate([[True], np.diff(again) != 1])
     number = np.arange(len(again)) - np.flatnonzero(run)[np.cumsum(run) - 1] + 1
-    at = (packed[again + 1] & _POSITION).astype(np.int64)
+    at = (packed[again + 1] & _POSITION).astype(np.int64) if order is None else order[again + 1]
     out = h.copy()
     out[at] = mix64(h[at] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return out
@@ -59,14 +63,16 @@ def signature(h: np.ndarray) -> np.ndarray:
     """64 numbers of 16 bits from the hashes of a text's k-mers. Each k-mer,
     numbered by occurrence, falls by its hash into one bucket; a bucket's two
     least are hashed as a tuple in the order they stand in the text. 0 marks a
-    bucket without k-mers."""
-    if len(h) > int(_POSITION):
-        raise ValueError("texts of 67 million code points or more have no fingerprint")
+    bucket without k-mers. Positions that do not fit below a hash are kept apart."""
     if not len(h):
         return np.zeros(BUCKETS, dtype=np.uint16)
     value = number_occurrences(h)
-    packed = None
-    if len(h) > 1500:
+    packed = order = None
+    if len(h) > int(_POSITION):
+        order = np.argsort(value & ~_POSITION, kind="stable")
+        packed = value[order]
+        start = np.searchsorted(packed >> np.uint64(58), np.arange(BUCKETS, dtype=np.uint64))
+    elif len(h) > 1500:
         # the least values are enough where every bucket has its two among them
         at = np.flatnonzero((value & _BELOW) < np.uint64(8 * BUCKETS * KEPT / len(h) * 2**58))
         packed = np.sort((value[at] & ~_POSITION) | at.astype(np.uint64))
@@ -79,7 +85,8 @@ def signature(h: np.ndarray) -> np.ndarray:
     sizes = np.diff(np.append(start, len(packed)))
     chosen = start[:, None] + np.arange(KEPT)
     real = np.arange(KEPT) < sizes[:, None]
-    place = (packed[np.where(real, chosen, 0)] & _POSITION).astype(np.int64)
+    chosen = np.where(real, chosen, 0)
+    place = (packed[chosen] & _POSITION).astype(np.int64) if order is None else order[chosen]
     turn = np.argsort(np.where(real, place, 1 << 60), axis=1, kind="stable")
     values = np.take_along_axis(np.where(real, value[place], np.uint64(0)), turn, axis=1)
     out = np.maximum(mix64((values * _ORDER).sum(axis=1, dtype=np.uint64)) >> np.uint64(48), np.uint64(1))

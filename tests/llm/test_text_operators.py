@@ -127,6 +127,15 @@ def test_signature_by_brute_force():
     assert fingerprint.signature(h).tolist() == want
 
 
+def test_signature_beyond_packed_positions(monkeypatch):
+    hashes = [fingerprint.kmer_hashes(t) for t in (text(900), "ab" * 700, "x" * 1600, text(40))]
+    want = [fingerprint.signature(h).tolist() for h in hashes]
+    # bits kept of a hash are the same where positions do not fit below them
+    assert all(len(h) > 255 or h is hashes[3] for h in hashes)
+    monkeypatch.setattr(fingerprint, "_POSITION", np.uint64(255))
+    assert [fingerprint.signature(h).tolist() for h in hashes] == want
+
+
 def test_quality_counts():
     words = quality.hash_words([b"a b c a b c x a b c"])[0]
     assert quality.repeated_words(words) == 9
