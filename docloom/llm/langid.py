@@ -67,13 +67,32 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+def shared(texts: list[np.ndarray], total: int) -> np.ndarray:
+    """The texts' beginnings, each of the same share of ``total`` symbols; what
+    shorter texts leave of theirs goes to the others."""
+    sizes, left = sorted(len(t) for t in texts), total
+    share = extra = 0
+    for i, n in enumerate(sizes):
+        share, extra = divmod(left, len(sizes) - i)
+        if n > share:
+            break
+        left -= n
+        share, extra = n, 0
+    out = []
+    for t in texts:
+        more = int(len(t) > share and extra > 0)
+        out.append(t[: share + more])
+        extra -= more
+    return np.concatenate(out)
+
+
 class Model:
     """The automata of all languages in one table. An entry is twice the row of
     the next state, plus 1 where a phrase ends before the symbol."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(k for k, v in texts.items() if any(len(normalise(t)) for t in v))
-        samples = {k: np.concatenate([np.append(normalise(t), 0) for t in texts[k]])[:SAMPLE_CHARS] for k in self.languages}
+        samples = {k: shared([np.append(normalise(t), 0) for t in texts[k]], SAMPLE_CHARS) for k in self.languages}
         self.codes = np.zeros(0x110000, dtype=np.uint8)
         letters = np.flatnonzero(_letters())
         self.codes[letters] = COMMON + letters % (SYMBOLS - COMMON)
@@ -138,7 +157,7 @@ class Model:
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Fits automata on a bounded sample of ``labelled`` (doc_id, text, lang): of
     each language about ``rows`` rows, those of the least hash, and of their
-    texts together at most ``chars`` characters."""
+    texts together at most ``chars`` characters, in equal shares."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:

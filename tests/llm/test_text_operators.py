@@ -97,6 +97,16 @@ def test_language_parse_matches_brute_force(spark):
     assert langid.Model({}).predict(["x"]) == [("und", 0.0)]
 
 
+def test_language_sample_is_shared():
+    parts = [np.full(n, i) for i, n in enumerate((10**6, 3, 50, 10**6, 0))]
+    counts = np.bincount(langid.shared(parts, 1001), minlength=5).tolist()
+    assert counts == [474, 3, 50, 474, 0] and len(langid.shared(parts[1:3], 1001)) == 53
+    assert np.bincount(langid.shared(parts, 1000)).tolist() == [474, 3, 50, 473]
+    # one long junk row leaves room for the others
+    model = langid.Model({"en": ["junk " * 10**5, *["the cat and the dog"] * 9], "de": ["der hund und die katze"] * 9})
+    assert model.predict(["the cat and the dog"])[0][0] == "en"
+
+
 def test_fingerprints_follow_the_order(spark):
     texts = [text(RND.randint(1, 400)) for _ in range(25)] + ["", None, "abc", "é" * 5000]
     got = {r.doc_id: r for r in fingerprint.fingerprints(docs(spark, texts), rows_per_part=4).collect()}
