@@ -10,40 +10,42 @@ from docloom.session import Scratch, prepare
 #: Leading tokens of a leaf, least tokens of a line, documents in which a
 #: template recurs, and the least share of a template's tokens that is constant.
 DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT = 3, 1, 3, 0.5
-#: The least tokens of a line by this module's SQL.
-SQL_TOKENS = 3
 ANY = "<*>"
-_SPACE = r"[\x20\x09-\x0D]+"
+_BLANKS = " \t\n\v\f\r"
+_SPACE, _TOKEN = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+#: A whole token with a digit, between single blanks.
+_NUMBERED = r"(?<![^\x20])[^\x20 0-9]*+[0-9][^\x20]*+"
 
 
-def _masked(tokens):
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(ANY)).otherwise(t))
-
-
-def lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """doc_id, h (a hash of the text), line_no, line and leaf of every line of at
-    least ``min_tokens`` tokens. A leaf is a hash of the number of tokens and the
-    first ``depth`` ones (all of a shorter line), those with a digit left open."""
+def lines(docs: DataFrame, depth: int) -> DataFrame:
+    """doc_id, h (a hash of the text), line_no, n (tokens), leaf and masked of every
+    line with a token. ``masked`` has the tokens, one blank between two and each
+    with a digit left open; a leaf is a hash of their number and the first
+    ``depth`` of them (all of a shorter line). Each step is a projection of its own, or an
+    expression used twice would be evaluated twice."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    trimmed = F.regexp_replace("line", rf"^{_SPACE}|{_SPACE}$", "")
-    rows = rows.withColumn("tokens", F.split(trimmed, _SPACE)).where((F.size("tokens") >= min_tokens) & (F.col("tokens")[0] != ""))
-    lead = F.array_join(_masked(F.slice("tokens", 1, depth)), " ")
-    return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), lead)).drop("tokens")
+    rows = rows.where(F.col("line").rlike(_TOKEN))
+    rows = rows.select("doc_id", "h", "line_no", F.btrim("line", F.lit(_BLANKS)).alias("line"))
+    odd = F.col("line").contains("  ") | F.col("line").rlike(r"[\x09-\x0D]")
+    plain = F.when(odd, F.regexp_replace("line", _SPACE, " ")).otherwise(F.col("line"))
+    rows = rows.select("doc_id", "h", "line_no", plain.alias("line"))
+    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", _NUMBERED, ANY)).otherwise(F.col("line"))
+    rows = rows.select("doc_id", "h", "line_no", masked.alias("masked"))
+    n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    rows = rows.select("doc_id", "h", "line_no", n.alias("n"), "masked")
+    return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", depth)))
 
 
 def dropped_lines(docs: DataFrame, depth: int, min_tokens: int, min_docs: int, min_constant: float, scratch: Scratch) -> DataFrame:
     """doc_id, h and line_no of the lines to drop."""
-    every = lines(docs, depth, min_tokens)
+    # texts are split into tokens once; the count of leaves reads two columns of it
+    every = scratch.keep(lines(docs, depth), "every")
+    long = every.where(F.col("n") >= min_tokens) if min_tokens > 1 else every
     leaves = scratch.keep(
-        every.select("leaf", "doc_id").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves"
-    )
-    trimmed = F.regexp_replace("line", rf"^{_SPACE}|{_SPACE}$", "")
-    found = scratch.keep(
-        every.join(leaves, "leaf", "left_semi").select(
-            "leaf", "doc_id", "h", "line_no", F.array_join(_masked(F.split(trimmed, _SPACE)), " ").alias("masked")
-        ),
-        "found",
+        long.select("leaf", "doc_id").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves"
     )
+    found = scratch.keep(long.join(leaves, "leaf", "left_semi").select("leaf", "doc_id", "h", "line_no", "masked"), "found")
+    scratch.drop(every)
     # each distinct masked line once, with the documents it is in
     once = found.select("leaf", "masked", "doc_id").distinct().groupBy("leaf", "masked").agg(F.count("*").alias("docs"))
     once = scratch.keep(once.withColumn("line_id", F.xxhash64("masked")), "once")
