@@ -10,15 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.jaccard import hot_cells, links, prefix
+from docloom.llm.groups import group_components
+from docloom.llm.jaccard import hot_cells, prefix
 from docloom.llm.textops import batches, hash_shingles, hash_words, mix64
 from docloom.session import Scratch, prepare
 
-WORDS, PERCENT, MIN_WORDS = 5, 75, 8
+WORDS, PERCENT, MIN_WORDS = 5, 75, 16
+#: In sentences of more words than ``LONG``, one word in ``STOP`` ends a part of
+#: them, by its hash: texts without full stops have paragraphs too.
+LONG, STOP = 24, 8
 #: Rows of a band, and the share of pairs at the threshold that must collide.
 BAND_ROWS, RECALL = 1, 0.98
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
+_STOPS = np.uint64(0x243F6A8885A308D3)
 
 
 def bands(percent: int, rows: int, recall: float) -> int:
@@ -30,20 +35,25 @@ def bands(percent: int, rows: int, recall: float) -> int:
 def split(texts: list[bytes], min_words: int):
     """Hashes of all words, where each text's begin, the words' first and
     past-the-end bytes, and for each paragraph its text, first and past-the-end
-    word. A paragraph begins after a line's or a sentence's end and takes on
-    sentences of its line until it has ``min_words`` words."""
+    word. Sentences end at a full stop, a line's end or, in long ones, at words
+    chosen by their hash; a paragraph is as many as have ``min_words`` words, over
+    line ends too, so that a passage in short lines is in paragraphs as others are."""
     words, first, begin, end = hash_words(texts)
     joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    lines = np.cumsum(joined == 10)
-    last = np.ones(len(words), dtype=bool)
+    out, start = [], 0
     if len(words):
+        lines, last = np.cumsum(joined == 10), np.ones(len(words), dtype=bool)
         last[:-1] = lines[begin[1:]] != lines[begin[:-1]]
-    stop = last | _ENDS[joined[end - 1]] if len(words) else last
-    out, start = [], 0
-    for at in (np.flatnonzero(stop) + 1).tolist():
-        if at - start >= min_words or last[at - 1]:
-            out.append((start, at))
-            start = at
+        stop = last | _ENDS[joined[end - 1]]
+        size = np.diff(np.concatenate([[0], np.flatnonzero(stop) + 1]))
+        stop |= np.repeat(size > LONG, size) & (mix64(words ^ _STOPS) % np.uint64(STOP) == 0)
+        final = np.zeros(len(words) + 1, dtype=bool)
+        final[first[1:]] = True
+        ends = np.flatnonzero(stop) + 1
+        for at, over in zip(ends.tolist(), final[ends].tolist()):
+            if over or at - start >= min_words:
+                out.append((start, at))
+                start = at
     spans = np.array(out, dtype=np.int64).reshape(-1, 2)
     owner = np.searchsorted(first, spans[:, 0], side="right") - 1
     return words, first, begin, end, owner, spans
@@ -52,9 +62,8 @@ def split(texts: list[bytes], min_words: int):
 def paragraphs(texts: list[bytes], k: int, min_words: int):
     """owner, number in its text, spans (words), bytes in the text and shingle
     hashes of each paragraph of at least ``min_words`` words. A shorter rest of a
-    line has the words before it, over line ends, up to ``min_words`` with its
-    own, so that it does not depend on what else its text has; at a text's
-    beginning it has those after it. Only texts of fewer words have none."""
+    text has the words before it, up to ``min_words`` with its own. Only texts of
+    fewer words have none."""
     words, first, begin, end, owner, spans = split(texts, min_words)
     every, least = hash_shingles(words, k), max(min_words, k)
     rest = spans[:, 1] - spans[:, 0] < least
@@ -83,6 +92,17 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
+def band_hashes(every: np.ndarray, spans: np.ndarray, k: int, rows: int, count: int) -> list[np.ndarray]:
+    """The bucket of each paragraph in each band."""
+    minima, out = minhashes(every, spans, k, rows * count), []
+    for i in range(count):
+        band = np.full(len(spans), np.uint64(i + 1))
+        for row in minima[i * rows : (i + 1) * rows]:
+            band = mix64(band * np.uint64(0xD1342543DE82EF95) + row)
+        out.append(band.view(np.int64))
+    return out
+
+
 def buckets(docs: DataFrame, k: int, min_words: int, rows: int, count: int) -> DataFrame:
     """bucket, doc and number of each band of each paragraph."""
 
@@ -92,21 +112,15 @@ def buckets(docs: DataFrame, k: int, min_words: int, rows: int, count: int) -> D
             pairs = ((i, _raw(t.as_py())) for i, t in enumerate(batch.column(0)))
             for some in batches(pairs, lambda p: len(p[1]), 2 << 20):
                 owner, number, _, _, spans, every = paragraphs([p[1] for p in some], k, min_words)
-                minima = minhashes(every, spans, k, rows * count)
                 ids = doc[np.array([p[0] for p in some], dtype=np.int64)[owner]] if len(owner) else np.zeros(0, dtype=np.int64)
-                for i in range(count):
-                    band = np.full(len(owner), np.uint64(i + 1))
-                    for row in minima[i * rows : (i + 1) * rows]:
-                        band = mix64(band * np.uint64(0xD1342543DE82EF95) + row)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(band.view(np.int64)), pa.array(ids), pa.array(number)], ["bucket", "doc", "number"]
-                    )
+                for band in band_hashes(every, spans, k, rows, count):
+                    yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(ids), pa.array(number)], ["bucket", "doc", "number"])
 
     return docs.select("text", "doc").mapInArrow(run, "bucket long, doc long, number long")
 
 
-def colliding(docs: DataFrame, found: DataFrame, k: int, min_words: int) -> DataFrame:
-    """The paragraphs named in ``found`` (doc, numbers) with their whole sets."""
+def colliding(docs: DataFrame, found: DataFrame, k: int, min_words: int, rows: int, count: int) -> DataFrame:
+    """The paragraphs named in ``found`` (doc, numbers) with their whole sets and buckets."""
 
     def run(arrow_batches):
         for batch in arrow_batches:
@@ -114,25 +128,24 @@ def colliding(docs: DataFrame, found: DataFrame, k: int, min_words: int) -> Data
             pairs = ((i, _raw(t.as_py())) for i, t in enumerate(batch.column(0)))
             for some in batches(pairs, lambda p: len(p[1]), 2 << 20):
                 owner, number, own, places, spans, every = paragraphs([p[1] for p in some], k, min_words)
-                sets = [set(wanted[i]) for i, _ in some]
-                out = []
-                for j, (o, n) in enumerate(zip(owner.tolist(), number.tolist())):
-                    if n in sets[o]:
-                        i = some[o][0]
-                        tokens = np.unique(every[spans[j, 0] : spans[j, 1] - k + 1])
-                        raw = tokens.tobytes()
-                        node = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-                        a, b = own[j].tolist()
-                        out.append((ids[i], docs_[i], n, a, b - a, *places[j].tolist(), node, len(tokens), raw))
-                columns = zip(*out) if out else [[]] * 10
-                kinds = [pa.int64()] * 9 + [pa.binary()]
+                sets, owners = [set(wanted[i]) for i, _ in some], owner.tolist()
+                mine = [j for j, n in enumerate(number.tolist()) if n in sets[owners[j]]]
+                spans, out = spans[mine], []
+                bands = np.stack(band_hashes(every, spans, k, rows, count), axis=1).tolist()
+                for j, (first, last), band in zip(mine, spans.tolist(), bands):
+                    raw = np.unique(every[first : last - k + 1]).tobytes()
+                    node = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+                    i, (a, b) = some[owners[j]][0], own[j].tolist()
+                    out.append((ids[i], docs_[i], int(number[j]), a, b - a, *places[j].tolist(), node, len(raw) // 8, raw, band))
+                columns = zip(*out) if out else [[]] * 11
+                kinds = [pa.int64()] * 9 + [pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], _FOUND)
 
     joined = docs.join(found, "doc").select("text", "doc_id", "doc", "numbers")
-    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in _FOUND[:-1]) + ", tokens binary")
+    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in _FOUND[:-2]) + ", tokens binary, buckets array<long>")
 
 
-_FOUND = ["doc_id", "doc", "number", "start_word", "n_words", "start_byte", "end_byte", "node", "n", "tokens"]
+_FOUND = ["doc_id", "doc", "number", "start_word", "n_words", "start_byte", "end_byte", "node", "n", "tokens", "buckets"]
 
 
 def _stored_sets(arrow_batch):
@@ -140,16 +153,17 @@ def _stored_sets(arrow_batch):
         yield i, np.frombuffer(raw.as_buffer(), dtype=np.uint64)
 
 
-def _with_prefix(classes: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
+def with_first(classes: DataFrame, percent: int) -> DataFrame:
+    """node, tokens and first (its first tokens, rare ones before others) of each class."""
+    hot = hot_cells(classes.select("tokens"), _stored_sets, math.ceil(classes.count() / 400_000))
     sent = classes.sparkSession.sparkContext.broadcast(hot)
 
     def run(arrow_batches):
         for batch in arrow_batches:
-            got = [prefix(tokens, sent.value, percent) for _, tokens in _stored_sets(batch)]
-            cold, first = pa.array([g[0] for g in got], pa.int64()), pa.array([g[1].tobytes() for g in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, cold, first], ["tokens", "node", "n", "cold", "prefix"])
+            first = [prefix(tokens, sent.value, percent)[1].view(np.int64) for _, tokens in _stored_sets(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.list_(pa.int64()))], ["tokens", "node", "first"])
 
-    return classes.select("tokens", "node", "n").mapInArrow(run, "tokens binary, node long, n long, cold long, prefix binary")
+    return classes.select("tokens", "node").mapInArrow(run, "tokens binary, node long, first array<long>")
 
 
 def repeated_paragraphs(
@@ -163,19 +177,23 @@ def repeated_paragraphs(
 ) -> DataFrame:
     """The paragraphs of ``docs`` (doc_id, text) that repeat across documents.
 
-    A paragraph is one or more sentences of a line, of ``min_words`` words
-    together; a shorter rest of a line is taken with words before it, which may
-    be in other paragraphs too. Paragraphs of two
-    documents that share a MinHash bucket are joined by their rarest shingles and
-    checked on their whole sets: 100 * intersection >= percent * union, of k-word
-    shingles of A-Z lower-cased words. The bands are the fewest that let a pair at
-    the threshold collide with probability ``recall``; equal paragraphs always do.
+    A paragraph is one or more sentences with ``min_words`` words together; a
+    shorter rest of a text is taken with words before it, which may be in another
+    paragraph too. Paragraphs that share a MinHash bucket link if their whole sets
+    are alike: 100 * intersection >= percent * union, of k-word shingles of A-Z
+    lower-cased words. The bands are the fewest that let a pair at the threshold
+    collide with probability ``recall``; equal paragraphs always do. A bucket's
+    paragraphs meet one of them first; those outside its main component then meet
+    all that have one of their rarest shingles, in blocks. Pairs are never those
+    of a whole bucket, and none that could join two components is left out.
 
     One row for each paragraph of a component in two documents at least: doc_id,
     start_word, n_words, start_byte, end_byte (of the text in UTF-8), cluster_doc_id
-    and cluster_start_word (of the component's first paragraph) and removed (false
-    for that one alone). Null and empty texts have none; repeated rows are one
-    document, and so are null ids with equal texts. An empty table gives no rows.
+    and cluster_start_word (of the component's first paragraph; null ids come
+    first) and removed (false for that one alone). Null and empty texts and those
+    of fewer than ``min_words`` words have none; very long texts are held one at a
+    time; repeated rows are one document, and so are null ids with equal texts. An
+    empty table gives no rows, other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     scratch = scratch or Scratch(spark, "paragraphs")
@@ -185,13 +203,19 @@ def repeated_paragraphs(
     ends = every.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     shared = scratch.keep(ends.where("a <> b").select("bucket"), "shared")
     met = every.join(shared, "bucket", "left_semi").groupBy("doc").agg(F.collect_set("number").alias("numbers"))
-    found = scratch.keep(colliding(docs, scratch.keep(met, "met"), k, min_words).dropDuplicates(["doc", "number"]), "found")
-    classes = found.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    count = bands(percent, rows, recall)
+    found = colliding(docs, scratch.keep(met, "met"), k, min_words, rows, count).dropDuplicates(["doc", "number"])
+    found = scratch.keep(found, "found")
+    classes = found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "buckets")])
     classes = scratch.keep(classes, "classes")
-    hot = hot_cells(classes.select("tokens"), _stored_sets, math.ceil(classes.count() / 400_000))
-    nodes = scratch.keep(_with_prefix(classes, percent, hot), "nodes")
-    known = links(nodes, lambda of: of.select("node", "tokens"), percent, scratch)
-    place = found.drop("tokens").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = classes.select("node", "n", F.posexplode("buckets").alias("band", "grp"))
+    crowd = member.groupBy("grp").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("grp")
+    member = scratch.keep(member.join(crowd, "grp", "left_semi"), "member")
+    # the first band alone joins most copies, so that later ones have few pairs
+    steps = [[0], list(range(1, count)), list(range(count))]
+    sets = scratch.keep(with_first(classes, percent), "sets")
+    known = group_components(member, steps, sets, percent, scratch)
+    place = found.drop("tokens", "buckets").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     place = scratch.keep(place, "place")
     first = F.min(F.struct(F.col("doc_id"), F.col("doc"), F.col("number"), F.col("start_word"))).alias("first")
     of = place.groupBy("component").agg(first, F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b")
