@@ -95,10 +95,13 @@ def dedup_lines(
     least ``min_docs`` documents have it in its place and it has no digit; others
     are variable fields. Lines of one leaf with the same constants share a
     template if at least ``min_constant`` of its tokens are constant. Lines
-    without tokens, or of fewer than ``min_tokens``, stay. Null and empty texts stay as they are, with 0
-    and 1 lines; repeated rows are one document, and so are null ids. All of it
-    is DataFrame operations; hot templates and leaves are counted by partial
-    sums, and joins have tables on both sides, so that Spark can split them.
+    without tokens, or of fewer than ``min_tokens``, stay. Null and empty texts
+    stay as they are, with 0 and 1 lines; rows with one doc_id are one document,
+    and so are null ids, which come first in order (rows of one doc_id by a hash
+    of the text). A text of any length is one row of lines; an empty table gives
+    no rows, and other columns are passed on whatever their names. All of it is DataFrame
+    operations; hot templates and leaves are counted by partial sums, and joins
+    have tables on both sides, so that Spark can split them.
     """
     prepare(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "linededup")
@@ -126,11 +129,11 @@ WITH every AS (
 ), leaf AS (
   SELECT doc_id, h, line_no, array_to_string(tokens, ' ') AS masked,
     len(tokens) || ' ' || array_to_string(list_slice(tokens, 1, 3), ' ') AS leaf
-  FROM every WHERE len(tokens) >= 3
+  FROM every WHERE len(tokens) >= 1
 ), found AS (
-  SELECT * FROM leaf WHERE leaf IN (SELECT leaf FROM leaf GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3)
+  SELECT * FROM leaf WHERE leaf IN (SELECT leaf FROM leaf GROUP BY leaf HAVING count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INT)) >= 3)
 ), once AS (
-  SELECT leaf, masked, count(DISTINCT doc_id) AS docs FROM found GROUP BY leaf, masked
+  SELECT leaf, masked, count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INT)) AS docs FROM found GROUP BY leaf, masked
 ), places AS (
   SELECT o.leaf, o.masked, o.docs, i AS place, string_split(o.masked, ' ')[i] AS token
   FROM once o, unnest(range(1, len(string_split(o.masked, ' ')) + 1)) AS u(i)
@@ -143,17 +146,17 @@ WITH every AS (
 ), of AS (
   SELECT t.leaf, t.template, f.doc_id, f.h, f.line_no FROM found f JOIN templates t ON f.leaf = t.leaf AND f.masked = t.masked
 ), recurring AS (
-  SELECT leaf, template FROM of GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 3
+  SELECT leaf, template FROM of GROUP BY leaf, template HAVING count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INT)) >= 3
 ), numbered AS (
-  SELECT o.doc_id, o.h, o.line_no, row_number() OVER (PARTITION BY o.leaf, o.template ORDER BY o.doc_id, o.line_no) AS nth
+  SELECT o.doc_id, o.h, o.line_no, rank() OVER (PARTITION BY o.leaf, o.template ORDER BY o.doc_id NULLS FIRST, o.h, o.line_no) AS nth
   FROM of o JOIN recurring r ON o.leaf = r.leaf AND o.template = r.template
 ), gone AS (
-  SELECT doc_id, h, list(line_no) AS gone FROM numbered WHERE nth > 1 GROUP BY doc_id, h
+  SELECT doc_id, h, list(DISTINCT line_no) AS gone FROM numbered WHERE nth > 1 GROUP BY doc_id, h
 )
-SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines,
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines,
   CAST(coalesce(len(g.gone), 0) AS BIGINT) AS n_dropped,
   CASE WHEN g.gone IS NULL THEN d.text ELSE array_to_string(list_transform(
     list_filter(range(1, len(string_split(d.text, chr(10))) + 1), lambda i: NOT list_contains(g.gone, i - 1)),
     lambda i: string_split(d.text, chr(10))[i]), chr(10)) END AS text
-FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id AND md5(d.text) = g.h
+FROM documents d LEFT JOIN gone g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND md5(d.text) = g.h
 """

@@ -63,7 +63,7 @@ def op9_pivotal_mixing(spark, sf_dir):
 
 
 def op10_line_templates(spark, sf_dir):
-    found = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_tokens=3)
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", "text")
 
 
