@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -67,6 +68,12 @@ class Scratch:
             if path := self.paths.pop(id(df), None):
                 self._delete(path)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of steps that have been written: it
+        does so when the driver collects garbage, which a large heap puts off."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
