@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from docloom.llm.components import components
 from docloom.session import Scratch
 
-#: Rows of either side of one block, and pairs counted at once.
-BLOCK, CELLS = 2048, 4_000_000
+#: Rows of either side of one block, pairs counted at once, and pairs compared one by one.
+BLOCK, CELLS, SMALL = 2048, 4_000_000, 24
 
 
 def least_overlap(n, m, percent: int):
@@ -28,10 +28,12 @@ def least_overlap(n, m, percent: int):
 
 
 def main_components(now: DataFrame) -> DataFrame:
-    """grp, main (the most frequent component) of groups with two at least."""
+    """grp, main (the most frequent component), rows and minor (rows of others) of
+    groups with two components at least."""
     by = now.groupBy("grp", "component").count()
     most = F.max_by("component", F.struct("count", "component")).alias("main")
-    return by.groupBy("grp").agg(most, F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    found = by.groupBy("grp").agg(most, F.sum("count").alias("rows"), F.max("count").alias("largest"))
+    return found.where("rows > largest").select("grp", "main", "rows", (F.col("rows") - F.col("largest")).alias("minor"))
 
 
 def merged(known: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -53,7 +55,7 @@ def hub_pairs(now: DataFrame, percent: int, turn: int) -> DataFrame:
     return pairs.groupBy(F.col("node").alias("a"), "b").agg(F.first("component").alias("ca"), F.first("cb").alias("cb"))
 
 
-def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def alike(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """a, b: the components of the ``pairs`` (a, b, ca, cb) whose sets are alike."""
 
     def run(arrow_batches):
@@ -67,14 +69,22 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64())).rename_columns(["a", "b"])
 
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = scratch.keep(sets.select("node", "tokens").join(needed, "node", "left_semi"), "needed")
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return two.select("ca", "cb", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    found = scratch.keep(two.select("ca", "cb", "x", "y").mapInArrow(run, "a long, b long").distinct(), "links")
+    scratch.drop(sets)
+    return found
 
 
 def _linked(few: list[tuple], many: list[tuple], percent: int, whole: bool) -> list[tuple[int, int]]:
     """Pairs of one block's two sides (node, n, component, tokens): with whole sets,
     components that link; with sets' first tokens, nodes that these let link."""
+    if whole and len(few) * len(many) <= SMALL:
+        some, other = ([(*r[:3], set(np.frombuffer(r[3], dtype=np.int64).tolist())) for r in side] for side in (few, many))
+        met = ((x, y) for x in some for y in other if x[2] != y[2] and len(x[3] & y[3]) >= least_overlap(x[1], y[1], percent))
+        return sorted({(min(x[2], y[2]), max(x[2], y[2])) for x, y in met})
     n, m = (np.array([r[1] for r in side], dtype=np.int64) for side in (few, many))
     c, d = (np.array([r[2] for r in side], dtype=np.int64) for side in (few, many))
     size = np.array([len(r[3]) // 8 for r in few])
@@ -111,9 +121,6 @@ def _linked(few: list[tuple], many: list[tuple], percent: int, whole: bool) -> l
     return sorted(out)
 
 
-_BLOCKED = ["grp", "i", "j", "side", "node", "n", "component", "tokens"]
-
-
 def _by_block(percent: int, whole: bool):
     """Streams rows sorted by block and side; holds one block's sides at most."""
 
@@ -146,18 +153,17 @@ def rest_pairs(now: DataFrame, sets: DataFrame, percent: int, whole: bool, block
     nodes of the group (see ``_linked``). ``now`` has (grp, node, n, component),
     ``sets`` (node, tokens). Both sides of a group are dealt into blocks, and each
     block of one meets each of the other in some task."""
-    main = main_components(now)
-    rows = now.join(main, "grp")
-    count = rows.groupBy("grp").agg(
-        F.ceil(F.count(F.when(F.col("component") != F.col("main"), 1)) / block).cast("int").alias("few"),
-        F.ceil(F.count("*") / block).cast("int").alias("many"),
-    )
-    rows = rows.join(count, "grp").join(sets.select("node", "tokens"), "node")
+    blocks = lambda rows: F.ceil(F.col(rows) / block).cast("int")
+    main = main_components(now).select("grp", "main", blocks("minor").alias("few"), blocks("rows").alias("many"))
+    rows = now.join(main, "grp").join(sets.select("node", "tokens"), "node")
     own = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
-    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    few = rows.where("component <> main").withColumn("i", own("few")).withColumn("j", each("many")).withColumn("side", F.lit(0))
-    many = rows.withColumn("j", own("many")).withColumn("i", each("few")).withColumn("side", F.lit(1))
-    dealt = few.select(*_BLOCKED).unionByName(many.select(*_BLOCKED)).repartition("grp", "i", "j")
+    each = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    few = F.transform(each("many"), lambda j: place(own("few"), j, 0))
+    many = F.transform(each("few"), lambda i: place(i, own("many"), 1))
+    at = F.when(F.col("component") != F.col("main"), F.concat(few, many)).otherwise(many)
+    dealt = rows.select("grp", F.explode(at).alias("at"), "node", "n", "component", "tokens")
+    dealt = dealt.select("grp", "at.i", "at.j", "at.side", "node", "n", "component", "tokens").repartition("grp", "i", "j")
     return dealt.sortWithinPartitions("grp", "i", "j", "side").mapInArrow(_by_block(percent, whole), "a long, b long").distinct()
 
 
@@ -178,7 +184,7 @@ def parts_of(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = rows.select(F.xxhash64("grp", "token").alias("grp"), "node", "n", "component", reach.alias("reach"))
     least = rows.groupBy("grp").agg(F.min(F.when(F.col("reach") >= F.col("n"), F.col("n"))).alias("least"), *ends)
     least = least.where("a <> b AND least IS NOT NULL").select("grp", "least")
-    return rows.join(least, "grp").where("reach >= least").select("grp", "node", "n", "component").distinct()
+    return rows.join(least, "grp").where("reach >= least").select("grp", "node", "n", "component")
 
 
 def group_components(member: DataFrame, steps: list, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -190,7 +196,7 @@ def group_components(member: DataFrame, steps: list, sets: DataFrame, percent: i
     for turn, some in enumerate(steps):
         now = scratch.keep(member.where(F.col("band").isin(some)).join(known, "node"), "now")
         pairs = scratch.keep(hub_pairs(now, percent, turn), "pairs")
-        edges = scratch.keep(alike(pairs, sets, percent), "links")
+        edges = alike(pairs, sets, percent, scratch)
         if not edges.isEmpty():
             known = merged(known, edges, scratch)
         scratch.drop(now, pairs, edges)

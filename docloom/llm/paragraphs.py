@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -19,6 +18,9 @@ WORDS, PERCENT, MIN_WORDS = 5, 75, 16
 #: In sentences of more words than ``LONG``, one word in ``STOP`` ends a part of
 #: them, by its hash: texts without full stops have paragraphs too.
 LONG, STOP = 24, 8
+#: Words between a paragraph's beginning and others that could be chosen in its
+#: place, and words it takes on to reach the next paragraph.
+APART, MORE = 14, 12
 #: Rows of a band, and the share of pairs at the threshold that must collide.
 BAND_ROWS, RECALL = 1, 0.98
 _ENDS = np.zeros(256, dtype=bool)
@@ -32,44 +34,73 @@ def bands(percent: int, rows: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** rows))
 
 
-def split(texts: list[bytes], min_words: int):
+def sentences(texts: list[bytes]):
     """Hashes of all words, where each text's begin, the words' first and
-    past-the-end bytes, and for each paragraph its text, first and past-the-end
-    word. Sentences end at a full stop, a line's end or, in long ones, at words
-    chosen by their hash; a paragraph is as many as have ``min_words`` words, over
-    line ends too, so that a passage in short lines is in paragraphs as others are."""
+    past-the-end bytes, and past-the-end words of sentences: they end at a full
+    stop, a line's end or, in long ones, after words chosen by their hash."""
     words, first, begin, end = hash_words(texts)
+    if not len(words):
+        return words, first, begin, end, np.zeros(0, dtype=np.int64)
     joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    out, start = [], 0
-    if len(words):
-        lines, last = np.cumsum(joined == 10), np.ones(len(words), dtype=bool)
-        last[:-1] = lines[begin[1:]] != lines[begin[:-1]]
-        stop = last | _ENDS[joined[end - 1]]
-        size = np.diff(np.concatenate([[0], np.flatnonzero(stop) + 1]))
-        stop |= np.repeat(size > LONG, size) & (mix64(words ^ _STOPS) % np.uint64(STOP) == 0)
-        final = np.zeros(len(words) + 1, dtype=bool)
-        final[first[1:]] = True
-        ends = np.flatnonzero(stop) + 1
-        for at, over in zip(ends.tolist(), final[ends].tolist()):
-            if over or at - start >= min_words:
-                out.append((start, at))
-                start = at
-    spans = np.array(out, dtype=np.int64).reshape(-1, 2)
-    owner = np.searchsorted(first, spans[:, 0], side="right") - 1
-    return words, first, begin, end, owner, spans
+    lines, last = np.cumsum(joined == 10), np.ones(len(words), dtype=bool)
+    last[:-1] = lines[begin[1:]] != lines[begin[:-1]]
+    stop = last | _ENDS[joined[end - 1]]
+    size = np.diff(np.concatenate([[0], np.flatnonzero(stop) + 1]))
+    stop |= np.repeat(size > LONG, size) & (mix64(words ^ _STOPS) % np.uint64(STOP) == 0)
+    return words, first, begin, end, np.flatnonzero(stop) + 1
+
+
+def chosen(starts: np.ndarray, owner: np.ndarray, words: np.ndarray, opens: np.ndarray, apart: int) -> np.ndarray:
+    """Which sentences a paragraph begins with: a text's first, and each that has
+    the least hash (of the words on both sides of its start) among those up to
+    ``apart`` words away. What is far from a passage's ends does not count, so
+    copies of the passage have the same ones."""
+    h = mix64(words[np.maximum(starts - 1, 0)] + np.uint64(3) * words[starts])
+    h[opens] = 0
+    keep, k = np.ones(len(starts), dtype=bool), 1
+    while k < len(starts):
+        near = (starts[k:] - starts[:-k] <= apart) & (owner[k:] == owner[:-k])
+        if not near.any():
+            break
+        keep[k:] &= ~near | (h[:-k] > h[k:])  # of equal ones the first
+        keep[:-k] &= ~near | (h[k:] >= h[:-k])
+        k += 1
+    return keep
 
 
 def paragraphs(texts: list[bytes], k: int, min_words: int):
     """owner, number in its text, spans (words), bytes in the text and shingle
-    hashes of each paragraph of at least ``min_words`` words. A shorter rest of a
-    text has the words before it, up to ``min_words`` with its own. Only texts of
-    fewer words have none."""
-    words, first, begin, end, owner, spans = split(texts, min_words)
+    hashes of each paragraph. One begins at each chosen sentence and takes on
+    sentences, over line ends, until it has ``min_words`` words, and then up to
+    ``MORE`` if these take it to the next one's beginning. Other words between
+    two, or after the last, are in paragraphs as long. They may overlap; only
+    texts of fewer words have none."""
+    words, first, begin, end, ends = sentences(texts)
     every, least = hash_shingles(words, k), max(min_words, k)
-    rest = spans[:, 1] - spans[:, 0] < least
-    stop = np.maximum(spans[rest, 1], first[owner[rest]] + least)
-    stop = np.unique(stop[stop <= first[owner[rest] + 1]])
-    spans = np.concatenate([spans[~rest], np.stack([stop - least, stop], axis=1)])
+    starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
+    of = np.searchsorted(first, starts, side="right") - 1
+    opens, closes = starts == first[of], first[of + 1]
+    at = np.flatnonzero(chosen(starts, of, words, opens, APART) if len(starts) else opens)
+    last = np.searchsorted(ends, starts[at] + least)
+    fits = (last < len(ends)) & (ends[np.minimum(last, len(ends) - 1)] <= closes[at])
+    at, last = at[fits], last[fits]
+    spans = np.stack([starts[at], ends[last]], axis=1)
+    # what is before the next paragraph or the text's end
+    following = np.append(spans[1:, 0], 0)
+    again = np.append(of[at][1:] == of[at][:-1], False)
+    spans[:, 1] = np.where(again & (spans[:, 1] < following) & (following - spans[:, 1] <= MORE), following, spans[:, 1])
+    upto = np.where(again, following, closes[at])
+    more = []
+    for i in np.flatnonzero(spans[:, 1] < upto).tolist():
+        a, stop = int(spans[i, 1]), int(upto[i])
+        while a < stop:
+            j = int(np.searchsorted(ends, a + least))
+            b = int(ends[j]) if j < len(ends) else stop + 1
+            if b > stop:
+                a, b = int(starts[np.searchsorted(starts, stop - least, side="right") - 1]), stop
+            more.append((a, b))
+            a = b
+    spans = np.concatenate([spans, np.array(more, dtype=np.int64).reshape(-1, 2)])
     spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
     owner = np.searchsorted(first, spans[:, 0], side="right") - 1
     offset = np.cumsum([0, *(len(t) + 1 for t in texts)])[owner]
@@ -79,11 +110,13 @@ def paragraphs(texts: list[bytes], k: int, min_words: int):
 
 
 def minhashes(every: np.ndarray, spans: np.ndarray, k: int, count: int) -> np.ndarray:
-    """``count`` minima of hashed shingles for each paragraph."""
+    """``count`` minima of hashed shingles for each paragraph. Shingle hashes are
+    uniform, so an odd factor is permutation enough."""
     edges = np.stack([spans[:, 0], spans[:, 1] - k + 1], axis=1).ravel()
     out = np.zeros((count, len(spans)), dtype=np.uint64)
+    hashed = np.zeros(len(every) + 1, dtype=np.uint64)
     for i in range(count if len(spans) else 0):
-        hashed = np.append(mix64(every ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64)), np.uint64(0))
+        np.multiply(every, np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64), out=hashed[:-1])
         out[i] = np.minimum.reduceat(hashed, edges)[::2]
     return out
 
@@ -119,27 +152,46 @@ def buckets(docs: DataFrame, k: int, min_words: int, rows: int, count: int) -> D
     return docs.select("text", "doc").mapInArrow(run, "bucket long, doc long, number long")
 
 
+def shingle_sets_of(every: np.ndarray, spans: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of all paragraphs one after another, how
+    many each has, and each one's name, a hash of its set."""
+    size = spans[:, 1] - spans[:, 0] - k + 1
+    row = np.repeat(np.arange(len(spans)), size)
+    token = every[np.repeat(spans[:, 0] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    order = np.lexsort((token, row))
+    row, token = row[order], token[order]
+    new = np.ones(len(token), dtype=bool)
+    new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
+    token, n = token[new], np.bincount(row[new], minlength=len(spans))
+    total = np.add.reduceat(mix64(token), np.cumsum(n) - n) if len(spans) else token
+    return token, n, mix64(total + n.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
 def colliding(docs: DataFrame, found: DataFrame, k: int, min_words: int, rows: int, count: int) -> DataFrame:
     """The paragraphs named in ``found`` (doc, numbers) with their whole sets and buckets."""
 
     def run(arrow_batches):
         for batch in arrow_batches:
-            ids, docs_, wanted = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            ids, docs_ = batch.column(1), batch.column(2)
+            wanted = batch.column(3).to_pylist()
             pairs = ((i, _raw(t.as_py())) for i, t in enumerate(batch.column(0)))
             for some in batches(pairs, lambda p: len(p[1]), 2 << 20):
                 owner, number, own, places, spans, every = paragraphs([p[1] for p in some], k, min_words)
-                sets, owners = [set(wanted[i]) for i, _ in some], owner.tolist()
-                mine = [j for j, n in enumerate(number.tolist()) if n in sets[owners[j]]]
-                spans, out = spans[mine], []
-                bands = np.stack(band_hashes(every, spans, k, rows, count), axis=1).tolist()
-                for j, (first, last), band in zip(mine, spans.tolist(), bands):
-                    raw = np.unique(every[first : last - k + 1]).tobytes()
-                    node = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-                    i, (a, b) = some[owners[j]][0], own[j].tolist()
-                    out.append((ids[i], docs_[i], int(number[j]), a, b - a, *places[j].tolist(), node, len(raw) // 8, raw, band))
-                columns = zip(*out) if out else [[]] * 11
-                kinds = [pa.int64()] * 9 + [pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], _FOUND)
+                start = np.searchsorted(owner, np.arange(len(some)))
+                mine = np.concatenate([start[j] + np.array(sorted(wanted[i]), dtype=np.int64) for j, (i, _) in enumerate(some)])
+                spans, own, places, owner, number = (x[mine] for x in (spans, own, places, owner, number))
+                at = pa.array(np.array([i for i, _ in some], dtype=np.int64)[owner])
+                token, n, node = shingle_sets_of(every, spans, k)
+                if n.sum() > (1 << 27):
+                    raise ValueError("more than 1 GB of shingles in the paragraphs of one text")
+                edges = pa.py_buffer((8 * np.concatenate([[0], np.cumsum(n)])).astype(np.int32))
+                sets = pa.Array.from_buffers(pa.binary(), len(n), [None, edges, pa.py_buffer(np.ascontiguousarray(token))])
+                bands = np.stack(band_hashes(every, spans, k, rows, count), axis=1).ravel()
+                of = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * count), pa.array(bands))
+                numbers = (number, own[:, 0], own[:, 1] - own[:, 0], places[:, 0], places[:, 1], node.view(np.int64), n)
+                columns = [ids.take(at), docs_.take(at), *[pa.array(x.astype(np.int64)) for x in numbers], sets, of]
+                for a in range(0, len(n), 2000):
+                    yield pa.RecordBatch.from_arrays([c[a : a + 2000] for c in columns], _FOUND)
 
     joined = docs.join(found, "doc").select("text", "doc_id", "doc", "numbers")
     return joined.mapInArrow(run, ", ".join(f"{c} long" for c in _FOUND[:-2]) + ", tokens binary, buckets array<long>")
@@ -177,9 +229,10 @@ def repeated_paragraphs(
 ) -> DataFrame:
     """The paragraphs of ``docs`` (doc_id, text) that repeat across documents.
 
-    A paragraph is one or more sentences with ``min_words`` words together; a
-    shorter rest of a text is taken with words before it, which may be in another
-    paragraph too. Paragraphs that share a MinHash bucket link if their whole sets
+    A paragraph is one or more sentences with ``min_words`` words together. It
+    begins where words around it say so, not by a count from the text's or line's
+    beginning, so that a passage has the same paragraphs in every text; every word
+    of a text of ``min_words`` words is in one, some in more. Paragraphs that share a MinHash bucket link if their whole sets
     are alike: 100 * intersection >= percent * union, of k-word shingles of A-Z
     lower-cased words. The bands are the fewest that let a pair at the threshold
     collide with probability ``recall``; equal paragraphs always do. A bucket's
@@ -199,24 +252,35 @@ def repeated_paragraphs(
     scratch = scratch or Scratch(spark, "paragraphs")
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     docs = docs.withColumn("doc", F.xxhash64("doc_id", F.xxhash64("text")))
-    every = buckets(docs, k, min_words, rows, bands(percent, rows, recall))
+    count = bands(percent, rows, recall)
+    every = scratch.keep(buckets(docs, k, min_words, rows, count), "buckets")
     ends = every.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     shared = scratch.keep(ends.where("a <> b").select("bucket"), "shared")
     met = every.join(shared, "bucket", "left_semi").groupBy("doc").agg(F.collect_set("number").alias("numbers"))
-    count = bands(percent, rows, recall)
-    found = colliding(docs, scratch.keep(met, "met"), k, min_words, rows, count).dropDuplicates(["doc", "number"])
-    found = scratch.keep(found, "found")
+    met = scratch.keep(met, "met")
+    scratch.drop(every, shared)
+    found = scratch.keep(colliding(docs, met, k, min_words, rows, count), "found")
+    scratch.drop(met)
+    scratch.release()
     classes = found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "buckets")])
     classes = scratch.keep(classes, "classes")
+    # rows with one doc_id and text are one document
+    seen = scratch.keep(found.drop("tokens", "buckets").dropDuplicates(["doc", "number"]), "seen")
+    scratch.drop(found)
+    scratch.release()
     member = classes.select("node", "n", F.posexplode("buckets").alias("band", "grp"))
     crowd = member.groupBy("grp").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("grp")
     member = scratch.keep(member.join(crowd, "grp", "left_semi"), "member")
+    several = scratch.keep(classes.select("node", "tokens").join(member.select("node").distinct(), "node", "left_semi"), "several")
+    scratch.drop(classes)
+    sets = scratch.keep(with_first(several, percent), "sets")
+    scratch.drop(several)
+    scratch.release()
     # the first band alone joins most copies, so that later ones have few pairs
     steps = [[0], list(range(1, count)), list(range(count))]
-    sets = scratch.keep(with_first(classes, percent), "sets")
     known = group_components(member, steps, sets, percent, scratch)
-    place = found.drop("tokens", "buckets").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    place = scratch.keep(place, "place")
+    place = scratch.keep(seen.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "place")
+    scratch.drop(seen, member, sets)  # without links, the components are read from the sets
     first = F.min(F.struct(F.col("doc_id"), F.col("doc"), F.col("number"), F.col("start_word"))).alias("first")
     of = place.groupBy("component").agg(first, F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b")
     of = scratch.keep(of.select("component", "first"), "clusters")
