@@ -17,7 +17,8 @@ MAX_LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS = 200, 300, 32_768
 #: A parse begins anew after so many characters, so that a text's blocks are
 #: parsed side by side; a block adds one phrase at most.
 BLOCK = 1024
-SYMBOLS, COMMON = 64, 48
+#: Columns of the dense table of a language's states.
+SYMBOLS = 64
 
 
 def normalise(text: str) -> np.ndarray:
@@ -87,34 +88,69 @@ def shared(texts: list[np.ndarray], total: int) -> np.ndarray:
 
 
 class Model:
-    """The automata of all languages in one table. An entry is twice the row of
+    """The automata of all languages. Each has an alphabet of its own, the letters
+    of its sample: the commonest are columns of a dense table of states, any others
+    are looked up among sorted (state, letter) keys. An entry is twice the row of
     the next state, plus 1 where a phrase ends before the symbol."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(k for k, v in texts.items() if any(len(normalise(t)) for t in v))
         samples = {k: shared([np.append(normalise(t), 0) for t in texts[k]], SAMPLE_CHARS) for k in self.languages}
-        self.codes = np.zeros(0x110000, dtype=np.uint8)
-        letters = np.flatnonzero(_letters())
-        self.codes[letters] = COMMON + letters % (SYMBOLS - COMMON)
-        if samples:
-            seen, counts = np.unique(np.concatenate(list(samples.values())), return_counts=True)
-            order = [c for c in seen[np.lexsort((seen, -counts))].tolist() if c]
-            self.codes[order[: COMMON - 1]] = np.arange(1, min(COMMON, len(order) + 1))
-        tables, self.roots, self.bits, at = [], [], [], 0
+        seen = np.unique(np.concatenate([np.zeros(1, dtype=np.uint32), *samples.values()]))
+        # a letter of no sample is one past those that are; 0 stays 0
+        self.codes = np.zeros(0x110000, dtype=np.int32)
+        self.codes[np.flatnonzero(_letters())] = len(seen)
+        self.codes[seen] = np.arange(len(seen))
+        self.local, self.rare, tables, self.roots, self.bits, at = [], [], [], [], [], 0
         for k in self.languages:
-            nxt = automaton(self.codes[samples[k]].tolist())
+            own, local = self._alphabet(self.codes[samples[k]], len(seen))
+            nxt = automaton(local[self.codes[samples[k]]].tolist())
             dead = len(nxt)
-            restart = np.array([nxt[0].get(c, dead) for c in range(SYMBOLS)])
-            t = np.tile((restart + at) * SYMBOLS * 2 + 1, (dead + 1, 1))
-            for s, to in enumerate(nxt):
-                if to:
-                    t[s, list(to)] = (np.array(list(to.values())) + at) * SYMBOLS * 2
+            row = lambda state: (state + at) * SYMBOLS * 2  # noqa: E731, B023
+            t = np.tile(row(np.array([nxt[0].get(c, dead) for c in range(SYMBOLS)])) + 1, (dead + 1, 1))
+            keys, values = [], []
+            for state, to in enumerate(nxt):
+                for c, into in to.items():
+                    if c < SYMBOLS:
+                        t[state, c] = row(into)
+                    else:
+                        keys.append((state + at) * SYMBOLS * own + c)
+                        values.append(row(into))
+            order = np.argsort(np.array(keys, dtype=np.int64))
+            again = np.array([row(nxt[0].get(c, dead)) + 1 for c in range(SYMBOLS, own)], dtype=np.int32)
+            self.rare.append((own, np.array(keys, dtype=np.int64)[order], np.array(values, dtype=np.int32)[order], again))
+            self.local.append(local)
             tables.append(t.astype(np.int32))
             self.roots.append(at * SYMBOLS)
             self.bits.append(math.log2(len(samples[k]) + 1))
             at += dead + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int32)
 
+    @staticmethod
+    def _alphabet(sample: np.ndarray, unseen: int) -> tuple[int, np.ndarray]:
+        """How many symbols a language has, and its symbol for each code: 0 between
+        words, then its letters by frequency, but for the last dense one, which is
+        every letter it does not have."""
+        letters, counts = np.unique(sample[sample > 0], return_counts=True)
+        letters = letters[np.lexsort((letters, -counts))]
+        local = np.full(unseen + 1, SYMBOLS - 1, dtype=np.int32)
+        local[0] = 0
+        symbol = np.arange(1, len(letters) + 1)
+        local[letters] = symbol + (symbol >= SYMBOLS - 1)
+        return max(SYMBOLS, len(letters) + 2), local
+
+    def _entries(self, language: int, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        own, keys, values, again = self.rare[language]
+        if own == SYMBOLS:
+            return self.table[at + codes]
+        entry = self.table[at + np.minimum(codes, SYMBOLS - 1)]
+        rare = np.flatnonzero(codes >= SYMBOLS)
+        if len(rare):
+            wanted = at[rare].astype(np.int64) * own + codes[rare]
+            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            entry[rare] = np.where(keys[place] == wanted, values[place], again[codes[rare] - SYMBOLS])
+        return entry
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (as codes) by each language, block by block."""
         cuts = [(i, a) for i, t in enumerate(texts) for a in range(0, len(t), BLOCK)]
@@ -123,21 +159,22 @@ class Model:
         out = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
         if not len(cuts) or not self.languages:
             return out
-        padded = np.zeros((len(cuts), lengths[0]), dtype=np.uint8)
+        padded = np.zeros((len(cuts), lengths[0]), dtype=np.int32)
         for row, (i, a) in enumerate(cuts):
             padded[row, : lengths[row]] = texts[i][a : a + BLOCK]
-        steps = np.ascontiguousarray(padded.T).astype(np.int32)
+        steps = np.ascontiguousarray(padded.T)
         owner = np.array([i for i, _ in cuts])
         width = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
         for column, root in enumerate(self.roots):
             at = np.full(len(cuts), root, dtype=np.int32)
             ended = np.ones(len(cuts), dtype=np.int32)
+            local = self.local[column]
+            # the first symbol of a block begins its first phrase and ends none
+            first = self._entries(column, at, local[steps[0]]) & 1
             for codes, w in zip(steps, width.tolist()):
-                entry = self.table[at[:w] + codes[:w]]
+                entry = self._entries(column, at[:w], local[codes[:w]])
                 ended[:w] += entry & 1
                 at[:w] = entry >> 1
-            # the first symbol of a block begins its first phrase and ends none
-            first = self.table[root + steps[0]] & 1
             np.add.at(out[:, column], owner, ended - first)
         return out
 
@@ -157,7 +194,9 @@ class Model:
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Fits automata on a bounded sample of ``labelled`` (doc_id, text, lang): of
     each language about ``rows`` rows, those of the least hash, and of their
-    texts together at most ``chars`` characters, in equal shares."""
+    texts together at most ``chars`` characters, in equal shares. Rows without
+    text or language are left out, equal rows count once, and of an empty table
+    the model has no language."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
@@ -166,11 +205,14 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHAR
         return Model({})
     grain = 1 << 30
     most = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(grain, math.ceil(2 * rows / r["count"] * grain)))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(grain))
+    # by the text too, as null ids have no hash of their own; equal rows are one
+    place = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(grain))
     sample = (
         labelled.withColumn("place", place)
         .where(F.col("place") < F.element_at(most, F.col("lang")))
-        .select("lang", "place", "doc_id", F.substring("text", 1, chars).alias("text"))
+        .groupBy("lang", "place")
+        .agg(F.min(F.struct("doc_id", F.substring("text", 1, chars).alias("text"))).alias("one"))
+        .select("lang", "place", "one.*")
         .collect()
     )
     texts: dict[str, list[str]] = {}
@@ -186,7 +228,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     The language wins whose automaton needs the fewest phrases for the text,
     times the bits of a position in its sample, for each character. A null text,
     or one without letters, is ``und`` with score 0, and so is every text where
-    the model has no language. Ties go to the first language in order.
+    the model has no language. Ties go to the first language in order. Texts of
+    any length are parsed whole, in blocks that begin anew (``BLOCK``); repeated
+    rows have a row each, an empty table none, and other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
