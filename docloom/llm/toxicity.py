@@ -17,7 +17,8 @@ SAMPLE_ROWS, TERMS, MIN_DOCS = 20_000, 4096, 5
 #: Weight of squared score changes under a swap, ridge and steps of the fit.
 SWAP_PENALTY, RIDGE, STEPS = 1.0, 2e-4, 400
 
-#: Identity terms that are swapped within their group (fixed values).
+#: Identity terms that are swapped within their group, in English, German, French
+#: and Spanish (fixed values).
 IDENTITY = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"),
     ("gay", "lesbian", "bisexual", "straight", "transgender"),
@@ -25,6 +26,12 @@ IDENTITY = (
     ("muslim", "jewish", "christian", "hindu", "buddhist", "atheist"),
     ("muslims", "jews", "christians", "hindus", "buddhists", "atheists"),
     ("immigrants", "natives"), ("old", "young"), ("disabled", "deaf", "blind"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("schwarze", "weiße"),
+    ("muslime", "juden", "christen", "hindus"), ("ausländer", "einheimische"), ("schwule", "lesben"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("noirs", "blancs", "arabes"),
+    ("musulmans", "juifs", "chrétiens"), ("immigrés", "natifs"), ("homosexuels", "lesbiennes"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niñas", "niños"), ("negros", "blancos", "latinos"),
+    ("musulmanes", "judíos", "cristianos"), ("inmigrantes", "nativos"), ("homosexuales", "lesbianas"),
 )
 
 _SEPARATORS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
@@ -119,8 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: in
     """Fits on about ``rows`` labelled rows at most, those of the least hash of
     doc_id. Its terms are the ``terms`` words and prefixes most unlike by label
     (chi square) among those in at least 5 of the documents, and the identity
-    terms. A swap is made in the text itself. Null
-    labels are left out; of a doc_id's labels the largest counts."""
+    terms. A swap is made in the text itself. Null ids and labels are left out;
+    of a doc_id's labels the largest counts, of its texts the one of least hash,
+    so that repeated ids make the sample no larger. Without rows all scores are
+    0.5."""
     spark = prepare(docs.sparkSession)
     scratch = scratch or Scratch(spark, "toxicity")
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
@@ -128,7 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: in
     grain = 1 << 30
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < min(grain, int(rows / max(n, 1) * grain)))
     known = scratch.keep(known.orderBy(F.xxhash64("doc_id")).limit(rows), "labels")
-    sample = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label"), "sample")
+    one = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id")
+    one = one.agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))
+    sample = scratch.keep(one.select("text", "label"), "sample")
 
     def distinct(arrow_batches):
         for batch in arrow_batches:
@@ -185,7 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: in
 
 def classify(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from 0.5 on) of each row of
-    ``docs`` (doc_id, text). A null text is empty and scores as one."""
+    ``docs`` (doc_id, text). A null text is empty and scores as one; texts of any
+    length are scored whole, repeated rows each, an empty table has no rows, and
+    other columns are ignored."""
     spark = prepare(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
 
