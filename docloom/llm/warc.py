@@ -14,8 +14,9 @@ from docloom.session import Scratch, prepare
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: Records of one file, so that a file is read by one task.
-RECORDS_PER_FILE = 2000
+#: Payload bytes up to which a file has so many records: a file's payloads have
+#: 128 MB at most, or it has one record, so that one task can read it whole.
+RECORDS_PER_FILE = ((1 << 16, 2000), (1 << 22, 32), (1 << 62, 1))
 _BASE32_DIGITS = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 SCHEMA = (
     "page_id long, url string, record_type string, record_id string, payload_bytes long, payload_digest string, "
@@ -53,7 +54,6 @@ def resolve(headers: DataFrame, min_bytes: int, scratch: Scratch) -> DataFrame:
     ``min_bytes``. Headers are shuffled by payload digest with a partial minimum
     before, and the join back can be split where a digest is hot, as both of its
     sides are tables."""
-    headers = scratch.keep(headers, "headers")
     least = F.min(F.struct("key", "page_id", "url")).alias("original")
     originals = scratch.keep(headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(least), "originals")
     return headers.select("key", "payload_digest").distinct().join(originals, "payload_digest")
@@ -89,6 +89,7 @@ def record(date: str = DATE):
                 line("WARC-Profile", F.lit(PROFILE)),
                 line("WARC-Refers-To", record_id(F.col("original.key"), F.col("payload_digest"), F.lit(1))),
                 line("WARC-Refers-To-Target-URI", F.col("original.url")),
+                line("WARC-Refers-To-Date", F.lit(date)),
                 line("X-Refers-To-Page", F.coalesce(F.col("original.page_id").cast("string"), F.lit(""))),
             ),
         ).otherwise(F.lit("")),
@@ -109,17 +110,26 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE, scr
     least page_id is a response with the payload and the others are revisits of
     it, with fresh headers only; smaller payloads are all responses. A null html
     is an empty payload, a null page_id comes last, and of rows with one page_id
-    and payload one is the response. White space in a URL becomes ``%20``. Spark
-    commits the files, so a lost executor leaves no half of one.
+    and payload one is the response. White space in a URL becomes ``%20``. Pages
+    of a size class are written together, so that files are bounded in bytes;
+    an empty table makes a folder without records, other columns are ignored.
+    Spark commits the files, so a lost executor leaves no half of one.
     """
     spark = prepare(pages.sparkSession)
     scratch = scratch or Scratch(spark, "warc")
     rows = keyed(pages)
-    found = resolve(rows.drop("payload"), min_bytes, scratch)
-    same = Window.partitionBy("key", "payload_digest").orderBy("url")  # as the join's, so payloads are shuffled once
-    rows = rows.join(found, ["key", "payload_digest"], "left").withColumn("nth", F.row_number().over(same))
-    text = rows.select(record(date).alias("value"))
-    text.write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    headers = scratch.keep(rows.drop("payload"), "headers")
+    found = scratch.keep(resolve(headers, min_bytes, scratch), "found")
+    least = -1
+    for most, records in RECORDS_PER_FILE:
+        fits = (F.col("payload_bytes") > least) & (F.col("payload_bytes") <= most)
+        # the first write makes the folder, even of an empty table
+        if least < 0 or not headers.where(fits).isEmpty():
+            same = Window.partitionBy("key", "payload_digest").orderBy("url")  # as the join's, so payloads are shuffled once
+            some = rows.where(fits).join(found, ["key", "payload_digest"], "left").withColumn("nth", F.row_number().over(same))
+            text = some.select(record(date).alias("value"))
+            text.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+        least = most
 
 
 def parse(data: bytes):
