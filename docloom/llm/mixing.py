@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,14 +67,17 @@ def pivot(sizes: np.ndarray, shares: np.ndarray, rng: np.random.Generator) -> tu
 
 
 def _round_group(last: bool, seed: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "h"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        rng = np.random.Generator(np.random.PCG64([seed, int(last), int(key[0]), int(key[1])]))
+    """Rounds the shares of one group, null ids last; Arrow keeps 64-bit ids as they are."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("size", "descending"), ("doc_id", "ascending"), ("h", "ascending")])
+        rng = np.random.Generator(np.random.PCG64([seed, int(last), key[0].as_py(), key[1].as_py()]))
         p, held = pivot(rows["size"].to_numpy(), rows["p"].to_numpy(), rng)
-        rows["open"] = False
+        open_ = np.zeros(len(rows), dtype=bool)
         if held is not None and not last:
-            rows.loc[held, "open"] = True
-        rows["p"] = p
+            open_[held] = True
+        for name, values in (("p", p), ("open", open_)):
+            rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(values))
         return rows
 
     return run
@@ -90,23 +93,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = L
     fraction by pivotal rounding: within groups of documents, by a hash of the
     id, then over the groups' residuals in a tree. The one document of a source
     that is still fractional at the tree's root is taken in part, its first
-    words, so a source's taken words equal its target but for rounding. Runs over the same rows agree, however they
-    are partitioned. Repeated rows are taken each on their own; of an empty table
-    the result is empty; documents without words are taken 0 times. Sources, at
-    most ``MAX_SOURCES``, are gathered on the driver, documents never.
+    words, so a source's taken words equal its target but for rounding. Equal rows
+    exchange words among themselves first, which leaves one fractional row of them
+    for the groups, however many there are. Runs over the same rows agree, however
+    they are partitioned. Of an empty table the result is empty; documents
+    without words are taken 0 times; texts of any length are counted whole, and other columns
+    are ignored. Sources, at most ``MAX_SOURCES``, are gathered on the driver,
+    documents never.
     """
     spark = prepare(docs.sparkSession)
     scratch = scratch or Scratch(spark, "mixing")
-    sized = scratch.keep(
-        docs.select(
-            docs["doc_id"].cast("long").alias("doc_id"),
-            docs["source"].cast("string").alias("source"),
-            F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(docs["text"]).alias("h"),
-        ),
-        "sized",
+    rows = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"),
+        docs["source"].cast("string").alias("source"),
+        F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(docs["text"]).alias("h"),
     )
-    found = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    sized = scratch.keep(rows.groupBy("source", "doc_id", "h", "size").agg(F.count("*").alias("m")), "sized")
+    found = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n"))
+    found = found.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -115,17 +120,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = L
     for sid, (r, t) in enumerate(zip(found, goal)):
         ratio = t / r["source_size"] if r["source_size"] else 0.0
         rows.append((sid, r["source"], r["source_size"], float(t), int(ratio), ratio - int(ratio), math.ceil(r["n"] / GROUP)))
-    sources = spark.createDataFrame(rows, "sid long, source string, source_size long, target double, whole long, p double, groups long")
+    sources = spark.createDataFrame(rows, "sid long, source string, source_size long, target double, whole long, ratio double, groups long")
     known = sources.withColumnRenamed("source", "source_")
     known = F.broadcast(known) if len(rows) <= 10_000 else known
+    # of m equal rows, ``full`` are taken once more and one has the fraction left
+    full = F.floor(F.col("m") * F.col("ratio"))
     now = sized.join(known, F.col("source").eqNullSafe(F.col("source_"))).select(
-        "sid", "doc_id", "h", "size", "p", F.lit(False).alias("open"), F.pmod(F.xxhash64("doc_id", "h"), F.col("groups")).alias("g")
-    )
-    schema = "sid long, doc_id long, h long, size long, p double, open boolean, g long"
+        "sid", "doc_id", "h", "size", "m", full.alias("full"), (F.col("m") * F.col("ratio") - full).alias("p"),
+        F.lit(False).alias("open"), F.pmod(F.xxhash64("doc_id", "h"), F.col("groups")).alias("g"),
+    )
+    schema = "sid long, doc_id long, h long, size long, m long, full long, p double, open boolean, g long"
     most, done = max([r[-1] for r in rows], default=1), None
     while True:
         last = most <= 1
-        rounded = scratch.keep(now.groupBy("sid", "g").applyInPandas(_round_group(last, seed), schema), "rounded")
+        rounded = scratch.keep(now.groupBy("sid", "g").applyInArrow(_round_group(last, seed), schema), "rounded")
         closed = rounded.where(~F.col("open"))
         done = closed if done is None else done.unionByName(closed)
         if last:
@@ -133,6 +141,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = L
         most = math.ceil(most / GROUP)
         now = rounded.where("open").withColumn("g", F.pmod("g", F.lit(most)))
     whole = F.broadcast(sources) if len(rows) <= 10_000 else sources
+    # a row again for each of m equal ones, by blocks that bound what one row explodes to
+    done = done.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / GROUP))))
+    end = F.least(F.col("m"), (F.col("block") + 1) * GROUP) - 1
+    done = done.withColumn("nth", F.explode(F.sequence(F.col("block") * GROUP, end)))
+    p = F.when(F.col("nth") < F.col("full"), 1.0).when(F.col("nth") == F.col("full"), F.col("p")).otherwise(0.0)
+    done = done.select("sid", "doc_id", "h", "size", F.when(F.col("size") > 0, p).otherwise(0.0).alias("p"))
     copies = F.col("whole") + F.floor("r.p")
     taken = F.col("size") * F.col("whole") + F.round(F.col("size") * F.col("r.p")).cast("long")
     return (
