@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -130,14 +131,27 @@ def wer_legacy(reference: Column, prediction: Column) -> Column:
     return F.when(F.size(gold) == 0, empty).otherwise(edits / F.size(gold))
 
 
+@F.pandas_udf("long")
+def _word_edits(reference: pd.Series, prediction: pd.Series) -> pd.Series:
+    out = []
+    for a, b in zip(reference, prediction):
+        if a is None or b is None:
+            out.append(None)
+            continue
+        code: dict[str, int] = {}
+        x, y = (np.array([code.setdefault(w, len(code)) for w in t.split(" ") if w], dtype=np.int64) for t in (a, b))
+        place = np.arange(len(y) + 1)
+        row = place.copy()
+        for i, w in enumerate(x.tolist(), 1):
+            best = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (y != w)))
+            row = np.minimum.accumulate(best - place) + place
+        out.append(int(row[-1]))
+    return pd.Series(out, dtype="Int64")
+
+
 def word_edits(reference: Column, prediction: Column) -> Column:
-    """Edits of words: each distinct word of the pair stands as one character."""
-    gold, said = _words(reference), _words(prediction)
-    every = F.array_distinct(F.concat(gold, said))
-    code = lambda words: F.array_join(F.transform(words, lambda w: F.char(F.array_position(every, w) + 32)), "")
-    wide = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(every, w) + 57343), 4, "0")), "UTF-16BE")), "")
-    small = F.levenshtein(code(gold), code(said))
-    return F.when(F.size(every) < 90, small).otherwise(F.levenshtein(wide(gold), wide(said))).cast("long")
+    """Edits of words, of any number of them, a row of the table at a time."""
+    return _word_edits(reference, prediction)
 
 
 def word_count(text: Column) -> Column:

@@ -64,25 +64,27 @@ def strength_score(has_given: Column, want: Column, strengths: Column) -> Column
     )
 
 
-def score_candidates(queries: DataFrame, catalog: DataFrame, least_name: float | None = None) -> DataFrame:
+def score_candidates(queries: DataFrame, catalog: DataFrame, least_name: float | None = None, limit: int | None = None) -> DataFrame:
     """Every query (name_norm, has_given, want, signal and keys of its own) with
     every entry: adds drug_database_id, ord, brand_name, score (6 places),
     matched_alias and matched_on.
 
-    Equal names are compared once. The catalog is sent to all executors up to
-    a checked number of entries; beyond it the pairs are a shuffled product of
-    blocks. ``least_name`` leaves out aliases whose similarity must be below it by
-    length and bounded edits, which keeps every decision above it exact.
+    Equal names and equal aliases are compared once. Aliases are sent to all
+    executors up to a checked number of entries; beyond it the pairs are a shuffled
+    product of blocks. ``least_name`` leaves out aliases whose similarity must be
+    below it by length, which keeps every decision above it exact. With ``limit``,
+    of entries of one name score and the same strengths only so many are scored,
+    first ones in order: others cannot be among a query's best.
     """
     q, c = queries, prepare_catalog(catalog)
-    names = q.select("name_norm").distinct()
+    names, aliases = q.select("name_norm").distinct(), c.select("alias_norm").distinct()
     small = catalog.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
     if small:
-        pairs = names.join(F.broadcast(c))
+        pairs = names.join(F.broadcast(aliases))
     else:
         blocks = 64
         pairs = names.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(
-            c.withColumn("block", F.pmod(F.xxhash64("alias_norm"), F.lit(blocks)).cast("int")), "block"
+            aliases.withColumn("block", F.pmod(F.xxhash64("alias_norm"), F.lit(blocks)).cast("int")), "block"
         )
     if least_name is not None:
         longer = F.greatest(F.length("name_norm"), F.length("alias_norm"))
@@ -91,9 +93,12 @@ def score_candidates(queries: DataFrame, catalog: DataFrame, least_name: float |
     pairs = pairs.withColumn("name_score", T.string_similarity(F.col("name_norm"), F.col("alias_norm")))
     if least_name is not None:
         pairs = pairs.where(F.col("name_score") >= least_name - 1e-6)
-    best = pairs.groupBy("name_norm", "drug_database_id").agg(
+    best = pairs.join(c, "alias_norm").groupBy("name_norm", "drug_database_id").agg(
         F.max(F.struct("name_score", (-F.col("alias_no")).alias("o"), "alias", "ord", "brand_name", "strengths")).alias("best")
     )
+    if limit is not None:
+        alike = Window.partitionBy("name_norm", "best.name_score", F.to_json("best.strengths")).orderBy("best.ord")
+        best = best.withColumn("nth", F.row_number().over(alike)).where(F.col("nth") <= limit).drop("nth")
     rows = q.join(best, "name_norm")
     part = strength_score(F.col("has_given"), F.col("want"), F.col("best.strengths"))
     name = F.col("best.name_score")
@@ -113,7 +118,7 @@ def top_candidates(queries: DataFrame, catalog: DataFrame, limit: int = 5, least
     kind = F.to_json(F.struct("name_norm", "has_given", "want", "signal"))
     asked = prepare_queries(queries).withColumn("kind", kind)
     by = Window.partitionBy("kind").orderBy(F.desc("score"), "ord")
-    scored = score_candidates(asked.drop("query_id").dropDuplicates(["kind"]), catalog, least_name)
+    scored = score_candidates(asked.drop("query_id").dropDuplicates(["kind"]), catalog, least_name, limit)
     top = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
     top = top.drop("name_norm", "has_given", "want", "signal")
     return asked.select("query_id", "kind").join(top, "kind").drop("kind")

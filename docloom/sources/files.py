@@ -14,9 +14,14 @@ UNKNOWN_SOURCE = {"license": "Unknown", "publication_approved": False, "source":
 
 def walk(spark: SparkSession, path: str) -> DataFrame:
     """path, length and kind of all files below ``path``, sorted, but for hidden
-    ones and those of node_modules and .git."""
+    ones and those of node_modules and .git; names of ``path`` itself do not count."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    depth = len(root.toUri().getPath().rstrip("/").split("/"))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    return found.where(~F.col("path").rlike(r"/(\.[^/]*|node_modules)(/|$)")).withColumn("kind", file_kind(F.col("path"))).orderBy("path")
+    # names after the scheme and the root's own
+    names = F.split(F.regexp_replace("path", "^[A-Za-z0-9+.-]+:(//[^/]*)?", ""), "/")
+    hidden = F.exists(F.slice(names, depth + 1, F.size(names)), lambda n: n.startswith(".") | (n == "node_modules"))
+    return found.where(~hidden).withColumn("kind", file_kind(F.col("path"))).orderBy("path")
 
 
 def json_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
