@@ -167,26 +167,33 @@ def rest_pairs(now: DataFrame, sets: DataFrame, percent: int, whole: bool, block
     return dealt.sortWithinPartitions("grp", "i", "j", "side").mapInArrow(_by_block(percent, whole), "a long, b long").distinct()
 
 
-def parts_of(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``now`` (grp, node, n, component) with groups of two components at least
-    parted by the first tokens of their sets, without rows that no other of their
-    part can link with from there on.
+def reaching(rows: DataFrame, percent: int) -> DataFrame:
+    """grp, node, n and component of the ``rows`` (grp, node, n, place, component),
+    groups being tokens and ``place`` that of the token in the node's set, but for
+    those that no other of their group can link with from there on.
 
     What alike sets share begins with a token among the first of both. From the
     token at place i on, a set of n reaches an overlap of n - i, which is enough
     for sets of up to ``reach`` tokens. So the smaller set of a pair reaches its
     own size at least, and the larger one the smaller's."""
-    ends = [F.min("component").alias("a"), F.max("component").alias("b")]
-    open_ = now.groupBy("grp").agg(*ends).where("a <> b").select("grp")
-    rows = now.join(open_, "grp", "left_semi").join(sets.select("node", "first"), "node")
-    rows = rows.select("grp", "node", "n", "component", F.posexplode("first").alias("place", "token"))
     reach = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n")
-    rows = rows.select(F.xxhash64("grp", "token").alias("grp"), "node", "n", "component", reach.alias("reach"))
+    rows = rows.select("grp", "node", "n", "component", reach.alias("reach"))
+    ends = [F.min("component").alias("a"), F.max("component").alias("b")]
     least = rows.groupBy("grp").agg(F.min(F.when(F.col("reach") >= F.col("n"), F.col("n"))).alias("least"), *ends)
     least = least.where("a <> b AND least IS NOT NULL").select("grp", "least")
     return rows.join(least, "grp").where("reach >= least").select("grp", "node", "n", "component")
 
 
+def parts_of(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``now`` (grp, node, n, component) with groups of two components at least
+    parted by the first tokens of their sets, without rows that cannot link there."""
+    ends = [F.min("component").alias("a"), F.max("component").alias("b")]
+    open_ = now.groupBy("grp").agg(*ends).where("a <> b").select("grp")
+    rows = now.join(open_, "grp", "left_semi").join(sets.select("node", "first"), "node")
+    rows = rows.select("grp", "node", "n", "component", F.posexplode("first").alias("place", "token"))
+    return reaching(rows.select(F.xxhash64("grp", "token").alias("grp"), "node", "n", "component", "place"), percent)
+
+
 def group_components(member: DataFrame, steps: list, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(node, component) of all nodes of ``sets`` (node, tokens: whole sets, first:
     first tokens) under links between nodes of one group of ``member`` (grp, band,

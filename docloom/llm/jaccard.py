@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
+from docloom.llm.groups import least_overlap, reaching, rest_pairs
 from docloom.llm.textops import batches, shingle_sets
 from docloom.session import Scratch, prepare
 
@@ -22,9 +23,8 @@ HOT, MOST_HOT = 12, 1 << 19
 #: Rows of one block of the product, and the largest group paired inside one.
 BLOCK_ROWS, GROUP = 400_000, 64
 #: Rounds in which hot groups are compared with a few hubs before the rest, by so
-#: many of a node's first hot tokens; and prefix tokens of one block of that rest.
-ROUNDS, HUBS, FIRST = 3, 3, 2
-INDEX_TOKENS = 2_000_000
+#: many of a node's first hot tokens; and rows of either side of one block of that rest.
+ROUNDS, HUBS, FIRST, REST_BLOCK = 3, 3, 2, 512
 
 
 def _raw(text: str | None) -> bytes:
@@ -115,10 +115,6 @@ def prefix_size(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def least_overlap(n, m, percent: int):
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def prefix(tokens: np.ndarray, hot: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
     """The first tokens of a set in the order of all, and how many are not hot."""
     p = prefix_size(len(tokens), percent) if len(tokens) else 0
@@ -323,22 +319,11 @@ def links(nodes: DataFrame, sets_of, percent: int, scratch: Scratch) -> DataFram
         if not more.isEmpty():
             edges = edges.unionByName(more)
             known = components(edges, scratch)
-    # the exact rest: each node outside a main component with all others, by blocks
-    now = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    minor = now.join(_main(now), "token").where("component <> main").select("node", "component").distinct()
-    minor = scratch.keep(minor.join(nodes.select("node", "n", "prefix"), "node"), "minor")
-    tokens = minor.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)) / 8).first()[0]
-    if not tokens:
-        return known
-    labelled = nodes.join(known, "node", "left").select("node", "n", "prefix", F.coalesce("component", "node").alias("component"))
-    labelled = scratch.keep(labelled.join(rows.select("node").distinct(), "node", "left_semi"), "labelled")
-    parts = math.ceil(tokens / INDEX_TOKENS)
-    found = None
-    for part in range(parts):
-        block = minor.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == part).toPandas()
-        one = _ordered(against(labelled, block, percent))
-        found = one if found is None else found.unionByName(one)
-    more = scratch.keep(verify(scratch.keep(found.distinct(), "rest"), sets, percent), "more")
+    # the exact rest: each node outside a token's main component with all others of the token
+    now = rows.withColumnRenamed("token", "grp").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = scratch.keep(reaching(now, percent), "parts")
+    first = nodes.select("node", F.col("prefix").alias("tokens"))
+    more = scratch.keep(verify(scratch.keep(rest_pairs(now, first, percent, whole=False, block=REST_BLOCK), "rest"), sets, percent), "more")
     return known if more.isEmpty() else components(edges.unionByName(more), scratch)
 
 
@@ -353,41 +338,6 @@ def _main(now: DataFrame) -> DataFrame:
     return by.groupBy("token").agg(most, F.count("*").alias("kinds")).where("kinds > 1")
 
 
-def against(rows: DataFrame, block, percent: int) -> DataFrame:
-    """node and b: the pairs of ``rows`` (node, n, prefix, component) and a block of
-    them in a pandas frame whose first tokens leave a link possible, each once.
-    All common tokens up to the end of the shorter order are counted."""
-    size = [len(x) // 8 for x in block["prefix"]]
-    token = np.frombuffer(b"".join(block["prefix"]), dtype=np.uint64)
-    owner = np.repeat(np.arange(len(block)), size)
-    order = np.argsort(token, kind="stable")
-    columns = [block[c].to_numpy(dtype=np.int64) for c in ("node", "n", "component")]
-    sent = rows.sparkSession.sparkContext.broadcast((token[order], owner[order], *columns))
-
-    def run(arrow_batches):
-        tokens, owners, node, n, component = sent.value
-        for batch in arrow_batches:
-            a, b = [], []
-            for mine, size_, raw, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                first = np.frombuffer(raw, dtype=np.uint64)
-                low, high = np.searchsorted(tokens, first, "left"), np.searchsorted(tokens, first, "right")
-                hits = high - low
-                if not hits.any():
-                    continue
-                at = np.repeat(high - np.cumsum(hits), hits) + np.arange(hits.sum())
-                shared = np.bincount(owners[at], minlength=len(node))
-                met = np.flatnonzero(shared)
-                behind = -(-percent * np.maximum(n[met], size_) // 100) - 1
-                good = (component[met] != own) & (100 * np.minimum(n[met], size_) >= percent * np.maximum(n[met], size_))
-                good &= shared[met] + behind >= least_overlap(n[met], size_, percent)
-                b.append(node[met[good]])
-                a.append(np.full(len(b[-1]), mine))
-            none = np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else none) for x in (a, b)], ["node", "b"])
-
-    return rows.select("node", "n", "prefix", "component").mapInArrow(run, "node long, b long")
-
-
 def jaccard_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, h (hash of the text), n_shingles, component_id and group_id of each
     row of ``docs`` (doc_id, text). group_id names the component, null only where
