@@ -78,9 +78,10 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
     return found
 
 
-def _linked(few: list[tuple], many: list[tuple], percent: int, whole: bool) -> list[tuple[int, int]]:
+def _linked(few: list[tuple], many: list[tuple], percent: int, whole: bool, grp: int) -> list[tuple[int, int]]:
     """Pairs of one block's two sides (node, n, component, tokens): with whole sets,
-    components that link; with sets' first tokens, nodes that these let link."""
+    components that link; with sets' first tokens, nodes that these let link, if
+    ``grp`` is the first token they have in common (each pair is in one such group)."""
     if whole and len(few) * len(many) <= SMALL:
         some, other = ([(*r[:3], set(np.frombuffer(r[3], dtype=np.int64).tolist())) for r in side] for side in (few, many))
         met = ((x, y) for x in some for y in other if x[2] != y[2] and len(x[3] & y[3]) >= least_overlap(x[1], y[1], percent))
@@ -90,7 +91,9 @@ def _linked(few: list[tuple], many: list[tuple], percent: int, whole: bool) -> l
     size = np.array([len(r[3]) // 8 for r in few])
     token = np.frombuffer(b"".join(r[3] for r in few), dtype=np.uint64)
     owner = np.repeat(np.arange(len(few)), size)
+    flat, starts = token, np.cumsum(size) - size
     order = np.argsort(token, kind="stable")
+    place = (np.arange(len(flat)) - starts[owner])[order]
     token, owner = token[order], owner[order]
     out: set[tuple[int, int]] = set()
     step = max(1, CELLS // len(few))
@@ -102,12 +105,16 @@ def _linked(few: list[tuple], many: list[tuple], percent: int, whole: bool) -> l
         low, high = np.searchsorted(token, mine, "left"), np.searchsorted(token, mine, "right")
         hits = np.cumsum(high - low)
         shared, a = np.zeros(len(some) * len(few), dtype=np.int32), 0
+        begin = np.full(0 if whole else len(shared), len(flat), dtype=np.int32)
         while a < len(mine):
             b = max(a + 1, int(np.searchsorted(hits, (hits[a - 1] if a else 0) + CELLS, "right")))
             count = high[a:b] - low[a:b]
             if count.any():
                 into = np.repeat(high[a:b] - np.cumsum(count), count) + np.arange(count.sum())
-                np.add.at(shared, np.repeat(row[a:b], count) * len(few) + owner[into], 1)
+                cell = np.repeat(row[a:b], count) * len(few) + owner[into]
+                np.add.at(shared, cell, 1)
+                if not whole:
+                    np.minimum.at(begin, cell, place[into].astype(np.int32))
             a = b
         met = np.flatnonzero(shared)
         j, i = np.divmod(met, len(few))
@@ -115,6 +122,8 @@ def _linked(few: list[tuple], many: list[tuple], percent: int, whole: bool) -> l
         behind = 0 if whole else -(-percent * np.maximum(n[i], m[at + j]) // 100) - 1
         good = (c[i] != d[at + j]) & (100 * np.minimum(n[i], m[at + j]) >= percent * np.maximum(n[i], m[at + j]))
         good &= shared[met] + behind >= least
+        if not whole:
+            good &= flat[starts[i] + begin[met]].view(np.int64) == grp
         i, j = i[good], at + j[good]
         pairs = np.stack([c[i], d[j]]) if whole else np.array([[few[x][0] for x in i.tolist()], [many[x][0] for x in j.tolist()]], dtype=np.int64)
         out.update(zip(np.minimum(*pairs).tolist(), np.maximum(*pairs).tolist()))
@@ -131,14 +140,14 @@ def _by_block(percent: int, whole: bool):
             for grp, i, j, side, node, n, component, tokens in zip(*columns):
                 if (grp, i, j) != key:
                     if few and many:
-                        out += _linked(few, many, percent, whole)
+                        out += _linked(few, many, percent, whole, key[0])
                     key, few, many = (grp, i, j), [], []
                 (many if side else few).append((node, n, component, tokens))
             if len(out) > 100_000:
                 yield _edges(out)
                 out = []
         if few and many:
-            out += _linked(few, many, percent, whole)
+            out += _linked(few, many, percent, whole, key[0])
         yield _edges(out)
 
     return run
