@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 # Fixed values of the domain: units, their milligrams, and unit words.
 UNIT_MG = {"mcg": 0.001, "µg": 0.001, "ug": 0.001, "mg": 1.0, "g": 1000.0}
@@ -131,7 +131,7 @@ def wer_legacy(reference: Column, prediction: Column) -> Column:
     return F.when(F.size(gold) == 0, empty).otherwise(edits / F.size(gold))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _word_edits(reference: pd.Series, prediction: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(reference, prediction):
