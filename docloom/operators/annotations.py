@@ -220,7 +220,7 @@ def agreement_items(records: DataFrame, kind: str = "entities") -> DataFrame:
 def policy(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
     """``decision`` by a field's thresholds (field, accept, review): ACCEPT,
     REVIEW or ABSTAIN."""
-    joined = rows.join(F.broadcast(thresholds), "field", "left")
+    joined = rows.join(thresholds, "field", "left")
     decision = F.when(F.col("confidence") >= F.col("accept"), "ACCEPT").when(F.col("confidence") >= F.col("review"), "REVIEW").otherwise("ABSTAIN")
     return joined.withColumn("decision", decision).drop("accept", "review")
 

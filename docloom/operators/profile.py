@@ -87,16 +87,16 @@ def image_ref(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "^(.*?)/label/", "$1/image/"), r"\.json$", ".png")
 
 
-def _walk(value, path: str, found: list[tuple[str, str]]) -> None:
+def _walk(value, path: str, found: list[tuple[str, str]], numbered: bool = False) -> None:
     if isinstance(value, list):
-        for x in value:
-            _walk(x, f"{path}[]", found)
+        for i, x in enumerate(value):
+            _walk(x, f"{path}[{i if numbered else ''}]", found, numbered)
     elif isinstance(value, dict):
         for k, x in value.items():
             found.append((f"{path}.{k}" if path else k, k))
             if k == "label" and isinstance(x, str):
                 found.append(("=", x))
-            _walk(x, f"{path}.{k}" if path else k, found)
+            _walk(x, f"{path}.{k}" if path else k, found, numbered)
 
 
 def _parsed(text):
@@ -119,11 +119,11 @@ def key_paths(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(ArrayType(StringType()))
 def sensitive_paths(texts: pd.Series) -> pd.Series:
-    """Paths whose key looks like personal data."""
+    """Paths whose key looks like personal data, with places in lists."""
     out = []
     for t in texts:
         found: list[tuple[str, str]] = []
-        _walk(_parsed(t), "", found)
+        _walk(_parsed(t), "", found, True)
         out.append(sorted({p for p, k in found if p != "=" and SENSITIVE.search(re.sub(r"[\s_\-./]+", "", k.lower()))}))
     return pd.Series(out)
 

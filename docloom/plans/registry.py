@@ -453,6 +453,12 @@ def _entities(spark, sf_dir):
     return rows.select("sample_id", F.col("idx").alias("ord"), F.concat(F.lit("e"), F.col("idx")).alias("id"), label.alias("label"), "bbox")
 
 
+def _away(entities):
+    """Every fifth entity stands where no word is."""
+    away = F.when(F.col("ord") % 5 == 0, F.transform("bbox", lambda x: x + 10_000)).otherwise(F.col("bbox"))
+    return entities.withColumn("bbox", away)
+
+
 _BIO = f"""WITH {views.BOXES_SQL}, w AS (
   SELECT sample_id, g, p, p_label, greatest(i / (600.0::DOUBLE - i), i / 300.0::DOUBLE) AS s FROM meets WHERE greatest(i / (600.0::DOUBLE - i), i / 300.0::DOUBLE) >= 0.5
 ), b AS (SELECT *, row_number() OVER (PARTITION BY sample_id, g ORDER BY s DESC, p) AS n FROM w),
@@ -474,17 +480,21 @@ def bio_tags(spark, sf_dir):
 @query(_BIO.replace("FROM meets WHERE", "FROM meets WHERE p % 5 <> 0 AND") + "SELECT p.sample_id, 'e' || p.idx AS entity_id FROM predicted p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.sample_id = p.sample_id AND t.entity_id = 'e' || p.idx)")
 def unmatched_entities(spark, sf_dir):
     words = views.boxes(spark, sf_dir, False).drop("label").withColumn("pos", F.col("idx"))
-    # every fifth entity stands where no word is
-    away = F.when(F.col("ord") % 5 == 0, F.transform("bbox", lambda x: x + 10_000)).otherwise(F.col("bbox"))
-    entities = _entities(spark, sf_dir).withColumn("bbox", away)
+    entities = _away(_entities(spark, sf_dir))
     return ner.unmatched_entities(ner.bio_tags(words, entities), entities)
 
 
-@query()
+@query(
+    _BIO.replace("FROM meets WHERE", "FROM meets WHERE p % 5 <> 0 AND")
+    + """, u AS (SELECT p.sample_id, string_agg('e' || p.idx, '|' ORDER BY 'e' || p.idx) AS unmatched FROM predicted p
+  WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.sample_id = p.sample_id AND t.entity_id = 'e' || p.idx) GROUP BY p.sample_id),
+k AS (SELECT sample_id, count(*) AS tokens FROM gold GROUP BY sample_id)
+SELECT k.sample_id, tokens, coalesce(unmatched, '') AS unmatched, unmatched IS NULL AS ready_for_training FROM k LEFT JOIN u USING (sample_id)"""
+)
 def bio_examples(spark, sf_dir):
     words = views.boxes(spark, sf_dir, False).drop("label").withColumn("pos", F.col("idx"))
-    rows = ner.bio_examples(words, _entities(spark, sf_dir))
-    return rows.select("sample_id", F.size("tokens").alias("tokens"), F.array_join("unmatched_entity_ids", "|").alias("unmatched"), "ready_for_training")
+    rows = ner.bio_examples(words, _away(_entities(spark, sf_dir)))
+    return rows.select("sample_id", F.size("tokens").cast("long").alias("tokens"), F.array_join("unmatched_entity_ids", "|").alias("unmatched"), "ready_for_training")
 
 
 @query(
@@ -509,8 +519,16 @@ def _layout(how):
     return run
 
 
-query(None)(_layout("first_fit"))
-query(None)(_layout("best_overlap"))
+# words of a page stand in three rows, far enough apart for either rule
+_ROWS = f"""WITH {views.BOXES_SQL}, w AS (
+  SELECT *, idx % 3 AS line, row_number() OVER (PARTITION BY sample_id ORDER BY (y1 + y2) / 2, x1, idx) AS n FROM predicted
+), l AS (
+  SELECT sample_id, min(n) AS first, string_agg(text, ' ' ORDER BY x1, n) AS text, min(x1) || ',' || min(y1) || ',' || max(x2) || ',' || max(y2) AS bbox,
+    round(avg((idx % 10) / 10), 6) AS confidence FROM w GROUP BY sample_id, line
+)
+SELECT CAST(sample_id AS VARCHAR) AS sample_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY first) - 1 AS BIGINT) AS line_no, text, bbox, confidence FROM l"""
+query(_ROWS)(_layout("first_fit"))
+query(_ROWS)(_layout("best_overlap"))
 query(
     f"""WITH RECURSIVE {views.BOXES_SQL}, w AS (
   SELECT sample_id, idx, text, x1, y1, x2, y2, (y1 + y2) / 2 AS c, row_number() OVER (PARTITION BY sample_id ORDER BY (y1 + y2) / 2, x1, idx) AS n FROM predicted
@@ -527,7 +545,10 @@ FROM f JOIN w ON w.sample_id = f.sample_id AND w.n = f.n GROUP BY f.sample_id, f
 )(_layout("last_line"))
 
 
-@query()
+@query(
+    f"""WITH {views.BOXES_SQL} SELECT sample_id, CAST(idx AS BIGINT) AS idx,
+  CAST(row_number() OVER (PARTITION BY sample_id ORDER BY idx % 3, x1, (y1 + y2) / 2, idx) - 1 AS BIGINT) AS pos FROM predicted"""
+)
 def sort_spatial(spark, sf_dir):
     return layout.sort_spatial(views.boxes(spark, sf_dir, True).select("sample_id", "idx", "bbox")).select("sample_id", "idx", "pos")
 
@@ -604,12 +625,14 @@ def relation_eval(spark, sf_dir):
 
 @query(
     """WITH e AS (SELECT event_type AS field, (event_id % 100) / 100.0::DOUBLE AS c, CASE WHEN user_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM events),
-b AS (SELECT field, least(floor(c * 10), 9) AS b, count(*) AS n, sum(c) AS c, sum(y) AS y, sum((c - y) * (c - y)) AS q FROM e GROUP BY ALL)
-SELECT field, CAST(sum(n) AS BIGINT) AS samples, round(sum(abs(c - y)) / sum(n), 6) AS ece, round(sum(q) / sum(n), 6) AS brier FROM b GROUP BY field"""
+b AS (SELECT field, least(floor(c * 10), 9) AS b, count(*) AS n, sum(c) AS c, sum(y) AS y, sum((c - y) * (c - y)) AS q,
+  sum(-ln(CASE WHEN y = 1 THEN greatest(c, 1e-12) ELSE 1 - least(c, 1 - 1e-12) END)) AS l FROM e GROUP BY ALL)
+SELECT field, CAST(sum(n) AS BIGINT) AS samples, round(sum(abs(c - y)) / sum(n), 6) AS ece, round(sum(q) / sum(n), 6) AS brier,
+  round(sum(l) / sum(n), 6) AS nll FROM b GROUP BY field"""
 )
 def calibration(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("field"), ((F.col("event_id") % 100) / 100.0).alias("confidence"), (F.col("user_id") % 2 == 0).alias("correct"))
-    return metrics.calibration(rows, ["field"]).select("field", "samples", F.round("ece", 6).alias("ece"), F.round("brier", 6).alias("brier"))
+    return metrics.calibration(rows, ["field"]).select("field", "samples", *[F.round(c, 6).alias(c) for c in ("ece", "brier", "nll")])
 
 
 @query(
@@ -665,6 +688,49 @@ def inspect_json(spark, sf_dir):
     return paths.groupBy("path").agg(F.count("*").alias("n"))
 
 
+# Profiles: S02, A03, P06, P07, P12
+
+
+@query(
+    """SELECT kind, extension, count(*) AS files FROM part JOIN (VALUES (0, 'image', '.jpg'), (1, 'annotation_candidate', '.json'), (2, 'archive', '.tar'),
+  (3, 'annotation_candidate', '.csv'), (4, 'other', ''), (5, 'other', '.md')) AS e(k, kind, extension) ON p_partkey % 6 = k GROUP BY ALL"""
+)
+def inspect_files(spark, sf_dir):
+    ends = F.array(*[F.lit(x) for x in (".JPG", ".json", ".tar", ".csv", "", ".Md")])
+    path = F.concat(F.lit("/data/"), "p_brand", F.lit("/"), "p_partkey", F.element_at(ends, (F.col("p_partkey") % 6 + 1).cast("int")))
+    return profile.inspect(table(spark, sf_dir, "part").select(path.alias("path")))
+
+
+@query(
+    """SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'DRUG' WHEN 1 THEN 'STRENGTH' WHEN 2 THEN 'ACTIVE_INGREDIENT' WHEN 5 THEN 'INSTRUCTION' WHEN 6 THEN 'FREQUENCY' END AS label,
+  CASE p_size % 7 WHEN 0 THEN 'DRUG' WHEN 1 THEN 'STRENGTH' WHEN 5 THEN 'INSTRUCTION' END AS field FROM part"""
+)
+def label_names(spark, sf_dir):
+    said = F.array(*[F.lit(x) for x in ("DrugName", " strength ", "Active ingredient", "", "zzz", "USAGE", "số-lần")])
+    said = F.element_at(said, (F.col("p_size") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", profile.normalize_label(said).alias("label"), profile.field_label(said).alias("field"))
+
+
+@query(
+    """SELECT p_partkey, regexp_replace(regexp_replace('  ' || p_name || ' #' || p_partkey || '.scan', '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') AS sample_id,
+  'a/image/' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '/label/x.png' ELSE '.txt' END AS image FROM part"""
+)
+def clean_names(spark, sf_dir):
+    name = F.concat(F.lit("  "), "p_name", F.lit(" #"), "p_partkey", F.lit(".scan.png"))
+    path = F.concat(F.lit("a/label/"), "p_partkey", F.when(F.col("p_partkey") % 2 == 0, "/label/x.json").otherwise(".txt"))
+    return table(spark, sf_dir, "part").select("p_partkey", profile.clean_sample_id(name).alias("sample_id"), profile.image_ref(path).alias("image"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 2 = 0 THEN 'Patient Name|visit.Phone-No|visit.note[1].e_mail' ELSE '' END AS paths FROM orders"""
+)
+def sensitive_paths(spark, sf_dir):
+    long_ = '{"Patient Name": "x", "visit": {"Phone-No": 1, "note": [{"value": 3}, {"e_mail": 2}]}, "total": '
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(long_), "o_custkey", F.lit("}"))).otherwise('{"total": 1}')
+    text = F.when(F.col("o_orderkey") % 5 == 0, "no json").otherwise(text)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(profile.sensitive_paths(text), "|").alias("paths"))
+
+
 # Documents: V01, V05, A07, A08, V10, T27, P14, P15
 
 
@@ -732,20 +798,82 @@ def annotation_queue(spark, sf_dir):
     return rows.select("sample_id", F.col("entity_counts.DRUG").alias("drugs"), "existing_relation_count", F.size("actions").cast("long").alias("actions"))
 
 
-@query(
-    """WITH r AS (SELECT user_id, event_id % 3 AS role, event_type AS fp, event_id FROM events),
+_ROLES = """WITH r AS (SELECT user_id, event_id % 3 AS role, event_type AS fp, event_id FROM events),
 l AS (SELECT user_id, role, max_by(fp, event_id) AS fp FROM r GROUP BY user_id, role),
 w AS (SELECT user_id, max(CASE WHEN role = 0 THEN fp END) AS a, max(CASE WHEN role = 1 THEN fp END) AS b, max(CASE WHEN role = 2 THEN fp END) AS c FROM l GROUP BY user_id)
-SELECT CAST(user_id AS VARCHAR) AS sample_id, CASE WHEN a IS NULL OR b IS NULL THEN 'not_comparable' WHEN a = b THEN 'agree' ELSE 'conflict' END AS agreement, c IS NOT NULL AS reviewed FROM w"""
+"""
+
+
+@query(
+    _ROLES
+    + """SELECT CAST(user_id AS VARCHAR) AS sample_id, CASE WHEN a IS NULL OR b IS NULL THEN 'not_comparable' WHEN a = b THEN 'agree' ELSE 'conflict' END AS agreement, c IS NOT NULL AS reviewed FROM w"""
 )
 def merge_roles(spark, sf_dir):
+    return annotations.merge_roles(_role_records(spark, sf_dir)).select("sample_id", "agreement", "reviewed")
+
+
+def _role_records(spark, sf_dir):
+    """Each user's last event in each role as a record of one entity."""
     e = table(spark, sf_dir, "events").withColumn("role", F.element_at(F.array(*[F.lit(r) for r in ("annotator-a", "annotator-b", "reviewer")]), (F.col("event_id") % 3 + 1).cast("int")))
     last = e.groupBy("user_id", "role").agg(F.max_by("event_type", "event_id").alias("text"))
     entity = F.struct(F.concat(F.lit("id-"), F.col("role")).alias("id"), F.lit("DRUG").alias("label"), "text", F.array(*[F.lit(float(v)) for v in (1, 2, 3, 4)]).alias("bbox"), F.lit(False).alias("needs_review"))
     none = F.array().cast("array<struct<id:string,type:string,source_entity_id:string,target_entity_id:string,needs_review:boolean>>")
     privacy = F.struct(*[F.lit(True).alias(x) for x in ("de_identified", "reviewed", "approved_for_research")])
-    docs = last.select(F.col("user_id").cast("string").alias("sample_id"), "role", F.array(entity).alias("entities"), none.alias("relations"), F.lit("partial").alias("annotation_status"), privacy.alias("privacy"))
-    return annotations.merge_roles(docs).select("sample_id", "agreement", "reviewed")
+    return last.select(F.col("user_id").cast("string").alias("sample_id"), "role", F.array(entity).alias("entities"), none.alias("relations"), F.lit("partial").alias("annotation_status"), privacy.alias("privacy"))
+
+
+@query(
+    _ROLES
+    + """SELECT count(*) AS samples, count(*) FILTER (a = b) AS agreements, count(*) FILTER (a <> b) AS conflicts,
+  count(*) FILTER (a IS NULL OR b IS NULL) AS not_comparable, CAST(0 AS BIGINT) AS gold FROM w"""
+)
+def merge_report(spark, sf_dir):
+    return annotations.merge_report(annotations.merge_roles(_role_records(spark, sf_dir)))
+
+
+@query(
+    _ROLES
+    + """SELECT 'DRUG' AS k, count(a) AS a, count(b) AS b, count(*) FILTER (a = b) AS both, round(2.0::DOUBLE * count(*) FILTER (a = b) / (count(a) + count(b)), 6) AS f1 FROM w"""
+)
+def role_agreement(spark, sf_dir):
+    return annotations.agreement_items(_role_records(spark, sf_dir)).withColumn("f1", F.round("f1", 6))
+
+
+@query(
+    f"""WITH {views.BOXES_SQL}, f AS (
+  SELECT l_orderkey AS o, l_linenumber AS id, idx, first_value(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY idx) AS head FROM lines
+)
+SELECT CAST(o AS VARCHAR) AS sample_id, count(*) FILTER (id <> 1) AS entities, count(*) FILTER (idx > 1 AND id <> 1 AND head <> 1) AS relations FROM f GROUP BY o"""
+)
+def kept_drafts(spark, sf_dir):
+    kept = annotations.kept_draft(F.col("entities"), F.col("relations"), F.array(F.lit("e1")))
+    rows = views.records(spark, sf_dir).withColumn("kept", kept)
+    return rows.select("sample_id", *[F.size(f"kept.{c}").cast("long").alias(c) for c in ("entities", "relations")])
+
+
+@query(
+    """SELECT event_id, CASE WHEN confidence >= accept THEN 'ACCEPT' WHEN confidence >= review THEN 'REVIEW' ELSE 'ABSTAIN' END AS decision
+FROM (SELECT event_id, event_type AS field, (event_id % 100) / 100.0::DOUBLE AS confidence FROM events)
+LEFT JOIN (VALUES ('click', 0.8::DOUBLE, 0.5::DOUBLE), ('view', 0.6::DOUBLE, 0.2::DOUBLE), ('purchase', 0.95::DOUBLE, 0.9::DOUBLE)) AS t(field, accept, review) USING (field)"""
+)
+def field_decisions(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("field"), ((F.col("event_id") % 100) / 100.0).alias("confidence"))
+    thresholds = spark.createDataFrame([("click", 0.8, 0.5), ("view", 0.6, 0.2), ("purchase", 0.95, 0.9)], "field string, accept double, review double")
+    return annotations.policy(rows, thresholds).select("event_id", "decision")
+
+
+@query(
+    """WITH g AS (SELECT p_partkey, p_brand AS field, p_name AS v FROM part WHERE p_partkey % 5 <> 0),
+p AS (SELECT p_partkey, p_brand AS field, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE p_name END AS v FROM part WHERE p_partkey % 4 <> 0),
+b AS (SELECT field, g.v AS g, p.v AS p FROM g FULL JOIN p USING (p_partkey, field))
+SELECT field, count(*) AS fields, round(count(*) FILTER (g = p)::DOUBLE / count(*), 6) AS correct, round(count(*) FILTER (p IS NULL)::DOUBLE / count(*), 6) AS omission,
+  round(count(*) FILTER (g IS NULL)::DOUBLE / count(*), 6) AS hallucination, round(count(*) FILTER (g <> p)::DOUBLE / count(*), 6) AS wrong FROM b GROUP BY field"""
+)
+def field_outcomes(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("field"), F.col("p_name").alias("value"))
+    said = part.where("p_partkey % 4 <> 0").withColumn("value", F.when(F.col("p_partkey") % 3 == 0, "x").otherwise(F.col("value")))
+    rows = metrics.field_outcomes(part.where("p_partkey % 5 <> 0"), said, ["p_partkey", "field"])
+    return rows.select("field", "fields", *[F.round(c, 6).alias(c) for c in ("correct", "omission", "hallucination", "wrong")])
 
 
 # Converters: C01, C03, C05
@@ -782,6 +910,47 @@ def convert_coco(spark, sf_dir):
     return docs.select("image_id", "file_name", F.size("entities").cast("long").alias("entities"), edges.cast("long").alias("right_edges"))
 
 
+@query(
+    f"""WITH {views.BOXES_SQL}, k AS (
+  SELECT sample_id AS s, 'e' || (idx % 3) AS id, row_number() OVER (PARTITION BY sample_id ORDER BY idx) AS n FROM gold WHERE label <> 'R'
+), l AS (SELECT s, id, max(n) AS n FROM k GROUP BY s, id)
+SELECT g.sample_id, CAST(g.idx AS BIGINT) AS ord, 'T' AS type, 'entity_' || a.n AS source, 'entity_' || b.n AS target
+FROM gold g JOIN l a ON a.s = g.sample_id AND a.id = 'e1' JOIN l b ON b.s = g.sample_id AND b.id = 'e' || (g.idx % 3) WHERE g.idx > 1"""
+)
+def convert_records(spark, sf_dir):
+    words = views.boxes(spark, sf_dir, False).withColumn("id", F.concat(F.lit("e"), F.col("idx") % 3)).withColumnRenamed("idx", "ord")
+    label = F.when(F.col("label") == "N", "drugname").when(F.col("label") == "A", "usage").otherwise("zzz")
+    links = words.where("ord > 1").select("sample_id", "ord", F.lit("T").alias("type"), F.lit("e1").alias("source"), F.col("id").alias("target"))
+    return convert.annotation_records(words.withColumn("label", label), links)[1].select("sample_id", "ord", "type", "source", "target")
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, id, label, text, (o_orderkey % 50) * 2.0::DOUBLE AS x1, (o_orderkey % 50 + 10) * 2.0::DOUBLE AS x2, 20.0::DOUBLE AS y1, 25.0::DOUBLE AS y2, links
+FROM orders, (VALUES ('entity_1', 'DRUG', 'a', 'HAS_STRENGTH>entity_2'), ('entity_2', 'STRENGTH', 'c', NULL)) AS e(id, label, text, links)"""
+)
+def convert_label_studio(spark, sf_dir):
+    """A drug, an unknown label and a strength, a relation whole and one cut off."""
+    def item(id_, kind, label, text, types, source, target):
+        x = lambda v: F.lit(v).cast("double")
+        value = F.struct(F.array(F.lit(label)).alias("labels"), (F.col("o_orderkey") % 50).cast("double").alias("x"), x(20).alias("y"), x(10).alias("width"), x(5).alias("height"), F.lit(text).alias("text"))
+        s = lambda v: F.lit(v).cast("string")
+        labels = F.array(*[F.lit(t) for t in types]).cast("array<string>")
+        return F.struct(
+            s(id_).alias("id"), F.lit(kind).alias("type"), value.alias("value"), labels.alias("labels"), s(source).alias("from_id"), s(target).alias("to_id"),
+            x(200).alias("original_width"), x(100).alias("original_height"),
+        )
+
+    result = F.array(
+        item("a", "labels", "Drug", "a", [], None, None), item("b", "labels", "zzz", "b", [], None, None), item("c", "labels", "strength", "c", [], None, None),
+        item(None, "relation", "", "", ["HAS_STRENGTH"], "a", "c"), item(None, "relation", "", "", [], "a", "b"),
+    )
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), F.array(F.struct(result.alias("result"))).alias("annotations"))
+    entities, links = convert.label_studio(tasks)
+    links = links.select("sample_id", F.col("source").alias("id"), F.concat_ws(">", "type", "target").alias("links"))
+    box = [F.col("bbox")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]
+    return entities.join(links, ["sample_id", "id"], "left").select("sample_id", "id", "label", "text", *box, "links")
+
+
 # Contract and plans: V02, V03, D01-D05, V04, X01-X03
 
 
@@ -847,7 +1016,49 @@ def parsed_medications(spark, sf_dir):
     return rows.select("o_orderkey", "frequency", "timesPerDay", F.col("frequencyRequiresReview").alias("review"), "error")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT *, o_orderkey AS k FROM orders), f AS (SELECT k, CASE WHEN k % 7 = 0 THEN 'plan_id is required' WHEN k % 11 = 0 THEN 'prescription_id is required'
+  WHEN k % 5 = 0 THEN 'medications must not be empty' WHEN k % 13 = 0 THEN 'medication_id is required' WHEN k % 17 = 0 THEN 'prescribed is required'
+  WHEN k % 19 = 0 AND k % 3 <> 0 THEN 'fields_to_verify has an unknown field' END AS error FROM e)
+SELECT k AS o_orderkey, error, CASE WHEN error IS NULL THEN CASE WHEN k % 2 <> 0 OR k % 3 = 0 THEN 'needs_verification' ELSE 'verified' END END AS status,
+  CASE WHEN error IS NULL THEN CASE WHEN k % 3 = 0 THEN 'drug' ELSE '' END END AS fields, CASE WHEN error IS NULL THEN 'd' END AS raw_text FROM f"""
+)
+def create_plans(spark, sf_dir):
+    k = F.col("o_orderkey")
+    some = F.when(k % 3 == 0, F.array(F.lit("drug"), F.lit("drug"))).when(k % 19 == 0, F.array(F.lit("nope"))).otherwise(F.array().cast("array<string>"))
+    med = F.struct(
+        F.when(k % 13 == 0, "").otherwise("m").alias("medication_id"), F.lit("d").alias("drug_name"),
+        F.when(k % 17 != 0, F.struct(F.lit(None).cast("string").alias("raw_text"))).alias("prescribed"),
+        F.struct(F.when(k % 2 == 0, "verified").otherwise("x").alias("status"), some.alias("fields_to_verify")).alias("verification"),
+    )
+    plans = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k % 7 == 0, "").otherwise(k.cast("string")).alias("plan_id"), F.when(k % 11 != 0, "p").alias("prescription_id"),
+        F.slice(F.array(med), 1, F.when(k % 5 == 0, 0).otherwise(1)).alias("medications"),
+    )
+    rows = plan.create_plans(plans).withColumn("m", F.get("medications", F.lit(0)))
+    return rows.select("o_orderkey", "error", "status", F.array_join("m.verification.fields_to_verify", "|").alias("fields"), F.col("m.prescribed.raw_text").alias("raw_text"))
+
+
+@query(
+    """SELECT event_id % 3 AS role, user_id AS sample_id, max(event_id) AS version, max_by(event_type, event_id) AS text FROM events GROUP BY 1, 2"""
+)
+def latest_drafts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return plan.latest_drafts(e.select((F.col("event_id") % 3).alias("role"), F.col("user_id").alias("sample_id"), F.col("event_id").alias("version"), F.col("event_type").alias("text")))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, event_type IN ('click', 'view') AS verify, sum((event_type = 'click')::INT) OVER w AS drug, sum((event_type = 'view')::INT) OVER w AS strength,
+  lag(event_type IN ('click', 'view')) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+c AS (SELECT *, drug > 0 AND strength > 0 AS done, verify OR (drug > 0 AND strength > 0 AND before) AS applied FROM e)
+SELECT CAST(user_id AS VARCHAR) AS plan_id,
+  CASE WHEN NOT max_by(done, event_id) THEN 'needs_verification' WHEN max_by(verify, event_id) THEN 'verified' ELSE 'scheduled' END AS status,
+  count(*) FILTER (applied) AS applied, count(*) FILTER (NOT coalesce(applied, false)) AS rejected,
+  CASE WHEN count(*) FILTER (NOT coalesce(applied, false)) > 0 THEN 'plan is not verified' END AS last_error,
+  'm1=' || concat_ws(',', CASE WHEN max(drug) = 0 THEN 'drug' END, CASE WHEN max(strength) = 0 THEN 'strength' END) || '@'
+    || CASE WHEN count(*) FILTER (applied AND NOT verify) > 0 THEN '08:00,20:00' ELSE '' END AS medications
+FROM c GROUP BY user_id"""
+)
 def plan_fold(spark, sf_dir):
     """Each user's events as commands: clicks verify a field, the rest schedule."""
     e = table(spark, sf_dir, "events").withColumn("plan_id", F.col("user_id").cast("string"))
