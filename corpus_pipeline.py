@@ -36,14 +36,18 @@ def _join(docs: DataFrame, found: DataFrame, *names: str) -> tuple[DataFrame, li
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts have no words
+    and go; repeated rows and rows with null ids are judged each, very long texts
+    whole. An empty table gives no rows; other columns are left out."""
     kept = quality(docs).where("kept").select("doc_id", "h", "lang").distinct()
     return _join(docs, kept, "doc_id", "h", "lang")[0].select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of recurring templates, but for a template's first.
-    Those that have no word left were copies line by line, and go."""
+    Those that have no word left were copies line by line, and go. Null and empty
+    texts stay as they are, and so does every row in which nothing is dropped,
+    repeated ones too. An empty table gives no rows; other columns are left out."""
     found = dedup_lines(docs.select(*COLUMNS))
     left = (F.col("n_dropped") == 0) | (F.regexp_count("text", F.lit(WORD)) > 0)
     return found.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -51,7 +55,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the least doc_id, once.
-    Documents without words are copies of nothing and stay."""
+    Documents without words are copies of nothing and stay, repeated ones too; of
+    equal rows one stays, the first by lang and source; a null id is the largest.
+    An empty table gives no rows; other columns are left out."""
     found = Scratch(spark, "pipeline").keep(jaccard_classes(docs), "classes")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("h"))).alias("one")
     kept = found.where("n_shingles > 0").groupBy("group_id").agg(one).select("one.doc_id", "one.h", F.lit(False).alias("empty"))
@@ -65,7 +71,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Each document as often as the mix takes it. The one document of a source
     that it takes in part ends in its last copy after so many words, with all that
     stands between and before them, so that a source misses its target by
-    a word at most."""
+    a word at most. Texts without words are never taken; equal rows are taken
+    together, as often as all of them. An empty table gives no rows; other columns
+    are left out."""
     taken = mix(docs).groupBy("doc_id", "h", "source").agg(
         F.sum("copies").alias("copies"), F.sum(F.col("taken") - F.col("size") * F.col("copies")).cast("int").alias("words")
     )
@@ -81,7 +89,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences."""
+    """The pieces of the documents in sequences. Each row is packed, repeated ones
+    too; a null or empty text is its end token alone, a very long one as many
+    pieces as it needs. An empty table gives no rows; other columns are left out."""
     return pack(docs)
 
 
