@@ -347,7 +347,7 @@ def jaccard_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, scr
     link when 100 * intersection >= percent * union, checked on the whole sets;
     component_id is the least doc_id in reach (null where all are null). Null and
     empty texts have no set and link with nothing. Rows with equal sets are one
-    node of the product. The matrix is multiplied in blocks of shingles, over
+    node of the product, and different sets of one id a node each. The matrix is multiplied in blocks of shingles, over
     each document's first shingles only, rare ones first; sizes bound which pairs
     go on. Groups of hot shingles are never paired: their rows meet a few hubs,
     and then only what is outside a group's main component meets the others.
@@ -365,6 +365,14 @@ def jaccard_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, scr
     )
     nodes = nodes.select("key", F.coalesce("one.doc_id", F.xxhash64("key")).alias("node"), "one.doc_id", "one.h", "n", "cold", "prefix")
     nodes = scratch.keep(nodes, "nodes")
+    # an id with several sets names the first of them, the others go by their hashes
+    twice = nodes.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again")).agg(F.min("key").alias("first"), F.count("*").alias("sets"))
+    twice = scratch.keep(twice.where("sets > 1").select("again", "first"), "twice")
+    if not twice.isEmpty():
+        named = nodes.join(twice, F.col("doc_id") == F.col("again"), "left")
+        other = F.coalesce(F.col("key") != F.col("first"), F.lit(False))
+        named = named.withColumn("node", F.when(other, F.xxhash64("key")).otherwise(F.col("node"))).select(*nodes.columns)
+        nodes = scratch.keep(named, "named")
     known = links(nodes, lambda of: texts_of(docs, of, k), percent, scratch)
     least = known.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
     known = known.join(least, "component").select("node", "component", "least")

@@ -147,7 +147,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = L
     done = done.withColumn("nth", F.explode(F.sequence(F.col("block") * GROUP, end)))
     p = F.when(F.col("nth") < F.col("full"), 1.0).when(F.col("nth") == F.col("full"), F.col("p")).otherwise(0.0)
     done = done.select("sid", "doc_id", "h", "size", F.when(F.col("size") > 0, p).otherwise(0.0).alias("p"))
-    copies = F.col("whole") + F.floor("r.p")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.floor("r.p")).otherwise(F.lit(0))
     taken = F.col("size") * F.col("whole") + F.round(F.col("size") * F.col("r.p")).cast("long")
     return (
         done.alias("r")
