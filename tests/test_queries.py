@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-NAMES = ("link_drugs", "split_rank", "split_fnv", "greedy_match", "bio_tags", "lines_last_line", "validate_docs", "create_requests", "numeric_signature")
+NAMES = ("link_drugs", "split_rank", "split_fnv", "greedy_match", "bio_tags", "lines_last_line", "validate_docs", "create_requests", "numeric_signature",
+         "bio_examples", "plan_fold", "create_plans", "convert_label_studio", "convert_records", "field_outcomes", "sensitive_paths")
 
 
 def rows(frame):
