@@ -15,17 +15,17 @@ from docloom.llm.textops import batches, hash_shingles, hash_words, mix64
 from docloom.session import Scratch, prepare
 
 WORDS, PERCENT, MIN_WORDS = 5, 75, 16
-#: In sentences of more words than ``LONG``, one word in ``STOP`` ends a part of
-#: them, by its hash: texts without full stops have paragraphs too.
-LONG, STOP = 24, 8
-#: Words between a paragraph's beginning and others that could be chosen in its
-#: place, and words it takes on to reach the next paragraph.
-APART, MORE = 14, 12
+#: Of so many places in a row, one at least begins a paragraph; and so many places
+#: may end it, from ``MIN_WORDS`` words on. With no more than ``MIN_WORDS`` of the
+#: first, every word is in a paragraph.
+WINDOW, ENDS = 16, 6
+#: A passage of so many words that two texts share gives both an equal paragraph.
+SURE = WINDOW + MIN_WORDS + ENDS
 #: Rows of a band, and the share of pairs at the threshold that must collide.
 BAND_ROWS, RECALL = 1, 0.98
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
-_STOPS = np.uint64(0x243F6A8885A308D3)
+_NEVER = np.uint64(2**64 - 1)
 
 
 def bands(percent: int, rows: int, recall: float) -> int:
@@ -34,79 +34,60 @@ def bands(percent: int, rows: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** rows))
 
 
-def sentences(texts: list[bytes]):
+def places(texts: list[bytes]):
     """Hashes of all words, where each text's begin, the words' first and
-    past-the-end bytes, and past-the-end words of sentences: they end at a full
-    stop, a line's end or, in long ones, after words chosen by their hash."""
+    past-the-end bytes, and the rank of the place before each word: a hash of the
+    words on both sides, those after a full stop below all others. Line ends do not
+    count, so a passage has the same ranks however it is laid out. A text's first
+    place, and the end of all, have the last rank."""
     words, first, begin, end = hash_words(texts)
-    if not len(words):
-        return words, first, begin, end, np.zeros(0, dtype=np.int64)
-    joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    lines, last = np.cumsum(joined == 10), np.ones(len(words), dtype=bool)
-    last[:-1] = lines[begin[1:]] != lines[begin[:-1]]
-    stop = last | _ENDS[joined[end - 1]]
-    size = np.diff(np.concatenate([[0], np.flatnonzero(stop) + 1]))
-    stop |= np.repeat(size > LONG, size) & (mix64(words ^ _STOPS) % np.uint64(STOP) == 0)
-    return words, first, begin, end, np.flatnonzero(stop) + 1
-
-
-def chosen(starts: np.ndarray, owner: np.ndarray, words: np.ndarray, opens: np.ndarray, apart: int) -> np.ndarray:
-    """Which sentences a paragraph begins with: a text's first, and each that has
-    the least hash (of the words on both sides of its start) among those up to
-    ``apart`` words away. What is far from a passage's ends does not count, so
-    copies of the passage have the same ones."""
-    h = mix64(words[np.maximum(starts - 1, 0)] + np.uint64(3) * words[starts])
-    h[opens] = 0
-    keep, k = np.ones(len(starts), dtype=bool), 1
-    while k < len(starts):
-        near = (starts[k:] - starts[:-k] <= apart) & (owner[k:] == owner[:-k])
-        if not near.any():
-            break
-        keep[k:] &= ~near | (h[:-k] > h[k:])  # of equal ones the first
-        keep[:-k] &= ~near | (h[k:] >= h[:-k])
-        k += 1
-    return keep
+    rank = np.full(len(words) + 1, _NEVER)
+    if len(words) > 1:
+        joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        rank[1:-1] = mix64(words[:-1] + np.uint64(3) * words[1:]) >> np.uint64(2)
+        rank[1:-1] |= np.where(_ENDS[joined[end[:-1] - 1]], np.uint64(0), np.uint64(1) << np.uint64(62))
+    rank[first] = _NEVER
+    return words, first, begin, end, rank
+
+
+def starts_of(rank: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """Each text's first place, and the first of least rank in every stretch of
+    ``window`` places behind it: what is chosen in a stretch depends on nothing else."""
+    texts = first[:-1][first[:-1] < first[1:]]
+    if len(rank) - 1 < window:
+        return texts
+    at = np.lib.stride_tricks.sliding_window_view(rank[:-1], window).argmin(axis=1)
+    at += np.arange(len(at))
+    # stretches that a text begins in hold two texts' places
+    inside = np.ones(len(at), dtype=np.int64)
+    mark = np.zeros(len(at) + 1, dtype=np.int64)
+    np.add.at(mark, np.clip(texts - window + 1, 0, len(at)), 1)
+    np.add.at(mark, np.clip(texts + 1, 0, len(at)), -1)
+    return np.union1d(texts, at[inside > np.cumsum(mark[:-1])])
 
 
 def paragraphs(texts: list[bytes], k: int, min_words: int):
     """owner, number in its text, spans (words), bytes in the text and shingle
-    hashes of each paragraph. One begins at each chosen sentence and takes on
-    sentences, over line ends, until it has ``min_words`` words, and then up to
-    ``MORE`` if these take it to the next one's beginning. Other words between
-    two, or after the last, are in paragraphs as long. They may overlap; only
-    texts of fewer words have none."""
-    words, first, begin, end, ends = sentences(texts)
+    hashes of each paragraph. One begins at each chosen place (``starts_of``) and
+    ends, over line ends, at the place of least rank among the ``ENDS`` from
+    ``min_words`` words on; a text's end is the last choice. The last words are in
+    one that ends with the text. They overlap; texts of fewer words have none."""
+    words, first, begin, end, rank = places(texts)
     every, least = hash_shingles(words, k), max(min_words, k)
-    starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
-    of = np.searchsorted(first, starts, side="right") - 1
-    opens, closes = starts == first[of], first[of + 1]
-    at = np.flatnonzero(chosen(starts, of, words, opens, APART) if len(starts) else opens)
-    last = np.searchsorted(ends, starts[at] + least)
-    fits = (last < len(ends)) & (ends[np.minimum(last, len(ends) - 1)] <= closes[at])
-    at, last = at[fits], last[fits]
-    spans = np.stack([starts[at], ends[last]], axis=1)
-    # what is before the next paragraph or the text's end
-    following = np.append(spans[1:, 0], 0)
-    again = np.append(of[at][1:] == of[at][:-1], False)
-    spans[:, 1] = np.where(again & (spans[:, 1] < following) & (following - spans[:, 1] <= MORE), following, spans[:, 1])
-    upto = np.where(again, following, closes[at])
-    more = []
-    for i in np.flatnonzero(spans[:, 1] < upto).tolist():
-        a, stop = int(spans[i, 1]), int(upto[i])
-        while a < stop:
-            j = int(np.searchsorted(ends, a + least))
-            b = int(ends[j]) if j < len(ends) else stop + 1
-            if b > stop:
-                a, b = int(starts[np.searchsorted(starts, stop - least, side="right") - 1]), stop
-            more.append((a, b))
-            a = b
-    spans = np.concatenate([spans, np.array(more, dtype=np.int64).reshape(-1, 2)])
+    starts = starts_of(rank, first, min(WINDOW, least))
+    close = first[np.searchsorted(first, starts, side="right")] if len(starts) else starts
+    fits = starts + least <= close
+    starts, close = starts[fits], close[fits]
+    choice = np.minimum(starts[:, None] + least + np.arange(ENDS), close[:, None])
+    stops = choice[np.arange(len(choice)), rank[choice].argmin(axis=1)] if len(choice) else starts
+    last = np.append(close[1:] != close[:-1], True)[: len(close)] & (stops < close)
+    spans = np.stack([np.concatenate([starts, close[last] - least]), np.concatenate([stops, close[last]])], axis=1)
     spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
     owner = np.searchsorted(first, spans[:, 0], side="right") - 1
     offset = np.cumsum([0, *(len(t) + 1 for t in texts)])[owner]
-    places = np.stack([begin[spans[:, 0]] - offset, end[spans[:, 1] - 1] - offset], axis=1) if len(spans) else spans
+    at = np.stack([begin[spans[:, 0]] - offset, end[spans[:, 1] - 1] - offset], axis=1) if len(spans) else spans
     number = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    return owner, number, spans - first[owner][:, None], places, spans, every
+    return owner, number, spans - first[owner][:, None], at, spans, every
 
 
 def minhashes(every: np.ndarray, spans: np.ndarray, k: int, count: int) -> np.ndarray:
@@ -176,10 +157,10 @@ def colliding(docs: DataFrame, found: DataFrame, k: int, min_words: int, rows: i
             wanted = batch.column(3).to_pylist()
             pairs = ((i, _raw(t.as_py())) for i, t in enumerate(batch.column(0)))
             for some in batches(pairs, lambda p: len(p[1]), 2 << 20):
-                owner, number, own, places, spans, every = paragraphs([p[1] for p in some], k, min_words)
+                owner, number, own, at_bytes, spans, every = paragraphs([p[1] for p in some], k, min_words)
                 start = np.searchsorted(owner, np.arange(len(some)))
                 mine = np.concatenate([start[j] + np.array(sorted(wanted[i]), dtype=np.int64) for j, (i, _) in enumerate(some)])
-                spans, own, places, owner, number = (x[mine] for x in (spans, own, places, owner, number))
+                spans, own, at_bytes, owner, number = (x[mine] for x in (spans, own, at_bytes, owner, number))
                 at = pa.array(np.array([i for i, _ in some], dtype=np.int64)[owner])
                 token, n, node = shingle_sets_of(every, spans, k)
                 if n.sum() > (1 << 27):
@@ -188,7 +169,7 @@ def colliding(docs: DataFrame, found: DataFrame, k: int, min_words: int, rows: i
                 sets = pa.Array.from_buffers(pa.binary(), len(n), [None, edges, pa.py_buffer(np.ascontiguousarray(token))])
                 bands = np.stack(band_hashes(every, spans, k, rows, count), axis=1).ravel()
                 of = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * count), pa.array(bands))
-                numbers = (number, own[:, 0], own[:, 1] - own[:, 0], places[:, 0], places[:, 1], node.view(np.int64), n)
+                numbers = (number, own[:, 0], own[:, 1] - own[:, 0], at_bytes[:, 0], at_bytes[:, 1], node.view(np.int64), n)
                 columns = [ids.take(at), docs_.take(at), *[pa.array(x.astype(np.int64)) for x in numbers], sets, of]
                 for a in range(0, len(n), 2000):
                     yield pa.RecordBatch.from_arrays([c[a : a + 2000] for c in columns], _FOUND)
@@ -229,10 +210,11 @@ def repeated_paragraphs(
 ) -> DataFrame:
     """The paragraphs of ``docs`` (doc_id, text) that repeat across documents.
 
-    A paragraph is one or more sentences with ``min_words`` words together. It
-    begins where words around it say so, not by a count from the text's or line's
-    beginning, so that a passage has the same paragraphs in every text; every word
-    of a text of ``min_words`` words is in one, some in more. Paragraphs that share a MinHash bucket link if their whole sets
+    A paragraph is ``min_words`` to ``min_words + ENDS - 1`` words, from one full stop to
+    another where there are some. Its beginning and end are chosen by the words
+    within a window alone, so a passage of ``SURE`` words that two texts share gives both an
+    equal paragraph, and shorter ones mostly do; every word of a text of
+    ``min_words`` words is in one, most in two. Paragraphs that share a MinHash bucket link if their whole sets
     are alike: 100 * intersection >= percent * union, of k-word shingles of A-Z
     lower-cased words. The bands are the fewest that let a pair at the threshold
     collide with probability ``recall``; equal paragraphs always do. A bucket's

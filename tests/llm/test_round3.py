@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from docloom.llm import infilling, vectors
+from docloom.llm import infilling, linededup, paragraphs, vectors
 from docloom.llm.periodic import collapsed, periodic_runs, runs
 from docloom.llm.queries import tiled
 
@@ -264,3 +264,43 @@ def test_query_keeps_every_vector(spark):
     got = entry.queries()["op13_quantised_vectors"](spark, SF)
     assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
     assert sorted(map(tuple, got.collect())) == sorted(near(rows))
+
+
+# Lines and paragraphs
+
+
+def test_text_of_many_dropped_lines(spark):
+    n = 200_000
+    text = "\n".join("same old line" if i % 2 else f"only {i} x{i} y{i}z" for i in range(n))
+    rows = spark.createDataFrame([(0, text), (1, "same old line"), (2, "same old line\nq")], "doc_id long, text string")
+    got = {r.doc_id: r for r in linededup.dedup_lines(rows, min_constant=0.6).collect()}
+    assert got[0].n_lines == n and got[0].n_dropped == n // 2 - 1 and (got[1].text, got[2].text) == ("", "q")
+    assert got[0].text.count("\n") == n // 2 and got[0].text.count("same old line") == 1 and got[0].text.endswith(f"only {n - 2} x{n - 2} y{n - 2}z")
+
+
+def passages(words, stop, r):
+    """A passage of so many words in two surroundings, in sentences or without stops."""
+    some = lambda n: [r.choice(VOCABULARY) + ("." if stop and r.random() < 0.1 else "") for _ in range(n)]
+    passage = some(words)
+    lay = lambda w: "".join(x + ("\n" if r.random() < 0.1 else " ") for x in w)
+    return [lay(some(r.randint(0, 60)) + passage + some(r.randint(0, 60))).encode() for _ in range(2)]
+
+
+VOCABULARY = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnrst"]
+
+
+@pytest.mark.parametrize("stop", [True, False])
+@pytest.mark.parametrize("words,least", [(33, 0.9), (paragraphs.SURE, 1.0), (44, 1.0), (55, 1.0)])
+def test_passages_share_a_paragraph(words, least, stop):
+    found = 0
+    for seed in range(150):
+        texts = passages(words, stop, random.Random(1000 * words + seed))
+        owner, _, _, _, spans, every = paragraphs.paragraphs(texts, 5, paragraphs.MIN_WORDS)
+        sets = [{frozenset(every[a : b - 4].tolist()) for o, (a, b) in zip(owner, spans) if o == k} for k in (0, 1)]
+        found += bool(sets[0] & sets[1])
+        for k, t in enumerate(texts):
+            n = len(t.split())
+            first = sum(len(x.split()) for x in texts[:k])
+            covered = {w for o, (a, b) in zip(owner, spans.tolist()) if o == k for w in range(a - first, b - first)}
+            assert covered == (set(range(n)) if n >= paragraphs.MIN_WORDS else set())
+    assert paragraphs.SURE <= 40 and found >= least * 150
