@@ -110,13 +110,15 @@ def dedup_lines(
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
     rows = docs.withColumn("__key", F.xxhash64("text"))
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]) & (rows["__key"] == gone["__h"]), "left")
-    every = F.split("text", "\n")
-    left = F.filter(every, lambda x, i: ~F.array_contains(F.col("__gone"), i))
+    rows = rows.withColumn("__lines", F.split("text", "\n"))
+    # places are subtracted by a hash set, so work is linear in lines however many go
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
+    left = F.transform(stay, lambda i: F.get("__lines", i))
     return (
-        rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(every)).cast("long"))
+        rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long"))
         .withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
         .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-        .drop("__id", "__h", "__gone", "__key")
+        .drop("__id", "__h", "__gone", "__key", "__lines")
     )
 
 
