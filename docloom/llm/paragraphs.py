@@ -117,20 +117,30 @@ def band_hashes(every: np.ndarray, spans: np.ndarray, k: int, rows: int, count:
     return out
 
 
+def _texts(arrow_batch, column: int = 0):
+    """Rows of a batch as (number, raw text), some at a time."""
+    pairs = ((i, _raw(t.as_py())) for i, t in enumerate(arrow_batch.column(column)))
+    return batches(pairs, lambda p: len(p[1]), 2 << 20)
+
+
 def buckets(docs: DataFrame, k: int, min_words: int, rows: int, count: int) -> DataFrame:
-    """bucket, doc and number of each band of each paragraph."""
+    """bucket and doc, once each, of all bands of all paragraphs."""
 
     def run(arrow_batches):
         for batch in arrow_batches:
             doc = batch.column(1).to_numpy(zero_copy_only=False)
-            pairs = ((i, _raw(t.as_py())) for i, t in enumerate(batch.column(0)))
-            for some in batches(pairs, lambda p: len(p[1]), 2 << 20):
-                owner, number, _, _, spans, every = paragraphs([p[1] for p in some], k, min_words)
-                ids = doc[np.array([p[0] for p in some], dtype=np.int64)[owner]] if len(owner) else np.zeros(0, dtype=np.int64)
-                for band in band_hashes(every, spans, k, rows, count):
-                    yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(ids), pa.array(number)], ["bucket", "doc", "number"])
+            for some in _texts(batch):
+                owner, _, _, _, spans, every = paragraphs([p[1] for p in some], k, min_words)
+                found = np.concatenate([np.zeros(0, dtype=np.int64), *band_hashes(every, spans, k, rows, count)])
+                own = np.tile(owner, count)
+                order = np.lexsort((found, own))
+                found, own = found[order], own[order]
+                new = np.ones(len(found), dtype=bool)
+                new[1:] = (found[1:] != found[:-1]) | (own[1:] != own[:-1])
+                ids = doc[np.array([p[0] for p in some], dtype=np.int64)[own[new]]] if new.any() else np.zeros(0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found[new]), pa.array(ids)], ["bucket", "doc"])
 
-    return docs.select("text", "doc").mapInArrow(run, "bucket long, doc long, number long")
+    return docs.select("text", "doc").mapInArrow(run, "bucket long, doc long")
 
 
 def shingle_sets_of(every: np.ndarray, spans: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,37 +158,56 @@ def shingle_sets_of(every: np.ndarray, spans: np.ndarray, k: int) -> tuple[np.nd
     return token, n, mix64(total + n.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def colliding(docs: DataFrame, found: DataFrame, k: int, min_words: int, rows: int, count: int) -> DataFrame:
-    """The paragraphs named in ``found`` (doc, numbers) with their whole sets and buckets."""
+def colliding(docs: DataFrame, met: DataFrame, k: int, min_words: int, rows: int, count: int) -> DataFrame:
+    """The paragraphs that have a bucket of their document's in ``met`` (doc, shared),
+    with all their buckets by band, and the name and size of their sets."""
 
     def run(arrow_batches):
         for batch in arrow_batches:
-            ids, docs_ = batch.column(1), batch.column(2)
-            wanted = batch.column(3).to_pylist()
-            pairs = ((i, _raw(t.as_py())) for i, t in enumerate(batch.column(0)))
-            for some in batches(pairs, lambda p: len(p[1]), 2 << 20):
+            ids, docs_, shared = batch.column(1), batch.column(2), batch.column(3)
+            for some in _texts(batch):
                 owner, number, own, at_bytes, spans, every = paragraphs([p[1] for p in some], k, min_words)
-                start = np.searchsorted(owner, np.arange(len(some)))
-                mine = np.concatenate([start[j] + np.array(sorted(wanted[i]), dtype=np.int64) for j, (i, _) in enumerate(some)])
-                spans, own, at_bytes, owner, number = (x[mine] for x in (spans, own, at_bytes, owner, number))
-                at = pa.array(np.array([i for i, _ in some], dtype=np.int64)[owner])
-                token, n, node = shingle_sets_of(every, spans, k)
-                if n.sum() > (1 << 27):
-                    raise ValueError("more than 1 GB of shingles in the paragraphs of one text")
-                edges = pa.py_buffer((8 * np.concatenate([[0], np.cumsum(n)])).astype(np.int32))
-                sets = pa.Array.from_buffers(pa.binary(), len(n), [None, edges, pa.py_buffer(np.ascontiguousarray(token))])
-                bands = np.stack(band_hashes(every, spans, k, rows, count), axis=1).ravel()
-                of = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * count), pa.array(bands))
-                numbers = (number, own[:, 0], own[:, 1] - own[:, 0], at_bytes[:, 0], at_bytes[:, 1], node.view(np.int64), n)
-                columns = [ids.take(at), docs_.take(at), *[pa.array(x.astype(np.int64)) for x in numbers], sets, of]
-                for a in range(0, len(n), 2000):
-                    yield pa.RecordBatch.from_arrays([c[a : a + 2000] for c in columns], _FOUND)
+                bands = np.stack([*band_hashes(every, spans, k, rows, count), owner], axis=1)
+                hit = np.zeros(len(spans), dtype=bool)
+                edge = np.searchsorted(owner, np.arange(len(some) + 1))
+                for j, (i, _) in enumerate(some):
+                    here = slice(edge[j], edge[j + 1])
+                    hit[here] = np.isin(bands[here, :count], shared[i].values.to_numpy(zero_copy_only=False)).any(axis=1)
+                mine = np.flatnonzero(hit)
+                for a in range(0, len(mine), 2000):
+                    part = mine[a : a + 2000]
+                    _, n, node = shingle_sets_of(every, spans[part], k)
+                    at = pa.array(np.array([i for i, _ in some], dtype=np.int64)[owner[part]])
+                    numbers = (number[part], own[part, 0], own[part, 1] - own[part, 0], at_bytes[part, 0], at_bytes[part, 1], node.view(np.int64), n)
+                    values = pa.array(np.ascontiguousarray(bands[part, :count]).ravel())
+                    of = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * count), values)
+                    yield pa.RecordBatch.from_arrays([ids.take(at), docs_.take(at), *[pa.array(x.astype(np.int64)) for x in numbers], of], _FOUND)
+
+    joined = docs.join(met, "doc").select("text", "doc_id", "doc", "shared")
+    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in _FOUND[:-1]) + ", buckets array<long>")
 
-    joined = docs.join(found, "doc").select("text", "doc_id", "doc", "numbers")
-    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in _FOUND[:-2]) + ", tokens binary, buckets array<long>")
 
+_FOUND = ["doc_id", "doc", "number", "start_word", "n_words", "start_byte", "end_byte", "node", "n", "buckets"]
 
-_FOUND = ["doc_id", "doc", "number", "start_word", "n_words", "start_byte", "end_byte", "node", "n", "tokens", "buckets"]
+
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int, min_words: int) -> DataFrame:
+    """node and tokens (the whole set) of the paragraphs in ``wanted`` (doc, numbers)."""
+
+    def run(arrow_batches):
+        for batch in arrow_batches:
+            numbers = batch.column(1)
+            for some in _texts(batch):
+                owner, number, _, _, spans, every = paragraphs([p[1] for p in some], k, min_words)
+                start = np.searchsorted(owner, np.arange(len(some)))
+                mine = np.concatenate([start[j] + numbers[i].values.to_numpy(zero_copy_only=False) for j, (i, _) in enumerate(some)])
+                for a in range(0, len(mine), 2000):
+                    token, n, node = shingle_sets_of(every, spans[mine[a : a + 2000]], k)
+                    edges = pa.py_buffer((8 * np.concatenate([[0], np.cumsum(n)])).astype(np.int32))
+                    sets = pa.Array.from_buffers(pa.binary(), len(n), [None, edges, pa.py_buffer(np.ascontiguousarray(token))])
+                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), sets], ["node", "tokens"])
+
+    found = docs.join(wanted, "doc").select("text", "numbers").mapInArrow(run, "node long, tokens binary")
+    return found.dropDuplicates(["node"])  # rows with one doc_id and text give theirs again
 
 
 def _stored_sets(arrow_batch):
@@ -238,23 +267,27 @@ def repeated_paragraphs(
     every = scratch.keep(buckets(docs, k, min_words, rows, count), "buckets")
     ends = every.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     shared = scratch.keep(ends.where("a <> b").select("bucket"), "shared")
-    met = every.join(shared, "bucket", "left_semi").groupBy("doc").agg(F.collect_set("number").alias("numbers"))
+    met = every.join(shared, "bucket", "left_semi").groupBy("doc").agg(F.collect_set("bucket").alias("shared"))
     met = scratch.keep(met, "met")
     scratch.drop(every, shared)
+    scratch.release()
     found = scratch.keep(colliding(docs, met, k, min_words, rows, count), "found")
     scratch.drop(met)
     scratch.release()
-    classes = found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "buckets")])
-    classes = scratch.keep(classes, "classes")
-    # rows with one doc_id and text are one document
-    seen = scratch.keep(found.drop("tokens", "buckets").dropDuplicates(["doc", "number"]), "seen")
-    scratch.drop(found)
-    scratch.release()
+    some = F.min(F.struct("doc", "number")).alias("some")
+    classes = scratch.keep(found.groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"), some), "classes")
     member = classes.select("node", "n", F.posexplode("buckets").alias("band", "grp"))
     crowd = member.groupBy("grp").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("grp")
     member = scratch.keep(member.join(crowd, "grp", "left_semi"), "member")
-    several = scratch.keep(classes.select("node", "tokens").join(member.select("node").distinct(), "node", "left_semi"), "several")
+    # sets that others may be like: one paragraph's for each of them
+    wanted = classes.select("node", "some").join(member.select("node").distinct(), "node", "left_semi")
+    wanted = wanted.groupBy("some.doc").agg(F.collect_set("some.number").alias("numbers"))
+    several = scratch.keep(sets_of(docs, wanted, k, min_words), "several")
     scratch.drop(classes)
+    # rows with one doc_id and text are one document
+    seen = scratch.keep(found.drop("buckets").dropDuplicates(["doc", "number"]), "seen")
+    scratch.drop(found)
+    scratch.release()
     sets = scratch.keep(with_first(several, percent), "sets")
     scratch.drop(several)
     scratch.release()
