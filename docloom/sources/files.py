@@ -24,10 +24,10 @@ def walk(spark: SparkSession, path: str) -> DataFrame:
     return found.where(~hidden).withColumn("kind", file_kind(F.col("path"))).orderBy("path")
 
 
-def json_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """file, ord and value (VARIANT) of JSON files, one each, or one a line; text
-    that is no JSON has a null value and is kept."""
-    rows = spark.read.text(path, wholetext=not lines, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value")
+def json_documents(spark: SparkSession, path: str, lines: bool = False, glob: str | None = None) -> DataFrame:
+    """file, value (text) and document (VARIANT) of JSON files, one each, or one a line;
+    text that is no JSON has a null document and is kept."""
+    rows = spark.read.text(path, wholetext=not lines, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("file"), "value")
     rows = rows.where(F.trim("value") != "")
     return rows.select("file", "value", F.try_parse_json("value").alias("document"))
 
