@@ -33,6 +33,11 @@ class Converted(NamedTuple):
     skipped: DataFrame
 
 
+def name_of(value: Column, *paths: str) -> Column:
+    """The first given of some paths as text, null where none is or it is empty."""
+    return F.nullif(as_text(given(value, *paths)), F.lit(""))
+
+
 def number(value: Column, *paths: str) -> Column:
     """The first given of some paths as a finite number, else null."""
     n = F.try_variant_get(given(value, *paths), "$", "double")
@@ -103,14 +108,14 @@ def _record_parts(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     marked = of("annotation").select("file", "idx", F.posexplode(items(r, "$.entities")).alias("ord", "e"))
     first = lambda p: F.coalesce(as_text(given(e, *p)), F.lit(""))
     entities = marked.select(
-        "file", "idx", "ord", F.coalesce(as_text(given(e, "$.id")), F.col("ord").cast("string")).alias("source_id"), F.lit("label").alias("kind"),
+        "file", "idx", "ord", F.coalesce(name_of(e, "$.id"), F.col("ord").cast("string")).alias("source_id"), F.lit("label").alias("kind"),
         first(("$.label", "$.category", "$.type")).alias("raw"), first(("$.text", "$.raw_text")).alias("text"),
         first(("$.normalized_text", "$.normalizedText")).alias("normalized_text"), bbox_of(F.try_variant_get(e, "$.bbox", "variant")).alias("bbox"),
         F.coalesce(F.try_variant_get(e, "$.needs_review", "boolean"), F.lit(False)).alias("flag"),
     )
     links = of("annotation").select("file", "idx", F.posexplode(items(r, "$.relations")).alias("ord", "e")).select(
-        "file", "idx", "ord", F.coalesce(as_text(given(e, "$.type")), F.lit("RELATED_TO")).alias("type"),
-        as_text(given(e, "$.source", "$.source_entity_id")).alias("source"), as_text(given(e, "$.target", "$.target_entity_id")).alias("target"),
+        "file", "idx", "ord", F.coalesce(name_of(e, "$.type"), F.lit("RELATED_TO")).alias("type"),
+        name_of(e, "$.source", "$.source_entity_id").alias("source"), name_of(e, "$.target", "$.target_entity_id").alias("target"),
     )
 
     # a task's first annotation, in percent of the image's size
@@ -121,15 +126,15 @@ def _record_parts(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     relation = F.coalesce(F.try_variant_get(e, "$.type", "string") == "relation", F.lit(False))
     entities = entities.unionByName(
         tasks.where(~relation).select(
-            "file", "idx", "ord", F.coalesce(as_text(given(e, "$.id")), F.col("ord").cast("string")).alias("source_id"), F.lit("label").alias("kind"),
+            "file", "idx", "ord", F.coalesce(name_of(e, "$.id"), F.col("ord").cast("string")).alias("source_id"), F.lit("label").alias("kind"),
             first(("$.value.labels[0]", "$.value.label[0]", "$.label")).alias("raw"), first(("$.value.text", "$.text")).alias("text"),
             F.lit("").alias("normalized_text"), bbox_of(value, False, width, height).alias("bbox"), F.lit(False).alias("flag"),
         )
     )
     links = links.unionByName(
         tasks.where(relation).select(
-            "file", "idx", "ord", F.coalesce(as_text(given(e, "$.labels[0]")), F.lit("RELATED_TO")).alias("type"),
-            as_text(given(e, "$.from_id", "$.from")).alias("source"), as_text(given(e, "$.to_id", "$.to")).alias("target"),
+            "file", "idx", "ord", F.coalesce(name_of(e, "$.labels[0]"), F.lit("RELATED_TO")).alias("type"),
+            name_of(e, "$.from_id", "$.from").alias("source"), name_of(e, "$.to_id", "$.to").alias("target"),
         )
     )
 

@@ -81,7 +81,7 @@ def label_studio(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
     box = G.from_percent(value["x"], value["y"], value["width"], value["height"], F.col("r.original_width"), F.col("r.original_height"))
     e = r.where(~F.coalesce(F.col("r.type") == "relation", F.lit(False))).select("sample_id", "ord", F.col("r.id").alias("id"), label.alias("label"), value["text"].alias("text"), box.alias("bbox"))
     links = r.where("r.type = 'relation'").select(
-        "sample_id", "ord", F.coalesce(F.get("r.labels", F.lit(0)), F.lit("UNSPECIFIED")).alias("type"), F.col("r.from_id").alias("source"), F.col("r.to_id").alias("target")
+        "sample_id", "ord", F.coalesce(F.get("r.labels", F.lit(0)), F.lit("RELATED_TO")).alias("type"), F.col("r.from_id").alias("source"), F.col("r.to_id").alias("target")
     )
     kept, good, _ = annotation_records(e, links)
     return kept.select("sample_id", F.col("new_id").alias("id"), "label", "text", "bbox"), good

@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -14,7 +15,7 @@ NAMES = ("link_drugs", "split_rank", "split_fnv", "greedy_match", "bio_tags", "l
 
 
 def rows(frame):
-    value = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    value = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
     columns = sorted(frame.columns)
     return columns, sorted(repr([value(v) for v in r]) for r in frame[columns].astype(object).itertuples(index=False))
 
