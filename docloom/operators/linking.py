@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.session import Scratch
 
 THRESHOLD, MARGIN = 0.82, 0.05
 BATCH_THRESHOLD, BATCH_MARGIN = 0.78, 0.04
@@ -64,35 +65,64 @@ def strength_score(has_given: Column, want: Column, strengths: Column) -> Column
     )
 
 
-def score_candidates(queries: DataFrame, catalog: DataFrame, least_name: float | None = None, limit: int | None = None) -> DataFrame:
-    """Every query (name_norm, has_given, want, signal and keys of its own) with
-    every entry: adds drug_database_id, ord, brand_name, score (6 places),
-    matched_alias and matched_on.
+def _edits(least: float, longer: Column) -> Column:
+    """The edits that a similarity of ``least`` allows, by the longer one's length."""
+    return F.floor((1 - least + 1e-6) * longer).cast("int")
 
-    Equal names and equal aliases are compared once. Aliases are sent to all
-    executors up to a checked number of entries; beyond it the pairs are a shuffled
-    product of blocks. ``least_name`` leaves out aliases whose similarity must be
-    below it by length, which keeps every decision above it exact. With ``limit``,
-    of entries of one name score and the same strengths only so many are scored,
-    first ones in order: others cannot be among a query's best.
-    """
-    q, c = queries, prepare_catalog(catalog)
-    names, aliases = q.select("name_norm").distinct(), c.select("alias_norm").distinct()
-    small = catalog.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
-    if small:
-        pairs = names.join(F.broadcast(aliases))
-    else:
-        blocks = 64
-        pairs = names.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(
-            aliases.withColumn("block", F.pmod(F.xxhash64("alias_norm"), F.lit(blocks)).cast("int")), "block"
-        )
-    if least_name is not None:
-        longer = F.greatest(F.length("name_norm"), F.length("alias_norm"))
-        room = F.floor((1 - least_name + 1e-6) * longer)
-        pairs = pairs.where(F.abs(F.length("name_norm") - F.length("alias_norm")) <= room)
+
+def _parts(least: float, length: Column) -> tuple[Column, Column]:
+    """Into how many parts a text of some length is cut, one more than the edits that any partner
+    of it may have, and how long the shorter ones are; the last ones have a letter more."""
+    n = _edits(least, F.floor(length / least + 1e-6)) + 1
+    return n, F.floor(length / n).cast("int")
+
+
+def blocked_pairs(names: DataFrame, aliases: DataFrame, least: float) -> DataFrame:
+    """name_norm and alias_norm of all pairs that can be alike by ``least`` (0.5 at
+    least), by equal pieces: fewer edits than an alias has parts leave one of them whole, and
+    it stands in the name within so many letters of its place. So pairs meet on the
+    alias's length, the part's number and its letters; none is left out."""
+    if least < 0.5:
+        raise ValueError("parts would be empty")
+    m, i, shift = F.col("m"), F.col("i"), F.col("shift")
+    n, size = _parts(least, m)
+    long_from = n - (m - size * n)  # the first of the longer parts
+    start, width = i * size + F.greatest(F.lit(0), i - long_from), size + F.when(i >= long_from, 1).otherwise(0)
+    right = aliases.where("alias_norm <> ''").select("alias_norm", F.length("alias_norm").alias("m"))
+    right = right.select("alias_norm", "m", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    right = right.select("alias_norm", "m", "i", F.col("alias_norm").substr(start + 1, width).alias("piece"))
+    size_of = F.length("name_norm")
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(size_of * least - 1e-6)).cast("int"), F.floor(size_of / least + 1e-6).cast("int"))
+    left = names.where("name_norm <> ''").select("name_norm", F.explode(lengths).alias("m"))
+    left = left.join(F.broadcast(right.select("m").distinct()), "m", "left_semi")
+    left = left.select("name_norm", "m", _edits(least, F.greatest(size_of, m)).alias("k"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    left = left.select("name_norm", "m", "i", F.explode(F.sequence(-F.col("k"), F.col("k"))).alias("shift"))
+    inside = (start + shift >= 0) & (start + shift + width <= size_of)
+    left = left.where(inside).select("name_norm", "m", "i", F.col("name_norm").substr(start + shift + 1, width).alias("piece")).distinct()
+    return left.join(right, ["m", "i", "piece"]).select("name_norm", "alias_norm").distinct()
+
+
+def _product(names: DataFrame, aliases: DataFrame, entries: int) -> DataFrame:
+    """Every name with every alias, these sent to all executors up to a checked number
+    of catalog entries and met in shuffled blocks beyond it."""
+    if entries <= BROADCAST_ENTRIES:
+        return names.join(F.broadcast(aliases))
+    blocks = 64
+    return names.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(
+        aliases.withColumn("block", F.pmod(F.xxhash64("alias_norm"), F.lit(blocks)).cast("int")), "block"
+    )
+
+
+def _scored(q: DataFrame, c: DataFrame, pairs: DataFrame, least: float | None, limit: int | None, columns: list[str]) -> DataFrame:
+    """The ``pairs`` of names and aliases as pairs of queries ``q`` and entries of the prepared catalog ``c``."""
     pairs = pairs.withColumn("name_score", T.string_similarity(F.col("name_norm"), F.col("alias_norm")))
-    if least_name is not None:
-        pairs = pairs.where(F.col("name_score") >= least_name - 1e-6)
+    if least is not None:
+        pairs = pairs.where(F.col("name_score") >= least - 1e-6)
+    if limit is not None:
+        # of entries with one alias and strength the first ones in order are the best of each query
+        alike = Window.partitionBy("alias_norm", F.to_json("strengths")).orderBy("ord", "drug_database_id")
+        once = c.groupBy("alias_norm", "drug_database_id").agg(F.min_by(F.struct("alias_no", "alias", "ord", "brand_name", "strengths"), "alias_no").alias("e"))
+        c = once.select("alias_norm", "drug_database_id", "e.*").withColumn("nth", F.row_number().over(alike)).where(F.col("nth") <= limit).drop("nth")
     best = pairs.join(c, "alias_norm").groupBy("name_norm", "drug_database_id").agg(
         F.max(F.struct("name_score", (-F.col("alias_no")).alias("o"), "alias", "ord", "brand_name", "strengths")).alias("best")
     )
@@ -107,19 +137,60 @@ def score_candidates(queries: DataFrame, catalog: DataFrame, least_name: float |
         F.array(F.when(name > 0, F.lit("name")), F.when(F.col("has_given") & (part == 1.0), F.lit("strength"))), lambda x: x.isNotNull()
     )
     return rows.select(
-        *queries.columns, "drug_database_id", F.col("best.ord").alias("ord"), F.col("best.brand_name").alias("brand_name"),
+        *columns, "drug_database_id", F.col("best.ord").alias("ord"), F.col("best.brand_name").alias("brand_name"),
         F.round(score, 6).alias("score"), F.col("best.alias").alias("matched_alias"), matched.alias("matched_on"),
     )
 
 
-def top_candidates(queries: DataFrame, catalog: DataFrame, limit: int = 5, least_name: float | None = None) -> DataFrame:
+def score_candidates(queries: DataFrame, catalog: DataFrame, least_name: float | None = None, limit: int | None = None) -> DataFrame:
+    """Every query (name_norm, has_given, want, signal and keys of its own) with
+    every entry: adds drug_database_id, ord, brand_name, score (6 places),
+    matched_alias and matched_on.
+
+    Equal names and equal aliases are compared once. From a ``least_name`` of 0.5 on
+    names meet only aliases that can be so similar (``blocked_pairs``); a smaller
+    one, or none, compares all. With ``limit``, of entries with one alias (and then of one name score) and
+    the same strengths only so many are scored, first ones in order: others cannot
+    be among a query's best.
+    """
+    c = prepare_catalog(catalog)
+    names, aliases = queries.select("name_norm").distinct(), c.select("alias_norm").distinct()
+    if least_name is not None and least_name >= 0.5:
+        pairs = blocked_pairs(names, aliases, least_name)
+    else:
+        pairs = _product(names, aliases, catalog.limit(BROADCAST_ENTRIES + 1).count())
+    return _scored(queries, c, pairs, least_name, limit, queries.columns)
+
+
+#: Name similarity of the pairs that are scored first where all entries count.
+NEAR = 0.5
+
+
+def top_candidates(queries: DataFrame, catalog: DataFrame, limit: int = 5, least_name: float | None = None, scratch: Scratch | None = None) -> DataFrame:
     """The ``limit`` best entries of each query, ties in catalog order, with rank.
-    Queries of the same name and strength are ranked once."""
+    Queries of the same name and strength are ranked once. Without ``least_name``,
+    names meet near aliases first; an entry of another alias scores less than 0.8 * ``NEAR`` + 0.2, so
+    only queries without ``limit`` entries above that are compared with all."""
+    scratch = scratch or Scratch(queries.sparkSession, "linking")
     kind = F.to_json(F.struct("name_norm", "has_given", "want", "signal"))
-    asked = prepare_queries(queries).withColumn("kind", kind)
+    asked = scratch.keep(prepare_queries(queries).withColumn("kind", kind), "asked")
+    kinds = asked.drop("query_id").dropDuplicates(["kind"])
+    c = scratch.keep(prepare_catalog(catalog), "catalog")
+    aliases = c.select("alias_norm").distinct()
     by = Window.partitionBy("kind").orderBy(F.desc("score"), "ord")
-    scored = score_candidates(asked.drop("query_id").dropDuplicates(["kind"]), catalog, least_name, limit)
-    top = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
+
+    def best(of: DataFrame, pairs: DataFrame, least: float | None) -> DataFrame:
+        scored = _scored(of, c, pairs, least, limit, of.columns)
+        return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
+
+    near = NEAR if least_name is None or least_name < NEAR else least_name
+    top = best(kinds, blocked_pairs(kinds.select("name_norm").distinct(), aliases, near), near)
+    if near != least_name:
+        top = scratch.keep(top, "near")
+        sure = top.where((F.col("rank") == limit) & (F.col("score") > 0.8 * NEAR + 0.2 + 1e-5)).select("kind")
+        rest = scratch.keep(kinds.join(sure, "kind", "left_anti"), "rest")
+        far = _product(rest.select("name_norm").distinct(), aliases, catalog.limit(BROADCAST_ENTRIES + 1).count())
+        top = top.join(sure, "kind", "left_semi").unionByName(best(rest, far, least_name))
     top = top.drop("name_norm", "has_given", "want", "signal")
     return asked.select("query_id", "kind").join(top, "kind").drop("kind")
 
