@@ -103,8 +103,8 @@ def count_by(c: str, field: str, names) -> list[Column]:
 
 
 def summarize(records: DataFrame) -> DataFrame:
-    """One row of counts, with every label, type and status, and the ids of
-    invalid records, sorted."""
+    """One row of counts, with every label, type and status; ``invalid_samples`` has
+    the ids of invalid records."""
     rows = validate(records).select(
         "*", F.struct(*count_by("entities", "label", LABELS)).alias("__e"), F.struct(*count_by("relations", "type", RELATIONS)).alias("__r")
     )
@@ -117,10 +117,14 @@ def summarize(records: DataFrame) -> DataFrame:
         *[F.coalesce(F.sum(f"__e.{x}"), F.lit(0)).alias(f"entities_{x}") for x in LABELS],
         *[F.coalesce(F.sum(f"__r.{x}"), F.lit(0)).alias(f"relations_{x}") for x in RELATIONS],
         total("errors").alias("errors"), total("warnings").alias("warnings"),
-        F.array_sort(F.collect_list(F.when(~F.col("valid"), F.col("sample_id")))).alias("invalid_sample_ids"),
     )
 
 
+def invalid_samples(records: DataFrame) -> DataFrame:
+    """sample_id and errors of the records that break a rule."""
+    return validate(records).where("NOT valid").select("sample_id", "errors")
+
+
 def inferred_status(status: Column, review: Column) -> Column:
     """Of a document without a status: complete and draft reviews, else needs_review."""
     return F.coalesce(status, F.when(review == "complete", "complete").when(review == "draft", "partial").otherwise("needs_review"))

@@ -7,17 +7,31 @@ from pyspark.sql import functions as F
 
 from docloom.functions import geometry as G
 from docloom.functions import text as T
+from docloom.operators.ordering import neighbours
+from docloom.session import Scratch
 
 
-def nearest(rows: DataFrame, targets: DataFrame) -> DataFrame:
+def nearest(rows: DataFrame, targets: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Rows (sample_id, idx, y) with the target (idx, y) of their sample whose y is
     nearest either way, ties to the first target: target_idx, null without one.
-    A row without y takes the first target."""
-    t = targets.select("sample_id", F.col("idx").alias("target_idx"), F.col("y").alias("ty"))
-    away = F.coalesce(F.abs(F.col("y") - F.col("ty")), F.lit(0.0))
-    met = rows.select("sample_id", "idx", "y").join(t, "sample_id")
-    best = met.groupBy("sample_id", "idx").agg(F.min(F.struct(away.alias("d"), "target_idx")).alias("m"))
-    return rows.join(best.select("sample_id", "idx", "m.target_idx"), ["sample_id", "idx"], "left")
+    A row without y takes the first target; a target without y is at no distance.
+
+    Rows and targets stand in one order of sample and y, dealt by ranges, and each
+    row looks at the targets beside it; a sample of any size is never met by pairs."""
+    at = targets.groupBy("sample_id", "y").agg(F.min("idx").alias("target_idx"))
+    anywhere = targets.groupBy("sample_id").agg(F.min("idx").alias("__first"), F.min(F.when(F.col("y").isNull(), F.col("idx"))).alias("__loose"))
+    mark = F.struct("sample_id", "y", "target_idx")
+    marks = at.where("y IS NOT NULL").select("sample_id", F.lit(None).cast(rows.schema["idx"].dataType).alias("idx"), "y", F.lit(0).alias("__kind"), mark.alias("__mark"))
+    asked = rows.select("sample_id", "idx", "y", F.lit(1).alias("__kind")).withColumn("__mark", F.lit(None).cast(marks.schema["__mark"].dataType))
+    beside = neighbours(asked.where("y IS NOT NULL").unionByName(marks), ["sample_id", "y", "__kind"], "__mark", scratch).where("__kind = 1")
+    near = lambda c: F.when(F.col(f"{c}.sample_id") == F.col("sample_id"), F.struct(F.abs(F.col("y") - F.col(f"{c}.y")).alias("d"), F.col(f"{c}.target_idx").alias("target_idx")))
+    met = beside.join(anywhere, "sample_id", "left")
+    loose = F.when(F.col("__loose").isNotNull(), F.struct(F.lit(0.0).alias("d"), F.col("__loose").alias("target_idx")))
+    found = met.withColumn("m", F.array_min(F.filter(F.array(near("before"), near("after"), loose), lambda x: x.isNotNull())))
+    known = found.select("sample_id", "idx", "y", F.col("m.target_idx").alias("target_idx"))
+    rest = rows.where("y IS NULL").select("sample_id", "idx", "y").join(anywhere, "sample_id", "left")
+    best = known.unionByName(rest.select("sample_id", "idx", "y", F.col("__first").alias("target_idx"))).groupBy("sample_id", "idx").agg(F.first("target_idx").alias("target_idx"))
+    return rows.join(best, ["sample_id", "idx"], "left")
 
 
 def medication_candidates(words: DataFrame, boundary: str = T.B) -> tuple[DataFrame, DataFrame, DataFrame]:

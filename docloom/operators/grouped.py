@@ -11,9 +11,9 @@ from pyspark.sql.types import StructType
 
 
 def fold_groups(rows: DataFrame, keys: list[str], order: list, run, schema: StructType) -> DataFrame:
-    """``run`` (a group's rows as tuples, in order) gives result tuples. Rows are
-    shuffled by the keys and sorted by Spark, which spills; a task streams them
-    and holds one group at a time. Null keys are a group."""
+    """``run`` (an iterator of a group's rows as tuples, in order) gives result tuples.
+    Rows are shuffled by the keys and sorted by Spark, which spills; a task streams
+    them and holds what ``run`` keeps of one group. Null keys are a group."""
     at = [rows.columns.index(k) for k in keys]
 
     def task(arrow_batches):
@@ -21,7 +21,7 @@ def fold_groups(rows: DataFrame, keys: list[str], order: list, run, schema: Stru
         stream = (row for batch in arrow_batches for row in zip(*(c.to_pylist() for c in batch.columns)))
         out = []
         for _, group in itertools.groupby(stream, key=lambda row: tuple(row[i] for i in at)):
-            out.extend(run(list(group)))
+            out.extend(run(group))
             if len(out) >= 10_000:
                 yield _batch(out, arrow)
                 out = []

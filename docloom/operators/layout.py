@@ -109,7 +109,7 @@ def group_lines(words: DataFrame, how: str = "first_fit") -> DataFrame:
     rows = words.select(F.col("sample_id").cast("string").alias("sample_id"), F.col("idx").cast("long").alias("idx"), "text", "bbox", F.col("confidence").cast("double").alias("confidence"))
     rows = rows.where((F.trim(F.coalesce("text", F.lit(""))) != "") & G.is_numeric(F.col("bbox")))
     order = [G.center_y(F.col("bbox")), F.get("bbox", F.lit(0)), F.col("idx")]
-    out = fold_groups(rows, ["sample_id"], order, lambda group: _lines(how, group), LINE_SCHEMA)
+    out = fold_groups(rows, ["sample_id"], order, lambda group: _lines(how, list(group)), LINE_SCHEMA)
     return out.withColumn("text", F.regexp_replace("text", r"\s+([,.;:])", "$1")) if how == "last_line" else out
 
 
@@ -124,7 +124,8 @@ def sort_spatial(words: DataFrame) -> DataFrame:
     is not transitive; words come in order of centre, x and idx first."""
     idx, bbox = words.columns.index("idx"), words.columns.index("bbox")
 
-    def run(rows: list[tuple]) -> list[tuple]:
+    def run(group) -> list[tuple]:
+        rows = list(group)
         boxes = [tuple(r[bbox]) if r[bbox] is not None and len(r[bbox]) == 4 else (0.0, 0.0, 0.0, 0.0) for r in rows]
         start = sorted(range(len(rows)), key=lambda i: ((boxes[i][1] + boxes[i][3]) / 2, boxes[i][0], rows[i][idx]))
         order = sorted(start, key=functools.cmp_to_key(lambda i, j: _before(boxes[i], boxes[j])))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docloom.functions import geometry as G
 from docloom.functions import text as T
 from docloom.operators.grouped import fold_groups
+from docloom.operators.ordering import running_sums
+from docloom.session import Scratch
 
 
 def box_pairs(gold: DataFrame, predicted: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
@@ -165,13 +167,12 @@ def calibration(rows: DataFrame, by: list[str], buckets: int = 10) -> DataFrame:
     )
 
 
-def risk_coverage(rows: DataFrame) -> DataFrame:
-    """Coverage and risk at each distinct confidence of (confidence, correct)."""
+def risk_coverage(rows: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Coverage and risk at each distinct confidence of (confidence, correct): sums over
+    ranges of the confidence, as there may be as many as rows."""
     at = rows.groupBy("confidence").agg(F.count("*").alias("n"), F.sum((~F.col("correct")).cast("long")).alias("wrong"))
-    run = Window.orderBy(F.desc("confidence"))
-    total = F.sum("n").over(Window.partitionBy())
-    seen = F.sum("n").over(run)
-    return at.select("confidence", (seen / total).alias("coverage"), (F.sum("wrong").over(run) / seen).alias("risk"))
+    sums, totals = running_sums(at, [F.desc("confidence")], ["n", "wrong"], scratch)
+    return sums.select("confidence", (F.col("n_upto") / F.lit(totals["n"])).alias("coverage"), (F.col("wrong_upto") / F.col("n_upto")).alias("risk"))
 
 
 def field_outcomes(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
@@ -185,8 +186,26 @@ def field_outcomes(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> Da
     )
 
 
-def latency(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """P50, P95, P99 of latency_ms and the share with an error."""
-    q = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    s = rows.groupBy(*(by or [])).agg(F.count("*").alias("requests"), q.alias("q"), F.avg(F.col("error").isNotNull().cast("double")).alias("error_rate"))
-    return s.select(*(by or []), "requests", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "error_rate")
+def latency(rows: DataFrame, by: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """P50, P95, P99 of latency_ms (between neighbours in proportion) and the share with
+    an error. Equal values are counted; running counts over ranges of group and value
+    tell which values stand at a quantile's places, so no task holds a group's values."""
+    by = by or []
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    summary = rows.groupBy(*by).agg(F.count("*").alias("requests"), F.avg(F.col("error").isNotNull().cast("double")).alias("error_rate"))
+    at = rows.where("latency_ms IS NOT NULL").groupBy(*by, "latency_ms").agg(F.count("*").alias("n"))
+    sums, _ = running_sums(at, [*by, "latency_ms"], ["n"], scratch)
+    base = sums.groupBy(*by).agg(F.min(F.col("n_upto") - F.col("n")).alias("base"), F.sum("n").alias("every"))
+    keys = [F.col(f"s.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    joined = sums.alias("s").join(base.alias("b"), keys) if by else sums.join(F.broadcast(base))
+    low, high = F.col("n_upto") - F.col("n") - F.col("base"), F.col("n_upto") - F.col("base")
+    held = lambda place: F.max(F.when((place >= low) & (place < high), F.col("latency_ms")))
+    ends = []
+    for name, share in shares.items():
+        place = share * (F.col("every") - 1)
+        ends += [held(F.floor(place)).alias(f"{name}_low"), held(F.ceil(place)).alias(f"{name}_high"), F.max(place - F.floor(place)).alias(f"{name}_part")]
+    found = joined.groupBy(*[F.col(f"s.{c}").alias(c) for c in by]).agg(*ends)
+    value = lambda name: (F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * F.col(f"{name}_part")).alias(name)
+    found = found.select(*by, *map(value, shares))
+    whole = summary.alias("r").join(found.alias("f"), [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by], "left") if by else summary.join(F.broadcast(found))
+    return whole.select(*[F.col(f"r.{c}").alias(c) if by else F.col(c) for c in by], "requests", *shares, "error_rate")

@@ -93,6 +93,27 @@ def next_open(rows: DataFrame, order: list, key: str, is_open: Column, scratch:
     return out.withColumn("next", F.coalesce("__inside", "__beyond")["key"]).drop("range", "place", "__open", "__inside", "__beyond")
 
 
+def neighbours(rows: DataFrame, order: list, mark: str, scratch: Scratch | None = None) -> DataFrame:
+    """``rows`` with before and after: the nearest values of the column ``mark`` that are
+    not null, in front of each row and behind it in ``order``. Running last values find
+    them inside a range, and the ranges' first and last ones beyond it."""
+    spark = rows.sparkSession
+    kept = ranged(rows, order, scratch or Scratch(spark, "neighbours"))
+    at = F.when(F.col(mark).isNotNull(), F.col("place"))
+    ends = sorted(kept.groupBy("range").agg(F.min_by(mark, at).alias("a"), F.max_by(mark, at).alias("b")).collect(), key=lambda r: r["range"])
+    last, before, following, after = None, {}, None, {}
+    for r in ends:
+        before[r["range"]], last = last, r["b"] if r["b"] is not None else last
+    for r in reversed(ends):
+        after[r["range"]], following = following, r["a"] if r["a"] is not None else following
+    kind = rows.schema[mark].dataType.simpleString()
+    beyond = spark.createDataFrame([(k, before[k], after[k]) for k in before], f"range long, __before {kind}, __after {kind}")
+    running = lambda o: F.last(mark, ignorenulls=True).over(Window.partitionBy("range").orderBy(o).rowsBetween(Window.unboundedPreceding, -1))
+    out = kept.withColumn("__b", running("place")).withColumn("__a", running(F.desc("place"))).join(F.broadcast(beyond), "range")
+    out = out.withColumn("before", F.coalesce("__b", "__before")).withColumn("after", F.coalesce("__a", "__after"))
+    return out.drop("range", "place", "__a", "__b", "__before", "__after")
+
+
 def running_sums(rows: DataFrame, order: list, columns: list[str], scratch: Scratch | None = None) -> tuple[DataFrame, dict]:
     """``rows`` with ``<column>_upto``, the sum of each column over all rows up to and
     with the row in ``order``, and the totals."""

@@ -106,13 +106,18 @@ def fold_commands(plans: DataFrame, commands: DataFrame) -> DataFrame:
     first = plans.select("plan_id", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("op"), F.lit(None).cast("string").alias("medication_id"), F.lit(None).cast("array<string>").alias("args"), "medications")
     rest = commands.select("plan_id", F.col("seq").cast("long").alias("seq"), "op", "medication_id", "args", F.lit(None).cast(types["medications"].dataType).alias("medications"))
 
-    def run(rows: list[tuple]) -> list[tuple]:
-        if rows[0][5] is None:
+    def run(rows) -> list[tuple]:
+        head = next(rows)
+        if head[5] is None:
             return []
-        plan = Plan({m["medication_id"]: (m["verified"], list(m["fields"])) for m in rows[0][5]})
-        outcomes = [plan.apply(op, med, list(args or [])) for _, seq, op, med, args, _ in rows if seq is not None]
-        wrong = [e for e in outcomes if e is not None]
-        return [(rows[0][0], plan.status, len(outcomes) - len(wrong), len(wrong), wrong[-1] if wrong else None, plan.text())]
+        plan = Plan({m["medication_id"]: (m["verified"], list(m["fields"])) for m in head[5]})
+        applied, rejected, last = 0, 0, None
+        for _, seq, op, med, args, _ in rows:
+            problem = plan.apply(op, med, list(args or [])) if seq is not None else None
+            applied += seq is not None and problem is None
+            rejected += problem is not None
+            last = problem or last
+        return [(head[0], plan.status, applied, rejected, last, plan.text())]
 
     both = first.unionByName(rest.where("seq IS NOT NULL"))
     return fold_groups(both, ["plan_id"], [F.asc_nulls_first("seq")], run, StructType.fromDDL(STATE))

@@ -336,25 +336,55 @@ def ocr_macro(spark, sf_dir):
 # Evaluation joins: J01-J03, A02, A16, A20, O08, P01
 
 
-@query(
+_SIDES = (
     f"WITH {views.BOXES_SQL}, {_greedy_sql('sample_id')}"
-    + """, n AS (SELECT g.sample_id, count(*) AS every, count(t.g) AS matched, count(CASE WHEN t.gt = replace(t.pt, 'x', '') THEN 1 END) AS exact
+    + _EVAL.format(k="sample_id", g="g.sample_id").rpartition("SELECT sample_id, gold_count")[0].rstrip()
+    + """, o AS (SELECT sample_id, gold_count, predicted_count, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1 FROM r WHERE sample_id % 7 <> 0),
+k AS (SELECT sample_id, count(*) FILTER (idx % 4 > 0) AS gold_drugs, count(*) FILTER (idx % 4 = 1) AS correct FROM gold WHERE sample_id % 5 <> 0 GROUP BY sample_id),
+x AS (SELECT g.sample_id, count(*) AS every, count(t.g) AS matched, count(CASE WHEN t.gt = replace(t.pt, 'x', '') THEN 1 END) AS exact
   FROM gold g LEFT JOIN taken t ON t.sample_id = g.sample_id AND t.g = g.idx GROUP BY g.sample_id),
-c AS (SELECT sample_id, count(*) AS n FROM predicted GROUP BY sample_id)
-SELECT CAST(count(*) AS BIGINT) AS samples, CAST(count(CASE WHEN coalesce(c.n, 0) > every THEN 1 END) AS BIGINT) AS over_detection_samples,
-  CAST(count(CASE WHEN coalesce(c.n, 0) < every THEN 1 END) AS BIGINT) AS under_detection_samples,
+c AS (SELECT sample_id, count(*) AS n FROM predicted GROUP BY sample_id),
+b AS (SELECT sample_id, count(*) AS n FROM gold WHERE sample_id % 7 <> 3 GROUP BY sample_id),
+a AS (SELECT o_orderkey AS sample_id, coalesce(o.gold_count, b.n, 0) AS gold_word_boxes, coalesce(o.predicted_count, c.n, 0) AS predicted_word_boxes, o.f1 AS ocr_f1,
+  coalesce(k.gold_drugs, o_orderkey % 4) AS link_gold_drugs, coalesce(k.correct, 0) AS correct_links, CASE WHEN k.gold_drugs > 0 THEN round(k.correct / k.gold_drugs, 6) END AS link_recall,
+  coalesce(every, 0) AS every, coalesce(matched, 0) AS matched, coalesce(exact, 0) AS exact
+  FROM orders LEFT JOIN o ON o.sample_id = o_orderkey LEFT JOIN k ON k.sample_id = o_orderkey LEFT JOIN x ON x.sample_id = o_orderkey LEFT JOIN c ON c.sample_id = o_orderkey
+  LEFT JOIN b ON b.sample_id = o_orderkey)
+"""
+)
+
+
+def _error_samples(spark, sf_dir):
+    """Orders as the manifest, with scores of the boxes of most of them, and links of
+    most of those; what one side lacks another may have."""
+    gold, predicted = (views.boxes(spark, sf_dir, x) for x in (False, True))
+    s, n = F.col("sample_id"), F.col("idx")
+    boxes = gold.where(s % 7 != 3).groupBy("sample_id").agg(F.count("*").alias("word_box_count"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), (F.col("o_orderkey") % 4).alias("drug_count"))
+    ocr = metrics.evaluate_ocr_words(gold, predicted).where(s % 7 != 0).select("sample_id", "gold_count", "predicted_count", "f1")
+    links = gold.where(s % 5 != 0).groupBy("sample_id").agg(F.count_if(n % 4 > 0).alias("gold_drug_count"), F.count_if(n % 4 == 1).alias("correct_links"))
+    return evaluation.error_analysis(orders.join(boxes, "sample_id", "left"), gold, predicted, ocr, links)
+
+
+@query(
+    _SIDES
+    + """SELECT sample_id, gold_word_boxes, predicted_word_boxes, ocr_f1, link_gold_drugs, correct_links, link_recall, every AS numeric_gold_boxes,
+  matched AS numeric_matched_boxes, exact AS numeric_exact_matches, matched - exact AS numeric_disagreements, every - matched AS numeric_unmatched_gold_boxes FROM a"""
+)
+def error_samples(spark, sf_dir):
+    return _error_samples(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("ocr_f1", "link_recall")})
+
+
+@query(
+    _SIDES
+    + """SELECT count(*) AS samples, count(CASE WHEN predicted_word_boxes > gold_word_boxes THEN 1 END) AS over_detection_samples,
+  count(CASE WHEN predicted_word_boxes < gold_word_boxes THEN 1 END) AS under_detection_samples,
   CAST(sum(every) AS BIGINT) AS numeric_gold_boxes, CAST(sum(matched) AS BIGINT) AS numeric_matched_boxes,
   CAST(sum(exact) AS BIGINT) AS numeric_exact_matches, CAST(sum(matched - exact) AS BIGINT) AS numeric_disagreements,
-  CAST(sum(every - matched) AS BIGINT) AS numeric_unmatched_gold_boxes, round(sum(exact) / sum(matched), 6) AS numeric_exact_rate
-FROM n LEFT JOIN c USING (sample_id)"""
+  CAST(sum(every - matched) AS BIGINT) AS numeric_unmatched_gold_boxes, round(sum(exact) / sum(matched), 6) AS numeric_exact_rate FROM a"""
 )
 def error_totals(spark, sf_dir):
-    gold, predicted = (views.boxes(spark, sf_dir, x) for x in (False, True))
-    manifest = gold.groupBy("sample_id").agg(F.count("*").alias("word_box_count"), F.lit(1).alias("drug_count"))
-    none = manifest.where("sample_id IS NULL")
-    ocr = none.select("sample_id", F.lit(0).alias("gold_count"), F.lit(0).alias("predicted_count"), F.lit(0.0).alias("f1"))
-    links = none.select("sample_id", F.lit(0).alias("gold_drug_count"), F.lit(0).alias("correct_links"))
-    rows = evaluation.error_totals(evaluation.error_analysis(manifest, gold, predicted, ocr, links))
+    rows = evaluation.error_totals(_error_samples(spark, sf_dir))
     return rows.withColumn("numeric_exact_rate", F.round("numeric_exact_rate", 6))
 
 
@@ -545,6 +575,59 @@ FROM f JOIN w ON w.sample_id = f.sample_id AND w.n = f.n GROUP BY f.sample_id, f
 )(_layout("last_line"))
 
 
+# parts as pages, whose words stand anywhere: centres drift, and lines tie and cross
+_PAGES = """WITH RECURSIVE w AS (
+  SELECT l_partkey AS page, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity) AS idx,
+    l_suppkey * 7 % 300::DOUBLE AS x1, l_orderkey * 11 % 97::DOUBLE AS y1, l_orderkey * 11 % 97 + 6 + l_quantity % 9 AS y2 FROM lineitem
+), o AS (SELECT *, (y1 + y2) / 2 AS c, greatest(1, y2 - y1) AS h, row_number() OVER (PARTITION BY page ORDER BY (y1 + y2) / 2, x1, idx) AS n FROM w),
+"""
+
+
+def _free_lines(how):
+    def run(spark, sf_dir):
+        order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity")
+        rows = table(spark, sf_dir, "lineitem").withColumn("idx", F.row_number().over(order).cast("long"))
+        x, y = (F.col("l_suppkey") * 7 % 300).cast("double"), (F.col("l_orderkey") * 11 % 97).cast("double")
+        words = rows.select(
+            F.col("l_partkey").cast("string").alias("sample_id"), "idx", F.concat(F.lit("w"), F.col("idx").cast("string")).alias("text"),
+            F.array(x, y, x + 20, y + 6 + F.col("l_quantity") % 9).alias("bbox"), F.lit(None).cast("double").alias("confidence"),
+        )
+        return layout.group_lines(words, how).select("sample_id", "line_no", "text")
+
+    run.__name__ = f"free_lines_{how}"
+    return run
+
+
+query(
+    _PAGES
+    + """f AS (
+  SELECT page, n, 1::BIGINT AS line, [{'s': c, 'n': 1, 'h': h}] AS lines FROM o WHERE n = 1
+  UNION ALL
+  SELECT page, n, pos, CASE WHEN pos > len(lines) THEN list_append(lines, {'s': c, 'n': 1, 'h': h})
+    ELSE list_transform(lines, lambda l, i: CASE WHEN i = pos THEN {'s': l.s + c, 'n': l.n + 1, 'h': greatest(l.h, h)} ELSE l END) END
+  FROM (SELECT o.*, f.lines, coalesce(nullif(list_position(list_transform(f.lines, lambda l: abs(o.c - l.s / l.n) <= greatest(o.h, l.h) * 0.55::DOUBLE), true), 0), len(f.lines) + 1) AS pos
+    FROM f JOIN o ON o.page = f.page AND o.n = f.n + 1)
+) SELECT CAST(page AS VARCHAR) AS sample_id, f.line - 1 AS line_no, string_agg('w' || o.idx, ' ' ORDER BY o.x1, o.n) AS text FROM f JOIN o USING (page, n) GROUP BY ALL"""
+)(_free_lines("first_fit"))
+query(
+    _PAGES
+    + """f AS (
+  SELECT page, n, 1::BIGINT AS line, [{'a': y1, 'b': y2}] AS lines FROM o WHERE n = 1
+  UNION ALL
+  SELECT page, n, pos, CASE WHEN pos > len(lines) THEN list_append(lines, {'a': y1, 'b': y2})
+    ELSE list_transform(lines, lambda l, i: CASE WHEN i = pos THEN {'a': least(l.a, y1), 'b': greatest(l.b, y2)} ELSE l END) END
+  FROM (SELECT *, CASE WHEN list_max(scores) > -1 THEN list_position(scores, list_max(scores)) ELSE len(lines) + 1 END AS pos FROM (
+    SELECT *, list_transform(parts, lambda p: CASE WHEN p.away <= p.near OR (p.shared >= 0.55::DOUBLE AND p.away <= greatest(p.near, p.tall * 0.45::DOUBLE))
+      THEN p.shared - p.away / p.tall * 0.1::DOUBLE ELSE -1.0::DOUBLE END) AS scores FROM (
+      SELECT o.*, f.lines, list_transform(f.lines, lambda l: {'tall': greatest(1, l.b - l.a), 'away': abs(o.c - (l.a + l.b) / 2),
+        'shared': greatest(0, least(o.y2, l.b) - greatest(o.y1, l.a)) / greatest(1, least(o.h, greatest(1, l.b - l.a))),
+        'near': least(28, greatest(8, least(o.h, greatest(1, l.b - l.a)) * 0.55::DOUBLE))}) AS parts
+      FROM f JOIN o ON o.page = f.page AND o.n = f.n + 1)))
+), l AS (SELECT page, line, string_agg('w' || o.idx, ' ' ORDER BY o.x1, o.n) AS text, min(y1) AS y, min(x1) AS x FROM f JOIN o USING (page, n) GROUP BY ALL)
+SELECT CAST(page AS VARCHAR) AS sample_id, row_number() OVER (PARTITION BY page ORDER BY y, x, line) - 1 AS line_no, text FROM l"""
+)(_free_lines("best_overlap"))
+
+
 @query(
     f"""WITH {views.BOXES_SQL} SELECT sample_id, CAST(idx AS BIGINT) AS idx,
   CAST(row_number() OVER (PARTITION BY sample_id ORDER BY idx % 3, x1, (y1 + y2) / 2, idx) - 1 AS BIGINT) AS pos FROM predicted"""
@@ -584,7 +667,19 @@ def cer_micro(spark, sf_dir):
     return rates.select("samples", F.round("cer", 6).alias("cer"), F.round("exact", 6).alias("exact"))
 
 
-@query()
+# words as letters: one for each that both texts of a pair have, and one a side for all
+# others, so that edits of letters are those of words
+_WORDS = (
+    _TURNS
+    + """, s AS (SELECT list_filter(string_split(a, ' '), lambda x: x <> '') AS a, list_filter(string_split(b, ' '), lambda x: x <> '') AS b FROM c),
+d AS (SELECT a, b, list_sort(list_distinct(list_intersect(a, b))) AS shared FROM s),
+e AS (SELECT len(a) AS n, array_to_string(list_transform(a, lambda x: chr(2 + coalesce(nullif(list_position(shared, x), 0), -1)::INT)), '') AS a,
+  array_to_string(list_transform(b, lambda x: chr(2 + coalesce(list_position(shared, x), 0)::INT)), '') AS b FROM d)
+"""
+)
+
+
+@query(_WORDS + "SELECT count(*) AS samples, sum(levenshtein(a, b)) / sum(n) AS wer, sum(levenshtein(a, b)) / sum(n) AS wer_plain FROM e")
 def wer_micro(spark, sf_dir):
     pairs = _turns(spark, sf_dir).select(F.col("a").alias("reference"), F.col("b").alias("hypothesis"))
     return metrics.corpus_error_rates(pairs).select("samples", "wer", "wer_plain")

@@ -70,7 +70,7 @@ def png_dimensions(content: Column) -> Column:
 
 def images(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{png,jpg,jpeg,webp}").load(path)
-    return found.withColumn("dimensions", png_dimensions(F.col("content"))).orderBy("path")
+    return found.withColumn("dimensions", png_dimensions(F.col("content")))
 
 
 def source_metadata(spark: SparkSession, path: str) -> dict:
