@@ -235,3 +235,41 @@ def kept_draft(entities: Column, relations: Column, excluded: Column) -> Column:
     ids = F.transform(left, lambda e: e["id"])
     whole = F.filter(relations, lambda r: F.array_contains(ids, r["source_entity_id"]) & F.array_contains(ids, r["target_entity_id"]))
     return F.struct(left.alias("entities"), whole.alias("relations"))
+
+
+def saved_draft(entities: Column, relations: Column, excluded: Column, complete: Column) -> Column:
+    """``kept_draft`` with its status: a complete one needs no review of anything,
+    and others that of what is not marked as reviewed."""
+    flag = F.lit(False)
+    mark = lambda x: x.withField("needs_review", F.when(complete, flag).otherwise(F.coalesce(x["needs_review"], F.lit(True))))
+    kept = kept_draft(entities, relations, excluded)
+    status = F.when(complete, "complete").otherwise("needs_review")
+    return F.struct(F.transform(kept["entities"], mark).alias("entities"), F.transform(kept["relations"], mark).alias("relations"), status.alias("annotation_status"))
+
+
+def working_copy(entities: Column, relations: Column) -> Column:
+    """Candidates as a draft to work on: entities numbered in order, of label
+    INSTRUCTION where theirs is unknown and with a unit box where they have none;
+    relations between their new ids, the last of an id, or else the ids they
+    name. All need review; relations without an end go."""
+    unit = F.array(*[F.lit(v) for v in (0.0, 0.0, 1.0, 1.0)])
+    name = lambda kind, i: F.concat(F.lit(f"{kind}_"), (i + 1).cast("string"))
+    drafts = F.transform(
+        entities,
+        lambda e, i: F.struct(
+            name("entity", i).alias("id"), F.when(e["label"].isin(*LABELS), e["label"]).otherwise("INSTRUCTION").alias("label"),
+            F.coalesce(e["text"], F.lit("")).alias("text"), F.coalesce(e["bbox"], unit).alias("bbox"), F.lit(True).alias("needs_review"), e["id"].alias("candidate_id"),
+        ),
+    )
+
+    def to(wanted: Column) -> Column:
+        own = F.filter(drafts, lambda e: e["candidate_id"] == wanted)
+        return F.coalesce(F.try_element_at(own, F.lit(-1))["id"], wanted)
+
+    links = F.transform(
+        relations, lambda r: F.struct(r["type"].alias("type"), to(r["source_entity_id"]).alias("source_entity_id"), to(r["target_entity_id"]).alias("target_entity_id"))
+    )
+    whole = F.filter(links, lambda r: ~_blank(r["source_entity_id"]) & ~_blank(r["target_entity_id"]))
+    numbered = F.transform(whole, lambda r, i: r.withField("id", name("relation", i)).withField("needs_review", F.lit(True)))
+    none = F.array().cast("array<struct<id: string, label: string, text: string, bbox: array<double>, needs_review: boolean, candidate_id: string>>")
+    return F.struct(F.coalesce(drafts, none).alias("entities"), numbered.alias("relations"))

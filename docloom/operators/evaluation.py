@@ -80,6 +80,21 @@ def array_totals(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), *sizes)
 
 
+def viewer_stats(records: DataFrame) -> DataFrame:
+    """One row: images, lines and words of records (lines of words with a confidence),
+    and the mean of the confidences that are numbers, null without one."""
+    words = F.flatten(F.filter(F.transform("lines", lambda x: x["words"]), lambda w: w.isNotNull()))
+    finite = F.filter(F.transform(words, lambda w: w["confidence"]), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    rows = records.select(size("lines").alias("lines"), F.coalesce(F.aggregate("lines", F.lit(0), lambda n, x: n + F.greatest(F.coalesce(F.size(x["words"]), F.lit(0)), F.lit(0))), F.lit(0)).alias("words"), finite.alias("c"))
+    total = F.aggregate("c", F.lit(0.0), lambda n, x: n + x)
+    sums = rows.agg(
+        F.count("*").alias("images"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("words"),
+        F.sum(total).alias("__sum"), F.sum(size("c")).alias("__n"),
+    )
+    return sums.withColumn("mean_confidence", F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n"))).drop("__sum", "__n")
+
+
 def annotator_stats(samples: DataFrame, drafts: DataFrame) -> DataFrame:
     """One row: samples, and those with a draft, complete, in need of review, and
     the relations of all drafts (sample_id, annotation_status, relations)."""

@@ -103,6 +103,17 @@ def corpus_error_rates(pairs: DataFrame, normalize=T.normalize_eval_text, by: li
     return out.groupBy(*(by or [])).agg(*sums)
 
 
+def crop_error_rates(crops: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Error rates of crops (reference, hypothesis: null where the image could not be
+    read): errors and lengths of those that were read, exact ones for each of all."""
+    every = crops.groupBy(*(by or [])).agg(F.count("*").alias("samples"), F.count("hypothesis").alias("read"))
+    rates = corpus_error_rates(crops.where("hypothesis IS NOT NULL"), T.normalize_eval_text_plain, by).withColumnRenamed("samples", "__read")
+    rows = every.join(rates, by, "left") if by else every.join(F.broadcast(rates))
+    share = F.when(F.col("samples") > 0, F.col("read") / F.col("samples"))
+    exact = {c: F.coalesce(c, F.lit(0.0)) * share for c in ("exact", "exact_plain")}
+    return rows.withColumns(exact).drop("__read")
+
+
 def histogram(col: Column, bounds: list[float], missing: Column | None = None) -> Column:
     """The name of the bucket of fixed bounds: lt_a, a_to_b, gte_z."""
     value = F.coalesce(col, missing) if missing is not None else col
