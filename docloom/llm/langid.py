@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from docloom.session import prepare
 
 UNKNOWN = "und"
-#: Bounds of the labelled sample: languages, rows of each, characters of each.
-MAX_LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS = 200, 300, 32_768
+#: Bounds of the labelled sample: languages, rows of each, characters of each, and
+#: of all together, so that the model stays below some 500 MB with any number of languages.
+MAX_LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS, ALL_CHARS = 200, 300, 32_768, 1 << 19
 #: A parse begins anew after so many characters, so that a text's blocks are
 #: parsed side by side; a block adds one phrase at most.
 BLOCK = 1024
@@ -69,8 +70,8 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def shared(texts: list[np.ndarray], total: int) -> np.ndarray:
-    """The texts' beginnings, each of the same share of ``total`` symbols; what
-    shorter texts leave of theirs goes to the others."""
+    """The beginnings of ``texts`` (which ``train`` lets begin anywhere), each of the
+    same share of ``total`` symbols; what shorter ones leave of theirs goes to the others."""
     sizes, left = sorted(len(t) for t in texts), total
     share = extra = 0
     for i, n in enumerate(sizes):
@@ -93,9 +94,9 @@ class Model:
     are looked up among sorted (state, letter) keys. An entry is twice the row of
     the next state, plus 1 where a phrase ends before the symbol."""
 
-    def __init__(self, texts: dict[str, list[str]]):
+    def __init__(self, texts: dict[str, list[str]], chars: int = SAMPLE_CHARS):
         self.languages = sorted(k for k, v in texts.items() if any(len(normalise(t)) for t in v))
-        samples = {k: shared([np.append(normalise(t), 0) for t in texts[k]], SAMPLE_CHARS) for k in self.languages}
+        samples = {k: shared([np.append(normalise(t), 0) for t in texts[k]], chars) for k in self.languages}
         seen = np.unique(np.concatenate([np.zeros(1, dtype=np.uint32), *samples.values()]))
         # a letter of no sample is one past those that are; 0 stays 0
         self.codes = np.zeros(0x110000, dtype=np.int32)
@@ -194,7 +195,9 @@ class Model:
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Fits automata on a bounded sample of ``labelled`` (doc_id, text, lang): of
     each language about ``rows`` rows, those of the least hash, and of their
-    texts together at most ``chars`` characters, in equal shares. Rows without
+    texts together at most ``chars`` characters, in equal shares. A text's share
+    begins at a place in it that its hash tells, and goes on from its beginning
+    behind its end, so that no part of texts is learnt before others. Rows without
     text or language are left out, equal rows count once, and of an empty table
     the model has no language."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
@@ -203,15 +206,18 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHAR
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return Model({})
+    chars = min(chars, ALL_CHARS // len(counts))
     grain = 1 << 30
     most = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(grain, math.ceil(2 * rows / r["count"] * grain)))])
     # by the text too, as null ids have no hash of their own; equal rows are one
     place = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(grain))
+    first = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text"), F.lit(1))).cast("int")
+    turned = F.concat(F.col("text").substr(first + 1, F.lit(chars)), F.lit(" "), F.col("text").substr(F.lit(1), F.least(first, F.lit(chars))))
     sample = (
         labelled.withColumn("place", place)
         .where(F.col("place") < F.element_at(most, F.col("lang")))
         .groupBy("lang", "place")
-        .agg(F.min(F.struct("doc_id", F.substring("text", 1, chars).alias("text"))).alias("one"))
+        .agg(F.min(F.struct("doc_id", F.substring(turned, 1, chars).alias("text"))).alias("one"))
         .select("lang", "place", "one.*")
         .collect()
     )
@@ -219,7 +225,7 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHAR
     for r in sorted(sample, key=lambda r: (r["lang"], r["place"], r["doc_id"] or 0, r["text"])):
         if len(texts.setdefault(r["lang"], [])) < rows:
             texts[r["lang"]].append(r["text"])
-    return Model(texts)
+    return Model(texts, chars)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
