@@ -22,51 +22,89 @@ SCHEMA = (
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
 
-def cut(n: int, capacity: int) -> list[int]:
-    """Lengths of the pieces of n tokens: whole sequences, then the set bits of
-    the rest, so that every piece fills a reciprocal of the capacity exactly."""
-    whole, rest = divmod(n, capacity)
-    return [capacity] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def powers(n: int) -> list[int]:
+    """The powers of two that add up to n, largest first."""
+    return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
 class HarmonicBins:
-    """The open bins of one worker: one for each class 1/k of the capacity, with
-    k a power of two. A bin of class 1/k takes exactly k pieces."""
+    """The open bins of one worker, one for each class of lengths.
+
+    A document of more than 1 / (k + 1) and at most 1 / k of the capacity is of
+    class 1 / k, and k of them are a bin, whatever others a worker has seen. What a
+    bin of k leaves, less than 1 / (k + 1), the next documents fill, the last of them
+    cut; its other part is a document of its own length's class. So there is one
+    bin to fill at a time, and most documents stay whole.
+    """
 
     def __init__(self, capacity: int, first_id: int):
         if capacity < 1 or capacity & (capacity - 1):
             raise ValueError("capacity must be a power of two")
         self.capacity, self.next_id = capacity, first_id
         self.open: dict[int, list[tuple]] = {}
+        self.short: list[tuple] = []  # the bin that is to fill, and what it lacks
+        self.lacks = 0
         self.done: list[tuple] = []
 
-    def add(self, piece: tuple) -> None:
-        held = self.open.setdefault(piece[2], [])
-        held.append(piece)
-        if len(held) * piece[2] == self.capacity:
-            self._close(held, self.capacity)
-            self.open[piece[2]] = []
-
-    def _close(self, pieces: list[tuple], length: int) -> None:
-        at = 0
-        for p in pieces:
-            self.done.append((*p, self.next_id, at, length))
-            at += p[2]
+    def add(self, doc_id, ids: memoryview) -> None:
+        """Packs a document of so many 32-bit ids: whole bins of it first."""
+        n, start = len(ids) // 4, 0
+        while n - start >= self.capacity:
+            self._close([(doc_id, start, ids[4 * start : 4 * (start + self.capacity)], n)])
+            start += self.capacity
+        if start and start < n:
+            ids = memoryview(bytes(ids[4 * start :]))  # the rest alone is held
+        elif start:
+            return
+        piece = (doc_id, start, ids, n)
+        if self.lacks:
+            filler, piece = self._split(piece, self.lacks)
+            self.short.append(filler)
+            self.lacks -= len(filler[2]) // 4
+            if not self.lacks:
+                self._close(self.short)
+        if piece is not None:
+            k = self.capacity // (len(piece[2]) // 4)
+            held = self.open.setdefault(k, [])
+            held.append(piece)
+            if len(held) == k:
+                del self.open[k]
+                self.lacks = self.capacity - sum(len(p[2]) for p in held) // 4
+                if self.lacks:
+                    self.short = held
+                else:
+                    self._close(held)
+
+    @staticmethod
+    def _split(piece: tuple, size: int) -> tuple[tuple, tuple | None]:
+        doc_id, start, ids, n = piece
+        if len(ids) <= 4 * size:
+            return piece, None
+        return (doc_id, start, ids[: 4 * size], n), (doc_id, start + size, ids[4 * size :], n)
+
+    def _close(self, pieces: list[tuple]) -> None:
+        at, length = 0, sum(len(p[2]) for p in pieces) // 4
+        for doc_id, start, ids, n in pieces:
+            self.done.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), n, self.next_id, at, length))
+            at += len(ids) // 4
         self.next_id += 1
 
     def flush(self) -> None:
-        """Packs what the open bins hold, fewer than k pieces of each class.
-        In descending order they end on every sequence's end, and the last
-        sequence splits into ones whose lengths are powers of two."""
-        left = [p for size in sorted(self.open, reverse=True) for p in self.open[size]]
-        self.open = {}
-        total = sum(p[2] for p in left)
-        for length in cut(total, self.capacity):
-            some, held = [], 0
-            while held < length:
-                some.append(left.pop(0))
-                held += some[-1][2]
-            self._close(some, length)
+        """Packs what is open, one after another: it is cut at the ends of bins, and the
+        last one into bins whose lengths are powers of two."""
+        left = [*(self.short if self.lacks else []), *(p for k in sorted(self.open) for p in self.open[k])]
+        self.open, self.short, self.lacks = {}, [], 0
+        whole, rest = divmod(sum(len(p[2]) for p in left) // 4, self.capacity)
+        left.reverse()
+        for size in [self.capacity] * whole + powers(rest):
+            some = []
+            while size:
+                piece, more = self._split(left.pop(), size)
+                some.append(piece)
+                size -= len(piece[2]) // 4
+                if more is not None:
+                    left.append(more)
+            self._close(some)
 
     def take(self) -> pa.RecordBatch:
         rows, self.done = self.done, []
@@ -78,12 +116,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
     """One row for each piece of each document (doc_id, text).
 
     A document is its ids and then ``end_id``; a null or empty text is that id
-    alone, a null doc_id stays null, repeated rows are packed each. Documents are
-    cut only at reciprocals of the capacity (a power of two). Each partition is a
-    worker with bins of its own: full bins have no padding, and a worker's last
-    ones have lengths that are powers of two, which need none either. Nothing is
-    shuffled, a worker holds fewer than ``capacity`` pieces of each class, and a
-    task that runs again gives the same rows. Other columns are ignored.
+    alone, a null doc_id stays null, repeated rows are packed each. Whole
+    sequences of a document come first, and what is left of it goes into the bin of its
+    length's class, with as many others as the class has; only what such a bin
+    leaves is filled with cut documents (``HarmonicBins``). Each partition is a
+    worker with bins of its own, so nothing is shuffled. Sequences have no padding: a
+    worker's last ones have lengths that are powers of two. A worker holds less than a sequence of
+    ids for each class, and one document, however long its text; a
+    task that runs again gives the same rows. An empty table gives none, other
+    columns are ignored.
     """
     prepare(docs.sparkSession)
     files = (
@@ -98,12 +139,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
         last = np.array([end_id], dtype="<u4").tobytes()
         for batch in arrow_batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(encoder.ids(text.as_py() or "") + last)
-                n, start = len(ids) // 4, 0
-                for length in cut(n, capacity):
-                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                    bins.add((doc_id, start, length, crc, n))
-                    start += length
+                bins.add(doc_id, memoryview(encoder.ids(text.as_py() or "") + last))
                 if len(bins.done) >= 20_000:
                     yield bins.take()
         bins.flush()

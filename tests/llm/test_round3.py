@@ -304,3 +304,42 @@ def test_passages_share_a_paragraph(words, least, stop):
             covered = {w for o, (a, b) in zip(owner, spans.tolist()) if o == k for w in range(a - first, b - first)}
             assert covered == (set(range(n)) if n >= paragraphs.MIN_WORDS else set())
     assert paragraphs.SURE <= 40 and found >= least * 150
+
+
+# Packing by classes of document lengths
+
+
+def test_documents_stay_whole_in_their_class():
+    from docloom.llm.packing import HarmonicBins
+
+    for capacity in (1, 16, 2048):
+        bins, sizes = HarmonicBins(capacity, 5), [RND.choice([1, RND.randint(1, capacity), RND.randint(1, 5 * capacity)]) for _ in range(900)]
+        texts = [np.random.default_rng(i).integers(0, 50_000, n).astype("<u4") for i, n in enumerate(sizes)]
+        for i, ids in enumerate(texts):
+            bins.add(i, memoryview(ids.tobytes()))
+        before = len(bins.done)
+        assert sum(len(b) for b in bins.open.values()) <= sum(range(capacity + 1))
+        bins.flush()
+        by, own = {}, {}
+        for doc, start, length, crc, n, sequence, offset, total in bins.done:
+            assert crc == zlib.crc32(texts[doc][start : start + length].tobytes()) and n == sizes[doc]
+            by.setdefault(sequence, []).append((offset, length, total))
+            own.setdefault(doc, []).append((start, length))
+        for parts in by.values():
+            parts.sort()
+            assert [p[0] for p in parts] == np.cumsum([0, *[p[1] for p in parts]])[:-1].tolist() and sum(p[1] for p in parts) == parts[0][2]
+            assert parts[0][2] == capacity or parts[0][2] & (parts[0][2] - 1) == 0
+        assert sorted(by) == list(range(5, 5 + len(by)))
+        for doc, parts in own.items():
+            parts.sort()
+            assert [p[0] for p in parts] == np.cumsum([0, *[p[1] for p in parts]])[:-1].tolist() and sum(p[1] for p in parts) == sizes[doc]
+        if capacity == 2048:
+            # pieces beyond whole sequences and one for the rest: cut fillers and the flush
+            rests = sum(n % capacity > 0 for n in sizes)
+            assert before - sum(n // capacity for n in sizes) <= 1.5 * rests and len(bins.done) - sum(n // capacity for n in sizes) <= 1.7 * rests
+
+
+def test_pieces_of_documents_are_few(spark):
+    got = entry.queries()["op6_harmonic_packing"](spark, SF).collect()
+    whole = sum(n // 2048 for n in {r.doc_id: r.doc_tokens for r in got}.values())
+    assert len(got) - whole < 2 * len({r.doc_id for r in got})
