@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: hours and minutes.
 TIME = "^(?:[01][0-9]|2[0-3]):[0-5][0-9]$"
 
 

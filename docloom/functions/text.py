@@ -27,6 +27,7 @@ B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 UNICODE_B = r"\b"
 #: White space with the no-break and other Unicode blanks.
 WS = r"[\s   -     　﻿]"
+# Fixed value: what a strength looks like.
 STRENGTH = rf"\d+(?:[.,]\d+)?{WS}*(?:mcg|µg|ug|mg|g|ml)"
 _COMBINING = re.compile("[̀-ͯ]")
 
@@ -184,6 +185,7 @@ def normalize_unit(col) -> Column:
     return F.coalesce(*[F.when(text == a, F.lit(b)) for a, b in UNIT_WORDS.items()], text)
 
 
+# The patterns of the following functions, up to the dates, are fixed values of the domain.
 def parse_quantity(col) -> Column:
     """struct(value, unit, text) of ``SL: n unit``, else null."""
     pattern = rf"(?iu){B}SL{WS}*:{WS}*(\d+(?:[.,]\d+)?){WS}*([^,;]+)"

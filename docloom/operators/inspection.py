@@ -108,12 +108,17 @@ def relation_type_counts(nodes: DataFrame) -> DataFrame:
     return kinds.groupBy("file", "type").agg(F.count("*").alias("n"))
 
 
-def sensitive_fields(nodes: DataFrame) -> DataFrame:
-    """path and n of the members whose key looks like personal data; each distinct key
-    is judged once."""
+def sensitive_members(nodes: DataFrame) -> DataFrame:
+    """file and path of the members whose key looks like personal data; each distinct
+    key is judged once."""
     keys = nodes.where("key IS NOT NULL").select("key").distinct()
     odd = keys.where(T.normalize_key("key").rlike(SENSITIVE.pattern))
-    return nodes.join(odd, "key", "left_semi").groupBy("path").agg(F.count("*").alias("n"))
+    return nodes.join(odd, "key", "left_semi").select("file", "path")
+
+
+def sensitive_fields(nodes: DataFrame) -> DataFrame:
+    """path and n of ``sensitive_members``."""
+    return sensitive_members(nodes).groupBy("path").agg(F.count("*").alias("n"))
 
 
 def record_count(value: Column) -> Column:

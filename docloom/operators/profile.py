@@ -1,18 +1,16 @@
-"""Profiles of JSON records of unknown shape."""
+"""Labels, names and kinds in records of unknown shape."""
 
 from __future__ import annotations
 
-import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from docloom.functions import text as T
 from docloom.operators.vocabulary import FIELD_KEYS, LABEL_KEYS, LABELS
 
+# Extensions by kind of file.
 IMAGES = (".jpg", ".jpeg", ".png", ".webp", ".tif", ".tiff", ".bmp")
 ANNOTATIONS = (".json", ".jsonl", ".ndjson", ".csv", ".txt")
 ARCHIVES = (".zip", ".tar", ".gz", ".7z", ".rar")
@@ -87,58 +85,6 @@ def image_ref(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "^(.*?)/label/", "$1/image/"), r"\.json$", ".png")
 
 
-def _walk(value, path: str, found: list[tuple[str, str]], numbered: bool = False) -> None:
-    if isinstance(value, list):
-        for i, x in enumerate(value):
-            _walk(x, f"{path}[{i if numbered else ''}]", found, numbered)
-    elif isinstance(value, dict):
-        for k, x in value.items():
-            found.append((f"{path}.{k}" if path else k, k))
-            if k == "label" and isinstance(x, str):
-                found.append(("=", x))
-            _walk(x, f"{path}.{k}" if path else k, found, numbered)
-
-
-def _parsed(text):
-    try:
-        return json.loads(text)
-    except (TypeError, ValueError):
-        return None
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def key_paths(texts: pd.Series) -> pd.Series:
-    """Every key path of a JSON text, in order of the text."""
-    out = []
-    for t in texts:
-        found: list[tuple[str, str]] = []
-        _walk(_parsed(t), "", found)
-        out.append([p for p, _ in found if p != "="])
-    return pd.Series(out)
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def sensitive_paths(texts: pd.Series) -> pd.Series:
-    """Paths whose key looks like personal data, with places in lists."""
-    out = []
-    for t in texts:
-        found: list[tuple[str, str]] = []
-        _walk(_parsed(t), "", found, True)
-        out.append(sorted({p for p, k in found if p != "=" and SENSITIVE.search(re.sub(r"[\s_\-./]+", "", k.lower()))}))
-    return pd.Series(out)
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def raw_labels(texts: pd.Series) -> pd.Series:
-    """Values of every key ``label`` at any depth."""
-    out = []
-    for t in texts:
-        found: list[tuple[str, str]] = []
-        _walk(_parsed(t), "", found)
-        out.append([v for p, v in found if p == "="])
-    return pd.Series(out)
-
-
 def count_labels(words: DataFrame, label: str = "label", by: list[str] | None = None) -> DataFrame:
     return words.groupBy(*(by or []), F.coalesce(F.col(label), F.lit("unknown")).alias("label")).agg(F.count("*").alias("n"))
 

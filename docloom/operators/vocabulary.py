@@ -6,7 +6,8 @@ STATUSES = ("partial", "complete", "needs_review")
 ROLES = ("annotator-a", "annotator-b", "reviewer")
 VERIFIABLE = ("drug", "strength", "dose", "frequency", "duration", "timing", "route", "instruction")
 
-#: Source labels and field names by normalised key.
+# Source labels and field names by normalised key. Both tables are grouped by
+# label, as one test is built for each label; keys that normalising never gives are left out.
 LABEL_KEYS = {
     "DRUG": ("drug", "medicine", "medication", "drugname", "thuoc"),
     "ACTIVE_INGREDIENT": ("activeingredient", "ingredient", "hoatchat"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import dates as D
 from docloom.functions import geometry as G
 from docloom.functions import text as T
-from docloom.operators import annotations, contract, convert, evaluation, extract, layout, linking, medication, metrics, ner, plan, profile, splits
+from docloom.operators import annotations, contract, convert, evaluation, extract, inspection, layout, linking, medication, metrics, ner, plan, profile, splits
 from docloom.plans import views
 from docloom.session import table
 
@@ -779,8 +779,8 @@ def count_labels(spark, sf_dir):
 
 @query("SELECT path, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS path FROM events) GROUP BY path")
 def inspect_json(spark, sf_dir):
-    paths = table(spark, sf_dir, "events").select(F.explode(profile.key_paths("props")).alias("path"))
-    return paths.groupBy("path").agg(F.count("*").alias("n"))
+    documents = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("file"), F.try_parse_json("props").alias("document"))
+    return inspection.json_nodes(documents).where("key IS NOT NULL").groupBy("path").agg(F.count("*").alias("n"))
 
 
 # Profiles: S02, A03, P06, P07, P12
@@ -823,7 +823,9 @@ def sensitive_paths(spark, sf_dir):
     long_ = '{"Patient Name": "x", "visit": {"Phone-No": 1, "note": [{"value": 3}, {"e_mail": 2}]}, "total": '
     text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(long_), "o_custkey", F.lit("}"))).otherwise('{"total": 1}')
     text = F.when(F.col("o_orderkey") % 5 == 0, "no json").otherwise(text)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(profile.sensitive_paths(text), "|").alias("paths"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("file"), F.try_parse_json(text).alias("document"))
+    found = inspection.sensitive_members(inspection.json_nodes(orders)).groupBy("file").agg(F.array_sort(F.collect_set("path")).alias("found"))
+    return orders.join(found, "file", "left").select("o_orderkey", F.coalesce(F.array_join("found", "|"), F.lit("")).alias("paths"))
 
 
 # Documents: V01, V05, A07, A08, V10, T27, P14, P15

@@ -17,7 +17,10 @@ from tests.test_queries import SF, rows
 
 RND = random.Random(3)
 NAMES = ("inspect_dataset", "document_profiles", "convert_files", "conversion_totals", "scan_samples", "scan_summary", "scan_named_files", "import_roles",
-         "search_samples", "corpus_samples", "next_pending", "list_pages", "page_tokens", "dictionary_order", "error_kinds")
+         "search_samples", "corpus_samples", "next_pending", "list_pages", "page_tokens", "dictionary_order", "error_kinds",
+         "line_rules", "repaired_texts", "annotation_candidates", "structured_prescriptions", "draft_plans", "catalog_updates", "working_copies", "saved_drafts",
+         "experiment_gate", "labelled_orders", "relation_texts", "viewer_stats", "candidate_totals", "crop_errors", "error_samples", "error_totals",
+         "free_lines_first_fit", "free_lines_best_overlap", "wer_micro", "nearest_event", "risk_coverage", "latency", "link_topk", "link_drugs_exact")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -26,7 +29,7 @@ def test_query(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("events", "supplier", "lineitem", "orders", "part"):
+    for t in ("events", "supplier", "lineitem", "orders", "part", "customer", "documents", "conversations"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     assert rows(entry.queries()[name](spark, SF).toPandas()) == rows(db.execute(entry.oracle_sql()[name]).df())
 
@@ -298,3 +301,74 @@ def test_each_field_has_one_code(spark):
 
 def test_files_of_events(spark):
     assert datasets.event_texts(spark, SF).where("document IS NULL").where("event_id % 5 < 4").count() == 0 and Scratch(spark, "x").path("y")
+
+
+def test_blocked_names_lose_no_pair(spark):
+    from docloom.functions import text as T
+    from docloom.operators import linking
+
+    name = lambda: "".join(RND.choice("ab c") for _ in range(RND.randint(1, 14))).strip() or "a"
+    names, aliases = ({name() for _ in range(120)} for _ in range(2))
+    for least in (0.5, 0.67, 0.725, 0.9):
+        frames = [spark.createDataFrame([(x,) for x in side], c) for side, c in ((names, "name_norm string"), (aliases, "alias_norm string"))]
+        score = T.string_similarity(F.col("name_norm"), F.col("alias_norm"))
+        want = {tuple(r) for r in frames[0].crossJoin(frames[1]).where(score >= least).collect()}
+        met = linking.blocked_pairs(*frames, least)
+        assert want <= {tuple(r) for r in met.collect()} and "NestedLoop" not in met._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        linking.blocked_pairs(*frames, 0.4)
+
+
+def test_nearest_by_brute_force(spark):
+    from docloom.operators import extract
+
+    some = lambda n, a: [(f"s{RND.randint(0, 4)}", a + i, RND.choice([None, *[RND.randint(0, 12) / 2 for _ in range(9)]])) for i in range(n)]
+    asked, targets = some(150, 0), some(25, 1000)
+    schema = "sample_id string, idx long, y double"
+    got = {r.idx: r.target_idx for r in extract.nearest(spark.createDataFrame(asked, schema), spark.createDataFrame(targets, schema)).collect()}
+    away = lambda a, b: abs(a - b) if a is not None and b is not None else 0
+    assert got == {i: min(((away(y, ty), t) for k, t, ty in targets if k == s), default=(0, None))[1] for s, i, y in asked}
+
+
+def test_latency_by_brute_force(spark):
+    import numpy as np
+
+    from docloom.operators import metrics
+
+    rows = [(RND.choice(["a", "b", None]), RND.choice([None, *range(8)]), RND.choice(["e", None])) for _ in range(200)] + [("c", None, None)]
+    frame = spark.createDataFrame(rows, "k string, latency_ms double, error string")
+    for by in (["k"], []):
+        got = {r["k"] if by else 0: r for r in metrics.latency(frame, by).collect()}
+        for k in {r[0] for r in rows} if by else {0}:
+            own = [r for r in rows if not by or r[0] == k]
+            known = [r[1] for r in own if r[1] is not None]
+            want = [float(np.percentile(known, q)) if known else None for q in (50, 95, 99)]
+            assert got[k].requests == len(own) and got[k].error_rate == pytest.approx(sum(r[2] is not None for r in own) / len(own))
+            assert [got[k][c] for c in ("p50", "p95", "p99")] == (pytest.approx(want) if known else want)
+    assert len(got) == 1 and metrics.risk_coverage(spark.createDataFrame([(0.5, True)], "confidence double, correct boolean").where("false")).count() == 0
+
+
+def test_drafts_and_statistics(spark):
+    from docloom.operators import annotations, evaluation, metrics
+
+    entity, relation = "array<struct<id: string, label: string, text: string, bbox: array<double>, needs_review: boolean>>", "array<struct<id: string, type: string, source_entity_id: string, target_entity_id: string, needs_review: boolean>>"
+    rows = [
+        ("s", [("a", "DRUG", "x", [1.0, 2.0, 3.0, 4.0], False), ("b", "?", None, None, None), ("a", None, "z", None, True)], [("r", "T", "a", "b", None), ("q", "T", "a", "other", False), ("p", "T", None, "b", None)]),
+        ("none", None, None),
+    ]
+    frame = spark.createDataFrame(rows, f"sample_id string, entities {entity}, relations {relation}")
+    got = {r.sample_id: r.w for r in frame.select("sample_id", annotations.working_copy(F.col("entities"), F.col("relations")).alias("w")).collect()}
+    assert [tuple(e) for e in got["s"].entities] == [
+        ("entity_1", "DRUG", "x", [1.0, 2.0, 3.0, 4.0], True, "a"), ("entity_2", "INSTRUCTION", "", [0.0, 0.0, 1.0, 1.0], True, "b"), ("entity_3", "INSTRUCTION", "z", [0.0, 0.0, 1.0, 1.0], True, "a"),
+    ]
+    assert [(r.id, r.source_entity_id, r.target_entity_id, r.needs_review) for r in got["s"].relations] == [("relation_1", "entity_3", "entity_2", True), ("relation_2", "entity_3", "other", True)]
+    assert got["none"].entities == [] and got["none"].relations is None
+    for complete, flags in ((True, [False, False]), (False, [False, True])):
+        d = frame.where("sample_id = 's'").select(annotations.saved_draft(F.slice("entities", 1, 2), F.col("relations"), F.array().cast("array<string>"), F.lit(complete)).alias("d")).first().d
+        assert [e.needs_review for e in d.entities] == flags and d.annotation_status == ("complete" if complete else "needs_review") and [r.id for r in d.relations] == ["r"]
+    assert annotations.invalid_samples(frame.withColumn("annotation_status", F.lit("partial"))).count() >= 1
+    lines = spark.createDataFrame([([([(0.5,), (float("nan"),), (None,)],), (None,)],), (None,), ([([(1.0,)],)],)], "lines array<struct<words: array<struct<confidence: double>>>>")
+    assert tuple(evaluation.viewer_stats(lines).first()) == (3, 3, 4, 0.75) and tuple(evaluation.viewer_stats(lines.where("false")).first()) == (0, 0, 0, None)
+    crops = spark.createDataFrame([("ab c", "ab c"), ("ab", "b"), ("x", None), ("é", "e")], "reference string, hypothesis string")
+    r = metrics.crop_error_rates(crops).first()
+    assert (r.samples, r.read, r.exact, r.exact_plain) == (4, 3, 0.25, 0.5) and r.cer == pytest.approx(2 / 7) and r.wer == pytest.approx(2 / 4)

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import annotations, contract, convert, extract, layout, linking, metrics, ner, plan, profile, splits
+from docloom.operators import annotations, contract, convert, extract, inspection, layout, linking, metrics, ner, plan, splits
 from docloom.sources import files, sinks
 
 CATALOG = "drug_database_id string, ord long, brand_name string, generic_names array<string>, aliases array<string>, strengths array<struct<value:double,unit:string>>"
@@ -170,8 +170,9 @@ def test_profile_and_files(spark, tmp_path):
     assert docs.count() == 3
     assert sorted(r.format for r in files.records(docs).collect()) == ["coco", "word_boxes"]
     text = json.dumps({"patient": {"full name": "x"}, "items": [{"label": "L"}]})
-    row = spark.createDataFrame([(text,), ("no json",)], "t string").select(profile.sensitive_paths("t").alias("s"), profile.raw_labels("t").alias("l")).collect()
-    assert (row[0].s, row[0].l, row[1].s) == (["patient", "patient.full name"], ["L"], [])
+    nodes = inspection.json_nodes(spark.createDataFrame([("a", text), ("b", "no json")], "file string, t string").select("file", F.try_parse_json("t").alias("document")))
+    assert sorted(map(tuple, inspection.sensitive_members(nodes).collect())) == [("a", "patient"), ("a", "patient.full name")]
+    assert [tuple(r) for r in inspection.raw_label_counts(nodes).collect()] == [("L", 1)]
     png = bytes.fromhex("89504E470D0A1A0A0000000D49484452") + (300).to_bytes(4, "big") + (200).to_bytes(4, "big")
     got = spark.createDataFrame([(png,), (b"GIF",)], "c binary").select(files.png_dimensions(F.col("c")).alias("d")).collect()
     assert (got[0].d.width, got[0].d.height, got[1].d) == (300, 200, None)
