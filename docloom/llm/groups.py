@@ -3,9 +3,9 @@
 A row (grp, node, n) is a node's place in a group: a bucket, or a token that many
 nodes have. Two nodes of a group link when their sets are alike. First each
 group's rows meet one of its nodes at a time, which joins most of a hot group in
-work linear in its size. Then a group is parted by the first tokens of its sets,
-of which alike sets share one, and what stays outside a part's main component
-meets the whole part in blocks of bounded size, so no link is lost.
+work linear in its size. Then nodes meet by the first tokens of their sets, of
+which alike sets share one, and what stays outside a token's main component
+meets all of the token in blocks of bounded size, so no link is lost.
 """
 
 from __future__ import annotations
@@ -194,20 +194,23 @@ def reaching(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def parts_of(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``now`` (grp, node, n, component) with groups of two components at least
-    parted by the first tokens of their sets, without rows that cannot link there."""
+    """The nodes in groups of two components at least (``now``: grp, node, n,
+    component) by the first tokens of their sets, as (grp: the token, node, n,
+    component), without those that cannot link there. A node in several groups
+    comes once, so its tokens meet all others' and not each group's apart."""
     ends = [F.min("component").alias("a"), F.max("component").alias("b")]
     open_ = now.groupBy("grp").agg(*ends).where("a <> b").select("grp")
-    rows = now.join(open_, "grp", "left_semi").join(sets.select("node", "first"), "node")
-    rows = rows.select("grp", "node", "n", "component", F.posexplode("first").alias("place", "token"))
-    return reaching(rows.select(F.xxhash64("grp", "token").alias("grp"), "node", "n", "component", "place"), percent)
+    nodes = now.join(open_, "grp", "left_semi").select("node", "n", "component").distinct()
+    rows = nodes.join(sets.select("node", "first"), "node").select("node", "n", "component", F.posexplode("first").alias("place", "grp"))
+    return reaching(rows, percent)
 
 
 def group_components(member: DataFrame, steps: list, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(node, component) of all nodes of ``sets`` (node, tokens: whole sets, first:
     first tokens) under links between nodes of one group of ``member`` (grp, band,
-    node, n). Each step lets the groups of some bands meet a node of theirs; the
-    exact rest follows."""
+    node, n). Each step lets the groups of some bands meet a node of theirs. Then
+    what is in a group with others meets all that share one of its first tokens, as alike
+    sets do, whichever group these are in."""
     known = sets.select("node", F.col("node").alias("component"))
     for turn, some in enumerate(steps):
         now = scratch.keep(member.where(F.col("band").isin(some)).join(known, "node"), "now")

@@ -16,11 +16,10 @@ from docloom.session import Scratch, prepare
 
 WORDS, PERCENT, MIN_WORDS = 5, 75, 16
 #: Of so many places in a row, one at least begins a paragraph; and so many places
-#: may end it, from ``MIN_WORDS`` words on. With no more than ``MIN_WORDS`` of the
-#: first, every word is in a paragraph.
-WINDOW, ENDS = 16, 6
+#: may end it, from ``MIN_WORDS`` words on.
+WINDOW, ENDS = 24, 6
 #: A passage of so many words that two texts share gives both an equal paragraph.
-SURE = WINDOW + MIN_WORDS + ENDS
+SURE = WINDOW + max(WINDOW, MIN_WORDS + ENDS)
 #: Rows of a band, and the share of pairs at the threshold that must collide.
 BAND_ROWS, RECALL = 1, 0.98
 _ENDS = np.zeros(256, dtype=bool)
@@ -52,36 +51,47 @@ def places(texts: list[bytes]):
 
 def starts_of(rank: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
     """Each text's first place, and the first of least rank in every stretch of
-    ``window`` places behind it: what is chosen in a stretch depends on nothing else."""
+    ``window`` places behind it: what is chosen in a stretch depends on nothing else.
+    Where words repeat, and each stretch would choose another of equal places, one in
+    half a window is enough: what begins there is the same."""
     texts = first[:-1][first[:-1] < first[1:]]
     if len(rank) - 1 < window:
         return texts
     at = np.lib.stride_tricks.sliding_window_view(rank[:-1], window).argmin(axis=1)
     at += np.arange(len(at))
     # stretches that a text begins in hold two texts' places
-    inside = np.ones(len(at), dtype=np.int64)
     mark = np.zeros(len(at) + 1, dtype=np.int64)
     np.add.at(mark, np.clip(texts - window + 1, 0, len(at)), 1)
     np.add.at(mark, np.clip(texts + 1, 0, len(at)), -1)
-    return np.union1d(texts, at[inside > np.cumsum(mark[:-1])])
+    found = np.union1d(texts, at[np.cumsum(mark[:-1]) == 0])
+    again = np.zeros(len(found), dtype=bool)
+    again[1:] = (rank[found[1:]] == rank[found[:-1]]) & (found[1:] - found[:-1] < window) & (rank[found[1:]] != _NEVER)
+    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(found))))
+    step = (found - found[head]) // max(1, window // 2)
+    return found[~again | (step != np.concatenate([[0], step[:-1]]))]
 
 
 def paragraphs(texts: list[bytes], k: int, min_words: int):
     """owner, number in its text, spans (words), bytes in the text and shingle
     hashes of each paragraph. One begins at each chosen place (``starts_of``) and
     ends, over line ends, at the place of least rank among the ``ENDS`` from
-    ``min_words`` words on; a text's end is the last choice. The last words are in
-    one that ends with the text. They overlap; texts of fewer words have none."""
+    ``min_words`` words on (a text's end is the last choice), or where the next one
+    begins, if that is later. The last words are in one that ends with the text. They
+    overlap; texts of fewer words have none."""
     words, first, begin, end, rank = places(texts)
     every, least = hash_shingles(words, k), max(min_words, k)
-    starts = starts_of(rank, first, min(WINDOW, least))
+    starts = starts_of(rank, first, WINDOW)
     close = first[np.searchsorted(first, starts, side="right")] if len(starts) else starts
+    following = np.minimum(np.append(starts[1:], len(words)), close)
     fits = starts + least <= close
-    starts, close = starts[fits], close[fits]
+    starts, close, following = starts[fits], close[fits], following[fits]
     choice = np.minimum(starts[:, None] + least + np.arange(ENDS), close[:, None])
     stops = choice[np.arange(len(choice)), rank[choice].argmin(axis=1)] if len(choice) else starts
-    last = np.append(close[1:] != close[:-1], True)[: len(close)] & (stops < close)
-    spans = np.stack([np.concatenate([starts, close[last] - least]), np.concatenate([stops, close[last]])], axis=1)
+    last = np.append(close[1:] != close[:-1], True)[: len(close)]
+    # behind a text's last start there is its end, which its last words' own paragraph reaches
+    stops = np.where(last & (following == close), stops, np.maximum(stops, following))
+    last &= stops < close
+    spans = np.stack([np.concatenate([starts, np.minimum(close[last] - least, stops[last])]), np.concatenate([stops, close[last]])], axis=1)
     spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
     owner = np.searchsorted(first, spans[:, 0], side="right") - 1
     offset = np.cumsum([0, *(len(t) + 1 for t in texts)])[owner]
@@ -239,7 +249,7 @@ def repeated_paragraphs(
 ) -> DataFrame:
     """The paragraphs of ``docs`` (doc_id, text) that repeat across documents.
 
-    A paragraph is ``min_words`` to ``min_words + ENDS - 1`` words, from one full stop to
+    A paragraph is ``min_words`` to ``WINDOW`` words, from one full stop to
     another where there are some. Its beginning and end are chosen by the words
     within a window alone, so a passage of ``SURE`` words that two texts share gives both an
     equal paragraph, and shorter ones mostly do; every word of a text of
