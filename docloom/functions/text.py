@@ -290,6 +290,9 @@ def default_times_per_day(frequency: Column) -> Column:
 MOJIBAKE = ("Ã", "Â", "áº", "á»", "Ä", "Æ", "Å", "\ufffd")
 
 
+_CONTROL = re.compile("[\x80-\x9f]")
+
+
 def _decodings(text: str):
     yield text
     for encoding in ("cp1252", "latin1"):
@@ -299,7 +302,28 @@ def _decodings(text: str):
             yield fixed
 
 
-repair_mojibake = _arrow(lambda v: min(_decodings(v), key=lambda t: sum(map(t.count, MOJIBAKE))))
+def _signs(text: str) -> int:
+    return sum(map(text.count, MOJIBAKE))
+
+
+def _repaired(text: str) -> str:
+    best = min(_decodings(text), key=_signs)
+    if best is text and (_signs(text) or _CONTROL.search(text) or "ï¿½" in text):
+        # a text's own Ä is one sign before and after, and U+FFFD none before
+        return next((t for t in _decodings(text) if t is not text and _signs(t) - t.count("\ufffd") <= _signs(text)), text)
+    return best
+
+
+_mojibake_less = _arrow(lambda v: min(_decodings(v), key=_signs))
+_mojibake_repaired = _arrow(_repaired)
+
+
+def repair_mojibake(col, own_letters: bool = False) -> Column:
+    """The text, or its bytes in a single-byte encoding read as UTF-8 if that leaves
+    fewer signs of ``MOJIBAKE``. ``own_letters`` also puts right a text whose only signs
+    are letters of its own (Ä shows as one sign before and after): then a whole decoding
+    is taken at as many signs, if the text has a sign or a control character."""
+    return _mojibake_repaired(col) if own_letters else _mojibake_less(col)
 
 
 def numeric_signature(col) -> Column:

@@ -49,7 +49,7 @@ def line_rules(spark, sf_dir):
 def repaired_texts(spark, sf_dir):
     """Texts read as Latin-1 and put right again, and their form for scores without marks."""
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.repair_mojibake(broken).alias("t"), "text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.repair_mojibake(broken, True).alias("t"), "text")
     return rows.select("doc_id", F.md5("t").alias("repaired"), F.md5(T.normalize_eval_text_plain("text", True)).alias("plain"))
 
 

@@ -80,3 +80,14 @@ def test_dates(spark):
     assert one(spark, D.time_slots(slots("20:00", "08:00", "08:00"))) is None
     assert one(spark, D.time_slots(slots("20:00", "08:00"))) == ["08:00", "20:00"]
     assert one(spark, D.time_slots(slots("24:00"))) is None
+
+
+def test_repair_own_letters(spark):
+    """Letters that are signs themselves: as many before as after."""
+    texts = ["SCHÄIE", "Å, Æ und Ä", "Ä – “x”", "Жук", "ein �", "plain", None]
+    broken = F.decode(F.encode("t", "UTF-8"), "ISO-8859-1")
+    for t in texts:
+        assert one(spark, T.repair_mojibake(broken, True), t=t) == t
+    assert one(spark, T.repair_mojibake(broken), t="SCHÄIE") == "SCHÃ\x84IE"
+    for t in ("SCHÄIE", "café\xa0»", "NÃO"):
+        assert one(spark, T.repair_mojibake(F.col("t"), True), t=t) == t
