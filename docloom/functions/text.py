@@ -12,6 +12,8 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
@@ -36,11 +38,20 @@ def _text(col) -> Column:
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _arrow(f):
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: v if v is None or v.isascii() else f(v))
+    """``f`` of texts, as a UDF; a batch of ASCII texts comes back as it is."""
 
-    return F.pandas_udf(run, StringType())
+    def run(values: pa.Array) -> pa.Array:
+        if pc.all(pc.string_is_ascii(values)).as_py() is not False:
+            return values
+        return pa.array([v if v is None or v.isascii() else f(v) for v in values.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, StringType())
 
 
 _nfkc = _arrow(lambda v: unicodedata.normalize("NFKC", v))
@@ -61,7 +72,7 @@ def strip_combining(col) -> Column:
 
 def collapse(col) -> Column:
     """White space runs as one blank, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(_text(col), rf"{WS}+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(_text(col), rf"{WS}+", " "))
 
 
 def clean_text(col) -> Column:
@@ -162,22 +173,31 @@ def word_count(text: Column) -> Column:
 def parse_strength(col) -> Column:
     """struct(value, unit, comparable_mg), null without a number and unit. The
     micro sign becomes a Greek letter under NFKC, which is no unit here."""
-    text = F.regexp_replace(_drug_base(col), rf"{WS}+", " ")
     pattern = rf"(\d+(?:[.,]\d+)?)\s*(mcg|ug|µg|mg|g|ml){B}"
-    value = F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", ".").cast("double")
-    unit = F.regexp_extract(text, pattern, 2)
-    factor = F.coalesce(*[F.when(unit == u, F.lit(f)) for u, f in UNIT_MG.items()])
-    return F.when(unit != "", F.struct(value.alias("value"), unit.alias("unit"), (value * factor).alias("comparable_mg")))
+
+    def found(text: Column) -> Column:
+        value = F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", ".").cast("double")
+        return F.when(F.regexp_extract(text, pattern, 2) != "", F.struct(value.alias("value"), F.regexp_extract(text, pattern, 2).alias("unit")))
+
+    def known(s: Column) -> Column:
+        factor = F.coalesce(*[F.when(s["unit"] == u, F.lit(f)) for u, f in UNIT_MG.items()])
+        return F.when(s.isNotNull(), F.struct(s["value"].alias("value"), s["unit"].alias("unit"), (s["value"] * factor).alias("comparable_mg")))
+
+    return let(let(F.regexp_replace(_drug_base(col), rf"{WS}+", " "), found), known)
 
 
 def split_drug_name(col) -> Column:
     """struct(raw_text, drug_name, strengths) of a line of a prescription."""
-    raw = clean_text(nfkc(col))
-    text = clean_text(F.regexp_replace(raw, rf"^{WS}*\d+{WS}*[).:-]{WS}*", ""))
     pattern = rf"(?iu){STRENGTH}{B}"
-    strengths = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), collapse)
-    name = collapse(F.regexp_replace(F.regexp_replace(text, pattern, " "), rf"[+,:;/-]+{WS}*$", ""))
-    return F.struct(raw.alias("raw_text"), F.when(name != "", name).otherwise(text).alias("drug_name"), strengths.alias("strengths"))
+
+    def split(raw: Column, text: Column) -> Column:
+        strengths = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), collapse)
+        name = collapse(F.regexp_replace(F.regexp_replace(text, pattern, " "), rf"[+,:;/-]+{WS}*$", ""))
+        name = let(name, lambda n: F.when(n != "", n).otherwise(text))
+        return F.struct(raw.alias("raw_text"), name.alias("drug_name"), strengths.alias("strengths"))
+
+    text = lambda raw: clean_text(F.regexp_replace(raw, rf"^{WS}*\d+{WS}*[).:-]{WS}*", ""))
+    return let(clean_text(nfkc(col)), lambda raw: let(text(raw), lambda t: split(raw, t)))
 
 
 def normalize_unit(col) -> Column:
@@ -196,8 +216,7 @@ def parse_quantity(col) -> Column:
 
 
 def _first(col, pattern: str, group: int) -> Column:
-    found = F.regexp_extract(_text(col), pattern, group)
-    return F.when(found != "", found)
+    return let(F.regexp_extract(_text(col), pattern, group), lambda found: F.when(found != "", found))
 
 
 def timing(col, boundary: str = B) -> Column:
@@ -221,27 +240,33 @@ def parse_medicine(line, number) -> Column:
     """struct(order, name, strength, quantity, unit, raw, source_line) of a
     numbered line, else null. A % never ends a strength at a text's end."""
     head = rf"^{WS}*(\d{{1,3}}){WS}*[).:-]{WS}*(.+)$"
-    raw = collapse(F.regexp_extract(_text(line), head, 2))
     sl = rf"(?iu){B}SL{WS}*:{WS}*([\d.,]+){WS}*([^\d\s,;]+)"
-    has = F.regexp_extract(raw, sl, 0) != ""
-    before = collapse(F.when(has, F.regexp_extract(raw, rf"(?iu)^(.*?){sl}", 1)).otherwise(raw))
     one = rf"(?iu){B}(\d+(?:[.,]\d+)?){WS}*(mg|g|ml|mcg|µg|%){B}"
-    values, units = (F.regexp_extract_all(before, F.lit(one), F.lit(i)) for i in (1, 2))
-    strengths = F.zip_with(values, units, lambda v, u: F.concat(v, F.lit(" "), u))
     tail = rf"(?iu){WS}+\d+(?:[.,]\d+)?{WS}*(?:mg|g|ml|mcg|µg|%){WS}*$"
-    name = F.when(F.size(strengths) > 0, collapse(F.regexp_replace(before, tail, ""))).otherwise(before)
-    return F.when(
-        F.regexp_extract(_text(line), head, 1) != "",
-        F.struct(
+
+    # each part is computed once, from the ones before it
+    def parts(raw: Column, has: Column, before: Column, strength: Column) -> Column:
+        name = F.when(strength != "", collapse(F.regexp_replace(before, tail, ""))).otherwise(before)
+        return F.struct(
             F.regexp_extract(_text(line), head, 1).cast("long").alias("order"),
-            F.when(name != "", name).otherwise(before).alias("name"),
-            F.when(F.size(strengths) > 0, F.array_join(strengths, " ")).alias("strength"),
+            let(name, lambda n: F.when(n != "", n).otherwise(before)).alias("name"),
+            F.when(strength != "", strength).alias("strength"),
             F.when(has, F.regexp_extract(raw, sl, 1)).alias("quantity"),
             F.when(has, collapse(F.regexp_extract(raw, sl, 2))).alias("unit"),
             raw.alias("raw"),
             number.cast("long").alias("source_line"),
-        ),
-    )
+        )
+
+    def strength(before: Column) -> Column:
+        values, units = (F.regexp_extract_all(before, F.lit(one), F.lit(i)) for i in (1, 2))
+        return F.array_join(F.zip_with(values, units, lambda v, u: F.concat(v, F.lit(" "), u)), " ")
+
+    def of(raw: Column, has: Column) -> Column:
+        before = collapse(F.when(has, F.regexp_extract(raw, rf"(?iu)^(.*?){sl}", 1)).otherwise(raw))
+        return let(before, lambda b: let(strength(b), lambda s: parts(raw, has, b, s)))
+
+    raw = collapse(F.regexp_extract(_text(line), head, 2))
+    return F.when(_text(line).rlike(head), let(raw, lambda r: let(r.rlike(sl), lambda has: of(r, has))))
 
 
 def is_diagnosis(line) -> Column:

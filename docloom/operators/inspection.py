@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.functions.text import let
 from docloom.operators.evaluation import SENSITIVE_LABELS
 from docloom.operators.profile import SENSITIVE, file_kind, normalize_label, relation_types, source_format
 from docloom.session import Scratch
@@ -19,11 +20,6 @@ from docloom.session import Scratch
 _NONE = "array<variant>"
 
 
-def let(value: Column, f) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def given(value: Column, *paths: str) -> Column:
     """The first of some paths that a VARIANT has and that is not JSON's null."""
     found = F.array(*[F.try_variant_get(value, p, "variant") for p in paths])
