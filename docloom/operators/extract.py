@@ -34,20 +34,22 @@ def nearest(rows: DataFrame, targets: DataFrame, scratch: Scratch | None = None)
     return rows.join(best, ["sample_id", "idx"], "left")
 
 
-def medication_candidates(words: DataFrame, boundary: str = T.B) -> tuple[DataFrame, DataFrame, DataFrame]:
+def medication_candidates(words: DataFrame, boundary: str = T.B, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entities, relations and quantities proposed from words (sample_id, idx, id,
     label, text, box): a drug and its strengths from drug names; the first timing,
     first dose and a meal instruction from usage words, tied to the nearest drug.
     Ids count in order of emission; all need review."""
-    words = words.withColumn("y", G.center_y(F.col("box")))
+    scratch = scratch or Scratch(words.sparkSession, "candidates")
+    words = scratch.keep(words.select("sample_id", "idx", "label", "text", "box", G.center_y(F.col("box")).alias("y")), "words")
     drugs = words.where("label = 'drugname'").withColumn("d", T.split_drug_name("text")).where("d.drug_name <> ''")
     key = lambda s: F.regexp_replace(F.regexp_replace(F.lower(s), ",", "."), r"\s+", "")
     first = F.filter(
         F.transform(F.col("d.strengths"), lambda s, i: F.struct(s.alias("s"), (F.array_position(F.transform(F.col("d.strengths"), key), key(s)) == i + 1).alias("new"))),
         lambda x: x["new"],
     )
-    names = drugs.select("sample_id", "idx", F.lit(0).alias("part"), F.lit("DRUG").alias("label"), F.col("d.drug_name").alias("text"), "box", F.col("idx").alias("drug_idx"))
-    strengths = drugs.select("sample_id", "idx", F.posexplode(first).alias("p", "s"), "box").select(
+    drugs = scratch.keep(drugs.select("sample_id", "idx", "box", F.col("d.drug_name").alias("name"), first.alias("strengths")), "drugs")
+    names = drugs.select("sample_id", "idx", F.lit(0).alias("part"), F.lit("DRUG").alias("label"), F.col("name").alias("text"), "box", F.col("idx").alias("drug_idx"))
+    strengths = drugs.select("sample_id", "idx", F.posexplode("strengths").alias("p", "s"), "box").select(
         "sample_id", "idx", (F.col("p") + 1).alias("part"), F.lit("STRENGTH").alias("label"), F.col("s.s").alias("text"), "box", F.col("idx").alias("drug_idx")
     )
     meal = T.meal_timing("text")
@@ -65,6 +67,7 @@ def medication_candidates(words: DataFrame, boundary: str = T.B) -> tuple[DataFr
     every = names.unionByName(strengths).withColumn("stage", F.lit(0)).unionByName(rest)
     number = Window.partitionBy("sample_id").orderBy("stage", "idx", "part")
     every = every.withColumn("n", F.row_number().over(number)).withColumn("id", F.concat(F.lit("candidate_entity_"), F.col("n")))
+    every = scratch.keep(every, "entities")
     entities = every.select("sample_id", "id", "label", "text", F.col("box").alias("bbox"), F.col("idx").alias("source_idx"), F.lit(True).alias("needs_review"))
     heads = every.where("label = 'DRUG'").select("sample_id", "drug_idx", F.col("id").alias("source_entity_id"))
     links = every.where("label <> 'DRUG'").join(heads, ["sample_id", "drug_idx"])

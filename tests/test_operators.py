@@ -187,3 +187,18 @@ def test_splits_do_not_depend_on_order(spark):
     b = {r.sample_id: r.split for r in splits.rank_split(rows.orderBy(F.rand(1))).collect()}
     assert a == b and [list(a.values()).count(s) for s in ("train", "validation", "test")] == [350, 75, 75]
     assert spark.range(1).select(splits.fnv1a(F.lit("rx-1"))).first()[0] == 3956223341
+
+
+def test_candidates_read_words_once(spark):
+    """The words' own plan (here a window) runs once, whatever is proposed from them."""
+    from pyspark.sql import Window
+
+    from docloom.operators import extract
+
+    rows = [(1, 1, "a", "drugname", "1) X 5 mg", [0.0, 0.0, 9.0, 8.0]), (1, 2, "b", "usage", "Uống sáng 2 vien", [0.0, 9.0, 9.0, 18.0])]
+    words = spark.createDataFrame(rows, "sample_id long, n long, id string, label string, text string, box array<double>")
+    words = words.withColumn("idx", F.row_number().over(Window.partitionBy("sample_id").orderBy("n")).cast("long"))
+    entities, relations, _ = extract.medication_candidates(words)
+    plan = entities.join(relations, "sample_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") <= 1
+    assert [r.text for r in entities.orderBy("id").collect()] == ["X", "5 mg", "sáng", "2 viên"] and relations.count() == 3
