@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.session import Scratch
 
 # Fields whose wrong values have a code of their own, and those whose errors count as critical.
 WRONG = ("DRUG", "STRENGTH", "DOSE", "FREQUENCY", "ROUTE", "DURATION", "TIMING")
@@ -28,19 +27,22 @@ def same_meaning(value: Column) -> Column:
     return out
 
 
-def _met(gold: DataFrame, said: DataFrame, keys: list[str], code: Column, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of rows with equal keys, the nth of one side with the nth of the other,
-    under a code; and the rows of both sides that have no partner."""
-    nth = lambda side: side.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("drug", "value", "row")))
-    g, s = nth(gold), nth(said)
-    pairs = g.join(s.select(*keys, "nth", F.col("row").alias("said_row"), F.col("value").alias("said"), F.col("drug").alias("said_drug")), [*keys, "nth"])
-    pairs = scratch.keep(pairs.select("sample_id", "field", "drug", "value", "said_drug", "said", "row", "said_row", code.alias("code")), "pairs")
-    left = scratch.keep(gold.join(pairs.select("row"), "row", "left_anti"), "gold")
-    rest = scratch.keep(said.join(pairs.select(F.col("said_row").alias("row")), "row", "left_anti"), "said")
-    return pairs.drop("row", "said_row"), left, rest
+def _met(rows: DataFrame, keys: list[str], code: Column, only: Column) -> DataFrame:
+    """``rows`` of both sides with those matched that are open, ``only`` true, and the nth
+    of their side of equal keys where the other side has an nth; the one of ``gold`` gets
+    the code and its partner's drug and value."""
+    rows = rows.withColumn("__open", ~F.col("done") & only)
+    group = Window.partitionBy(*keys, "__open").orderBy("drug", "value")
+    of = lambda side, upto: F.count_if(F.col("said_side") == side).over(group.rowsBetween(Window.unboundedPreceding, upto))
+    nth = F.when(F.col("said_side"), of(F.lit(True), 0)).otherwise(of(F.lit(False), 0))
+    end = Window.unboundedFollowing
+    rows = rows.withColumn("__nth", nth).withColumn("__met", F.col("__open") & (F.col("__nth") <= F.least(of(F.lit(True), end), of(F.lit(False), end))))
+    partner = F.max(F.when(F.col("said_side"), F.struct("drug", "value"))).over(Window.partitionBy(*keys, "__open", "__nth"))
+    rows = rows.withColumn("partner", F.when(F.col("__met"), partner).otherwise(F.col("partner")))
+    return rows.withColumn("code", F.when(F.col("__met"), code).otherwise(F.col("code"))).withColumn("done", F.col("done") | F.col("__met")).drop("__open", "__nth", "__met")
 
 
-def classify(gold: DataFrame, said: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def classify(gold: DataFrame, said: DataFrame) -> DataFrame:
     """One row for each field of ``gold`` and each of ``said`` (sample_id, drug, field,
     value) that has no partner there: sample_id, field, drug, value, said_drug, said, code
     (null where the value is right) and critical.
@@ -51,28 +53,29 @@ def classify(gold: DataFrame, said: DataFrame, scratch: Scratch | None = None) -
     (WRONG_ and its name). What then has no partner is an OMISSION or a
     HALLUCINATED_FIELD, so each field has one code. Equal fields are matched one by one;
     null samples, drugs and fields are those of the name ''.
+
+    Partners have one sample and field, so both sides are shuffled by these once, and
+    all steps sort what is there.
     """
-    spark = gold.sparkSession
-    scratch = scratch or Scratch(spark, "taxonomy")
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    one = lambda side, name: scratch.keep(
-        side.select("sample_id", named("drug"), named("field"), named("value")).withColumn("sample_id", named("sample_id"))
-        .withColumn("norm", same_meaning(F.col("value"))).withColumn("row", F.monotonically_increasing_id()), name,
-    )
-    g, s = one(gold, "gold"), one(said, "said")
-    own = ["sample_id", "drug", "field"]
-    none = F.lit(None).cast("string")
-    steps = [([*own, "value"], none, None), ([*own, "norm"], F.lit("NORMALIZATION_ONLY"), None)]
+    side = lambda rows, is_said: rows.select(*map(named, ("sample_id", "drug", "field", "value")), F.lit(is_said).alias("said_side"))
+    # values are normalised before the shuffle, as rows from Python have no known partitioning
+    rows = side(gold, False).unionByName(side(said, True)).withColumn("norm", same_meaning(F.col("value"))).repartition("sample_id", "field")
+    rows = rows.withColumn("done", F.lit(False)).withColumn("code", F.lit(None).cast("string"))
+    rows = rows.withColumn("partner", F.lit(None).cast("struct<drug: string, value: string>"))
+    own, every = ["sample_id", "drug", "field"], F.lit(True)
+    steps = [([*own, "value"], F.lit(None).cast("string"), every), ([*own, "norm"], F.lit("NORMALIZATION_ONLY"), every)]
     steps += [(["sample_id", "field", "norm"], F.lit("WRONG_RELATION"), F.col("field") != "DRUG"), (own, F.concat(F.lit("WRONG_"), F.col("field")), F.col("field").isin(*WRONG))]
-    found = None
-    for keys, code, only in steps:
-        some = (g, s) if only is None else (g.where(only), s.where(only))
-        pairs, left, rest = _met(*some, keys, code, scratch)
-        g, s = (left, rest) if only is None else (left.unionByName(g.where(~only)), rest.unionByName(s.where(~only)))
-        found = pairs if found is None else found.unionByName(pairs)
-    lost = g.select("sample_id", "field", "drug", "value", none.alias("said_drug"), none.alias("said"), F.lit("OMISSION").alias("code"))
-    made = s.select("sample_id", "field", none.alias("drug"), none.alias("value"), F.col("drug").alias("said_drug"), F.col("value").alias("said"), F.lit("HALLUCINATED_FIELD").alias("code"))
-    rows = found.unionByName(lost).unionByName(made)
+    for step in steps:
+        rows = _met(rows, *step)
+    rows = rows.where(~(F.col("said_side") & F.col("done")))
+    of_gold = lambda c: F.when(~F.col("said_side"), F.col(c))
+    of_said = lambda c: F.when(F.col("said_side"), F.col(c)).otherwise(F.col("partner")[c])
+    lost = F.when(F.col("said_side"), "HALLUCINATED_FIELD").otherwise("OMISSION")
+    rows = rows.select(
+        "sample_id", "field", of_gold("drug").alias("drug"), of_gold("value").alias("value"), of_said("drug").alias("said_drug"), of_said("value").alias("said"),
+        F.when(F.col("done"), F.col("code")).otherwise(lost).alias("code"),
+    )
     return rows.withColumn("critical", F.col("code").isNotNull() & (F.col("code") != "NORMALIZATION_ONLY") & F.col("field").isin(*CRITICAL))
 
 

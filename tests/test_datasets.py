@@ -372,3 +372,13 @@ def test_drafts_and_statistics(spark):
     crops = spark.createDataFrame([("ab c", "ab c"), ("ab", "b"), ("x", None), ("é", "e")], "reference string, hypothesis string")
     r = metrics.crop_error_rates(crops).first()
     assert (r.samples, r.read, r.exact, r.exact_plain) == (4, 3, 0.25, 0.5) and r.cer == pytest.approx(2 / 7) and r.wer == pytest.approx(2 / 4)
+
+
+def test_error_kinds_shuffle_once(spark):
+    """All steps of the cascade sort what one shuffle has brought together."""
+    gold = spark.createDataFrame([("s", "1", "DOSE", "1 v"), ("s", "1", "DOSE", "1 v"), ("s", "2", "DOSE", "2 ml")], "sample_id string, drug string, field string, value string")
+    said = spark.createDataFrame([("s", "1", "DOSE", "1 v"), ("s", "3", "DOSE", "2ML"), ("s", "1", "DOSE", "1 Viên")], gold.schema)
+    out = taxonomy.classify(gold, said)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = sorted((r.code or "", r.drug, r.said_drug, r.said) for r in out.collect())
+    assert got == [("", "1", "1", "1 v"), ("NORMALIZATION_ONLY", "1", "1", "1 Viên"), ("WRONG_RELATION", "2", "3", "2ML")]
