@@ -25,6 +25,8 @@ BLOCK_ROWS, GROUP = 400_000, 64
 #: Rounds in which hot groups are compared with a few hubs before the rest, by so
 #: many of a node's first hot tokens; and rows of either side of one block of that rest.
 ROUNDS, HUBS, FIRST, REST_BLOCK = 3, 3, 2, 512
+#: Cells that a task holds before it sends or sums them.
+MOST_WAITING = 4_000_000
 
 
 def _raw(text: str | None) -> bytes:
@@ -68,23 +70,34 @@ def hot_cells(rows: DataFrame, sets_of, blocks: int, hot: int = HOT, most: int =
             for _, tokens in sets_of(batch):
                 held.append(_cell(tokens))
                 size += len(tokens)
-                if size > 8_000_000:
+                if size > MOST_WAITING:
                     yield packed()
                     held, size = [], 0
         yield packed()
 
     def count(arrow_batches):
-        by: dict[int, list[np.ndarray]] = {}
+        # cells wait as they come, four bytes each, and are summed when there are many
+        waiting: dict[int, list[np.ndarray]] = {}
+        sums: dict[int, np.ndarray] = {}
         unpack = zstandard.ZstdDecompressor()
+
+        def settle(block: int) -> None:
+            cells = np.concatenate(waiting.pop(block))
+            cells.sort()
+            at = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+            new = np.stack([cells[at].astype(np.int64), np.diff(np.append(at, len(cells)))])
+            sums[block] = _summed([sums[block], new]) if block in sums else new
+
         for batch in arrow_batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 steps = np.frombuffer(unpack.decompress(data.as_py()), dtype=np.uint32)
-                cells, n = np.unique(np.cumsum(steps, dtype=np.uint64).astype(np.uint32), return_counts=True)
-                by.setdefault(block, []).append(np.stack([cells.astype(np.int64), n]))
-                if len(by[block]) > 64:
-                    by[block] = [_summed(by[block])]
-        for parts in by.values():
-            cells, n = _summed(parts)
+                waiting.setdefault(block, []).append(np.cumsum(steps, dtype=np.uint32))
+                if sum(map(len, waiting[block])) > MOST_WAITING:
+                    settle(block)
+        for block in [*waiting]:
+            settle(block)
+        for block in [*sums]:
+            cells, n = sums.pop(block)
             yield pa.RecordBatch.from_arrays([pa.array(cells[n >= hot]), pa.array(n[n >= hot])], ["cell", "n"])
 
     counts = rows.mapInArrow(send, "block long, cells binary").repartition(1 << bits, "block")
@@ -305,13 +318,15 @@ def links(nodes: DataFrame, sets_of, percent: int, scratch: Scratch) -> DataFram
     for turn in range(ROUNDS):
         now = early.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         main = _main(now)
-        # a row outside its token's main component meets a few hubs; at first all do
+        # at first all rows meet one hub, which joins most of a group; then those outside
+        # their token's main component meet a few
+        some = HUBS if turn else 1
         salted = [
             F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(i)).alias("o"), "node", "n", "component")).alias(f"h{i}")
-            for i in range(HUBS)
+            for i in range(some)
         ]
         hubs = now.join(main, "token").where("component = main OR kinds > 1").groupBy("token").agg(*salted)
-        hubs = scratch.keep(hubs.select("token", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("hub")).distinct().coalesce(8), "hubs")
+        hubs = scratch.keep(hubs.select("token", F.explode(F.array(*[f"h{i}" for i in range(some)])).alias("hub")).distinct().coalesce(8), "hubs")
         other = hubs.select("token", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.component").alias("other"))
         left = now.join(main, "token").where("component <> main").drop("main", "kinds") if turn else now
         pairs = _ordered(left.join(other, "token").where(alike))

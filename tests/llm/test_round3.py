@@ -353,3 +353,27 @@ def test_repeated_words_have_few_paragraphs():
             mine = own[owner == k]
             assert {w for a, b in mine.tolist() for w in range(a, b)} == set(range(n)) and len(mine) <= n / 4 + 2
         assert own[owner == 0].tolist() == own[owner == 2].tolist()
+
+
+def test_hot_groups_meet_one_hub_first(spark, monkeypatch):
+    """Near copies that a hub joins are not compared with further ones; and counts of
+    cells are right when they are summed in many small parts."""
+    from docloom.llm import jaccard
+
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*base[:i], f"own{i}", *base[i + 1 :]]) for i in range(5, 115)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, verify = [], jaccard.verify
+
+    def counted(pairs, sets, percent):
+        met.append(pairs.count())
+        return verify(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard, "verify", counted)
+    classes = jaccard.jaccard_classes(docs).collect()
+    assert {r.component_id for r in classes} == {0} and len(classes) == len(texts)
+    assert 0 < sum(met) <= 3 * len(texts)
+    found = lambda: jaccard.hot_cells(docs.select("text"), lambda batch: jaccard._sets(batch, 5), 1).tolist()
+    whole = found()
+    monkeypatch.setattr(jaccard, "MOST_WAITING", 50)
+    assert whole and found() == whole
