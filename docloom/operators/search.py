@@ -10,6 +10,8 @@ from docloom.sources.files import last_by_key
 PIECE = 3
 #: Folders of an index, by a text's first letters.
 HEADS = 64
+#: Postings of one task of a search.
+TASK_POSTINGS = 50_000
 
 
 def load_corpus(labels: DataFrame, candidates: DataFrame, drafts: DataFrame, order: str) -> DataFrame:
@@ -74,11 +76,11 @@ def search_index(spark: SparkSession, path: str, patterns: DataFrame) -> DataFra
     wanted = needles(patterns)
     heads = [r[0] for r in wanted.select("head").distinct().collect()]  # at most HEADS
     index = spark.read.schema("key STRING, at INT, piece STRING, head INT").parquet(path).where(F.col("head").isin(heads))
-    met = None
-    for size in range(1, PIECE + 1):
-        some = wanted.where(F.col("size") == size).select("pattern_id", "head", F.col("piece").alias("start"), "offset", "need")
-        here = index.withColumn("start", F.substring("piece", 1, size)).where(F.length("piece") >= size)
-        found = here.join(some, ["head", "start"]).select("pattern_id", "key", (F.col("at") - F.col("offset")).alias("from"), "need")
-        met = found if met is None else met.unionByName(found)
+    # a text's postings are in one task, which has so many that its matches fit in memory
+    dealt = index.repartition(max(1, -(-index.count() // TASK_POSTINGS)), "key")
+    starts = F.transform(F.sequence(F.lit(1), F.length("piece")), lambda n: F.substring("piece", F.lit(1), n))
+    each = dealt.select("key", "at", "head", F.explode(starts).alias("start"))
+    some = wanted.select("pattern_id", "head", F.col("piece").alias("start"), "offset", "need")
+    met = each.join(some, ["head", "start"]).select("pattern_id", "key", (F.col("at") - F.col("offset")).alias("from"), "need")
     whole = met.groupBy("pattern_id", "key", "from").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n = need")
     return whole.select("pattern_id", "key").distinct()

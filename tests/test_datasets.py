@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -382,3 +383,16 @@ def test_error_kinds_shuffle_once(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     got = sorted((r.code or "", r.drug, r.said_drug, r.said) for r in out.collect())
     assert got == [("", "1", "1", "1 v"), ("NORMALIZATION_ONLY", "1", "1", "1 Viên"), ("WRONG_RELATION", "2", "3", "2ML")]
+
+
+def test_search_tasks_are_bounded(spark, tmp_path, monkeypatch):
+    """A search has tasks as its index has postings, however often a text has a pattern."""
+    monkeypatch.setattr(search, "TASK_POSTINGS", 10, raising=False)
+    rows = spark.createDataFrame([(i, "aaaa" if i % 2 else "abca") for i in range(20)], "k long, t string")
+    search.write_index(rows, "k", "t", str(tmp_path / "index"))
+    patterns = spark.createDataFrame([("p1", "A"), ("p2", "aaaa"), ("p3", "bca"), ("p4", "abcaa")], "pattern_id string, pattern string")
+    out = search.search_index(spark, str(tmp_path / "index"), patterns)
+    dealt = re.findall(r"RepartitionByExpression \[key#\d+\], (\d+)", out._jdf.queryExecution().optimizedPlan().toString())
+    assert [int(n) for n in dealt] == [8]  # 80 postings
+    got = sorted((r.pattern_id, int(r.key)) for r in out.collect())
+    assert got == [("p1", i) for i in range(20)] + [("p2", i) for i in range(1, 20, 2)] + [("p3", i) for i in range(0, 20, 2)]
