@@ -7,38 +7,38 @@ from pyspark.sql import functions as F
 
 from docloom.functions import geometry as G
 from docloom.functions import text as T
-from docloom.operators.profile import field_label, normalize_label
+from docloom.operators.profile import field_label, normalize_label, with_label
+from docloom.session import Scratch
 
 
 def needs_review(flag: Column, text: Column, bbox: Column) -> Column:
     return flag | (F.coalesce(text, F.lit("")) == "") | bbox.isNull()
 
 
-def _documents(entities: DataFrame) -> DataFrame:
-    """Entities (sample_id, n, label, text, bbox, flag) by sample, with ids in order."""
-    item = F.struct(
-        "n", F.concat(F.lit("entity_"), F.col("n")).alias("id"), "label", "text", "bbox",
-        needs_review(F.col("flag"), F.col("text"), F.col("bbox")).alias("needs_review"),
-    )
-    return entities.groupBy("sample_id").agg(F.array_sort(F.collect_list(item)).alias("entities"))
+def _labelled(rows: DataFrame, scratch: Scratch | None) -> DataFrame:
+    """``rows`` with the normalised label ``to`` of each distinct ``label``."""
+    return with_label(rows, ["label"], normalize_label("label"), scratch or Scratch(rows.sparkSession, "labels"))
 
 
-def word_boxes(words: DataFrame) -> DataFrame:
+def word_boxes(words: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Documents of words (sample_id, idx, label, text, box): known labels become
     entities, which drugs and instructions always leave for review; others are
     counted in notes. There are no relations."""
-    rows = words.withColumn("to", normalize_label("label"))
-    kept = rows.where("to IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("sample_id").orderBy("idx")))
-    kept = kept.select("sample_id", "n", F.col("to").alias("label"), "text", F.col("box").alias("bbox"), F.col("to").isin("DRUG", "INSTRUCTION").alias("flag"))
-    unmapped = rows.groupBy("sample_id").agg(F.count(F.when(F.col("to").isNull(), 1)).alias("unmapped"))
-    return unmapped.join(_documents(kept), "sample_id", "left")
+    rows = _labelled(words, scratch)
+    review = needs_review(F.col("to").isin("DRUG", "INSTRUCTION"), F.col("text"), F.col("box")).alias("needs_review")
+    item = F.when(F.col("to").isNotNull(), F.struct("idx", F.col("to").alias("label"), "text", F.col("box").alias("bbox"), review))
+    docs = rows.groupBy("sample_id").agg(F.count(F.when(F.col("to").isNull(), 1)).alias("unmapped"), F.sort_array(F.collect_list(item)).alias("all"))
+    numbered = F.transform("all", lambda e, i: F.struct(
+        (i + 1).alias("n"), F.concat(F.lit("entity_"), (i + 1).cast("string")).alias("id"), *[e[c].alias(c) for c in ("label", "text", "bbox", "needs_review")]
+    ))
+    return docs.select("sample_id", "unmapped", F.when(F.size("all") > 0, numbered).alias("entities"))
 
 
-def annotation_records(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def annotation_records(entities: DataFrame, relations: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Re-numbers the entities (sample_id, ord, id, label, text, bbox) of known
     labels, points relations (sample_id, ord, type, source, target) at the new ids,
     and returns both with the dangling relations."""
-    kept = entities.withColumn("label", normalize_label("label")).where("label IS NOT NULL")
+    kept = _labelled(entities, scratch).where("to IS NOT NULL").drop("label").withColumnRenamed("to", "label").select(*entities.columns)
     kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("sample_id").orderBy("ord")))
     kept = kept.withColumn("new_id", F.concat(F.lit("entity_"), F.col("n")))
     last = kept.groupBy("sample_id", "id").agg(F.max_by("new_id", "n").alias("new_id"))
@@ -77,7 +77,7 @@ def label_studio(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities and relations of tasks (sample_id, annotations of result): the
     first annotation only; boxes in percent of the original size."""
     r = tasks.select("sample_id", F.posexplode(F.get("annotations", F.lit(0))["result"]).alias("ord", "r"))
-    label, value = normalize_label(F.coalesce(F.get("r.value.labels", F.lit(0)), F.lit(""))), F.col("r.value")
+    label, value = F.coalesce(F.get("r.value.labels", F.lit(0)), F.lit("")), F.col("r.value")
     box = G.from_percent(value["x"], value["y"], value["width"], value["height"], F.col("r.original_width"), F.col("r.original_height"))
     e = r.where(~F.coalesce(F.col("r.type") == "relation", F.lit(False))).select("sample_id", "ord", F.col("r.id").alias("id"), label.alias("label"), value["text"].alias("text"), box.alias("bbox"))
     links = r.where("r.type = 'relation'").select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators.vocabulary import FIELD_KEYS, LABEL_KEYS, LABELS
+from docloom.session import Scratch
 
 # Extensions by kind of file.
 IMAGES = (".jpg", ".jpeg", ".png", ".webp", ".tif", ".tiff", ".bmp")
@@ -61,7 +62,8 @@ def relation_types(value: Column) -> Column:
 
 
 def _map(keys: Column, table: dict) -> Column:
-    return F.coalesce(*[F.when(keys.isin(*names), F.lit(label)) for label, names in table.items()])
+    # one look-up, so that the key stands in the expression once
+    return F.try_element_at(F.create_map(*[F.lit(x) for label, names in table.items() for name in names for x in (name, label)]), keys)
 
 
 def normalize_label(col) -> Column:
@@ -76,6 +78,13 @@ def field_label(name) -> Column:
     return _map(T.normalize_key(name), FIELD_KEYS)
 
 
+def with_label(rows: DataFrame, columns: list[str], label: Column, scratch: Scratch) -> DataFrame:
+    """``rows`` with ``to``, a ``label`` of some ``columns``. It is computed once for each distinct value,
+    and these are written first: a condition on it would else go below the step that finds them."""
+    known = scratch.keep(rows.select(*columns).distinct().withColumn("to", label), "labels").where("to IS NOT NULL")
+    return rows.join(known, columns, "left")
+
+
 def clean_sample_id(col) -> Column:
     base = F.regexp_replace(col, r"\.[^.]+$", "")
     return F.regexp_replace(F.regexp_replace(base, "[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")
