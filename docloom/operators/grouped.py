@@ -18,7 +18,7 @@ def fold_groups(rows: DataFrame, keys: list[str], order: list, run, schema: Stru
 
     def task(arrow_batches):
         arrow = to_arrow_schema(schema)
-        stream = (row for batch in arrow_batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        stream = (row for batch in arrow_batches for row in zip(*(_values(c) for c in batch.columns)))
         out = []
         for _, group in itertools.groupby(stream, key=lambda row: tuple(row[i] for i in at)):
             out.extend(run(group))
@@ -30,6 +30,12 @@ def fold_groups(rows: DataFrame, keys: list[str], order: list, run, schema: Stru
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(task, schema)
 
 
+def _values(column: pa.Array) -> list:
+    kind = column.type
+    plain = pa.types.is_string(kind) or ((pa.types.is_integer(kind) or pa.types.is_floating(kind)) and column.null_count == 0)
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
+
+
 def _batch(out: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     columns = zip(*out) if out else [[]] * len(arrow)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)

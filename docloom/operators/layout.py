@@ -50,36 +50,70 @@ def last_line(center: np.ndarray, height: np.ndarray) -> list[int]:
     return out
 
 
-def best_overlap(center: np.ndarray, height: np.ndarray, y1: np.ndarray, y2: np.ndarray) -> list[int]:
+#: Lines of a page up to which they are looked through one by one.
+FEW_LINES = 40
+
+
+def _best(c: float, h: float, a: float, b: float, low: list[float], high: list[float]) -> int:
+    at, best = -1, -1.0
+    for i, (top, end) in enumerate(zip(low, high)):
+        tall = max(1.0, end - top)
+        least = min(h, tall)
+        shared = max(0.0, min(b, end) - max(a, top)) / max(1.0, least)
+        away = abs(c - (top + end) / 2)
+        near = min(max(least * 0.55, 8.0), 28.0)
+        if away <= near or (shared >= 0.55 and away <= max(near, tall * 0.45)):
+            score = shared - away / tall * 0.1
+            if score > best:
+                at, best = i, score
+    return at
+
+
+def _best_of_many(c: float, h: float, a: float, b: float, low: np.ndarray, high: np.ndarray) -> int:
+    tall = np.maximum(1, high - low)
+    least = np.minimum(h, tall)
+    shared = np.maximum(0, np.minimum(b, high) - np.maximum(a, low)) / np.maximum(1, least)
+    away = np.abs(c - (low + high) / 2)
+    near = np.clip(least * 0.55, 8, 28)
+    fits = (away <= near) | ((shared >= 0.55) & (away <= np.maximum(near, tall * 0.45)))
+    score = np.where(fits, shared - away / tall * 0.1, -1.0)
+    return int(np.argmax(score)) if (score > -1).any() else -1
+
+
+def best_overlap(center, height, y1, y2) -> list[int]:
     """Line of each word: the one it overlaps best, distance counting against."""
-    low, high, out = np.zeros(0), np.zeros(0), []
-    for c, h, a, b in zip(center, height, y1, y2):
-        at = -1
-        if len(low):
-            tall = np.maximum(1, high - low)
-            shared = np.maximum(0, np.minimum(b, high) - np.maximum(a, low)) / np.maximum(1, np.minimum(h, tall))
-            away = np.abs(c - (low + high) / 2)
-            near = np.clip(np.minimum(h, tall) * 0.55, 8, 28)
-            fits = (away <= near) | ((shared >= 0.55) & (away <= np.maximum(near, tall * 0.45)))
-            score = np.where(fits, shared - away / tall * 0.1, -1.0)
-            at = int(np.argmax(score)) if (score > -1).any() else -1
+    low: list[float] = []
+    high: list[float] = []
+    space, n, out = np.zeros((2, 0)), 0, []  # the same lines for numpy, once they are many
+    for c, h, a, b in zip(*(np.asarray(v, dtype=float).tolist() for v in (center, height, y1, y2))):
+        if n <= FEW_LINES:
+            at = _best(c, h, a, b, low, high)
+        else:
+            at = _best_of_many(c, h, a, b, space[0, :n], space[1, :n])
         if at < 0:
-            at, low, high = len(low), np.append(low, a), np.append(high, b)
+            at, n = n, n + 1
+            low.append(a)
+            high.append(b)
+            if n > FEW_LINES and n > space.shape[1]:
+                space = np.zeros((2, 2 * n))
+                space[:, :n] = low, high
         else:
             low[at], high[at] = min(low[at], a), max(high[at], b)
+        if n > FEW_LINES:
+            space[0, at], space[1, at] = low[at], high[at]
         out.append(at)
     return out
 
 
 def _lines(how: str, rows: list[tuple]) -> list[tuple]:
-    """Lines of one sample's words (sample_id, idx, text, bbox, confidence) in
-    order of centre and x."""
+    """Lines of one sample's words (sample_id, idx, text, confidence, x1, y1, x2,
+    y2) in order of centre and x."""
     if not rows:
         return []
-    box = np.array([r[3][:4] for r in rows], dtype=float)
-    center, tall = (box[:, 1] + box[:, 3]) / 2, np.maximum(1, box[:, 3] - box[:, 1])
+    x1, y1, x2, y2 = ([r[i] for r in rows] for i in range(4, 8))
+    center, tall = [(a + b) / 2 for a, b in zip(y1, y2)], [max(1.0, b - a) for a, b in zip(y1, y2)]
     if how == "best_overlap":
-        line = best_overlap(center, tall, box[:, 1], box[:, 3])
+        line = best_overlap(center, tall, y1, y2)
     else:
         line = (first_fit if how == "first_fit" else last_line)(center, tall)
     own: dict[int, list[int]] = {}
@@ -87,11 +121,11 @@ def _lines(how: str, rows: list[tuple]) -> list[tuple]:
         own.setdefault(at, []).append(i)
     out = []
     for words in own.values():
-        words.sort(key=lambda i: box[i, 0])
-        known = [rows[i][4] for i in words if rows[i][4] is not None]
+        words.sort(key=lambda i: x1[i])
+        known = [rows[i][3] for i in words if rows[i][3] is not None]
         enough = len(known) == len(words) if how == "first_fit" else bool(known)
         text = " ".join(rows[i][2].strip() if how == "last_line" else rows[i][2] for i in words)
-        hull = [*box[words, :2].min(axis=0).tolist(), *box[words, 2:].max(axis=0).tolist()]
+        hull = [min(x1[i] for i in words), min(y1[i] for i in words), max(x2[i] for i in words), max(y2[i] for i in words)]
         out.append((text, hull, sum(known) / len(known) if enough else None, [rows[i][1] for i in words]))
     if how == "best_overlap":
         out.sort(key=lambda r: (r[1][1], r[1][0]))
@@ -108,7 +142,8 @@ def group_lines(words: DataFrame, how: str = "first_fit") -> DataFrame:
         raise ValueError(how)
     rows = words.select(F.col("sample_id").cast("string").alias("sample_id"), F.col("idx").cast("long").alias("idx"), "text", "bbox", F.col("confidence").cast("double").alias("confidence"))
     rows = rows.where((F.trim(F.coalesce("text", F.lit(""))) != "") & G.is_numeric(F.col("bbox")))
-    order = [G.center_y(F.col("bbox")), F.get("bbox", F.lit(0)), F.col("idx")]
+    sides = [F.get("bbox", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]
+    rows, order = rows.select("sample_id", "idx", "text", "confidence", *sides), [(F.col("y1") + F.col("y2")) / 2, "x1", "idx"]
     out = fold_groups(rows, ["sample_id"], order, lambda group: _lines(how, list(group)), LINE_SCHEMA)
     return out.withColumn("text", F.regexp_replace("text", r"\s+([,.;:])", "$1")) if how == "last_line" else out
 
