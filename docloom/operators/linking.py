@@ -77,6 +77,16 @@ def _parts(least: float, length: Column) -> tuple[Column, Column]:
     return n, F.floor(length / n).cast("int")
 
 
+#: Tasks that names are dealt to before they are compared.
+NAME_TASKS = 64
+
+
+def _dealt(names: DataFrame) -> DataFrame:
+    """Names over a fixed number of tasks: they are few bytes but much work, and Spark
+    would put small partitions of them together in one task."""
+    return names.repartition(NAME_TASKS, "name_norm")
+
+
 def blocked_pairs(names: DataFrame, aliases: DataFrame, least: float) -> DataFrame:
     """name_norm and alias_norm of all pairs that can be alike by ``least`` (0.5 at
     least), by equal pieces: fewer edits than an alias has parts leave one of them whole, and
@@ -93,7 +103,7 @@ def blocked_pairs(names: DataFrame, aliases: DataFrame, least: float) -> DataFra
     right = right.select("alias_norm", "m", "i", F.col("alias_norm").substr(start + 1, width).alias("piece"))
     size_of = F.length("name_norm")
     lengths = F.sequence(F.greatest(F.lit(1), F.ceil(size_of * least - 1e-6)).cast("int"), F.floor(size_of / least + 1e-6).cast("int"))
-    left = names.where("name_norm <> ''").select("name_norm", F.explode(lengths).alias("m"))
+    left = _dealt(names.where("name_norm <> ''")).select("name_norm", F.explode(lengths).alias("m"))
     left = left.join(F.broadcast(right.select("m").distinct()), "m", "left_semi")
     left = left.select("name_norm", "m", _edits(least, F.greatest(size_of, m)).alias("k"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     left = left.select("name_norm", "m", "i", F.explode(F.sequence(-F.col("k"), F.col("k"))).alias("shift"))
@@ -106,7 +116,7 @@ def _product(names: DataFrame, aliases: DataFrame, entries: int) -> DataFrame:
     """Every name with every alias, these sent to all executors up to a checked number
     of catalog entries and met in shuffled blocks beyond it."""
     if entries <= BROADCAST_ENTRIES:
-        return names.join(F.broadcast(aliases))
+        return _dealt(names).join(F.broadcast(aliases))
     blocks = 64
     return names.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(
         aliases.withColumn("block", F.pmod(F.xxhash64("alias_norm"), F.lit(blocks)).cast("int")), "block"
