@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import geometry as G
 from docloom.operators.convert import needs_review
-from docloom.operators.inspection import as_text, given, is_object, items, let
-from docloom.operators.profile import clean_sample_id, field_label, image_ref, normalize_label
+from docloom.operators.inspection import given, is_object, items, let, text_at
+from docloom.operators.profile import clean_sample_id, field_label, image_ref, normalize_label, with_label
 from docloom.operators.splits import suffixed_ids
 from docloom.session import Scratch
 
@@ -35,7 +35,7 @@ class Converted(NamedTuple):
 
 def name_of(value: Column, *paths: str) -> Column:
     """The first given of some paths as text, null where none is or it is empty."""
-    return F.nullif(as_text(given(value, *paths)), F.lit(""))
+    return F.nullif(text_at(value, *paths), F.lit(""))
 
 
 def number(value: Column, *paths: str) -> Column:
@@ -49,16 +49,19 @@ def bbox_of(value: Column, xywh: bool = False, width: Column | None = None, heig
     corner and sizes), or an object's x or left, y or top, width or w, and height or
     h, in percent of ``width`` and ``height`` where these are known."""
     scale = lambda size: F.lit(1.0) if size is None else F.coalesce(size / 100, F.lit(1.0))
-    known = lambda box, n: F.when((F.size(box) >= n) & F.forall(box, lambda v: v.isNotNull()), F.slice(box, 1, 4))
-    listed = let(F.transform(items(value), lambda x: number(x, "$")), lambda box: known(box, 4))
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    known = lambda box: F.when((F.size(box) >= 4) & F.forall(box, finite), F.slice(box, 1, 4))
+    listed = known(F.try_variant_get(value, "$", "array<double>"))
     listed = let(listed, G.from_xywh) if xywh else listed
-    sides = F.array(*[number(value, *p) for p in (("$.x", "$.left"), ("$.y", "$.top"), ("$.width", "$.w"), ("$.height", "$.h"))])
+    # a side is the first name that is given, be it a number or not
+    side = lambda a, b: F.when(F.try_variant_get(value, a, "string").isNotNull(), F.try_variant_get(value, a, "double")).otherwise(F.try_variant_get(value, b, "double"))
+    sides = F.array(*[side(*p) for p in (("$.x", "$.left"), ("$.y", "$.top"), ("$.width", "$.w"), ("$.height", "$.h"))])
     scales = F.array(scale(width), scale(height))
     corners = let(
         F.struct(sides.alias("s"), scales.alias("by")),
         lambda b: F.array(b["s"][0] * b["by"][0], b["s"][1] * b["by"][1], (b["s"][0] + b["s"][2]) * b["by"][0], (b["s"][1] + b["s"][3]) * b["by"][1]),
     )
-    return F.coalesce(listed, let(corners, lambda box: known(box, 4)))
+    return F.coalesce(listed, F.when(is_object(value), let(corners, known)))
 
 
 def shape_of(document: Column) -> Column:
@@ -80,33 +83,37 @@ def _rows(documents: DataFrame) -> DataFrame:
     object itself. VARIANT sorts keys, so their order comes from the text."""
     v, text = F.col("document"), F.col("value")
     own = lambda p: F.try_variant_get(v, p, "array<variant>")
-    records = F.coalesce(own("$"), own("$.records"), own("$.items"), F.when(~F.is_variant_null(v), F.array(v)))
-    inside = F.from_json(text, f"records array<{_TEXT_MAP}>, items array<{_TEXT_MAP}>")
-    ordered = F.when(own("$").isNotNull(), F.from_json(text, f"array<{_TEXT_MAP}>"))
-    ordered = F.coalesce(ordered, F.when(own("$.records").isNotNull(), inside["records"]).when(own("$.items").isNotNull(), inside["items"]))
-    ordered = F.when(own("$").isNull() & own("$.records").isNull() & own("$.items").isNull(), F.array(F.from_json(text, _TEXT_MAP))).otherwise(ordered)
-    rows = documents.where("shape = 'records'").select("file", records.alias("records"), ordered.alias("ordered"))
-    rows = rows.select("file", F.posexplode("records").alias("idx", "record"), "ordered")
+    rows = documents.where("shape = 'records'").select("file", "value", "document", own("$").alias("own"), own("$.records").alias("inner"), own("$.items").alias("items"))
+    marked = lambda r: F.try_variant_get(r, "$.entities", "array<variant>").isNotNull()
+    tasks = lambda r: F.try_variant_get(r, "$.annotations", "array<variant>").isNotNull()
+    shape = lambda r: F.when(marked(r), "annotation").when(tasks(r), "label_studio").otherwise("fields")
+    records = F.coalesce("own", "inner", "items", F.when(~F.is_variant_null(v), F.array(v)))
+    rows = rows.select("file", "value", "own", "inner", "items", F.transform(records, lambda r: F.struct(r.alias("record"), shape(r).alias("shape"))).alias("records"))
+    inside = lambda name: F.from_json(text, f"{name} array<{_TEXT_MAP}>")[name]
+    ordered = F.when(F.col("own").isNotNull(), F.from_json(text, f"array<{_TEXT_MAP}>")).when(F.col("inner").isNotNull(), inside("records"))
+    ordered = ordered.when(F.col("items").isNotNull(), inside("items")).otherwise(F.array(F.from_json(text, _TEXT_MAP)))
+    # names go with their record: a row that had those of the whole document would be as long as that
+    names = F.when(F.exists("records", lambda r: r["shape"] == "fields"), F.transform(ordered, F.map_keys))
+    rows = rows.select("file", F.arrays_zip("records", F.slice(F.coalesce(names, F.array().cast("array<array<string>>")), F.lit(1), F.size("records")).alias("names")).alias("r"))
+    rows = rows.select("file", F.posexplode("r").alias("idx", "r")).select("file", F.col("idx").cast("long").alias("idx"), "r.records.record", "r.records.shape", F.col("r.names").alias("names"))
     known = F.map_keys(F.try_variant_get("record", "$", "map<string,variant>"))
-    names = F.coalesce(F.map_keys(F.get("ordered", F.col("idx"))), known, F.array().cast("array<string>"))
-    rows = rows.select("file", F.col("idx").cast("long").alias("idx"), "record", names.alias("names"))
-    marked = F.try_variant_get("record", "$.entities", "array<variant>").isNotNull()
-    tasks = F.try_variant_get("record", "$.annotations", "array<variant>").isNotNull()
-    return rows.withColumn("shape", F.when(marked, "annotation").when(tasks, "label_studio").otherwise("fields"))
+    names = F.when(F.col("shape") == "fields", F.coalesce("names", known, F.array().cast("array<string>")))
+    return rows.select("file", "idx", "record", names.alias("names"), "shape")
 
 
-def _record_parts(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows, r = _rows(documents), F.col("record")
+def _record_parts(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows, r = scratch.keep(_rows(documents), "records"), F.col("record")
     of = lambda shape: rows.where(F.col("shape") == shape)
-    image = as_text(given(r, "$.image", "$.image_path", "$.file_name", "$.filename", "$.file", "$.data.image"))
-    own = F.when(F.col("shape") == "annotation", given(r, "$.sample_id", "$.id")).when(F.col("shape") == "label_studio", given(r, "$.id")).otherwise(given(r, "$.sample_id", "$.id"))
-    name = F.when(own.isNotNull(), as_text(own)).when(F.col("shape") == "annotation", "").otherwise(image)
+    image = text_at(r, "$.image", "$.image_path", "$.file_name", "$.filename", "$.file", "$.data.image")
+    task, has = F.col("shape") == "label_studio", lambda p: F.try_variant_get(r, p, "string").isNotNull()
+    named = has("$.id") | (~task & has("$.sample_id"))
+    name = F.when(named, F.when(task, text_at(r, "$.id")).otherwise(text_at(r, "$.sample_id", "$.id"))).when(F.col("shape") == "annotation", "").otherwise(image)
     fallback = F.concat(_name(F.col("file")), F.lit("_"), (F.col("idx") + 1).cast("string"))
     samples = rows.select("file", "idx", "shape", name.alias("sample_id"), fallback.alias("fallback"), image.alias("image"), F.try_variant_get(r, "$.split", "string").alias("split"))
 
     e = F.col("e")
     marked = of("annotation").select("file", "idx", F.posexplode(items(r, "$.entities")).alias("ord", "e"))
-    first = lambda p: F.coalesce(as_text(given(e, *p)), F.lit(""))
+    first = lambda p: text_at(e, *p)
     entities = marked.select(
         "file", "idx", "ord", F.coalesce(name_of(e, "$.id"), F.col("ord").cast("string")).alias("source_id"), F.lit("label").alias("kind"),
         first(("$.label", "$.category", "$.type")).alias("raw"), first(("$.text", "$.raw_text")).alias("text"),
@@ -120,9 +127,9 @@ def _record_parts(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
 
     # a task's first annotation, in percent of the image's size
     results = F.coalesce(items(given(r, "$.annotations[0]"), "$.result"), F.array().cast("array<variant>"))
-    tasks = of("label_studio").select("file", "idx", "record", F.posexplode(results).alias("ord", "e"))
+    tasks = of("label_studio").select("file", "idx", *[number(r, f"$.meta.{d}").alias(d) for d in ("width", "height")], F.posexplode(results).alias("ord", "e"))
     value = F.coalesce(given(e, "$.value"), F.parse_json(F.lit("{}")))
-    width, height = (F.coalesce(number(e, f"$.original_{d}", f"$.value.original_{d}"), number(r, f"$.meta.{d}")) for d in ("width", "height"))
+    width, height = (F.coalesce(number(e, f"$.original_{d}", f"$.value.original_{d}"), F.col(d)) for d in ("width", "height"))
     relation = F.coalesce(F.try_variant_get(e, "$.type", "string") == "relation", F.lit(False))
     entities = entities.unionByName(
         tasks.where(~relation).select(
@@ -138,8 +145,10 @@ def _record_parts(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
         )
     )
 
-    members = of("fields").where(is_object(r)).select("file", "idx", F.try_variant_get(r, "$", "map<string,variant>").alias("members"), F.posexplode("names").alias("ord", "raw"))
-    text = F.coalesce(as_text(F.try_element_at("members", F.col("raw"))), F.lit(""))
+    members = of("fields").where(is_object(r)).select("file", "idx", "names", F.try_variant_get(r, "$", "map<string,variant>").alias("members"))
+    member = F.transform("names", lambda name: F.struct(name.alias("raw"), F.try_element_at("members", name).alias("member")))
+    members = members.select("file", "idx", F.posexplode(member).alias("ord", "m")).select("file", "idx", "ord", "m.raw", "m.member")
+    text = text_at(F.col("member"), "$")
     fields = members.select(
         "file", "idx", "ord", F.lit(None).cast("string").alias("source_id"), F.lit("field").alias("kind"), "raw", text.alias("text"),
         F.lit("").alias("normalized_text"), F.lit(None).cast("array<double>").alias("bbox"), F.lit(True).alias("flag"),
@@ -157,9 +166,9 @@ def _word_box_parts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(test, "test").otherwise("train").alias("split"),
     )
     words = rows.select("file", zero, F.posexplode(items(F.col("document"))).alias("ord", "e"))
-    text = as_text(F.try_variant_get(e, "$.text", "variant"))
+    text = text_at(e, "$.text")
     entities = words.select(
-        "file", "idx", "ord", F.lit(None).cast("string").alias("source_id"), F.lit("label").alias("kind"), as_text(F.try_variant_get(e, "$.label", "variant")).alias("raw"),
+        "file", "idx", "ord", F.lit(None).cast("string").alias("source_id"), F.lit("label").alias("kind"), text_at(e, "$.label").alias("raw"),
         text.alias("text"), text.alias("normalized_text"), bbox_of(F.try_variant_get(e, "$.box", "variant")).alias("bbox"), F.lit(None).cast("boolean").alias("flag"),
     )
     return samples, entities
@@ -171,11 +180,11 @@ def _coco_parts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     part = lambda name: rows.select("file", F.posexplode(items(F.col("document"), f"$.{name}")).alias("ord", "e"))
     # of equal ids the last one counts, as in a map
     last = lambda df, *keys: df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in (*keys, "ord")]), "ord").alias("x"))
-    images = part("images").select("file", "ord", as_text(given(e, "$.id")).alias("image_id"), as_text(given(e, "$.file_name")).alias("image"))
-    names = part("categories").select("file", "ord", as_text(given(e, "$.id")).alias("category"), as_text(given(e, "$.name")).alias("raw"))
+    images = part("images").select("file", "ord", text_at(e, "$.id").alias("image_id"), text_at(e, "$.file_name").alias("image"))
+    names = part("categories").select("file", "ord", text_at(e, "$.id").alias("category"), text_at(e, "$.name").alias("raw"))
     a = part("annotations").select(
-        "file", "ord", as_text(given(e, "$.image_id")).alias("image_id"), as_text(given(e, "$.category_id")).alias("category"),
-        F.coalesce(as_text(given(e, "$.text", "$.transcription")), F.lit("")).alias("text"), F.coalesce(as_text(given(e, "$.normalized_text")), F.lit("")).alias("normalized_text"),
+        "file", "ord", text_at(e, "$.image_id").alias("image_id"), text_at(e, "$.category_id").alias("category"),
+        text_at(e, "$.text", "$.transcription").alias("text"), text_at(e, "$.normalized_text").alias("normalized_text"),
         bbox_of(F.try_variant_get(e, "$.bbox", "variant"), xywh=True).alias("bbox"),
     )
     a = a.join(last(images, "file", "image_id"), ["file", "image_id"]).withColumn("image", F.col("x.image")).drop("x")
@@ -208,23 +217,26 @@ def convert_dataset(documents: DataFrame, scratch: Scratch | None = None) -> Con
     """
     scratch = scratch or Scratch(documents.sparkSession, "conversion")
     rows = scratch.keep(documents.select("file", "value", "document").withColumn("shape", shape_of(F.col("document"))), "documents")
-    record_samples, record_entities, links = _record_parts(rows)
+    record_samples, record_entities, links = _record_parts(rows, scratch)
     samples, entities = record_samples.select(*_SAMPLE), record_entities.select(*_ENTITY)
     for more_samples, more_entities in (_word_box_parts(rows), _coco_parts(rows)):
         samples, entities = samples.unionByName(more_samples.select(*_SAMPLE)), entities.unionByName(more_entities.select(*_ENTITY))
     samples, entities, links = (scratch.keep(df, name) for df, name in ((samples, "samples"), (entities, "entities"), (links.select(*_LINK), "links")))
     # a raw label or field name is normalised once
-    kinds = entities.select("kind", "raw").distinct()
-    kinds = kinds.withColumn("label", F.when(F.col("kind") == "field", field_label("raw")).otherwise(normalize_label("raw")))
-    entities = entities.join(kinds, ["kind", "raw"], "left")
-    known = entities.where("label IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("file", "idx").orderBy("ord")))
-    known = scratch.keep(known.withColumn("id", F.concat(F.lit("entity_"), F.col("n").cast("string"))), "known")
+    label = F.when(F.col("kind") == "field", field_label("raw")).otherwise(normalize_label("raw"))
+    entities = with_label(entities, ["kind", "raw"], label, scratch).withColumnRenamed("to", "label")
     flag = F.coalesce("flag", F.col("label").isin("DRUG", "INSTRUCTION"))
     normal = F.when(F.col("normalized_text") != "", F.col("normalized_text")).when(F.col("text") != "", F.col("text"))
-    entity = F.struct("n", "id", "label", "text", normal.alias("normalized_text"), "bbox", needs_review(flag, F.col("text"), F.col("bbox")).alias("needs_review"))
-    drug = F.max_by("id", F.when((F.col("kind") == "field") & (F.col("label") == "DRUG"), F.col("n")))
-    grouped = known.groupBy("file", "idx").agg(F.array_sort(F.collect_list(entity)).alias("__entities"), drug.alias("__drug"))
-    ends = known.where("source_id IS NOT NULL").groupBy("file", "idx", "source_id").agg(F.max_by("id", "n").alias("id"))
+    entity = F.struct("ord", "label", "text", normal.alias("normalized_text"), "bbox", needs_review(flag, F.col("text"), F.col("bbox")).alias("needs_review"), "source_id", "kind")
+    known = entities.where("label IS NOT NULL").groupBy("file", "idx").agg(F.sort_array(F.collect_list(entity)).alias("__entities"))
+    number_ = lambda i: F.concat(F.lit("entity_"), (i + 1).cast("string")).alias("id")
+    fields = ["label", "text", "normalized_text", "bbox", "needs_review"]
+    numbered = F.transform("__entities", lambda e, i: F.struct(number_(i), *[e[c].alias(c) for c in (*fields, "source_id", "kind")]))
+    known = scratch.keep(known.withColumn("__entities", numbered), "known")
+    drug = F.try_element_at(F.filter("__entities", lambda e: (e["kind"] == "field") & (e["label"] == "DRUG")), F.lit(-1))["id"]
+    grouped = known.withColumn("__drug", drug)
+    ends = known.select("file", "idx", F.posexplode("__entities").alias("n", "e")).select("file", "idx", "n", "e.id", "e.source_id").where("source_id IS NOT NULL")
+    ends = ends.groupBy("file", "idx", "source_id").agg(F.max_by("id", "n").alias("id"))
     end = lambda c: ends.select("file", "idx", F.col("source_id").alias(c), F.col("id").alias(f"{c}_entity_id"))
     links = links.join(end("source"), ["file", "idx", "source"], "left").join(end("target"), ["file", "idx", "target"], "left")
     whole = F.col("source_entity_id").isNotNull() & F.col("target_entity_id").isNotNull()
@@ -235,7 +247,7 @@ def convert_dataset(documents: DataFrame, scratch: Scratch | None = None) -> Con
     samples = samples.withColumn("sample_id", F.when(clean != "", clean).otherwise(F.col("fallback"))).drop("fallback")
     samples = suffixed_ids(samples, "sample_id", "file", "idx")
     out = samples.join(grouped, ["file", "idx"], "left").join(linked, ["file", "idx"], "left")
-    entities_ = F.coalesce(F.transform("__entities", lambda e: e.dropFields("n")), F.array().cast(_ENTITIES))
+    entities_ = F.coalesce(F.transform("__entities", lambda e: F.struct(*[e[c].alias(c) for c in ("id", *fields)])), F.array().cast(_ENTITIES))
     head = F.transform(
         F.filter("__entities", lambda e: F.col("__drug").isNotNull() & (e["id"] != F.col("__drug"))),
         lambda e: F.struct(F.concat(F.lit("HAS_"), e["label"]).alias("type"), F.col("__drug").alias("source_entity_id"), e["id"].alias("target_entity_id")),

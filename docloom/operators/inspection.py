@@ -22,8 +22,8 @@ _NONE = "array<variant>"
 
 def given(value: Column, *paths: str) -> Column:
     """The first of some paths that a VARIANT has and that is not JSON's null."""
-    found = F.array(*[F.try_variant_get(value, p, "variant") for p in paths])
-    return F.get(F.filter(found, lambda x: x.isNotNull() & ~F.is_variant_null(x)), F.lit(0))
+    found = [F.try_variant_get(value, p, "variant") for p in paths]
+    return F.coalesce(*[F.when(~F.is_variant_null(x), x) for x in found])
 
 
 def items(value: Column, path: str = "$") -> Column:
@@ -32,7 +32,7 @@ def items(value: Column, path: str = "$") -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+    return F.try_variant_get(value, "$", "struct<text:variant>").isNotNull()
 
 
 def as_text(value: Column) -> Column:
@@ -48,6 +48,14 @@ def as_text(value: Column) -> Column:
     return T.clean_text(let(value, text))
 
 
+def text_at(value: Column, *paths: str) -> Column:
+    """``as_text`` of the first given of some paths, empty where there is none; only
+    what may be an array or an object by its first sign is taken apart."""
+    plain = F.coalesce(*[F.try_variant_get(value, p, "string") for p in paths])
+    nested = F.coalesce(plain.startswith("[") | plain.startswith("{"), F.lit(False))
+    return F.when(nested, as_text(given(value, *paths))).otherwise(T.clean_text(plain))
+
+
 def json_nodes(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """file, path, key, depth, top and value of every node of the documents (file,
     document): the document itself has the path '' and depth 0, an element the place
