@@ -20,6 +20,8 @@ from docloom.session import Scratch
 
 #: Rows of either side of one block, pairs counted at once, and pairs compared one by one.
 BLOCK, CELLS, SMALL = 2048, 4_000_000, 24
+#: Rows of blocks that a task has, on average.
+TASK_ROWS = 2000
 
 
 def least_overlap(n, m, percent: int):
@@ -78,76 +80,136 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
     return found
 
 
-def _linked(few: list[tuple], many: list[tuple], percent: int, whole: bool, grp: int) -> list[tuple[int, int]]:
-    """Pairs of one block's two sides (node, n, component, tokens): with whole sets,
-    components that link; with sets' first tokens, nodes that these let link, if
-    ``grp`` is the first token they have in common (each pair is in one such group)."""
-    if whole and len(few) * len(many) <= SMALL:
-        some, other = ([(*r[:3], set(np.frombuffer(r[3], dtype=np.int64).tolist())) for r in side] for side in (few, many))
-        met = ((x, y) for x in some for y in other if x[2] != y[2] and len(x[3] & y[3]) >= least_overlap(x[1], y[1], percent))
-        return sorted({(min(x[2], y[2]), max(x[2], y[2])) for x, y in met})
-    n, m = (np.array([r[1] for r in side], dtype=np.int64) for side in (few, many))
-    c, d = (np.array([r[2] for r in side], dtype=np.int64) for side in (few, many))
-    size = np.array([len(r[3]) // 8 for r in few])
-    token = np.frombuffer(b"".join(r[3] for r in few), dtype=np.uint64)
-    owner = np.repeat(np.arange(len(few)), size)
-    flat, starts = token, np.cumsum(size) - size
+def _joined(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of all sets one after another, each one's set, and where sets begin."""
+    size = np.array([len(t) // 8 for t in tokens], dtype=np.int64)
+    return np.frombuffer(b"".join(tokens), dtype=np.uint64), np.repeat(np.arange(len(tokens)), size), np.cumsum(size) - size
+
+
+def _overlaps(few: list[bytes], many: list[bytes], grp: int | None = None):
+    """(i, j, shared) of the pairs of ``few`` and ``many`` sets with a token in common,
+    some of ``many`` at a time. With ``grp``, of pairs whose first common token in
+    the order of the sets it is."""
+    token, owner, starts = _joined(few)
+    early = np.zeros(len(token), dtype=bool)
+    if grp is not None:
+        own = np.zeros(len(few), dtype=np.int64)
+        place = np.arange(len(token)) - starts[owner]
+        here = token.view(np.int64) == grp
+        own[owner[here]] = place[here]
+        early = place < own[owner]
     order = np.argsort(token, kind="stable")
-    place = (np.arange(len(flat)) - starts[owner])[order]
-    token, owner = token[order], owner[order]
-    out: set[tuple[int, int]] = set()
+    token, owner, early = token[order], owner[order], early[order]
     step = max(1, CELLS // len(few))
     for at in range(0, len(many), step):
-        some = many[at : at + step]
-        width = np.array([len(r[3]) // 8 for r in some])
-        mine = np.frombuffer(b"".join(r[3] for r in some), dtype=np.uint64)
-        row = np.repeat(np.arange(len(some)), width)
+        mine, row, _ = _joined(many[at : at + step])
         low, high = np.searchsorted(token, mine, "left"), np.searchsorted(token, mine, "right")
         hits = np.cumsum(high - low)
-        shared, a = np.zeros(len(some) * len(few), dtype=np.int32), 0
-        begin = np.full(0 if whole else len(shared), len(flat), dtype=np.int32)
+        cells, a = len(many[at : at + step]) * len(few), 0
+        shared, before = np.zeros(cells, dtype=np.int64), np.zeros(cells, dtype=bool)
         while a < len(mine):
             b = max(a + 1, int(np.searchsorted(hits, (hits[a - 1] if a else 0) + CELLS, "right")))
             count = high[a:b] - low[a:b]
             if count.any():
                 into = np.repeat(high[a:b] - np.cumsum(count), count) + np.arange(count.sum())
                 cell = np.repeat(row[a:b], count) * len(few) + owner[into]
-                np.add.at(shared, cell, 1)
-                if not whole:
-                    np.minimum.at(begin, cell, place[into].astype(np.int32))
+                shared += np.bincount(cell, minlength=cells)
+                if grp is not None:
+                    before[cell[early[into]]] = True
             a = b
-        met = np.flatnonzero(shared)
-        j, i = np.divmod(met, len(few))
-        least = least_overlap(n[i], m[at + j], percent)
-        behind = 0 if whole else -(-percent * np.maximum(n[i], m[at + j]) // 100) - 1
-        good = (c[i] != d[at + j]) & (100 * np.minimum(n[i], m[at + j]) >= percent * np.maximum(n[i], m[at + j]))
-        good &= shared[met] + behind >= least
-        if not whole:
-            good &= flat[starts[i] + begin[met]].view(np.int64) == grp
-        i, j = i[good], at + j[good]
-        pairs = np.stack([c[i], d[j]]) if whole else np.array([[few[x][0] for x in i.tolist()], [many[x][0] for x in j.tolist()]], dtype=np.int64)
-        out.update(zip(np.minimum(*pairs).tolist(), np.maximum(*pairs).tolist()))
-    return sorted(out)
-
-
-def _by_block(percent: int, whole: bool):
+        met = np.flatnonzero((shared > 0) & ~before)
+        yield met % len(few), at + met // len(few), shared[met]
+
+
+class _Forest:
+    """Joins components; ``edges`` are those that joined two, fewer than there are nodes."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        while (up := self.root.get(x, x)) != x:
+            self.root[x] = self.root.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
+            self.edges.append((min(x, y), max(x, y)))
+
+
+def _linked(few: list[tuple], many: list[tuple], percent: int, grp: int) -> list[tuple[int, int]]:
+    """Components that link in one block, of two sides (node, n, component, tokens,
+    first): as many pairs as join all that link. Where sets' first tokens are known,
+    only pairs with ``grp`` as the first in common meet (each pair is in one such
+    group), and whole sets are counted only where first tokens allow a link."""
+    found, whole = _Forest(), few[0][4] is None
+    if len(few) * len(many) <= SMALL:
+        some, other = ([(*r[:3], set(np.frombuffer(r[3], dtype=np.int64).tolist())) for r in side] for side in (few, many))
+        for x in some:
+            for y in other:
+                if x[2] != y[2] and len(x[3] & y[3]) >= least_overlap(x[1], y[1], percent):
+                    found.join(x[2], y[2])
+        return found.edges
+    n, m = (np.array([r[1] for r in side], dtype=np.int64) for side in (few, many))
+    c, d = (np.array([r[2] for r in side], dtype=np.int64) for side in (few, many))
+
+    def fitting(i, j, shared, behind=0):
+        good = (c[i] != d[j]) & (100 * np.minimum(n[i], m[j]) >= percent * np.maximum(n[i], m[j]))
+        good &= shared + behind >= least_overlap(n[i], m[j], percent)
+        return i[good], j[good]
+
+    if whole:
+        for i, j, shared in _overlaps([r[3] for r in few], [r[3] for r in many]):
+            i, j = fitting(i, j, shared)
+            for x, y in np.unique(np.stack([c[i], d[j]]), axis=1).T.tolist():
+                found.join(x, y)
+        return found.edges
+    met = []
+    for i, j, shared in _overlaps([r[4] for r in few], [r[4] for r in many], grp):
+        met.append(fitting(i, j, shared, -(-percent * np.maximum(n[i], m[j]) // 100) - 1))
+    i, j = (np.concatenate(x) for x in zip(*met))
+    rows, at = np.unique(i, return_inverse=True)
+    token, owner, _ = _joined([few[x][3] for x in rows.tolist()])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    edge = np.append(np.flatnonzero(np.diff(j, prepend=-1)), len(j))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        y = int(j[a])
+        mine, to = i[a:b], found.find(int(d[y]))
+        if all(found.find(x) == to for x in set(c[mine].tolist())):
+            continue
+        want = np.frombuffer(many[y][3], dtype=np.uint64)
+        low, high = np.searchsorted(token, want, "left"), np.searchsorted(token, want, "right")
+        count = high - low
+        into = np.repeat(high - np.cumsum(count), count) + np.arange(count.sum())
+        shared = np.bincount(owner[into], minlength=len(rows))[at[a:b]]
+        for x in np.unique(c[mine[shared >= least_overlap(n[mine], m[y], percent)]]).tolist():
+            found.join(x, int(d[y]))
+    return found.edges
+
+
+def _by_block(percent: int):
     """Streams rows sorted by block and side; holds one block's sides at most."""
 
     def run(arrow_batches):
         key, few, many, out = None, [], [], []
         for batch in arrow_batches:
-            columns = [batch.column(k).to_pylist() for k in range(8)]
-            for grp, i, j, side, node, n, component, tokens in zip(*columns):
+            columns = [batch.column(k).to_pylist() for k in range(9)]
+            for grp, i, j, side, node, n, component, tokens, first in zip(*columns):
                 if (grp, i, j) != key:
                     if few and many:
-                        out += _linked(few, many, percent, whole, key[0])
+                        out += _linked(few, many, percent, key[0])
                     key, few, many = (grp, i, j), [], []
-                (many if side else few).append((node, n, component, tokens))
+                (many if side else few).append((node, n, component, tokens, first))
             if len(out) > 100_000:
                 yield _edges(out)
                 out = []
         if few and many:
-            out += _linked(few, many, percent, whole, key[0])
+            out += _linked(few, many, percent, key[0])
         yield _edges(out)
 
     return run
@@ -157,23 +219,29 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def rest_pairs(now: DataFrame, sets: DataFrame, percent: int, whole: bool, block: int = BLOCK) -> DataFrame:
-    """a, b: what links between nodes outside their group's main component and all
-    nodes of the group (see ``_linked``). ``now`` has (grp, node, n, component),
-    ``sets`` (node, tokens). Both sides of a group are dealt into blocks, and each
-    block of one meets each of the other in some task."""
+def rest_pairs(now: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """a, b: components that link through nodes outside their group's main component
+    and any nodes of the group (see ``_linked``). ``now`` has (grp, node, n,
+    component), ``sets`` (node, tokens: whole sets, first: first tokens or null). Both
+    sides of a group are dealt into blocks, and each block of one meets each of the
+    other in some task. A block gives fewer rows than it has components."""
     blocks = lambda rows: F.ceil(F.col(rows) / block).cast("int")
-    main = main_components(now).select("grp", "main", blocks("minor").alias("few"), blocks("rows").alias("many"))
-    rows = now.join(main, "grp").join(sets.select("node", "tokens"), "node")
+    main = main_components(now).select("grp", "main", "rows", "minor", blocks("minor").alias("few"), blocks("rows").alias("many"))
+    main = scratch.keep(main, "main")
+    dealt = main.agg(F.coalesce(F.sum(F.col("rows") * F.col("few") + F.col("minor") * F.col("many")), F.lit(0))).first()[0]
+    rows = now.join(main.drop("rows", "minor"), "grp").join(sets.select("node", "tokens", "first"), "node")
     own = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
     each = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
     place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     few = F.transform(each("many"), lambda j: place(own("few"), j, 0))
     many = F.transform(each("few"), lambda i: place(i, own("many"), 1))
     at = F.when(F.col("component") != F.col("main"), F.concat(few, many)).otherwise(many)
-    dealt = rows.select("grp", F.explode(at).alias("at"), "node", "n", "component", "tokens")
-    dealt = dealt.select("grp", "at.i", "at.j", "at.side", "node", "n", "component", "tokens").repartition("grp", "i", "j")
-    return dealt.sortWithinPartitions("grp", "i", "j", "side").mapInArrow(_by_block(percent, whole), "a long, b long").distinct()
+    found = rows.select("grp", F.explode(at).alias("at"), "node", "n", "component", "tokens", "first")
+    found = found.select("grp", "at.i", "at.j", "at.side", "node", "n", "component", "tokens", "first")
+    found = found.repartition(max(16, dealt // TASK_ROWS), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side")
+    found = scratch.keep(found.mapInArrow(_by_block(percent), "a long, b long").distinct(), "rest")
+    scratch.drop(main)
+    return found
 
 
 def reaching(rows: DataFrame, percent: int) -> DataFrame:
@@ -220,7 +288,7 @@ def group_components(member: DataFrame, steps: list, sets: DataFrame, percent: i
             known = merged(known, edges, scratch)
         scratch.drop(now, pairs, edges)
     now = scratch.keep(parts_of(member.join(known, "node"), sets, percent), "parts")
-    edges = scratch.keep(rest_pairs(now, sets, percent, whole=True), "rest")
+    edges = rest_pairs(now, sets.select("node", "tokens", F.lit(None).cast("binary").alias("first")), percent, scratch)
     known = known if edges.isEmpty() else merged(known, edges, scratch)
     scratch.drop(now, edges)
     return known

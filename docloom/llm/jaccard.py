@@ -337,8 +337,9 @@ def links(nodes: DataFrame, sets_of, percent: int, scratch: Scratch) -> DataFram
     # the exact rest: each node outside a token's main component with all others of the token
     now = rows.withColumnRenamed("token", "grp").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     now = scratch.keep(reaching(now, percent), "parts")
-    first = nodes.select("node", F.col("prefix").alias("tokens"))
-    more = scratch.keep(verify(scratch.keep(rest_pairs(now, first, percent, whole=False, block=REST_BLOCK), "rest"), sets, percent), "more")
+    left = now.select("node").distinct()
+    first = nodes.select("node", F.col("prefix").alias("first")).join(left, "node", "left_semi")
+    more = rest_pairs(now, sets.join(left, "node", "left_semi").join(first, "node"), percent, scratch, REST_BLOCK)
     return known if more.isEmpty() else components(edges.unionByName(more), scratch)
 
 
