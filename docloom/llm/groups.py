@@ -20,8 +20,8 @@ from docloom.session import Scratch
 
 #: Rows of either side of one block, pairs counted at once, and pairs compared one by one.
 BLOCK, CELLS, SMALL = 2048, 4_000_000, 24
-#: Rows of blocks that a task has, on average.
-TASK_ROWS = 2000
+#: Full sides of blocks that a task has, on average.
+TASK_SIDES = 16
 
 
 def least_overlap(n, m, percent: int):
@@ -238,7 +238,7 @@ def rest_pairs(now: DataFrame, sets: DataFrame, percent: int, scratch: Scratch,
     at = F.when(F.col("component") != F.col("main"), F.concat(few, many)).otherwise(many)
     found = rows.select("grp", F.explode(at).alias("at"), "node", "n", "component", "tokens", "first")
     found = found.select("grp", "at.i", "at.j", "at.side", "node", "n", "component", "tokens", "first")
-    found = found.repartition(max(16, dealt // TASK_ROWS), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side")
+    found = found.repartition(max(16, dealt // (TASK_SIDES * block)), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side")
     found = scratch.keep(found.mapInArrow(_by_block(percent), "a long, b long").distinct(), "rest")
     scratch.drop(main)
     return found

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.groups import group_components
-from docloom.llm.jaccard import hot_cells, prefix
+from docloom.llm.jaccard import hot_cells, prefix_size
 from docloom.llm.textops import batches, hash_shingles, hash_words, mix64
 from docloom.session import Scratch, prepare
 
@@ -22,6 +22,8 @@ WINDOW, ENDS = 24, 6
 SURE = WINDOW + max(WINDOW, MIN_WORDS + ENDS)
 #: Rows of a band, and the share of pairs at the threshold that must collide.
 BAND_ROWS, RECALL = 1, 0.98
+#: Pairs of buckets and documents that wait in a task, and bytes of text for each block of buckets.
+MOST_WAITING, BLOCK_BYTES = 1_000_000, 8 << 20
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 _NEVER = np.uint64(2**64 - 1)
@@ -133,24 +135,78 @@ def _texts(arrow_batch, column: int = 0):
     return batches(pairs, lambda p: len(p[1]), 2 << 20)
 
 
-def buckets(docs: DataFrame, k: int, min_words: int, rows: int, count: int) -> DataFrame:
-    """bucket and doc, once each, of all bands of all paragraphs."""
+def _pairs(bucket: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(bucket)], ["doc", "bucket"])
+
+
+def met_buckets(docs: DataFrame, k: int, min_words: int, rows: int, count: int, blocks: int) -> DataFrame:
+    """doc and bucket of all buckets, of all bands of all paragraphs, that several of
+    the ``docs`` (text, doc) have. Buckets are sent packed, by ranges, to about
+    ``blocks`` tasks."""
+    bits = max(4, (min(1 << 14, blocks) - 1).bit_length())
+
+    def send(arrow_batches):
+        held, size = [], 0
+
+        def packed():
+            bucket, doc = (np.concatenate(x) for x in zip(*held))
+            block = (bucket.view(np.uint64) >> np.uint64(64 - bits)).astype(np.uint16)
+            order = np.argsort(block, kind="stable")
+            block, bucket, doc = block[order], bucket[order], doc[order]
+            at = np.flatnonzero(np.diff(block.astype(np.int64), prepend=-1))
+            raw = [np.concatenate([bucket[a:b], doc[a:b]]).tobytes() for a, b in zip(at, np.append(at[1:], len(block)))]
+            return pa.RecordBatch.from_arrays([pa.array(block[at].astype(np.int64)), pa.array(raw, pa.binary())], ["block", "pairs"])
 
-    def run(arrow_batches):
         for batch in arrow_batches:
             doc = batch.column(1).to_numpy(zero_copy_only=False)
             for some in _texts(batch):
                 owner, _, _, _, spans, every = paragraphs([p[1] for p in some], k, min_words)
-                found = np.concatenate([np.zeros(0, dtype=np.int64), *band_hashes(every, spans, k, rows, count)])
-                own = np.tile(owner, count)
-                order = np.lexsort((found, own))
-                found, own = found[order], own[order]
-                new = np.ones(len(found), dtype=bool)
-                new[1:] = (found[1:] != found[:-1]) | (own[1:] != own[:-1])
-                ids = doc[np.array([p[0] for p in some], dtype=np.int64)[own[new]]] if new.any() else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found[new]), pa.array(ids)], ["bucket", "doc"])
+                ids = doc[np.array([p[0] for p in some], dtype=np.int64)[owner]]
+                held.append((np.concatenate(band_hashes(every, spans, k, rows, count)), np.tile(ids, count)))
+                size += count * len(spans)
+                if size > MOST_WAITING:
+                    yield packed()
+                    held, size = [], 0
+        if size:
+            yield packed()
+
+    def meet(arrow_batches):
+        # of buckets that one document has so far, its pair waits; pairs of others go on
+        waiting: dict[int, list[np.ndarray]] = {}
+        size: dict[int, int] = {}
+        limit: dict[int, int] = {}
+        several: dict[int, np.ndarray] = {}
+
+        def settle(block: int):
+            bucket, doc = np.concatenate(waiting[block], axis=1)
+            order = np.argsort(bucket)
+            bucket, doc = bucket[order], doc[order]
+            at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            many = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+            if block in several:
+                many |= np.isin(bucket[at], several[block])
+            one = at[~many]
+            waiting[block], size[block] = [np.stack([bucket[one], doc[one]])], len(one)
+            limit[block] = max(MOST_WAITING, 2 * len(one))
+            several[block] = np.union1d(several.get(block, bucket[:0]), bucket[at[many]])
+            out = np.repeat(many, np.diff(np.append(at, len(bucket))))
+            bucket, doc = bucket[out], doc[out]
+            for a in range(0, len(bucket), 100_000):
+                yield _pairs(bucket[a : a + 100_000], doc[a : a + 100_000])
 
-    return docs.select("text", "doc").mapInArrow(run, "bucket long, doc long")
+        for batch in arrow_batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                pairs = np.frombuffer(raw.as_py(), dtype=np.int64).reshape(2, -1)
+                waiting.setdefault(block, []).append(pairs)
+                size[block] = size.get(block, 0) + pairs.shape[1]
+                if size[block] > limit.get(block, MOST_WAITING):
+                    yield from settle(block)
+        for block in [*waiting]:
+            yield from settle(block)
+            del waiting[block]
+
+    sent = docs.select("text", "doc").mapInArrow(send, "block long, pairs binary")
+    return sent.repartition(1 << bits, "block").mapInArrow(meet, "doc long, bucket long")
 
 
 def shingle_sets_of(every: np.ndarray, spans: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,20 +276,41 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int, min_words: int) -> DataF
     return found.dropDuplicates(["node"])  # rows with one doc_id and text give theirs again
 
 
-def _stored_sets(arrow_batch):
-    for i, raw in enumerate(arrow_batch.column(0)):
-        yield i, np.frombuffer(raw.as_buffer(), dtype=np.uint64)
+def _stored_sets(arrow_batch) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all sets of column 0 one after another, and their sizes."""
+    raw = arrow_batch.column(0).to_pylist()
+    return np.frombuffer(b"".join(raw), dtype=np.uint64), np.array([len(x) // 8 for x in raw], dtype=np.int64)
+
+
+def prefixes(tokens: np.ndarray, size: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """``prefix`` of many sets, ``tokens`` being those of all one after another: the
+    first tokens of all, and how many each has."""
+    wanted = np.where(size > 0, prefix_size(size, percent), 0)
+    start = np.cumsum(size) - size
+    row, place = np.repeat(np.arange(len(size)), size), np.arange(len(tokens)) - np.repeat(start, size)
+    if len(hot):
+        mine = (tokens >> np.uint64(32)).astype(np.uint32)
+        last = hot[np.minimum(np.searchsorted(hot, mine), len(hot) - 1)] == mine
+        before = np.concatenate([[0], np.cumsum(last)])
+        behind = before[:-1] - before[start][row]
+        cold = size - before[start + size] + before[start]
+        place = np.where(last, cold[row] + behind, place - behind)
+    first = np.flatnonzero(place < wanted[row])
+    out = np.zeros(wanted.sum(), dtype=np.uint64)
+    out[(np.cumsum(wanted) - wanted)[row[first]] + place[first]] = tokens[first]
+    return out, wanted
 
 
 def with_first(classes: DataFrame, percent: int) -> DataFrame:
     """node, tokens and first (its first tokens, rare ones before others) of each class."""
-    hot = hot_cells(classes.select("tokens"), _stored_sets, math.ceil(classes.count() / 400_000))
+    hot = hot_cells(classes.select("tokens"), lambda batch: [(0, _stored_sets(batch)[0])], math.ceil(classes.count() / 400_000))
     sent = classes.sparkSession.sparkContext.broadcast(hot)
 
     def run(arrow_batches):
         for batch in arrow_batches:
-            first = [prefix(tokens, sent.value, percent)[1].view(np.int64) for _, tokens in _stored_sets(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.list_(pa.int64()))], ["tokens", "node", "first"])
+            out, size = prefixes(*_stored_sets(batch), sent.value, percent)
+            first = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(out.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, first], ["tokens", "node", "first"])
 
     return classes.select("tokens", "node").mapInArrow(run, "tokens binary, node long, first array<long>")
 
@@ -274,12 +351,10 @@ def repeated_paragraphs(
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     docs = docs.withColumn("doc", F.xxhash64("doc_id", F.xxhash64("text")))
     count = bands(percent, rows, recall)
-    every = scratch.keep(buckets(docs, k, min_words, rows, count), "buckets")
-    ends = every.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
-    shared = scratch.keep(ends.where("a <> b").select("bucket"), "shared")
-    met = every.join(shared, "bucket", "left_semi").groupBy("doc").agg(F.collect_set("bucket").alias("shared"))
-    met = scratch.keep(met, "met")
-    scratch.drop(every, shared)
+    own = docs.groupBy("doc").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("size"))
+    repeated, size = own.agg(F.coalesce(F.max("rows"), F.lit(0)) > 1, F.coalesce(F.sum("size"), F.lit(0))).first()
+    met = met_buckets(docs, k, min_words, rows, count, math.ceil(size / BLOCK_BYTES))
+    met = scratch.keep(met.groupBy("doc").agg(F.collect_set("bucket").alias("shared")), "met")
     scratch.release()
     found = scratch.keep(colliding(docs, met, k, min_words, rows, count), "found")
     scratch.drop(met)
@@ -294,17 +369,18 @@ def repeated_paragraphs(
     wanted = wanted.groupBy("some.doc").agg(F.collect_set("some.number").alias("numbers"))
     several = scratch.keep(sets_of(docs, wanted, k, min_words), "several")
     scratch.drop(classes)
-    # rows with one doc_id and text are one document
-    seen = scratch.keep(found.drop("buckets").dropDuplicates(["doc", "number"]), "seen")
-    scratch.drop(found)
+    seen = found
+    if repeated:  # rows with one doc_id and text are one document
+        seen = scratch.keep(found.drop("buckets").dropDuplicates(["doc", "number"]), "seen")
+        scratch.drop(found)
     scratch.release()
     sets = scratch.keep(with_first(several, percent), "sets")
     scratch.drop(several)
     scratch.release()
     # the first band alone joins most copies, so that later ones have few pairs
-    steps = [[0], list(range(1, count)), list(range(count))]
+    steps = [[0], list(range(count))]
     known = group_components(member, steps, sets, percent, scratch)
-    place = scratch.keep(seen.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "place")
+    place = scratch.keep(seen.drop("buckets").join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "place")
     scratch.drop(seen, member, sets)  # without links, the components are read from the sets
     first = F.min(F.struct(F.col("doc_id"), F.col("doc"), F.col("number"), F.col("start_word"))).alias("first")
     of = place.groupBy("component").agg(first, F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b")
