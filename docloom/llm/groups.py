@@ -1,11 +1,12 @@
 """Links inside groups of any size, without pairing the rows of a group.
 
-A row (grp, node, n) is a node's place in a group: a bucket, or a token that many
-nodes have. Two nodes of a group link when their sets are alike. First each
-group's rows meet one of its nodes at a time, which joins most of a hot group in
-work linear in its size. Then nodes meet by the first tokens of their sets, of
-which alike sets share one, and what stays outside a token's main component
-meets all of the token in blocks of bounded size, so no link is lost.
+A row (grp, node, n) is a node's place in a group: a token that several nodes have
+among the first of their sets. Two nodes of a group link when their sets are alike,
+and alike sets share one of their first tokens. In small groups all pairs that can be
+alike are compared. In others the group's rows first meet one of its nodes at a
+time, which joins most of a hot group in work linear in its size; what stays outside
+its main component meets all of the token in blocks of bounded size, so no link is
+lost.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from docloom.session import Scratch
 BLOCK, CELLS, SMALL = 2048, 4_000_000, 24
 #: Full sides of blocks that a task has, on average.
 TASK_SIDES = 16
+#: Sets of one token that are compared pair by pair, turns in which those of a token
+#: with more meet one of them, sets for each block of tokens, and rows that wait in a task.
+PAIRED, TURNS, SETS_OF_BLOCK, MOST_WAITING = 64, 2, 50_000, 1_000_000
 
 
 def least_overlap(n, m, percent: int):
@@ -39,10 +43,12 @@ def main_components(now: DataFrame) -> DataFrame:
 
 
 def merged(known: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``known`` (node, component of all nodes) after edges (a, b) between components."""
-    into = components(edges, scratch).select(F.col("node").alias("component"), F.col("component").alias("into"))
-    found = known.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
-    return scratch.keep(found, "known")
+    """``known`` (node, component) after edges (a, b) between components. A node that
+    is not known is a component of its own."""
+    into = components(edges, scratch).select("node", F.col("component").alias("into"))
+    old = known.join(into.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    new = into.join(known, "node", "left_anti").select("node", F.col("into").alias("component"))
+    return scratch.keep(old.unionByName(new), "known")
 
 
 def hub_pairs(now: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -80,6 +86,12 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
     return found
 
 
+def stored_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all sets of a column one after another, and their sizes."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), dtype=np.uint64), np.array([len(x) // 8 for x in raw], dtype=np.int64)
+
+
 def _joined(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The tokens of all sets one after another, each one's set, and where sets begin."""
     size = np.array([len(t) // 8 for t in tokens], dtype=np.int64)
@@ -261,34 +273,131 @@ def reaching(rows: DataFrame, percent: int) -> DataFrame:
     return rows.join(least, "grp").where("reach >= least").select("grp", "node", "n", "component")
 
 
-def parts_of(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The nodes in groups of two components at least (``now``: grp, node, n,
-    component) by the first tokens of their sets, as (grp: the token, node, n,
-    component), without those that cannot link there. A node in several groups
-    comes once, so its tokens meet all others' and not each group's apart."""
-    ends = [F.min("component").alias("a"), F.max("component").alias("b")]
-    open_ = now.groupBy("grp").agg(*ends).where("a <> b").select("grp")
-    nodes = now.join(open_, "grp", "left_semi").select("node", "n", "component").distinct()
-    rows = nodes.join(sets.select("node", "first"), "node").select("node", "n", "component", F.posexplode("first").alias("place", "grp"))
-    return reaching(rows, percent)
-
-
-def group_components(member: DataFrame, steps: list, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(node, component) of all nodes of ``sets`` (node, tokens: whole sets, first:
-    first tokens) under links between nodes of one group of ``member`` (grp, band,
-    node, n). Each step lets the groups of some bands meet a node of theirs. Then
-    what is in a group with others meets all that share one of its first tokens, as alike
-    sets do, whichever group these are in."""
-    known = sets.select("node", F.col("node").alias("component"))
-    for turn, some in enumerate(steps):
-        now = scratch.keep(member.where(F.col("band").isin(some)).join(known, "node"), "now")
+def pack(columns: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """block and rows: the rows of all ``columns`` (64 bits each), packed by the upper
+    ``bits`` of the first one."""
+    block = (columns[0].view(np.uint64) >> np.uint64(64 - bits)).astype(np.uint16)
+    order = np.argsort(block, kind="stable")
+    block, every = block[order], np.stack([c.view(np.int64)[order] for c in columns])
+    at = np.flatnonzero(np.diff(block.astype(np.int64), prepend=-1))
+    raw = [every[:, a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(block)))]
+    return pa.RecordBatch.from_arrays([pa.array(block[at].astype(np.int64)), pa.array(raw, pa.binary())], ["block", "rows"])
+
+
+def signatures(tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits for each set, the sets' tokens being one after another: whether a bit
+    stands for an odd number of its tokens. Two sets differ in one token at least for
+    each bit in which these differ."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << (tokens & np.uint64(63)), np.cumsum(size) - size) if len(size) else tokens
+
+
+def _paired(token, node, n, place, sign, percent: int):
+    """The pairs (node, node) of rows sorted by token, those of equal tokens, that can
+    be alike with that token as the first in common. A pair's first one always allows
+    it, so no link is lost."""
+    step = 0
+    while True:
+        step += 1
+        i = np.flatnonzero(token[step:] == token[:-step])
+        if not len(i):
+            return
+        j = i + step
+        most = np.minimum(n[i] - place[i], n[j] - place[j])
+        most = np.minimum(most, (n[i] + n[j] - np.bitwise_count(sign[i] ^ sign[j])) // 2)
+        good = most >= least_overlap(n[i], n[j], percent)
+        a, b = node[i[good]], node[j[good]]
+        yield np.minimum(a, b), np.maximum(a, b)
+
+
+def near(sets: DataFrame, first_of, percent: int, blocks: int) -> DataFrame:
+    """a, b: the pairs of ``sets`` (node, tokens: not empty) that may be alike, by
+    sizes, places of the first token in common and signatures; n and place are null. Of
+    tokens that more than ``PAIRED`` sets have among their first, the rows instead: a
+    (the token), b (the node), n and place. ``first_of`` gives the first tokens of many
+    sets, and how many each has. Rows are sent packed, by ranges of the tokens, to about
+    ``blocks`` tasks."""
+    bits = max(4, (min(1 << 14, blocks) - 1).bit_length())
+
+    def send(arrow_batches):
+        for batch in arrow_batches:
+            tokens, size = stored_sets(batch.column(1))
+            first, count = first_of(tokens, size)
+            row = np.repeat(np.arange(len(size)), count)
+            place = np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+            node = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pack([first, node[row], (size[row] << 32) + place, signatures(tokens, size)[row]], bits)
+
+    def given(a, b, n=None, place=None):
+        for at in range(0, len(a), 100_000):
+            some = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(a[some]), pa.int64()) if c is None else pa.array(c[some]) for c in (a, b, n, place)], ["a", "b", "n", "place"]
+            )
+
+    def meet(arrow_batches):
+        # rows of tokens with few sets so far wait; those of others go on
+        waiting: dict[int, list[np.ndarray]] = {}
+        size: dict[int, int] = {}
+        limit: dict[int, int] = {}
+        many: dict[int, np.ndarray] = {}
+
+        def settle(block: int):
+            every = np.concatenate(waiting[block], axis=1)
+            every = every[:, np.argsort(every[0], kind="stable")]
+            at = np.flatnonzero(np.append(True, every[0, 1:] != every[0, :-1]))
+            count = np.diff(np.append(at, every.shape[1]))
+            large = count > PAIRED
+            if block in many:
+                large |= np.isin(every[0, at], many[block])
+            many[block] = np.union1d(many.get(block, every[0, :0]), every[0, at[large]])
+            out = np.repeat(large, count)
+            token, node, sized, _ = every[:, out]
+            yield from given(token, node, sized >> 32, sized & 0xFFFFFFFF)
+            waiting[block] = [every[:, ~out]]
+            size[block] = waiting[block][0].shape[1]
+            limit[block] = max(MOST_WAITING, 2 * size[block])
+
+        for batch in arrow_batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = np.frombuffer(raw.as_py(), dtype=np.int64).reshape(4, -1)
+                waiting.setdefault(block, []).append(rows)
+                size[block] = size.get(block, 0) + rows.shape[1]
+                if size[block] > limit.get(block, MOST_WAITING):
+                    yield from settle(block)
+        for block in [*waiting]:
+            yield from settle(block)
+            token, node, sized, sign = waiting.pop(block)[0]
+            for a, b in _paired(token, node, sized >> 32, sized & 0xFFFFFFFF, sign.view(np.uint64), percent):
+                yield from given(a, b)
+
+    sent = sets.select("node", "tokens").mapInArrow(send, "block long, rows binary")
+    return sent.repartition(1 << bits, "block").mapInArrow(meet, "a long, b long, n long, place long")
+
+
+def set_components(sets: DataFrame, first_of, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of the nodes of ``sets`` (node, tokens: whole sets, not empty)
+    that link with another one. Alike sets share one of their first tokens
+    (``first_of``, see ``near``). Sets of a token that few have are compared pair by
+    pair, where sizes and signatures allow a link. Those of a token that many have meet
+    one of them, in each of some turns another, and what stays outside its main
+    component meets all of the token in blocks."""
+    met = scratch.keep(near(sets, first_of, percent, sets.count() // SETS_OF_BLOCK), "near")
+    pairs = met.where("n IS NULL").select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")).distinct()
+    edges = alike(pairs, sets, percent, scratch)
+    scratch.release()
+    known = components(edges, scratch)
+    rows = met.where("n IS NOT NULL").select(F.col("a").alias("grp"), F.col("b").alias("node"), "n", "place")
+    if rows.isEmpty():
+        return known
+    joined = lambda: rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    for turn in range(TURNS):
+        now = scratch.keep(joined(), "now")
         pairs = scratch.keep(hub_pairs(now, percent, turn), "pairs")
-        edges = alike(pairs, sets, percent, scratch)
-        if not edges.isEmpty():
-            known = merged(known, edges, scratch)
-        scratch.drop(now, pairs, edges)
-    now = scratch.keep(parts_of(member.join(known, "node"), sets, percent), "parts")
-    edges = rest_pairs(now, sets.select("node", "tokens", F.lit(None).cast("binary").alias("first")), percent, scratch)
-    known = known if edges.isEmpty() else merged(known, edges, scratch)
-    scratch.drop(now, edges)
-    return known
+        more = alike(pairs, sets, percent, scratch)
+        known = known if more.isEmpty() else merged(known, more, scratch)
+        scratch.drop(now, pairs, more)
+    scratch.release()
+    now = scratch.keep(reaching(joined(), percent), "parts")
+    more = rest_pairs(now, sets.select("node", "tokens", F.lit(None).cast("binary").alias("first")), percent, scratch)
+    scratch.drop(now, met)
+    return known if more.isEmpty() else merged(known, more, scratch)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.groups import group_components
+from docloom.llm.groups import pack, set_components, stored_sets
 from docloom.llm.jaccard import hot_cells, prefix_size
 from docloom.llm.textops import batches, hash_shingles, hash_words, mix64
 from docloom.session import Scratch, prepare
@@ -24,6 +24,8 @@ SURE = WINDOW + max(WINDOW, MIN_WORDS + ENDS)
 BAND_ROWS, RECALL = 1, 0.98
 #: Pairs of buckets and documents that wait in a task, and bytes of text for each block of buckets.
 MOST_WAITING, BLOCK_BYTES = 1_000_000, 8 << 20
+#: Names of sets that a task remembers.
+MOST_GIVEN = 200_000
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 _NEVER = np.uint64(2**64 - 1)
@@ -51,6 +53,18 @@ def places(texts: list[bytes]):
     return words, first, begin, end, rank
 
 
+def least_places(rank: np.ndarray, window: int) -> np.ndarray:
+    """The first place of least rank in each stretch of ``window`` places: those of two
+    shorter stretches that cover it are known, from one place on to the whole window."""
+    at, have = np.arange(len(rank), dtype=np.int32), 1
+    while have < window:
+        step = min(have, window - have)
+        less = rank[step:] < rank[:-step]
+        at, rank = np.where(less, at[step:], at[:-step]), np.where(less, rank[step:], rank[:-step])
+        have += step
+    return at
+
+
 def starts_of(rank: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
     """Each text's first place, and the first of least rank in every stretch of
     ``window`` places behind it: what is chosen in a stretch depends on nothing else.
@@ -59,13 +73,14 @@ def starts_of(rank: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
     texts = first[:-1][first[:-1] < first[1:]]
     if len(rank) - 1 < window:
         return texts
-    at = np.lib.stride_tricks.sliding_window_view(rank[:-1], window).argmin(axis=1)
-    at += np.arange(len(at))
+    at = least_places(rank[:-1], window)
     # stretches that a text begins in hold two texts' places
     mark = np.zeros(len(at) + 1, dtype=np.int64)
     np.add.at(mark, np.clip(texts - window + 1, 0, len(at)), 1)
     np.add.at(mark, np.clip(texts + 1, 0, len(at)), -1)
-    found = np.union1d(texts, at[np.cumsum(mark[:-1]) == 0])
+    chosen = np.zeros(len(rank), dtype=bool)
+    chosen[texts] = chosen[at[np.cumsum(mark[:-1]) == 0]] = True
+    found = np.flatnonzero(chosen)
     again = np.zeros(len(found), dtype=bool)
     again[1:] = (rank[found[1:]] == rank[found[:-1]]) & (found[1:] - found[:-1] < window) & (rank[found[1:]] != _NEVER)
     head = np.maximum.accumulate(np.where(again, 0, np.arange(len(found))))
@@ -132,7 +147,7 @@ def band_hashes(every: np.ndarray, spans: np.ndarray, k: int, rows: int, count:
 def _texts(arrow_batch, column: int = 0):
     """Rows of a batch as (number, raw text), some at a time."""
     pairs = ((i, _raw(t.as_py())) for i, t in enumerate(arrow_batch.column(column)))
-    return batches(pairs, lambda p: len(p[1]), 2 << 20)
+    return batches(pairs, lambda p: len(p[1]), 1 << 20)
 
 
 def _pairs(bucket: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
@@ -149,13 +164,7 @@ def met_buckets(docs: DataFrame, k: int, min_words: int, rows: int, count: int,
         held, size = [], 0
 
         def packed():
-            bucket, doc = (np.concatenate(x) for x in zip(*held))
-            block = (bucket.view(np.uint64) >> np.uint64(64 - bits)).astype(np.uint16)
-            order = np.argsort(block, kind="stable")
-            block, bucket, doc = block[order], bucket[order], doc[order]
-            at = np.flatnonzero(np.diff(block.astype(np.int64), prepend=-1))
-            raw = [np.concatenate([bucket[a:b], doc[a:b]]).tobytes() for a, b in zip(at, np.append(at[1:], len(block)))]
-            return pa.RecordBatch.from_arrays([pa.array(block[at].astype(np.int64)), pa.array(raw, pa.binary())], ["block", "pairs"])
+            return pack([np.concatenate(x) for x in zip(*held)], bits)
 
         for batch in arrow_batches:
             doc = batch.column(1).to_numpy(zero_copy_only=False)
@@ -205,7 +214,7 @@ def met_buckets(docs: DataFrame, k: int, min_words: int, rows: int, count: int,
             yield from settle(block)
             del waiting[block]
 
-    sent = docs.select("text", "doc").mapInArrow(send, "block long, pairs binary")
+    sent = docs.select("text", "doc").mapInArrow(send, "block long, rows binary")
     return sent.repartition(1 << bits, "block").mapInArrow(meet, "doc long, bucket long")
 
 
@@ -226,60 +235,40 @@ def shingle_sets_of(every: np.ndarray, spans: np.ndarray, k: int) -> tuple[np.nd
 
 def colliding(docs: DataFrame, met: DataFrame, k: int, min_words: int, rows: int, count: int) -> DataFrame:
     """The paragraphs that have a bucket of their document's in ``met`` (doc, shared),
-    with all their buckets by band, and the name and size of their sets."""
+    with the names of their sets, and each set's tokens once or more."""
 
     def run(arrow_batches):
+        given: set[int] = set()  # names whose tokens have been sent
         for batch in arrow_batches:
             ids, docs_, shared = batch.column(1), batch.column(2), batch.column(3)
             for some in _texts(batch):
                 owner, number, own, at_bytes, spans, every = paragraphs([p[1] for p in some], k, min_words)
-                bands = np.stack([*band_hashes(every, spans, k, rows, count), owner], axis=1)
+                bands = np.stack(band_hashes(every, spans, k, rows, count), axis=1)
                 hit = np.zeros(len(spans), dtype=bool)
                 edge = np.searchsorted(owner, np.arange(len(some) + 1))
                 for j, (i, _) in enumerate(some):
                     here = slice(edge[j], edge[j + 1])
-                    hit[here] = np.isin(bands[here, :count], shared[i].values.to_numpy(zero_copy_only=False)).any(axis=1)
+                    hit[here] = np.isin(bands[here], shared[i].values.to_numpy(zero_copy_only=False)).any(axis=1)
                 mine = np.flatnonzero(hit)
                 for a in range(0, len(mine), 2000):
                     part = mine[a : a + 2000]
-                    _, n, node = shingle_sets_of(every, spans[part], k)
+                    token, n, node = shingle_sets_of(every, spans[part], k)
+                    raw, end, sets = token.tobytes(), 8 * np.cumsum(n), []
+                    for x, z, name in zip((end - 8 * n).tolist(), end.tolist(), node.tolist()):
+                        sets.append(None if name in given else raw[x:z])
+                        given.add(name)
+                    if len(given) > MOST_GIVEN:
+                        given.clear()
                     at = pa.array(np.array([i for i, _ in some], dtype=np.int64)[owner[part]])
-                    numbers = (number[part], own[part, 0], own[part, 1] - own[part, 0], at_bytes[part, 0], at_bytes[part, 1], node.view(np.int64), n)
-                    values = pa.array(np.ascontiguousarray(bands[part, :count]).ravel())
-                    of = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * count), values)
-                    yield pa.RecordBatch.from_arrays([ids.take(at), docs_.take(at), *[pa.array(x.astype(np.int64)) for x in numbers], of], _FOUND)
+                    numbers = (number[part], own[part, 0], own[part, 1] - own[part, 0], at_bytes[part, 0], at_bytes[part, 1], node.view(np.int64))
+                    columns = [ids.take(at), docs_.take(at), *[pa.array(x.astype(np.int64)) for x in numbers], pa.array(sets, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, _FOUND)
 
     joined = docs.join(met, "doc").select("text", "doc_id", "doc", "shared")
-    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in _FOUND[:-1]) + ", buckets array<long>")
-
-
-_FOUND = ["doc_id", "doc", "number", "start_word", "n_words", "start_byte", "end_byte", "node", "n", "buckets"]
-
-
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int, min_words: int) -> DataFrame:
-    """node and tokens (the whole set) of the paragraphs in ``wanted`` (doc, numbers)."""
-
-    def run(arrow_batches):
-        for batch in arrow_batches:
-            numbers = batch.column(1)
-            for some in _texts(batch):
-                owner, number, _, _, spans, every = paragraphs([p[1] for p in some], k, min_words)
-                start = np.searchsorted(owner, np.arange(len(some)))
-                mine = np.concatenate([start[j] + numbers[i].values.to_numpy(zero_copy_only=False) for j, (i, _) in enumerate(some)])
-                for a in range(0, len(mine), 2000):
-                    token, n, node = shingle_sets_of(every, spans[mine[a : a + 2000]], k)
-                    edges = pa.py_buffer((8 * np.concatenate([[0], np.cumsum(n)])).astype(np.int32))
-                    sets = pa.Array.from_buffers(pa.binary(), len(n), [None, edges, pa.py_buffer(np.ascontiguousarray(token))])
-                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), sets], ["node", "tokens"])
-
-    found = docs.join(wanted, "doc").select("text", "numbers").mapInArrow(run, "node long, tokens binary")
-    return found.dropDuplicates(["node"])  # rows with one doc_id and text give theirs again
+    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in _FOUND[:-1]) + ", tokens binary")
 
 
-def _stored_sets(arrow_batch) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of all sets of column 0 one after another, and their sizes."""
-    raw = arrow_batch.column(0).to_pylist()
-    return np.frombuffer(b"".join(raw), dtype=np.uint64), np.array([len(x) // 8 for x in raw], dtype=np.int64)
+_FOUND = ["doc_id", "doc", "number", "start_word", "n_words", "start_byte", "end_byte", "node", "tokens"]
 
 
 def prefixes(tokens: np.ndarray, size: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -301,18 +290,12 @@ def prefixes(tokens: np.ndarray, size: np.ndarray, hot: np.ndarray, percent: int
     return out, wanted
 
 
-def with_first(classes: DataFrame, percent: int) -> DataFrame:
-    """node, tokens and first (its first tokens, rare ones before others) of each class."""
-    hot = hot_cells(classes.select("tokens"), lambda batch: [(0, _stored_sets(batch)[0])], math.ceil(classes.count() / 400_000))
-    sent = classes.sparkSession.sparkContext.broadcast(hot)
-
-    def run(arrow_batches):
-        for batch in arrow_batches:
-            out, size = prefixes(*_stored_sets(batch), sent.value, percent)
-            first = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(out.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, first], ["tokens", "node", "first"])
-
-    return classes.select("tokens", "node").mapInArrow(run, "tokens binary, node long, first array<long>")
+def first_tokens(sets: DataFrame, percent: int):
+    """Gives the first tokens of many of the ``sets`` (node, tokens), rare ones before
+    others, as ``prefixes`` does."""
+    hot = hot_cells(sets.select("tokens"), lambda batch: [(0, stored_sets(batch.column(0))[0])], math.ceil(sets.count() / 400_000))
+    sent = sets.sparkSession.sparkContext.broadcast(hot)
+    return lambda tokens, size: prefixes(tokens, size, sent.value, percent)
 
 
 def repeated_paragraphs(
@@ -330,13 +313,12 @@ def repeated_paragraphs(
     another where there are some. Its beginning and end are chosen by the words
     within a window alone, so a passage of ``SURE`` words that two texts share gives both an
     equal paragraph, and shorter ones mostly do; every word of a text of
-    ``min_words`` words is in one, most in two. Paragraphs that share a MinHash bucket link if their whole sets
-    are alike: 100 * intersection >= percent * union, of k-word shingles of A-Z
+    ``min_words`` words is in one, most in two. Paragraphs that share a MinHash bucket with another text's go on,
+    and link if their whole sets are alike: 100 * intersection >= percent * union, of k-word shingles of A-Z
     lower-cased words. The bands are the fewest that let a pair at the threshold
-    collide with probability ``recall``; equal paragraphs always do. A bucket's
-    paragraphs meet one of them first; those outside its main component then meet
-    all that have one of their rarest shingles, in blocks. Pairs are never those
-    of a whole bucket, and none that could join two components is left out.
+    collide with probability ``recall``; equal paragraphs always do. What goes on
+    meets by its rarest shingles (see ``set_components``): pairs are never those of a
+    whole bucket, and none that could join two components is left out.
 
     One row for each paragraph of a component in two documents at least: doc_id,
     start_word, n_words, start_byte, end_byte (of the text in UTF-8), cluster_doc_id
@@ -359,29 +341,15 @@ def repeated_paragraphs(
     found = scratch.keep(colliding(docs, met, k, min_words, rows, count), "found")
     scratch.drop(met)
     scratch.release()
-    some = F.min(F.struct("doc", "number")).alias("some")
-    classes = scratch.keep(found.groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"), some), "classes")
-    member = classes.select("node", "n", F.posexplode("buckets").alias("band", "grp"))
-    crowd = member.groupBy("grp").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("grp")
-    member = scratch.keep(member.join(crowd, "grp", "left_semi"), "member")
-    # sets that others may be like: one paragraph's for each of them
-    wanted = classes.select("node", "some").join(member.select("node").distinct(), "node", "left_semi")
-    wanted = wanted.groupBy("some.doc").agg(F.collect_set("some.number").alias("numbers"))
-    several = scratch.keep(sets_of(docs, wanted, k, min_words), "several")
-    scratch.drop(classes)
-    seen = found
-    if repeated:  # rows with one doc_id and text are one document
-        seen = scratch.keep(found.drop("buckets").dropDuplicates(["doc", "number"]), "seen")
-        scratch.drop(found)
+    sets = scratch.keep(found.where("tokens IS NOT NULL").select("node", "tokens").dropDuplicates(["node"]), "sets")
+    # rows with one doc_id and text are one document
+    seen = scratch.keep(found.drop("tokens").dropDuplicates(["doc", "number"]) if repeated else found.drop("tokens"), "seen")
+    scratch.drop(found)
     scratch.release()
-    sets = scratch.keep(with_first(several, percent), "sets")
-    scratch.drop(several)
+    known = set_components(sets, first_tokens(sets, percent), percent, scratch)
+    place = scratch.keep(seen.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "place")
+    scratch.drop(seen, sets)
     scratch.release()
-    # the first band alone joins most copies, so that later ones have few pairs
-    steps = [[0], list(range(count))]
-    known = group_components(member, steps, sets, percent, scratch)
-    place = scratch.keep(seen.drop("buckets").join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "place")
-    scratch.drop(seen, member, sets)  # without links, the components are read from the sets
     first = F.min(F.struct(F.col("doc_id"), F.col("doc"), F.col("number"), F.col("start_word"))).alias("first")
     of = place.groupBy("component").agg(first, F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b")
     of = scratch.keep(of.select("component", "first"), "clusters")

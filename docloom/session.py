@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -71,8 +72,10 @@ class Scratch:
     def release(self) -> None:
         """Lets Spark delete the shuffle files of steps that have been written: it
         does so when the driver collects garbage, which a large heap puts off."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # what the first round sets free may hold more; files go a little later
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
