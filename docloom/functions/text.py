@@ -232,37 +232,47 @@ def meal_timing(col) -> Column:
     return _first(col, rf"(?iu)(uống{WS}+(?:sau|trước){WS}+khi{WS}+ăn)", 1)
 
 
+_NUMBERED = rf"^{WS}*(\d{{1,3}}){WS}*[).:-]{WS}*(.+)$"
+
+
+def is_medicine(line) -> Column:
+    """Whether ``parse_medicine`` finds one."""
+    return _text(line).rlike(_NUMBERED)
+
+
 def parse_medicine(line, number) -> Column:
     """struct(order, name, strength, quantity, unit, raw, source_line) of a
     numbered line, else null. A % never ends a strength at a text's end."""
-    head = rf"^{WS}*(\d{{1,3}}){WS}*[).:-]{WS}*(.+)$"
-    sl = rf"(?iu){B}SL{WS}*:{WS}*([\d.,]+){WS}*([^\d\s,;]+)"
-    one = rf"(?iu){B}(\d+(?:[.,]\d+)?){WS}*(mg|g|ml|mcg|µg|%){B}"
-    tail = rf"(?iu){WS}+\d+(?:[.,]\d+)?{WS}*(?:mg|g|ml|mcg|µg|%){WS}*$"
-
-    # each part is computed once, from the ones before it
-    def parts(raw: Column, has: Column, before: Column, strength: Column) -> Column:
-        name = F.when(strength != "", collapse(F.regexp_replace(before, tail, ""))).otherwise(before)
+    units, word = "mg|g|ml|mcg|µg|%", "[A-Za-z0-9_]"
+    # B where a letter or a digit follows is that no word ends here
+    sl = rf"(?iu)^(.*?)(?<!{word})SL{WS}*:{WS}*([\d.,]+){WS}*([^\d\s,;]+).*$"
+    one = rf"(?iu)(?=\d)(?<!{word})(\d+(?:[.,]\d+)?{WS}*(?:{units})){B}"
+    tail = rf"(?iu){WS}+\d+(?:[.,]\d+)?{WS}*(?:{units}){WS}*$"
+
+    # each part is computed once, from the ones before it; a collapsed text has no line ends
+    def parts(raw: Column, cut: Column, has: Column, before: Column, strength: Column) -> Column:
+        name = F.when(strength != "", F.regexp_replace(before, tail, "")).otherwise(before)
         return F.struct(
-            F.regexp_extract(_text(line), head, 1).cast("long").alias("order"),
+            F.regexp_extract(_text(line), rf"^{WS}*(\d{{1,3}})", 1).cast("long").alias("order"),
             let(name, lambda n: F.when(n != "", n).otherwise(before)).alias("name"),
             F.when(strength != "", strength).alias("strength"),
-            F.when(has, F.regexp_extract(raw, sl, 1)).alias("quantity"),
-            F.when(has, collapse(F.regexp_extract(raw, sl, 2))).alias("unit"),
+            F.when(has, F.split_part(cut, F.lit("\n"), F.lit(3))).alias("quantity"),
+            F.when(has, F.split_part(cut, F.lit("\n"), F.lit(4))).alias("unit"),
             raw.alias("raw"),
             number.cast("long").alias("source_line"),
         )
 
     def strength(before: Column) -> Column:
-        values, units = (F.regexp_extract_all(before, F.lit(one), F.lit(i)) for i in (1, 2))
-        return F.array_join(F.zip_with(values, units, lambda v, u: F.concat(v, F.lit(" "), u)), " ")
+        found = F.regexp_extract_all(before, F.lit(one), F.lit(1))
+        return F.array_join(F.transform(found, lambda x: F.regexp_replace(x, rf"^(\d+(?:[.,]\d+)?){WS}*", "$1 ")), " ")
 
-    def of(raw: Column, has: Column) -> Column:
-        before = collapse(F.when(has, F.regexp_extract(raw, rf"(?iu)^(.*?){sl}", 1)).otherwise(raw))
-        return let(before, lambda b: let(strength(b), lambda s: parts(raw, has, b, s)))
+    def of(raw: Column, cut: Column) -> Column:
+        has = F.startswith(cut, F.lit("\n"))
+        before = F.when(has, F.trim(F.split_part(cut, F.lit("\n"), F.lit(2)))).otherwise(raw)
+        return let(before, lambda b: let(strength(b), lambda s: parts(raw, cut, has, b, s)))
 
-    raw = collapse(F.regexp_extract(_text(line), head, 2))
-    return F.when(_text(line).rlike(head), let(raw, lambda r: let(r.rlike(sl), lambda has: of(r, has))))
+    known = lambda raw: let(F.regexp_replace(raw, sl, "\n$1\n$2\n$3"), lambda cut: of(raw, cut))
+    return let(F.regexp_extract(_text(line), _NUMBERED, 2), lambda found: F.when(found != "", let(collapse(found), known)))
 
 
 def is_diagnosis(line) -> Column:

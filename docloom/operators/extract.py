@@ -89,24 +89,29 @@ def carry_forward(rows: DataFrame, value, keys: list[str], order: list[str]) ->
 def structure(lines: DataFrame) -> DataFrame:
     """Lines (sample_id, line_no, text) as one row a sample: patient_and_header
     (first 7), diagnoses, dates and medicines with their notes. A note belongs to
-    the last medicine above it; diagnoses and dates are looked for elsewhere."""
-    rows = lines.withColumn("line", T.collapse("text")).where("line <> ''")
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("sample_id").orderBy("line_no")) - 1)
-    rows = rows.withColumn("m", T.parse_medicine(F.col("line"), F.col("i") + 1))
-    rows = carry_forward(rows, F.when(F.col("m").isNotNull(), F.col("i")), ["sample_id"], ["i"])
-    note = F.col("m").isNull() & F.col("carried").isNotNull() & F.col("line").rlike("(?iu)ghi ch")
-    said = T.collapse(F.regexp_replace("line", r"(?iu)^ghi ch[^ ]*\s*", ""))
-    rows = rows.withColumn("note", F.when(note & (said != ""), said)).withColumn("other", F.col("m").isNull() & ~note)
-    medicine = rows.groupBy("sample_id", "carried").agg(
-        F.max("m").alias("m"), F.array_sort(F.collect_list(F.when(F.col("note").isNotNull(), F.struct("i", "note")))).alias("notes")
-    )
-    medicine = medicine.where("carried IS NOT NULL").groupBy("sample_id").agg(
-        F.array_sort(F.collect_list(F.struct("carried", "m", F.col("notes.note").alias("instructions")))).alias("medicines")
-    )
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("i", c.alias("v"))))), lambda x: x["v"])
-    rest = rows.groupBy("sample_id").agg(
-        listed(F.when(F.col("i") < 7, F.col("line"))).alias("patient_and_header"),
-        listed(F.when(F.col("other") & T.is_diagnosis("line"), F.col("line"))).alias("diagnoses"),
-        F.array_distinct(listed(F.when(F.col("other"), T.line_date("line")))).alias("dates"),
-    )
-    return rest.join(medicine, "sample_id", "left")
+    the last medicine above it; diagnoses and dates are looked for elsewhere.
+
+    Lines are shuffled and sorted once and read once: each medicine knows how many notes
+    stand above it, so its own are a slice of the sample's."""
+    rows = lines.where(F.col("text").cast("string").rlike(f"[^{T.WS[1:-1]}]")).select("sample_id", "line_no", T.collapse("text").alias("line"))
+    rows = rows.withColumn("is_m", T.is_medicine("line"))
+    rows = rows.withColumn("is_note", ~F.col("is_m") & F.col("line").rlike("(?iu)ghi ch"))
+    rows = rows.withColumn("said", F.when(F.col("is_note"), T.collapse(F.regexp_replace("line", r"(?iu)^ghi ch[^ ]*\s*", ""))))
+    rows = rows.withColumn("has_note", F.coalesce(F.col("said") != "", F.lit(False)))
+    upto = Window.partitionBy("sample_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"i": F.row_number().over(upto) - 1, "above": F.count_if("is_m").over(upto), "notes": F.count_if("has_note").over(upto).cast("int")})
+    other = ~F.col("is_m") & ~(F.col("is_note") & (F.col("above") > 0))
+    listed = lambda when, **parts: F.sort_array(F.collect_list(F.when(when, F.struct("i", *[c.alias(k) for k, c in parts.items()]))))
+    rows = rows.select("*", F.when(other, T.line_date("line")).alias("date"), F.when(F.col("is_m"), T.parse_medicine(F.col("line"), F.col("i") + 1)).alias("m"))
+    out = rows.groupBy("sample_id").agg(
+        listed(F.col("i") < 7, v=F.col("line")).alias("head"), listed(other & T.is_diagnosis("line"), v=F.col("line")).alias("diagnoses"),
+        listed(F.col("date").isNotNull(), v=F.col("date")).alias("dates"), listed(F.col("has_note"), v=F.col("said")).alias("said"),
+        listed(F.col("is_m"), m=F.col("m"), notes=F.col("notes")).alias("found"),
+    )
+    texts = lambda c: F.col(c)["v"]
+    end = lambda j: F.coalesce(F.get(F.col("found"), j + 1)["notes"], F.size("said"))
+    medicine = lambda x, j: F.struct(x["i"].alias("carried"), x["m"].alias("m"), F.slice(texts("said"), x["notes"] + 1, end(j) - x["notes"]).alias("instructions"))
+    return out.select(
+        "sample_id", texts("head").alias("patient_and_header"), texts("diagnoses").alias("diagnoses"), F.array_distinct(texts("dates")).alias("dates"),
+        F.when(F.size("found") > 0, F.transform("found", medicine)).alias("medicines"),
+    )

@@ -107,9 +107,10 @@ def structured_prescriptions(spark, sf_dir):
     item = F.regexp_replace(item, "10%", "10%x")
     rows = views._lines(spark, sf_dir).select(F.col("l_orderkey").alias("sample_id"), "idx", item.alias("item"))
     line = lambda no, text: F.struct(no.cast("long").alias("line_no"), text.alias("text"))
-    each = rows.select("sample_id", F.inline(F.filter(F.array(line(n * 10, F.col("item")), F.when(n % 3 == 0, line(n * 10 + 1, F.lit(" Ghi chú  sau ăn")))), lambda x: x.isNotNull())))
-    head = F.array(line(F.lit(0), F.lit("Bệnh viện")), line(F.lit(1), F.lit("Chẩn đoán: G12")), line(F.lit(5), F.lit(" \t")), line(F.lit(100000), F.lit("Ngày 03/04/2024 ngày 03/04/2024")))
-    lines = each.unionByName(rows.select("sample_id").distinct().select("sample_id", F.inline(head)))
+    head = [line(F.lit(0), F.lit("Bệnh viện")), line(F.lit(1), F.lit("Chẩn đoán: G12")), line(F.lit(5), F.lit(" \t")), line(F.lit(100000), F.lit("Ngày 03/04/2024 ngày 03/04/2024"))]
+    # an order's first item brings the lines that come once
+    own, note = line(n * 10, F.col("item")), line(n * 10 + 1, F.lit(" Ghi chú  sau ăn"))
+    lines = rows.select("sample_id", F.inline(F.when(n == 1, F.array(*head, own)).when(n % 3 == 0, F.array(own, note)).otherwise(F.array(own))))
     out = extract.structure(lines)
     medicine = lambda x: F.concat_ws(
         "/", x["m"]["order"].cast("string"), F.regexp_replace(x["m"]["name"], " 2,5 g 10%x$", ""), F.coalesce(x["m"]["strength"], F.lit("")),
